@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from earthworks.functions.columns import blank_to_null, has_name, normalised_name, to_number
+from earthworks.operators.lineage import stable
 from earthworks.operators.windows import BLOCK_ROWS, running_total
 
 # Words that mark a header row.
@@ -57,108 +58,117 @@ def detect_header(cells: DataFrame, max_scan: int = MAX_SCAN) -> DataFrame:
     return best.select("file_id", row.alias("header_row"), F.col("best.score").alias("score"))
 
 
-def _body(cells: DataFrame) -> DataFrame:
-    """Cells below the header that are not blank."""
-    headers = detect_header(cells).select("file_id", "header_row")
-    filled = cells.filter(blank_to_null("value").isNotNull()).join(headers, "file_id", "left")
-    return filled.filter(F.col("row_idx") > F.coalesce("header_row", F.lit(0)))
+def _filled(cells: DataFrame) -> DataFrame:
+    return cells.filter(blank_to_null("value").isNotNull())
 
 
 def column_names(cells: DataFrame) -> DataFrame:
-    """Normalised names of the columns that hold anything below the header."""
-    used = _body(cells).groupBy("file_id", "col_idx").agg(F.any_value("header_row").alias("header_row"))
+    """Normalised names of the columns that hold anything below the header.
+
+    The cells are read once for the last filled row of each column, and once
+    more for the few rows a header may be in.
+    """
+    last = _filled(cells).groupBy("file_id", "col_idx").agg(F.max("row_idx").alias("last_row"))
     heads = cells.filter(F.col("row_idx") < MAX_SCAN).select(
         "file_id", "col_idx", F.col("row_idx").alias("header_row"), "value"
     )
-    named = used.withColumn("header_row", F.coalesce("header_row", F.lit(0))).join(
+    known = detect_header(cells).select("file_id", "header_row")
+    used = last.join(known, "file_id", "left").withColumn("header_row", F.coalesce("header_row", F.lit(0)))
+    named = used.filter(F.col("last_row") > F.col("header_row")).join(
         heads, ["file_id", "col_idx", "header_row"], "left"
     )
     text = F.coalesce(blank_to_null("value"), F.concat(F.lit("Unnamed: "), F.col("col_idx")))
-    return named.select("file_id", "col_idx", normalised_name(text).alias("nom"))
+    return named.select("file_id", "header_row", "col_idx", normalised_name(text).alias("nom"))
 
 
-def _best_alias(name: Column, aliases: list[str]) -> Column:
-    """Rank of a column for a field: tier, position of the alias, position of the column."""
-    def first(match) -> Column:
-        return F.array_min(F.array(*[F.when(match(a), F.lit(i)) for i, a in enumerate(aliases)]))
+def resolve(names: DataFrame, target: str = "site") -> DataFrame:
+    """Column chosen for each field of each file.
 
-    tiers = [
-        first(lambda a: name == a),
-        first(lambda a: name.contains(a)),
-        first(lambda a: F.lit(a).contains(name) & (F.length(name) >= 3)),
+    Best is a name equal to an alias, then a name that contains one, then a name
+    of three letters or more that is contained in one; within each, the
+    order of the aliases decides, then that of the columns.
+    """
+    aliases = [
+        F.struct(F.lit(field).alias("champ"), F.lit(i).alias("place"), F.lit(alias).alias("alias"))
+        for field, listed in ALIASES[target].items() for i, alias in enumerate(listed)
     ]
-    rank = F.lit(None)
-    for tier, position in reversed(list(enumerate(tiers, 1))):
-        here = F.struct(F.lit(tier).alias("rang"), position.alias("alias"), F.col("col_idx").alias("col_idx"))
-        rank = F.when(position.isNotNull(), here).otherwise(rank)
-    return rank
+    pairs = names.select("file_id", "col_idx", "nom", F.inline(F.array(*aliases)))
+    name, alias = F.col("nom"), F.col("alias")
+    tier = F.when(name == alias, 1).when(name.contains(alias), 2).when(alias.contains(name) & (F.length(name) >= 3), 3)
+    ranked = pairs.withColumn("rang", tier).filter(F.col("rang").isNotNull())
+    best = ranked.groupBy("file_id", "champ").agg(F.min(F.struct("rang", "place", "col_idx", "nom")).alias("best"))
+    return best.select("file_id", "champ", "best.rang", "best.col_idx", "best.nom")
 
 
-def resolve(names: DataFrame, target: str = "site") -> DataFrame:
-    """Column chosen for each field of each file."""
-    fields = ALIASES[target]
-    ranks = names.groupBy("file_id").agg(
-        *[F.min(_best_alias(F.col("nom"), aliases)).alias(field) for field, aliases in fields.items()]
-    )
-    long = ranks.select("file_id", F.inline(F.array(*[
-        F.struct(F.lit(field).alias("champ"), F.col(field).alias("choix")) for field in fields
-    ])))
-    chosen = long.filter(F.col("choix").isNotNull()).select("file_id", "champ", "choix.rang", "choix.col_idx")
-    return chosen.join(names, ["file_id", "col_idx"]).select("file_id", "champ", "rang", "col_idx", "nom")
+def layout(cells: DataFrame, target: str = "site") -> DataFrame:
+    """Every used column of every file: header row, position, name and field.
+
+    A column chosen for two fields has two rows; one chosen for none has a NULL field.
+    The result is small and is read several times, so it is kept.
+    """
+    names = column_names(cells)
+    fields = resolve(names, target).select("file_id", "col_idx", "champ", "rang")
+    return stable(names.join(fields, ["file_id", "col_idx"], "left"))
+
 
+def fields_of(columns: DataFrame) -> DataFrame:
+    chosen = columns.filter(F.col("champ").isNotNull())
+    return chosen.select("file_id", "champ", "rang", "col_idx", "nom")
 
-def missing_fields(names: DataFrame, target: str = "site") -> DataFrame:
+
+def missing_fields(columns: DataFrame) -> DataFrame:
     """Files refused for want of a designation or a unit, with the fields missing."""
-    found = resolve(names, target)
-    per_file = found.groupBy("file_id").agg(
-        *[F.max(F.col("champ") == field).alias(field) for field in REQUIRED]
+    found = columns.groupBy("file_id").agg(
+        *[F.count_if(F.col("champ") == field).alias(field) for field in REQUIRED]
     )
-    files = names.select("file_id").distinct().join(per_file, "file_id", "left")
-    absent = F.concat_ws(",", *[
-        F.when(~F.coalesce(F.col(field), F.lit(False)), F.lit(field)) for field in REQUIRED
-    ])
-    return files.select("file_id", absent.alias("manquants")).filter(F.col("manquants") != "")
+    absent = F.concat_ws(",", *[F.when(F.col(field) == 0, F.lit(field)) for field in REQUIRED])
+    return found.select("file_id", absent.alias("manquants")).filter(F.col("manquants") != "")
 
 
-def grid(cells: DataFrame, target: str = "site") -> DataFrame:
-    """One row per sheet row with its resolved fields as text, numbered from 0."""
-    fields = resolve(column_names(cells), target).select("file_id", "col_idx", "champ")
-    body = _body(cells)
-    rows = body.join(fields, ["file_id", "col_idx"], "left").groupBy("file_id", "row_idx").agg(
+def _body(cells: DataFrame, columns: DataFrame) -> DataFrame:
+    """Filled cells below the header with the field of their column, if any."""
+    side = columns.select("file_id", "col_idx", "header_row", "champ")
+    return _filled(cells).join(side, ["file_id", "col_idx"]).filter(F.col("row_idx") > F.col("header_row"))
+
+
+def _rows(cells: DataFrame, columns: DataFrame, target: str) -> DataFrame:
+    """One row per sheet row that is not blank, with its fields as text."""
+    return _body(cells, columns).groupBy("file_id", "row_idx").agg(
         *[F.max(F.when(F.col("champ") == f, F.col("value"))).alias(f) for f in ALIASES[target]]
     )
+
+
+def grid(cells: DataFrame, target: str = "site") -> DataFrame:
+    """Sheet rows with their resolved fields as text, numbered from 0 in each file."""
+    rows = _rows(cells, layout(cells, target), target)
     blocks = rows.withColumn("__block", F.floor(F.col("row_idx") / BLOCK_ROWS))
     counted = running_total(blocks, F.lit(1), ["file_id"], "__block", "row_idx", "__n", block=F.lit(0))
     return counted.withColumn("ligne", F.col("__n") - 1).drop("__block", "__n")
 
 
-def match_deliverables(cells: DataFrame, files: DataFrame, deliverables: DataFrame) -> DataFrame:
+def match_deliverables(columns: DataFrame, files: DataFrame, deliverables: DataFrame) -> DataFrame:
     """Deliverable each leftover column of a file stands for.
 
     Names match when one contains the other; the first deliverable by name
     counts. ``files`` gives the site of each file.
     """
-    names = column_names(cells)
-    taken = resolve(names).select("file_id", "col_idx")
-    free = names.join(taken, ["file_id", "col_idx"], "left_anti")
-    free = free.filter(~F.col("nom").isin(_TOTAL_COLUMNS + _NO_COLUMNS)).join(files, "file_id")
+    free = columns.filter(F.col("champ").isNull() & ~F.col("nom").isin(_TOTAL_COLUMNS + _NO_COLUMNS))
     side = deliverables.select(
         F.col("chantier_id").alias("rue_id"), F.col("id").alias("livrable_id"),
         F.lower(F.trim("nom")).alias("livrable"), normalised_name("nom").alias("__norm"),
     )
     either = F.col("nom").contains(F.col("__norm")) | F.col("__norm").contains(F.col("nom"))
-    pairs = free.join(side, "rue_id").filter(either)
+    pairs = free.join(files, "file_id").join(side, "rue_id").filter(either)
     best = F.min(F.struct("livrable", "livrable_id")).alias("best")
     return pairs.groupBy("file_id", "rue_id", "col_idx", "nom").agg(best).select(
         "file_id", "rue_id", "col_idx", "nom", "best.livrable_id", "best.livrable"
     )
 
 
-def _accepted(cells: DataFrame, target: str) -> DataFrame:
-    """Grid rows with a designation, from files that are not refused."""
-    refused = missing_fields(column_names(cells), target).select("file_id")
-    rows = grid(cells, target).filter(has_name("designation"))
-    return rows.join(refused, "file_id", "left_anti")
+def _accepted(cells: DataFrame, columns: DataFrame, target: str) -> DataFrame:
+    """Sheet rows with a designation, from files that are not refused."""
+    refused = missing_fields(columns).select("file_id")
+    return _rows(cells, columns, target).filter(has_name("designation")).join(refused, "file_id", "left_anti")
 
 
 def _text(field: str) -> Column:
@@ -174,9 +184,10 @@ def import_simple(
     targets the deliverable or the subcontractor. For the site target, files
     with deliverable columns are left to ``import_multi``.
     """
-    rows = _accepted(cells, target).join(files, "file_id")
+    columns = layout(cells, target)
+    rows = _accepted(cells, columns, target).join(files, "file_id")
     if deliverables is not None:
-        multi = match_deliverables(cells, files, deliverables).select("file_id").distinct()
+        multi = match_deliverables(columns, files, deliverables).select("file_id").distinct()
         rows = rows.join(multi, "file_id", "left_anti")
     owner = [c for c in files.columns if c != "file_id"]
     return rows.select(
@@ -189,13 +200,14 @@ def import_simple(
 
 def import_multi(cells: DataFrame, files: DataFrame, deliverables: DataFrame) -> DataFrame:
     """Lines of files with a column per deliverable, one per quantity that is not 0."""
-    matches = match_deliverables(cells, files, deliverables).select(
+    columns = layout(cells)
+    matches = match_deliverables(columns, files, deliverables).select(
         "file_id", "rue_id", "col_idx", "livrable_id"
     )
     quantities = cells.join(matches, ["file_id", "col_idx"]).select(
         "file_id", "row_idx", "rue_id", "livrable_id", to_number("value").alias("quantite")
     ).filter(F.col("quantite") != 0)
-    return _accepted(cells, "site").join(quantities, ["file_id", "row_idx"]).select(
+    return _accepted(cells, columns, "site").join(quantities, ["file_id", "row_idx"]).select(
         "file_id", "row_idx", "rue_id", "livrable_id",
         _text("code").alias("code_poste"), _text("designation").alias("designation"), _text("unite").alias("unite"),
         "quantite", to_number("pu").alias("prix_unitaire"),
@@ -212,7 +224,5 @@ def import_stats(lines: DataFrame) -> DataFrame:
 
 def numbers(cells: DataFrame, target: str = "site") -> DataFrame:
     """Quantity and price cells as numbers, 0 where the text is none."""
-    fields = resolve(column_names(cells), target).filter(F.col("champ").isin("qte", "pu"))
-    return _body(cells).join(fields.select("file_id", "col_idx", "champ"), ["file_id", "col_idx"]).select(
-        "file_id", "row_idx", "champ", to_number("value").alias("nombre")
-    )
+    body = _body(cells, layout(cells, target)).filter(F.col("champ").isin("qte", "pu"))
+    return body.select("file_id", "row_idx", "champ", to_number("value").alias("nombre"))

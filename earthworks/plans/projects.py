@@ -53,11 +53,8 @@ def site_labels(tables: Frames) -> DataFrame:
 def site_parties(tables: Frames, site: int | None = None) -> DataFrame:
     """Parties of a site by role, one row each, a dash where none is named."""
     chosen = tables["rues"].filter(equals_if("id", site))
-    wide = chosen.select(
-        F.col("id").alias("rue_id"), F.col("nom").alias("chantier"),
-        *[F.col(c).alias(role) for c, role in PARTY_ROLES.items()],
-    )
-    long = wide.unpivot(["rue_id", "chantier"], list(PARTY_ROLES.values()), "role", "intervenant")
+    parties = [F.struct(F.lit(role).alias("role"), F.col(c).alias("intervenant")) for c, role in PARTY_ROLES.items()]
+    long = chosen.select(F.col("id").alias("rue_id"), F.col("nom").alias("chantier"), F.inline(F.array(*parties)))
     return long.withColumn("intervenant", or_label(blank_to_null("intervenant")))
 
 
