@@ -27,38 +27,48 @@ def running_total(
     """Running sum of ``value`` per key in (date, id) order, over whole groups.
 
     A plain window would put all rows of a key, or with no key the whole table,
-    in one task. Here the sum is built in three steps: totals per day and
-    per slice of ids, running offsets over those totals, and a window inside
-    each slice. The one window over all days of a key sees a row per day.
+    in one task. Here the sum goes from coarse to fine: over the totals of the
+    days of a key, over the totals of the slices of ids of a day, then over the
+    rows of a slice. The widest window sees one row per day of a key.
     """
     if block is None:
         block = id_block(df, id_column)
-    rows = df.withColumns({"__v": value, "__b": block})
+    total_type = df.select(F.sum(value).alias("t")).schema["t"].dataType
+    if isinstance(total_type, T.DecimalType):
+        total_type = T.DecimalType(38, total_type.scale)
+    rows = df.withColumns({"__v": value.cast(total_type), "__b": block})
     day, leaf = [*by, date], [*by, date, "__b"]
 
-    slices = rows.groupBy(*leaf).agg(F.sum("__v").alias("__s"))
-    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    days = slices.groupBy(*day).agg(F.sum("__s").alias("__d"))
-    across_days = Window.partitionBy(*by).orderBy(F.asc_nulls_first(date))
-    days = days.withColumn("__day_offset", F.coalesce(F.sum("__d").over(before(across_days)), F.lit(0)))
-    across_slices = Window.partitionBy(*day).orderBy(F.asc_nulls_first("__b"))
-    slices = slices.withColumn("__slice_offset", F.coalesce(F.sum("__s").over(before(across_slices)), F.lit(0)))
-    offsets = _join_nullsafe(slices, days, day).select(
-        *leaf, (F.col("__day_offset") + F.col("__slice_offset")).alias("__offset")
+    slices = rows.groupBy(*leaf).agg(F.sum("__v").cast(total_type).alias("__v"))
+    days = slices.groupBy(*day).agg(F.sum("__v").cast(total_type).alias("__v"))
+    day_starts = _starts(days, by, [date])
+    slice_starts = _starts(_opened_by(slices, day_starts), day, ["__row", "__b"]).filter("__row = 1").drop("__row")
+    inside = Window.partitionBy(*leaf).orderBy("__row", F.asc_nulls_first(id_column))
+    summed = _opened_by(rows, slice_starts).withColumn(
+        out, F.sum("__v").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     )
+    return summed.filter("__row = 1").select(*df.columns, out)
 
-    inside = Window.partitionBy(*leaf).orderBy(F.asc_nulls_first(id_column)).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
+
+def _starts(totals: DataFrame, within: list[str], order: list[str]) -> DataFrame:
+    """Replace each total by the sum of those before it."""
+    before = Window.partitionBy(*within).orderBy(*[F.asc_nulls_first(c) for c in order]).rowsBetween(
+        Window.unboundedPreceding, -1
     )
-    summed = rows.withColumn("__inside", F.sum("__v").over(inside))
-    result = _join_nullsafe(summed, offsets, leaf)
-    return result.withColumn(out, F.col("__offset") + F.col("__inside")).select(*df.columns, out)
+    return totals.withColumn("__v", F.coalesce(F.sum("__v").over(before), F.lit(0)).cast(totals.schema["__v"].dataType))
+
+
+def _opened_by(rows: DataFrame, starts: DataFrame) -> DataFrame:
+    """Put the starting value of each group in front of its rows, as row 0.
+
+    The window over the group then begins at that value, with no join.
+    """
+    first = starts.withColumn("__row", F.lit(0))
+    return rows.withColumn("__row", F.lit(1)).unionByName(first, allowMissingColumns=True)
 
 
 def _join_nullsafe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Inner equi-join on keys that may be NULL, keeping the left key columns."""
-    if not keys:
-        raise ValueError("at least one key is needed")
     renamed = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
     condition = None
     for k in keys:
@@ -75,7 +85,7 @@ def sequential_runs(
     The label depends on the position, so runs are found on the distinct
     positions of a key, a handful of rows, and joined back to the rows.
     """
-    places = df.groupBy(by, position).agg(F.any_value(label).alias("__label"))
+    places = df.select(by, position, label.alias("__label")).distinct()
     along = Window.partitionBy(by).orderBy(F.asc_nulls_first(position))
     previous = F.lag("__label").over(along)
     places = places.withColumn("__new", F.when(previous.eqNullSafe(F.col("__label")), 0).otherwise(1))

@@ -11,7 +11,7 @@ from earthworks.functions.columns import (
     NO_DELIVERABLE, amount, line_key, or_label, percent, remaining, zero_if_null,
 )
 from earthworks.operators.aggregates import (
-    DETAIL, LEVEL, TOTAL, append_levels, at_level, first_per_key, pivot_sums, total,
+    DETAIL, LEVEL, TOTAL, append_levels, at_level, first_by_id, pivot_sums, total,
 )
 from earthworks.operators.joins import with_names
 from earthworks.plans import facts
@@ -58,11 +58,10 @@ def recap_totals(tables: Frames, site: int | None = None) -> DataFrame:
     The amount is the summed quantity times the first unit price of the key.
     """
     lines = _keyed_lines(tables, site)
-    first = first_per_key(lines, ["rue_id", "cle"], ["code_poste", "designation", "unite", "prix_unitaire"])
-    sums = lines.groupBy("rue_id", "cle").agg(total("quantite_marche").alias("qte_totale"))
-    keys = first.join(sums, ["rue_id", "cle"]).withColumn(
-        "montant_total", F.col("qte_totale").cast("decimal(20,2)") * F.col("prix_unitaire")
-    )
+    shown = ["code_poste", "designation", "unite", "prix_unitaire"]
+    keys = lines.groupBy("rue_id", "cle").agg(
+        *[first_by_id(c).alias(c) for c in shown], total("quantite_marche").alias("qte_totale")
+    ).withColumn("montant_total", F.col("qte_totale").cast("decimal(20,2)") * F.col("prix_unitaire"))
     per_site = keys.groupBy("rue_id").agg(total("montant_total").alias("montant_total"))
     return append_levels(at_level(keys, DETAIL), at_level(per_site, TOTAL))
 
