@@ -17,8 +17,7 @@ from earthworks.sources.tables import with_defaults
 def number_rows(df: DataFrame, order: str, out: str) -> DataFrame:
     """Number rows from 1 in the order of a unique column, without a one-task window."""
     slices = df.withColumn("__slice", id_block(df, order))
-    counted = running_total(slices, F.lit(1), [], "__slice", order, out, block=F.lit(0))
-    return counted.drop("__slice")
+    return running_total(slices, F.lit(1), [], "__slice", order, out, block=F.lit(0)).drop("__slice")
 
 
 def append_rows(

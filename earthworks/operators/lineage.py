@@ -1,12 +1,14 @@
-"""Cut the lineage of a small result that several later steps read."""
+"""Keep small results that several later steps read, and broadcast those counted small."""
 
 from __future__ import annotations
 
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
+BROADCAST_ROWS = 500_000
 
 
 def stable(df: DataFrame) -> DataFrame:
@@ -18,6 +20,11 @@ def stable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Mark a narrow frame for broadcast if it is counted to be small; else leave it as it is."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def _ensure_folder(spark: SparkSession) -> None:
     """Use the folder the session names; a local session may do without one."""
     context = spark.sparkContext

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from earthworks.operators.lineage import stable
+
 BLOCK_ROWS = 1 << 20
+WINDOW_ROWS = 1 << 21
 
 
 def id_block(df: DataFrame, column: str, rows: int = BLOCK_ROWS, prefix: int = 10) -> Column:
@@ -22,20 +28,52 @@ def id_block(df: DataFrame, column: str, rows: int = BLOCK_ROWS, prefix: int = 1
 
 def running_total(
     df: DataFrame, value: Column, by: list[str], date: str, id_column: str, out: str,
-    block: Column | None = None,
+    block: Column | None = None, window_rows: int = WINDOW_ROWS,
 ) -> DataFrame:
     """Running sum of ``value`` per key in (date, id) order, over whole groups.
 
-    A plain window would put all rows of a key, or with no key the whole table,
-    in one task. Here the sum goes from coarse to fine: over the totals of the
-    days of a key, over the totals of the slices of ids of a day, then over the
-    rows of a slice. The widest window sees one row per day of a key.
+    A key's rows are summed in one window while they are at most ``window_rows``,
+    which is counted first. Keys with more are summed in slices, and with no
+    key so is a longer table, so that no task holds a whole hot key.
     """
     if block is None:
         block = id_block(df, id_column)
-    total_type = df.select(F.sum(value).alias("t")).schema["t"].dataType
-    if isinstance(total_type, T.DecimalType):
-        total_type = T.DecimalType(38, total_type.scale)
+    if not by:
+        if df.limit(window_rows + 1).count() > window_rows:
+            return _sliced(df, value, by, date, id_column, out, block)
+        return _plain(df, value, by, date, id_column, out)
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__rows"))
+    hot = stable(sizes.filter(F.col("__rows") > window_rows).drop("__rows"))
+    if hot.isEmpty():
+        return _plain(df, value, by, date, id_column, out)
+    # At most one key per window_rows rows is hot, so this side is small by construction.
+    same = reduce(and_, [df[k].eqNullSafe(hot[k]) for k in by])
+    calm = df.join(F.broadcast(hot), same, "left_anti")
+    busy = df.join(F.broadcast(hot), same, "left_semi")
+    return _plain(calm, value, by, date, id_column, out).unionByName(
+        _sliced(busy, value, by, date, id_column, out, block)
+    )
+
+
+def _total_type(df: DataFrame, value: Column) -> T.DataType:
+    kind = df.select(F.sum(value).alias("t")).schema["t"].dataType
+    return T.DecimalType(38, kind.scale) if isinstance(kind, T.DecimalType) else kind
+
+
+def _plain(df: DataFrame, value: Column, by: list[str], date: str, id_column: str, out: str) -> DataFrame:
+    along = Window.partitionBy(*by).orderBy(F.asc_nulls_first(date), F.asc_nulls_first(id_column))
+    upto = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return df.withColumn(out, F.sum(value).over(upto).cast(_total_type(df, value)))
+
+
+def _sliced(
+    df: DataFrame, value: Column, by: list[str], date: str, id_column: str, out: str, block: Column
+) -> DataFrame:
+    """From coarse to fine: over the days of a key, the id slices of a day, the rows of a slice.
+
+    The widest window sees one row per day of a key.
+    """
+    total_type = _total_type(df, value)
     rows = df.withColumns({"__v": value.cast(total_type), "__b": block})
     day, leaf = [*by, date], [*by, date, "__b"]
 
@@ -45,7 +83,7 @@ def running_total(
     slice_starts = _starts(_opened_by(slices, day_starts), day, ["__row", "__b"]).filter("__row = 1").drop("__row")
     inside = Window.partitionBy(*leaf).orderBy("__row", F.asc_nulls_first(id_column))
     summed = _opened_by(rows, slice_starts).withColumn(
-        out, F.sum("__v").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        out, F.sum("__v").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast(total_type)
     )
     return summed.filter("__row = 1").select(*df.columns, out)
 
@@ -70,11 +108,8 @@ def _opened_by(rows: DataFrame, starts: DataFrame) -> DataFrame:
 def _join_nullsafe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Inner equi-join on keys that may be NULL, keeping the left key columns."""
     renamed = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
-    condition = None
-    for k in keys:
-        same = F.col(k).eqNullSafe(F.col(f"__r_{k}"))
-        condition = same if condition is None else condition & same
-    return left.join(renamed, condition).drop(*[f"__r_{k}" for k in keys])
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys])
+    return left.join(renamed, same).drop(*[f"__r_{k}" for k in keys])
 
 
 def sequential_runs(

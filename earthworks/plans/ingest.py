@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from earthworks.functions.columns import blank_to_null, has_name, normalised_name, to_number
-from earthworks.operators.lineage import stable
+from earthworks.operators.lineage import small, stable
 from earthworks.operators.windows import BLOCK_ROWS, running_total
 
 # Words that mark a header row.
@@ -104,11 +104,11 @@ def layout(cells: DataFrame, target: str = "site") -> DataFrame:
     """Every used column of every file: header row, position, name and field.
 
     A column chosen for two fields has two rows; one chosen for none has a NULL field.
-    The result is small and is read several times, so it is kept.
+    The names are few and read several times, so they are kept.
     """
-    names = column_names(cells)
+    names = stable(column_names(cells))
     fields = resolve(names, target).select("file_id", "col_idx", "champ", "rang")
-    return stable(names.join(fields, ["file_id", "col_idx"], "left"))
+    return names.join(fields, ["file_id", "col_idx"], "left")
 
 
 def fields_of(columns: DataFrame) -> DataFrame:
@@ -128,7 +128,7 @@ def missing_fields(columns: DataFrame) -> DataFrame:
 def _body(cells: DataFrame, columns: DataFrame) -> DataFrame:
     """Filled cells below the header with the field of their column, if any."""
     side = columns.select("file_id", "col_idx", "header_row", "champ")
-    return _filled(cells).join(side, ["file_id", "col_idx"]).filter(F.col("row_idx") > F.col("header_row"))
+    return _filled(cells).join(small(side), ["file_id", "col_idx"]).filter(F.col("row_idx") > F.col("header_row"))
 
 
 def _rows(cells: DataFrame, columns: DataFrame, target: str) -> DataFrame:
@@ -176,15 +176,16 @@ def _text(field: str) -> Column:
 
 
 def import_simple(
-    cells: DataFrame, files: DataFrame, deliverables: DataFrame | None = None, target: str = "site"
+    cells: DataFrame, files: DataFrame, deliverables: DataFrame | None = None, target: str = "site",
+    columns: DataFrame | None = None,
 ) -> DataFrame:
     """Lines of files with one quantity column, with the amount of each.
 
     ``files`` holds what the lines belong to: the site, and for the other
     targets the deliverable or the subcontractor. For the site target, files
-    with deliverable columns are left to ``import_multi``.
+    with deliverable columns are left to ``import_multi``. A layout at hand can be passed.
     """
-    columns = layout(cells, target)
+    columns = layout(cells, target) if columns is None else columns
     rows = _accepted(cells, columns, target).join(files, "file_id")
     if deliverables is not None:
         multi = match_deliverables(columns, files, deliverables).select("file_id").distinct()
@@ -198,13 +199,15 @@ def import_simple(
     )
 
 
-def import_multi(cells: DataFrame, files: DataFrame, deliverables: DataFrame) -> DataFrame:
+def import_multi(
+    cells: DataFrame, files: DataFrame, deliverables: DataFrame, columns: DataFrame | None = None
+) -> DataFrame:
     """Lines of files with a column per deliverable, one per quantity that is not 0."""
-    columns = layout(cells)
+    columns = layout(cells) if columns is None else columns
     matches = match_deliverables(columns, files, deliverables).select(
         "file_id", "rue_id", "col_idx", "livrable_id"
     )
-    quantities = cells.join(matches, ["file_id", "col_idx"]).select(
+    quantities = cells.join(small(matches), ["file_id", "col_idx"]).select(
         "file_id", "row_idx", "rue_id", "livrable_id", to_number("value").alias("quantite")
     ).filter(F.col("quantite") != 0)
     return _accepted(cells, columns, "site").join(quantities, ["file_id", "row_idx"]).select(

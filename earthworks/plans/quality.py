@@ -114,17 +114,25 @@ def duplicate_names(tables: Frames) -> DataFrame:
 def orphans(tables: Frames) -> DataFrame:
     """Rows whose foreign key has no parent, per key.
 
-    Rows are counted per key value first, so that the anti join sees each value once.
+    Every child is read once and its rows counted per key value; the distinct
+    values of all keys then meet the ids of all parents in a single join.
     """
-    parts = []
-    for child, column, parent, _ in catalog.FOREIGN_KEYS:
-        if child not in tables or parent not in tables:
-            continue
-        values = tables[child].filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("__fk")).agg(
-            F.count(F.lit(1)).alias("rows")
-        )
-        lost = values.join(tables[parent].select(F.col("id").alias("__fk")), "__fk", "left_anti")
-        parts.append(lost.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("n")).select(
-            F.lit(child).alias("table_name"), F.lit(column).alias("colonne"), "n"
-        ))
-    return reduce(DataFrame.unionAll, parts)
+    links = [link for link in catalog.FOREIGN_KEYS if link[0] in tables and link[2] in tables]
+    children = []
+    for child in dict.fromkeys(t for t, *_ in links):
+        pairs = [
+            F.struct(F.lit(column).alias("colonne"), F.lit(parent).alias("parent"), F.col(column).alias("id"))
+            for table, column, parent, _ in links if table == child
+        ]
+        values = tables[child].select(F.lit(child).alias("table_name"), F.inline(F.array(*pairs)))
+        children.append(values.filter(F.col("id").isNotNull()))
+    counts = reduce(DataFrame.unionAll, children).groupBy("table_name", "colonne", "parent", "id").agg(
+        F.count(F.lit(1)).alias("rows")
+    )
+    parents = reduce(DataFrame.unionAll, [
+        tables[p].select(F.lit(p).alias("parent"), F.col("id")) for p in dict.fromkeys(p for *_, p, _ in links)
+    ])
+    lost = counts.join(parents, ["parent", "id"], "left_anti").select("table_name", "colonne", "rows")
+    session = counts.sparkSession
+    listed = session.createDataFrame([(t, c, 0) for t, c, *_ in links], "table_name string, colonne string, rows bigint")
+    return lost.unionByName(listed).groupBy("table_name", "colonne").agg(F.sum("rows").alias("n"))

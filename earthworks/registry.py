@@ -284,8 +284,10 @@ def audit_diff(t: Tables) -> DataFrame:
 
 
 def import_stats(t: Tables) -> DataFrame:
-    multi = ingest.import_multi(t["raw_cells"], _files(t), t["livrables"])
-    return ingest.import_stats(multi).unionByName(ingest.import_stats(_imported(t)))
+    cells, files, columns = t["raw_cells"], _files(t), ingest.layout(t["raw_cells"])
+    multi = ingest.import_multi(cells, files, t["livrables"], columns)
+    simple = ingest.import_simple(cells, files, t["livrables"], columns=columns)
+    return ingest.import_stats(multi).unionByName(ingest.import_stats(simple))
 
 
 def recap_wide(t: Tables) -> DataFrame:
