@@ -22,7 +22,7 @@ def stable(df: DataFrame) -> DataFrame:
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Mark a narrow frame for broadcast if it is counted to be small; else leave it as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def _ensure_folder(spark: SparkSession) -> None:

@@ -39,7 +39,7 @@ def running_total(
     if block is None:
         block = id_block(df, id_column)
     if not by:
-        if df.limit(window_rows + 1).count() > window_rows:
+        if df.count() > window_rows:
             return _sliced(df, value, by, date, id_column, out, block)
         return _plain(df, value, by, date, id_column, out)
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__rows"))
@@ -118,14 +118,28 @@ def sequential_runs(
     """Number the runs of equal labels along a position, within each key.
 
     The label depends on the position, so runs are found on the distinct
-    positions of a key, a handful of rows, and joined back to the rows.
+    positions of a key, far fewer than the rows, and joined back to the rows.
     """
     places = df.select(by, position, label.alias("__label")).distinct()
-    along = Window.partitionBy(by).orderBy(F.asc_nulls_first(position))
-    previous = F.lag("__label").over(along)
-    places = places.withColumn("__new", F.when(previous.eqNullSafe(F.col("__label")), 0).otherwise(1))
-    running = F.sum("__new").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return _join_nullsafe(df, places.select(by, position, running.alias(out)), [by, position])
+    places = places.withColumn("__block", id_block(places, position))
+    starts = _with_previous(places, "__label", by, position, "__before")
+    fresh = F.when(F.col("__before").eqNullSafe(F.col("__label")), 0).otherwise(1)
+    numbered = running_total(starts, fresh, [by], "__block", position, out, block=F.lit(0))
+    return _join_nullsafe(df, numbered.select(by, position, out), [by, position])
+
+
+def _with_previous(df: DataFrame, column: str, by: str, position: str, out: str) -> DataFrame:
+    """Value of the row before, looked up inside blocks and, for their first rows, in the last block."""
+    inside = Window.partitionBy(by, "__block").orderBy(F.asc_nulls_first(position))
+    blocks = df.groupBy(by, "__block").agg(
+        F.max_by(column, F.struct(F.col(position).isNotNull(), F.col(position))).alias("__last")
+    )
+    across = Window.partitionBy(by).orderBy(F.asc_nulls_first("__block"))
+    edges = blocks.withColumn("__edge", F.lag("__last").over(across)).drop("__last")
+    rows = df.withColumns({"__n": F.row_number().over(inside), "__lag": F.lag(column).over(inside)})
+    joined = _join_nullsafe(rows, edges, [by, "__block"])
+    previous = F.when(F.col("__n") == 1, F.col("__edge")).otherwise(F.col("__lag"))
+    return joined.withColumn(out, previous).drop("__n", "__lag", "__edge")
 
 
 def latest(df: DataFrame, date: str, id_column: str, k: int | None) -> DataFrame:

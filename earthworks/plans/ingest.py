@@ -104,11 +104,11 @@ def layout(cells: DataFrame, target: str = "site") -> DataFrame:
     """Every used column of every file: header row, position, name and field.
 
     A column chosen for two fields has two rows; one chosen for none has a NULL field.
-    The names are few and read several times, so they are kept.
+    Names and layout are few rows that are read several times, so they are kept.
     """
     names = stable(column_names(cells))
     fields = resolve(names, target).select("file_id", "col_idx", "champ", "rang")
-    return names.join(fields, ["file_id", "col_idx"], "left")
+    return stable(names.join(fields, ["file_id", "col_idx"], "left"))
 
 
 def fields_of(columns: DataFrame) -> DataFrame:

@@ -35,8 +35,10 @@ DIARY_PERIOD = (dt.date(2024, 1, 5), dt.date(2024, 2, 20))
 # --- inputs the jobs need beyond the tables, derived from the tables ---
 
 def _files(t: Tables) -> DataFrame:
-    """Site of each uploaded file."""
-    return t["raw_cells"].select("file_id").distinct().withColumn("rue_id", (F.col("file_id") % 25).cast("bigint"))
+    """Site of each uploaded file, two files per site."""
+    count = t["rues"].agg(F.count(F.lit(1))).scalar()
+    files = ingest.detect_header(t["raw_cells"]).select("file_id")
+    return files.withColumn("rue_id", (F.col("file_id") % 25) % count)
 
 
 def _stage_requests(t: Tables) -> DataFrame:

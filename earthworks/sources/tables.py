@@ -68,18 +68,16 @@ def open_warehouse(spark: SparkSession, directory: str) -> Tables:
 def save(df: DataFrame, directory: str, name: str, mode: str = "errorifexists") -> None:
     """Write a domain table; facts are laid out by month of their event date.
 
-    Rows are spread by month and a slice of the id, so that a month that holds
-    most of the table is still written by many tasks.
+    Rows are rebalanced by month: adaptive execution splits a month that holds
+    much of the table over many tasks and joins small months.
     """
     df = df.select(*[c.name for c in catalog.columns(name)])
     event_date = EVENT_DATES.get(name)
     if event_date is None:
         df.write.mode(mode).parquet(f"{directory}/{name}")
         return
-    by_month = df.withColumn(MONTH, month_of(event_date))
-    slices = F.pmod(F.xxhash64("id"), F.lit(16))
-    spread = by_month.repartition(F.col(MONTH), slices)
-    spread.write.mode(mode).partitionBy(MONTH).parquet(f"{directory}/{name}")
+    by_month = df.withColumn(MONTH, month_of(event_date)).hint("rebalance", MONTH)
+    by_month.write.mode(mode).partitionBy(MONTH).parquet(f"{directory}/{name}")
 
 
 def month_of(date: str | Column) -> Column:

@@ -26,6 +26,7 @@ _LINE_ID = (
     "CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS STRING))"
 )
 _SUPPLIERS = "(SELECT count(*) FROM {supplier})"
+_SITES = _SUPPLIERS  # one site per supplier
 _PARTS = "(SELECT count(*) FROM {part})"
 _ZERO = "CAST(0 AS DECIMAL(18,2))"
 
@@ -36,29 +37,29 @@ DERIVED = {
         "nom": "r_name",
         "statut": "CASE WHEN r_regionkey = 0 THEN 'Suspendu' ELSE 'En cours' END",
     }),
-    "rues": ("{nation}", {
-        "id": "n_nationkey",
-        "dossier_id": "CASE WHEN n_nationkey % 8 = 7 THEN NULL ELSE n_regionkey END",
-        "nom": "n_name",
-        "maitre_ouvrage": "concat('MO ', n_name)",
-        "entreprise": "CASE WHEN n_nationkey % 2 = 0 THEN '' ELSE concat('ENT ', n_name) END",
-        "date_demarrage": "CASE WHEN n_nationkey % 6 = 5 THEN NULL "
-                          "ELSE DATE '1999-01-01' + CAST(n_nationkey AS INT) * 40 END",
-        "delai_jours": "n_nationkey * 60",
-        "statut_chantier": "CASE n_nationkey % 3 WHEN 0 THEN 'En cours' WHEN 1 THEN 'Terminé' "
+    "rues": ("{supplier}", {
+        "id": "s_suppkey",
+        "dossier_id": "CASE WHEN s_suppkey % 8 = 7 THEN NULL ELSE s_nationkey % 5 END",
+        "nom": "s_name",
+        "maitre_ouvrage": "concat('MO ', s_name)",
+        "entreprise": "CASE WHEN s_suppkey % 2 = 0 THEN '' ELSE concat('ENT ', s_name) END",
+        "date_demarrage": "CASE WHEN s_suppkey % 6 = 5 THEN NULL "
+                          "ELSE DATE '1999-01-01' + CAST(s_suppkey % 25 AS INT) * 40 END",
+        "delai_jours": "s_suppkey % 25 * 60",
+        "statut_chantier": "CASE s_suppkey % 3 WHEN 0 THEN 'En cours' WHEN 1 THEN 'Terminé' "
                            "ELSE 'Non démarré' END",
     }),
-    # each nation carries five deliverables, 0 to 4
-    "livrables": ("(SELECT n_nationkey, explode(sequence(0, 4)) AS k FROM {nation})", {
-        "id": "n_nationkey * 5 + k",
-        "chantier_id": "n_nationkey",
+    # each site carries five deliverables, 0 to 4
+    "livrables": ("(SELECT s_suppkey, explode(sequence(0, 4)) AS k FROM {supplier})", {
+        "id": "s_suppkey * 5 + k",
+        "chantier_id": "s_suppkey",
         "nom": "concat('Livrable ', CAST(k AS STRING))",
-        "longueur_m": "100 + n_nationkey * 7 + k",
+        "longueur_m": "100 + s_suppkey * 7 + k",
     }),
     "devis_rue": ("{part}", {
         "id": "p_partkey",
-        "rue_id": "p_partkey % 25",
-        "livrable_id": "CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE (p_partkey % 25) * 5 + p_partkey % 4 END",
+        "rue_id": f"p_partkey % {_SITES}",
+        "livrable_id": f"CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE (p_partkey % {_SITES}) * 5 + p_partkey % 4 END",
         "code_poste": "CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_brand END",
         "designation": "p_name",
         "unite": "p_type",
@@ -68,7 +69,7 @@ DERIVED = {
     "realisations_journalieres": ("{lineitem}", {
         "id": _LINE_ID,
         "date_suivi": "l_shipdate",
-        "rue_id": "l_partkey % 25",
+        "rue_id": f"l_partkey % {_SITES}",
         "devis_id": "l_partkey",
         "quantite_jour": "l_quantity",
     }),
@@ -77,12 +78,12 @@ DERIVED = {
         "nom": "s_name",
         "montant_contrat": "CAST(s_acctbal AS DECIMAL(18,2)) * 1000",
         "statut": "CASE s_suppkey % 3 WHEN 0 THEN 'Actif' WHEN 1 THEN 'Terminé' ELSE 'Suspendu' END",
-        "rue_id": "CASE WHEN s_suppkey % 10 = 0 THEN NULL ELSE s_nationkey END",
+        "rue_id": f"CASE WHEN s_suppkey % 10 = 0 THEN NULL ELSE s_nationkey % {_SITES} END",
     }),
     "devis_st": ("{part}", {
         "id": "p_partkey",
         "st_id": f"p_partkey % {_SUPPLIERS}",
-        "rue_id": "CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE p_partkey % 25 END",
+        "rue_id": f"CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE (p_partkey + 3) % {_SITES} END",
         "designation": "p_name",
         "unite": "p_type",
         "quantite": "p_size * 30",
@@ -111,13 +112,13 @@ DERIVED = {
         "categorie": "c_mktsegment",
         "salaire_journalier": "abs(c_acctbal)",
         "actif": "CASE WHEN c_acctbal > 0 THEN 1 ELSE 0 END",
-        "rue_id": "CASE WHEN c_custkey % 12 = 0 THEN NULL ELSE c_nationkey END",
+        "rue_id": f"CASE WHEN c_custkey % 12 = 0 THEN NULL ELSE c_nationkey % {_SITES} END",
     }),
     "pointage": ("{events}", {
         "id": "event_id",
         "date_pointage": "ts",
         "personnel_id": "user_id",
-        "rue_id": "CASE WHEN event_id % 13 = 0 THEN NULL ELSE user_id % 25 END",
+        "rue_id": f"CASE WHEN event_id % 13 = 0 THEN NULL ELSE user_id % {_SITES} END",
         "statut": "CASE event_type WHEN 'view' THEN 'Présent' WHEN 'click' THEN 'Absent' "
                   "WHEN 'purchase' THEN 'Congé' WHEN 'signup' THEN 'Mission' ELSE 'Maladie' END",
         "heures_travaillees": "LEAST(value, 24)",
@@ -135,7 +136,7 @@ DERIVED = {
     "approvisionnements": ("{orders} JOIN {customer} ON c_custkey = o_custkey", {
         "id": "o_orderkey",
         "date_besoin": "o_orderdate",
-        "rue_id": "CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE c_nationkey END",
+        "rue_id": f"CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE c_nationkey % {_SITES} END",
         "materiau_id": f"CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE o_orderkey % {_PARTS} END",
         "designation": "concat('Article ', CAST(o_orderkey % 50 AS STRING))",
         "unite": "'U'",
@@ -158,7 +159,7 @@ DERIVED = {
     "mouvements_materiaux": ("{lineitem}", {
         "id": _LINE_ID,
         "date_mvt": "l_shipdate",
-        "rue_id": "CASE WHEN l_suppkey % 10 = 0 THEN NULL ELSE l_suppkey % 25 END",
+        "rue_id": "CASE WHEN l_suppkey % 10 = 0 THEN NULL ELSE l_suppkey END",
         "materiau_id": "l_partkey",
         "type_mvt": "CASE WHEN l_linestatus = 'O' THEN 'ENTREE' ELSE 'SORTIE' END",
         "quantite": "l_quantity",
@@ -174,7 +175,7 @@ DERIVED = {
     "suivi_materiels": ("{events}", {
         "id": "event_id",
         "date_suivi": "ts",
-        "rue_id": "event_id % 25",
+        "rue_id": f"event_id % {_SITES}",
         "materiel_id": f"user_id % {_SUPPLIERS}",
         "heures_marche": f"CASE WHEN event_id % 2 = 0 THEN CAST(LEAST(value, 24) AS DECIMAL(18,2)) ELSE {_ZERO} END",
         "heures_travail": "LEAST(value, 24)",
@@ -193,7 +194,7 @@ DERIVED = {
     "journal_chantier": ("{conversations}", {
         "id": "conv_id * 100 + turn",
         "date_journal": "DATE '2024-01-01' + CAST(conv_id % 90 AS INT)",
-        "rue_id": "conv_id % 25",
+        "rue_id": f"conv_id % {_SITES}",
         "nb_ouvriers": "turn * 3",
         "nb_encadrants": "turn",
         "travaux_realises": "text",
@@ -202,7 +203,7 @@ DERIVED = {
         "id": "o_orderkey",
         "date_op": "o_orderdate",
         "categorie": "o_orderpriority",
-        "rue_id": "o_custkey % 25",
+        "rue_id": f"o_custkey % {_SITES}",
         "type_op": "CASE o_orderstatus WHEN 'F' THEN 'Dépense' WHEN 'O' THEN 'Recette' ELSE 'Avance' END",
         "rubrique": "o_orderpriority",
         "montant": "o_totalprice",
@@ -210,7 +211,7 @@ DERIVED = {
     "courriers": ("{conversations}", {
         "id": "conv_id * 100 + turn",
         "date_courrier": "DATE '2024-01-01' + CAST(conv_id % 90 AS INT)",
-        "rue_id": "CASE WHEN conv_id % 6 = 0 THEN NULL ELSE conv_id % 25 END",
+        "rue_id": f"CASE WHEN conv_id % 6 = 0 THEN NULL ELSE conv_id % {_SITES} END",
         "type_courrier": "CASE role WHEN 'user' THEN 'Entrant' WHEN 'assistant' THEN 'Sortant' ELSE 'Interne' END",
         "priorite": "CASE turn % 3 WHEN 0 THEN 'Normale' WHEN 1 THEN 'Urgente' ELSE 'Confidentielle' END",
         "statut": "CASE conv_id % 3 WHEN 0 THEN 'Nouveau' WHEN 1 THEN 'En traitement' ELSE 'Clôturé' END",
@@ -219,7 +220,7 @@ DERIVED = {
     "incidents": ("{events} WHERE event_type = 'error'", {
         "id": "event_id",
         "date_incident": "ts",
-        "rue_id": "user_id % 25",
+        "rue_id": f"user_id % {_SITES}",
         "type_incident": "'Accident'",
         "gravite": "CASE event_id % 4 WHEN 0 THEN 'Mineur' WHEN 1 THEN 'Modéré' WHEN 2 THEN 'Grave' "
                    "ELSE 'Critique' END",
@@ -240,7 +241,7 @@ DERIVED = {
     }),
 }
 
-# Uploaded sheets as cells, two per site. Sheet f < 25 holds the lines of site f
+# Uploaded sheets as cells, two per nation. Sheet f < 25 holds a share of the lines
 # with one quantity column; sheet f + 25 holds them with a column per deliverable.
 # The header sits on row f % 6. Sheet 7 lacks a unit header, sheet 8 has no known
 # header at all.

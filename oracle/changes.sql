@@ -31,10 +31,12 @@ FROM materiaux m LEFT JOIN (SELECT materiau_id, max(prix_unitaire) AS pu FROM mo
 
 -- name: replace_slice
 -- columns: rue_id:i code_poste:s designation:s unite:s quantite_marche:d prix_unitaire:d
-SELECT rue_id, code_poste, designation, unite, quantite_marche, prix_unitaire FROM devis_rue WHERE rue_id IN (7, 8)
-UNION ALL
-SELECT p_partkey % 25, p_brand, p_name, p_type, p_size, CASE WHEN p_partkey % 17 = 0 THEN 0 ELSE p_retailprice END FROM part
-WHERE p_partkey % 29 <> 0 AND p_partkey % 31 <> 0 AND p_partkey % 25 NOT IN (7, 8)
+WITH n AS (
+  SELECT p_partkey % 25 % (SELECT count(*) FROM supplier) AS rue_id, p_brand AS code_poste, p_name AS designation, p_type AS unite, p_size AS quantite_marche,
+         CASE WHEN p_partkey % 17 = 0 THEN 0 ELSE CAST(p_retailprice AS DECIMAL(18,2)) END AS prix_unitaire
+  FROM part WHERE p_partkey % 29 <> 0 AND p_partkey % 31 <> 0 AND p_partkey % 25 NOT IN (7, 8))
+SELECT rue_id, code_poste, designation, unite, quantite_marche, prix_unitaire FROM devis_rue WHERE rue_id NOT IN (SELECT rue_id FROM n)
+UNION ALL SELECT * FROM n
 
 -- name: cascade_delete
 -- columns: table_name:s n:i sans_lien:i

@@ -60,8 +60,8 @@ UNION ALL SELECT f + 25, r, 'qte', 0 FROM p WHERE p_partkey % 3 = 0
 
 -- name: deliverable_match
 -- columns: file_id:i rue_id:i col_idx:i nom:s livrable_id:i livrable:s
-SELECT n_nationkey + 25 AS file_id, n_nationkey AS rue_id, k + 4 AS col_idx, 'livrable_' || k AS nom,
-       n_nationkey * 5 + k AS livrable_id, 'livrable ' || k AS livrable
+SELECT n_nationkey + 25 AS file_id, n_nationkey % (SELECT count(*) FROM supplier) AS rue_id, k + 4 AS col_idx, 'livrable_' || k AS nom,
+       n_nationkey % (SELECT count(*) FROM supplier) * 5 + k AS livrable_id, 'livrable ' || k AS livrable
 FROM nation, range(0, 3) AS t(k)
 
 -- name: import_simple
@@ -69,7 +69,7 @@ FROM nation, range(0, 3) AS t(k)
 WITH p AS (
   SELECT *, CASE WHEN p_partkey % 17 = 0 THEN 0 ELSE CAST(CAST(p_retailprice AS DECIMAL(18,2)) AS DOUBLE) END AS pr FROM part
   WHERE p_partkey % 29 <> 0 AND p_partkey % 31 <> 0 AND p_partkey % 25 NOT IN (7, 8))
-SELECT p_partkey % 25 AS file_id, (p_partkey % 25) % 6 + 1 + floor(p_partkey / 25) AS row_idx, p_partkey % 25 AS rue_id,
+SELECT p_partkey % 25 AS file_id, (p_partkey % 25) % 6 + 1 + floor(p_partkey / 25) AS row_idx, p_partkey % 25 % (SELECT count(*) FROM supplier) AS rue_id,
        p_brand AS code_poste, p_name AS designation, p_type AS unite, p_size AS quantite, pr AS prix_unitaire, p_size::DOUBLE * pr AS montant
 FROM p
 
@@ -81,8 +81,8 @@ WITH p AS (
 q AS (SELECT *, 0 AS k, (p_size % 4)::DOUBLE AS qn FROM p WHERE p_size % 4 <> 0
       UNION ALL SELECT *, 1, p_size FROM p WHERE p_partkey % 2 = 1 AND p_size <> 0
       UNION ALL SELECT *, 2, 12.5 FROM p WHERE p_partkey % 5 <> 0)
-SELECT p_partkey % 25 + 25 AS file_id, (p_partkey % 25) % 6 + 1 + floor(p_partkey / 25) AS row_idx, p_partkey % 25 AS rue_id,
-       (p_partkey % 25) * 5 + k AS livrable_id, p_brand AS code_poste, p_name AS designation, p_type AS unite, qn AS quantite, pr AS prix_unitaire
+SELECT p_partkey % 25 + 25 AS file_id, (p_partkey % 25) % 6 + 1 + floor(p_partkey / 25) AS row_idx, p_partkey % 25 % (SELECT count(*) FROM supplier) AS rue_id,
+       p_partkey % 25 % (SELECT count(*) FROM supplier) * 5 + k AS livrable_id, p_brand AS code_poste, p_name AS designation, p_type AS unite, qn AS quantite, pr AS prix_unitaire
 FROM q
 
 -- name: import_stats
