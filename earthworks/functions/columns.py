@@ -71,7 +71,7 @@ def money_text(value: Column, currency: str = "FCFA") -> Column:
 
 def percent_text(value: Column) -> Column:
     rounded = F.round(value.cast("double"), 1)
-    return F.coalesce(F.format_string("%.1f %%", rounded), F.lit("0.0 %"))
+    return F.when(rounded.isNull(), "0.0 %").otherwise(F.format_string("%.1f %%", rounded))
 
 
 def normalised_name(c: str | Column) -> Column:
@@ -85,8 +85,7 @@ def normalised_name(c: str | Column) -> Column:
 
 def to_number(c: str | Column) -> Column:
     """Number in a text cell, 0 where there is none."""
-    text = F.trim(c) if isinstance(c, str) else F.trim(c)
-    number = text.try_cast("double")
+    number = F.trim(c).try_cast("double")
     return F.when(number.isNull() | F.isnan(number), F.lit(0.0)).otherwise(number)
 
 

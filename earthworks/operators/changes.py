@@ -1,4 +1,7 @@
-"""Changes to whole tables: each takes a base and changes and gives a new table."""
+"""Changes to whole tables: each takes a base and changes and gives a new table.
+
+The month a stored fact is laid out by is not part of the table and is left out.
+"""
 
 from __future__ import annotations
 
@@ -11,7 +14,7 @@ from pyspark.sql import functions as F
 
 from earthworks.operators.windows import id_block, running_total
 from earthworks.sources import catalog
-from earthworks.sources.tables import with_defaults
+from earthworks.sources.tables import MONTH, with_defaults
 
 
 def number_rows(df: DataFrame, order: str, out: str) -> DataFrame:
@@ -27,6 +30,7 @@ def append_rows(
 
     ``order`` is a unique column of the new rows that decides their numbers.
     """
+    base = base.drop(MONTH)
     highest = base.agg(F.coalesce(F.max("id"), F.lit(-1))).scalar()
     numbered = number_rows(new, order, "__n").withColumn("id", highest + F.col("__n"))
     full = with_defaults(numbered, table)
@@ -47,6 +51,7 @@ def upsert_rows(
 
     With ``order``, the last change of a key counts.
     """
+    base = base.drop(MONTH)
     if order is not None:
         changes = newest_per_key(changes, key, order)
     return without(base, changes, key).unionByName(changes.select(base.columns))
@@ -54,6 +59,7 @@ def upsert_rows(
 
 def insert_ignore(base: DataFrame, new: DataFrame, key: Sequence[str], order: str) -> DataFrame:
     """Add the rows whose key is not there yet; the lowest order wins among equals."""
+    base = base.drop(MONTH)
     first = newest_per_key(new.withColumn("__o", -F.col(order)), key, "__o").drop("__o")
     return base.unionByName(without(first, base, key).select(base.columns))
 
@@ -82,6 +88,7 @@ def without(base: DataFrame, gone: DataFrame, key: Sequence[str]) -> DataFrame:
 
 def replace_slice(base: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:
     """Delete the slices the new rows belong to, then add the new rows."""
+    base = base.drop(MONTH)
     return without(base, new.select(*key).distinct(), key).unionByName(new.select(base.columns))
 
 
@@ -145,7 +152,7 @@ def _children_after_parents(root: str) -> list[str]:
 
 def audit_diff(base: DataFrame, new: DataFrame, table: str, at: dt.datetime) -> DataFrame:
     """One audit row per changed id; an update lists the columns that changed."""
-    fields = [c for c in base.columns if c != "id"]
+    fields = [c for c in base.columns if c not in ("id", MONTH)]
     old = base.select("id", F.struct(*fields).alias("__old"))
     now = new.select("id", F.struct(*fields).alias("__new"))
     both = old.join(now, "id", "full_outer")

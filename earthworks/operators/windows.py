@@ -15,14 +15,14 @@ BLOCK_ROWS = 1 << 20
 WINDOW_ROWS = 1 << 21
 
 
-def id_block(df: DataFrame, column: str, rows: int = BLOCK_ROWS, prefix: int = 10) -> Column:
+def id_block(df: DataFrame, column: str, rows: int | None = None, prefix: int = 10) -> Column:
     """Order-preserving slice of a unique id, to bound the rows of a window.
 
     Whole numbers are cut every ``rows`` ids, so a slice never holds more rows
     than that; texts are cut by their first characters.
     """
     if isinstance(df.schema[column].dataType, T.IntegralType):
-        return F.floor(F.col(column) / F.lit(rows))
+        return F.floor(F.col(column) / F.lit(rows or BLOCK_ROWS))
     return F.substring(column, 1, prefix)
 
 

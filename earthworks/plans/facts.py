@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from earthworks.functions.columns import amount
+from earthworks.functions.columns import amount, zero_if_null
 from earthworks.operators.aggregates import total, total_where
 from earthworks.operators.joins import with_total
 from earthworks.sources import catalog
@@ -24,7 +24,9 @@ def executed_by_line(tables: Frames) -> DataFrame:
 
 def line_progress(tables: Frames, site: int | None = None, deliverable: int | None = None) -> DataFrame:
     """Bill lines with executed quantity, market amount and executed amount."""
-    lines = bill_lines(tables, site, deliverable)
+    lines = bill_lines(tables, site, deliverable).withColumns({
+        c: zero_if_null(F.col(c)) for c in ("quantite_marche", "prix_unitaire")
+    })
     done = with_total(lines, executed_by_line(tables), "id", "devis_id")
     return done.withColumns({
         "montant_marche": amount("quantite_marche", "prix_unitaire"),

@@ -9,17 +9,17 @@ from pyspark.sql import functions as F
 
 from earthworks.functions.columns import or_label
 from earthworks.operators.aggregates import total
-from earthworks.operators.filters import equals_if, last_days
+from earthworks.operators.filters import equals_if
 from earthworks.operators.joins import with_names, with_site
 from earthworks.operators.windows import latest
 from earthworks.plans.facts import Frames
 from earthworks.sources import catalog
+from earthworks.sources.tables import recent
 
 
 def _log(tables: Frames, as_of: dt.date, days: int | None, site: int | None, k: int | None) -> DataFrame:
-    chosen = tables["suivi_materiels"].filter(
-        last_days("date_suivi", as_of, days) & equals_if("rue_id", site)
-    )
+    entries = recent(tables["suivi_materiels"], "suivi_materiels", as_of, days)
+    chosen = entries.filter(equals_if("rue_id", site))
     rows = with_names(chosen, tables["materiels"], "materiel_id", "inner", engin="nom")
     return rows if k is None else latest(rows, "date_suivi", "id", k)
 

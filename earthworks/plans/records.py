@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from earthworks.functions.columns import GENERAL, signed, tagged_note
 from earthworks.operators.aggregates import total, total_where
-from earthworks.operators.filters import all_of, equals_if, in_month, last_days, text_contains
+from earthworks.operators.filters import all_of, equals_if, last_days, text_contains
 from earthworks.operators.joins import with_site
 from earthworks.operators.windows import latest, running_total
 from earthworks.plans.facts import Frames
 from earthworks.sources import catalog
-from earthworks.sources.tables import month_of
+from earthworks.sources.tables import month as in_that_month, month_of, recent
 
 SURPLUS, DEFICIT = "Excédent", "Déficit"
 AUDIT_START = dt.date(2000, 1, 1)
@@ -23,9 +23,8 @@ AUDIT_START = dt.date(2000, 1, 1)
 def diary(
     tables: Frames, as_of: dt.date, days: int | None = 7, site: int | None = None, k: int | None = 200
 ) -> DataFrame:
-    chosen = tables["journal_chantier"].filter(
-        last_days("date_journal", as_of, days) & equals_if("rue_id", site)
-    )
+    entries = recent(tables["journal_chantier"], "journal_chantier", as_of, days)
+    chosen = entries.filter(equals_if("rue_id", site))
     return with_site(latest(chosen, "date_journal", "id", k), tables, label=GENERAL).select(
         "id", "date_journal", "chantier", "meteo", "temperature", "nb_ouvriers", "nb_encadrants",
         "travaux_realises", "observations",
@@ -58,7 +57,7 @@ def diary_notes(entries: DataFrame) -> DataFrame:
 
 
 def _cash(tables: Frames, site: int | None, month: str | None, last_n: int | None) -> DataFrame:
-    chosen = tables["caisse_chantier"].filter(equals_if("rue_id", site) & in_month("date_op", month))
+    chosen = in_that_month(tables["caisse_chantier"], "caisse_chantier", month).filter(equals_if("rue_id", site))
     return chosen if last_n is None else latest(chosen, "date_op", "id", last_n)
 
 

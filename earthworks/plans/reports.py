@@ -14,12 +14,13 @@ from earthworks.functions.columns import (
 from earthworks.operators.aggregates import (
     DETAIL, LEVEL, SUBTOTAL, TOTAL, append_levels, at_level, total,
 )
-from earthworks.operators.filters import between_if, equals_if
+from earthworks.operators.filters import equals_if
 from earthworks.operators.joins import with_names, with_site, with_total
 from earthworks.operators.windows import sequential_runs
 from earthworks.plans import facts, stock
 from earthworks.plans.facts import Frames
 from earthworks.plans.projects import with_project
+from earthworks.sources.tables import period
 
 LEVEL_RANK = "rang_niveau"
 
@@ -76,8 +77,14 @@ def subcontractors(tables: Frames, site: int | None = None) -> DataFrame:
     ).orderBy("sous_traitant")
 
 
+def _in_period(
+    tables: Frames, name: str, site: int | None, start: dt.date | None, end: dt.date | None
+) -> DataFrame:
+    return period(tables[name], name, start, end).filter(equals_if("rue_id", site))
+
+
 def attendance(tables: Frames, site: int | None, start: dt.date | None, end: dt.date | None) -> DataFrame:
-    rows = tables["pointage"].filter(between_if("date_pointage", start, end) & equals_if("rue_id", site))
+    rows = _in_period(tables, "pointage", site, start, end)
     rows = with_names(rows, tables["personnel"], "personnel_id", "inner",
                       nom="nom", prenom="prenom", categorie="categorie", poste="poste")
     return rows.select(
@@ -96,7 +103,7 @@ def stock_sheet(tables: Frames) -> DataFrame:
 
 def plant(tables: Frames, site: int | None, start: dt.date | None, end: dt.date | None) -> DataFrame:
     """Plant log; hours and fuel come in two column pairs, the first that is set counts."""
-    rows = tables["suivi_materiels"].filter(between_if("date_suivi", start, end) & equals_if("rue_id", site))
+    rows = _in_period(tables, "suivi_materiels", site, start, end)
     rows = with_names(rows, tables["materiels"], "materiel_id", "inner", engin="nom", immat="immatriculation")
     zero = F.lit(0).cast("decimal(18,2)")
     return with_site(rows, tables).select(
@@ -109,7 +116,7 @@ def plant(tables: Frames, site: int | None, start: dt.date | None, end: dt.date
 
 
 def diary(tables: Frames, site: int | None, start: dt.date | None, end: dt.date | None) -> DataFrame:
-    rows = tables["journal_chantier"].filter(between_if("date_journal", start, end) & equals_if("rue_id", site))
+    rows = _in_period(tables, "journal_chantier", site, start, end)
     return with_site(rows, tables).select(
         "id", F.col("date_journal").alias("date"), "chantier", "meteo", "temperature", "nb_ouvriers",
         "nb_encadrants", "travaux_realises", "observations",
@@ -117,7 +124,7 @@ def diary(tables: Frames, site: int | None, start: dt.date | None, end: dt.date
 
 
 def cash(tables: Frames, site: int | None, start: dt.date | None, end: dt.date | None) -> DataFrame:
-    rows = tables["caisse_chantier"].filter(between_if("date_op", start, end) & equals_if("rue_id", site))
+    rows = _in_period(tables, "caisse_chantier", site, start, end)
     return with_site(rows, tables).select(
         "id", F.col("date_op").alias("date"), "chantier", "type_op", "rubrique", "montant", "beneficiaire",
         "mode_paiement", "reference_piece",
@@ -125,7 +132,7 @@ def cash(tables: Frames, site: int | None, start: dt.date | None, end: dt.date |
 
 
 def incidents(tables: Frames, site: int | None, start: dt.date | None, end: dt.date | None) -> DataFrame:
-    rows = tables["incidents"].filter(between_if("date_incident", start, end) & equals_if("rue_id", site))
+    rows = _in_period(tables, "incidents", site, start, end)
     return with_site(rows, tables).select(
         "id", F.col("date_incident").alias("date"), "chantier", "type_incident", "gravite", "description",
         "personne_concernee", "mesures_prises",
@@ -146,7 +153,7 @@ def gap(tables: Frames, site: int | None = None) -> DataFrame:
 
 
 def procurement(tables: Frames, site: int | None, start: dt.date | None, end: dt.date | None) -> DataFrame:
-    rows = tables["approvisionnements"].filter(between_if("date_besoin", start, end) & equals_if("rue_id", site))
+    rows = _in_period(tables, "approvisionnements", site, start, end)
     return with_site(rows, tables).select(
         "id", "date_besoin", "chantier", "designation", "unite", "quantite_demandee", "quantite_recue",
         "fournisseur", "statut", "prix_unitaire_reel", "date_reception",

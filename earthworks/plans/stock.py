@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from earthworks.functions.columns import GENERAL, signed
+from earthworks.functions.columns import GENERAL, signed, zero_if_null
 from earthworks.operators.aggregates import total_where
 from earthworks.operators.filters import all_of, equals_if
 from earthworks.operators.joins import with_names, with_site, with_total
@@ -21,14 +21,14 @@ VIA_ORDER = "Circuit Appro — BC: "
 def balances(tables: Frames) -> DataFrame:
     """Materials with quantities in, out and in stock."""
     rows = with_total(tables["materiaux"], facts.movements_by_material(tables), "id", "materiau_id")
-    return rows.withColumn("stock", F.col("stock_initial") + F.col("entrees") - F.col("sorties"))
+    return rows.withColumn("stock", zero_if_null(F.col("stock_initial")) + F.col("entrees") - F.col("sorties"))
 
 
 def levels(tables: Frames, category: str | None = None) -> DataFrame:
-    stock, threshold = F.col("stock"), F.col("seuil_alerte")
+    stock, threshold, price = F.col("stock"), zero_if_null(F.col("seuil_alerte")), zero_if_null(F.col("prix_unitaire"))
     return balances(tables).filter(equals_if("categorie", category)).select(
         "id", "nom", "categorie", "unite", "stock", "seuil_alerte", "prix_unitaire",
-        F.round(stock.cast("decimal(24,2)") * F.col("prix_unitaire").cast("decimal(14,2)"), 0).alias("valeur"),
+        F.round(stock.cast("decimal(24,2)") * price.cast("decimal(14,2)"), 0).alias("valeur"),
         ((stock <= threshold) & (threshold > 0)).alias("alerte"),
     )
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable, Iterator, Mapping
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from earthworks.operators.filters import all_of, equals_if
+from earthworks.operators.filters import all_of, between_if, equals_if, in_month
 from earthworks.sources import catalog
 
 # Event date of each fact table: partition column for storage and pruning.
@@ -80,6 +81,27 @@ def save(df: DataFrame, directory: str, name: str, mode: str = "errorifexists")
     by_month.write.mode(mode).partitionBy(MONTH).parquet(f"{directory}/{name}")
 
 
+def period(df: DataFrame, name: str, start: dt.date | None, end: dt.date | None) -> DataFrame:
+    """Rows of a fact in an inclusive period; stored months outside it are not read."""
+    chosen = df.filter(between_if(EVENT_DATES[name], start, end))
+    if MONTH in df.columns:
+        first = None if start is None else f"{start:%Y-%m}"
+        last = None if end is None else f"{end:%Y-%m}"
+        chosen = chosen.filter(between_if(MONTH, first, last))
+    return chosen
+
+
+def recent(df: DataFrame, name: str, as_of: dt.date, days: int | None) -> DataFrame:
+    """Rows of the last ``days`` days, all when ``days`` is None."""
+    return period(df, name, None if days is None else as_of - dt.timedelta(days=days), None)
+
+
+def month(df: DataFrame, name: str, wanted: str | None) -> DataFrame:
+    """Rows of a month given as ``YYYY-MM``, all when it is None."""
+    chosen = df.filter(in_month(EVENT_DATES[name], wanted))
+    return chosen.filter(equals_if(MONTH, wanted)) if MONTH in df.columns else chosen
+
+
 def month_of(date: str | Column) -> Column:
     return F.date_format(date, "yyyy-MM")
 

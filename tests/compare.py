@@ -32,12 +32,11 @@ def canonical(rows: list[tuple], order: list[int]) -> list[str]:
     return sorted(repr([cell(r[i]) for i in order]) for r in rows)
 
 
-def differences(spark, con, name: str, sf_dir: str) -> tuple[int, list[str]]:
+def differences(df, con, name: str) -> tuple[int, list[str]]:
     """Row count and what differs between both engines; nothing when equal."""
     cur = con.execute(contract.oracle_sql()[name])
     names = [d[0] for d in cur.description]
     theirs = canonical(cur.fetchall(), sorted(range(len(names)), key=lambda i: names[i]))
-    df = contract.queries()[name](spark, sf_dir)
     ours = canonical([tuple(r) for r in df.collect()], sorted(range(len(df.columns)), key=lambda i: df.columns[i]))
     if sorted(names) != sorted(df.columns):
         return len(ours), [f"columns {sorted(df.columns)} against {sorted(names)}"]
@@ -63,7 +62,7 @@ if __name__ == "__main__":
             continue
         start = time.time()
         try:
-            n, diff = differences(session, connection, key, sf)
+            n, diff = differences(contract.queries()[key](session, sf), connection, key)
         except Exception as error:  # report and go on with the other keys
             n, diff = -1, [f"{type(error).__name__}: {str(error)[:700]}"]
         took = time.time() - start
