@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from earthworks.operators.lineage import stable
+from earthworks.operators.lineage import small, stable
 
 BLOCK_ROWS = 1 << 20
 WINDOW_ROWS = 1 << 21
@@ -28,29 +28,30 @@ def id_block(df: DataFrame, column: str, rows: int | None = None, prefix: int =
 
 def running_total(
     df: DataFrame, value: Column, by: list[str], date: str, id_column: str, out: str,
-    block: Column | None = None, window_rows: int = WINDOW_ROWS,
+    block: Column | None = None, window_rows: int = WINDOW_ROWS, counted: DataFrame | None = None,
 ) -> DataFrame:
     """Running sum of ``value`` per key in (date, id) order, over whole groups.
 
     A key's rows are summed in one window while they are at most ``window_rows``,
     which is counted first. Keys with more are summed in slices, and with no
-    key so is a longer table, so that no task holds a whole hot key.
+    key so is a longer table, so that no task holds a whole hot key. ``counted``
+    may name a cheaper frame with the same number of rows per key.
     """
-    if block is None:
-        block = id_block(df, id_column)
+    block = id_block(df, id_column) if block is None else block
+    counted = df if counted is None else counted
     if not by:
-        if df.count() > window_rows:
-            return _sliced(df, value, by, date, id_column, out, block)
-        return _plain(df, value, by, date, id_column, out)
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__rows"))
-    hot = stable(sizes.filter(F.col("__rows") > window_rows).drop("__rows"))
+        split = _sliced if counted.count() > window_rows else _plain
+        return split(df, value, by, date, id_column, out, block)
+    sizes = counted.groupBy(*by).agg(F.count(F.lit(1)).alias("__rows"))
+    hot = sizes.filter(F.col("__rows") > window_rows).drop("__rows")
     if hot.isEmpty():
-        return _plain(df, value, by, date, id_column, out)
+        return _plain(df, value, by, date, id_column, out, block)
     # At most one key per window_rows rows is hot, so this side is small by construction.
-    same = reduce(and_, [df[k].eqNullSafe(hot[k]) for k in by])
-    calm = df.join(F.broadcast(hot), same, "left_anti")
-    busy = df.join(F.broadcast(hot), same, "left_semi")
-    return _plain(calm, value, by, date, id_column, out).unionByName(
+    hot = small(stable(hot))
+    renamed = hot.select(*[F.col(k).alias(f"__hot_{k}") for k in by])
+    same = reduce(and_, [df[k].eqNullSafe(F.col(f"__hot_{k}")) for k in by])
+    calm, busy = df.join(renamed, same, "left_anti"), df.join(renamed, same, "left_semi")
+    return _plain(calm, value, by, date, id_column, out, block).unionByName(
         _sliced(busy, value, by, date, id_column, out, block)
     )
 
@@ -60,7 +61,9 @@ def _total_type(df: DataFrame, value: Column) -> T.DataType:
     return T.DecimalType(38, kind.scale) if isinstance(kind, T.DecimalType) else kind
 
 
-def _plain(df: DataFrame, value: Column, by: list[str], date: str, id_column: str, out: str) -> DataFrame:
+def _plain(
+    df: DataFrame, value: Column, by: list[str], date: str, id_column: str, out: str, block: Column
+) -> DataFrame:
     along = Window.partitionBy(*by).orderBy(F.asc_nulls_first(date), F.asc_nulls_first(id_column))
     upto = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return df.withColumn(out, F.sum(value).over(upto).cast(_total_type(df, value)))
@@ -124,7 +127,7 @@ def sequential_runs(
     places = places.withColumn("__block", id_block(places, position))
     starts = _with_previous(places, "__label", by, position, "__before")
     fresh = F.when(F.col("__before").eqNullSafe(F.col("__label")), 0).otherwise(1)
-    numbered = running_total(starts, fresh, [by], "__block", position, out, block=F.lit(0))
+    numbered = running_total(starts, fresh, [by], "__block", position, out, block=F.lit(0), counted=places)
     return _join_nullsafe(df, numbered.select(by, position, out), [by, position])
 
 

@@ -81,14 +81,15 @@ def work_statement_sites(tables: Frames, project: int | None = None) -> DataFram
     sites = tables["rues"]
     if project is not None:
         sites = sites.filter(F.col("dossier_id") == project)
-    owned = sites.select(F.col("id").alias("rue_id"), F.col("nom").alias("chantier")).join(
-        facts.amounts_by_site(tables), "rue_id"
+    named = sites.select(F.col("id").alias("rue_id"), F.struct("id", "nom").alias("site"))
+    owned = named.join(facts.amounts_by_site(tables), "rue_id")
+    rows = owned.rollup("site").agg(
+        F.when(F.grouping_id() == 0, DETAIL).otherwise(TOTAL).alias(LEVEL),
+        total("montant_marche").alias("montant_marche"), total("montant_execute").alias("montant_execute"),
     )
-    whole = owned.agg(total("montant_marche").alias("montant_marche"), total("montant_execute").alias("montant_execute"))
-    rows = append_levels(at_level(owned, DETAIL), at_level(whole, TOTAL))
     market, done = F.col("montant_marche"), F.col("montant_execute")
     return rows.select(
-        LEVEL, "chantier", "montant_marche", "montant_execute",
+        LEVEL, F.col("site.nom").alias("chantier"), "montant_marche", "montant_execute",
         remaining(market, done).alias("reste"), percent(done, market).alias("taux_pct"),
     )
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,8 +51,11 @@ def to_stock(tables: Frames) -> DataFrame:
     """Received orders with the quantity to stock: receptions, else the order's own field."""
     orders = tables["approvisionnements"].filter(F.col("statut") == RECEIVED)
     rows = with_total(orders, facts.received_by_order(tables), "id", "appro_id")
-    quantity = F.coalesce(F.nullif(F.col("total_recu"), F.lit(0).cast("decimal(28,2)")), F.col("quantite_recue"))
-    return rows.withColumn("qte_a_stocker", quantity)
+    return rows.withColumn("qte_a_stocker", _quantity_to_stock())
+
+
+def _quantity_to_stock() -> Column:
+    return F.when(F.col("total_recu") != 0, F.col("total_recu")).otherwise(F.col("quantite_recue"))
 
 
 def post_stock_entries(tables: Frames, day: dt.date) -> DataFrame:
@@ -73,54 +78,51 @@ def transitions(tables: Frames, requests: DataFrame) -> tuple[DataFrame, DataFra
     an order asked to move more than once in a batch is refused altogether.
     """
     orders = tables["approvisionnements"]
-    asked = requests.groupBy("appro_id").agg(F.count(F.lit(1)).alias("__asked"))
-    current = orders.select(F.col("id").alias("__id"), F.col("statut").alias("ancien_statut"))
-    judged = requests.join(asked, "appro_id")
-    judged = judged.join(current, judged["appro_id"] == current["__id"], "left")
-    legal = F.lit(False)
-    for source, target in MOVES:
-        legal = legal | ((F.col("ancien_statut") == source) & (F.col("cible") == target))
-    judged = judged.withColumn(
-        "motif_refus",
-        F.when(F.col("ancien_statut").isNull(), "inconnu").when(F.col("__asked") > 1, "doublon")
-        .when(~legal, "interdit"),
+    request = F.struct("cible", "date_etape", "acteur", "numero_bc", "fournisseur")
+    asked = requests.groupBy(F.col("appro_id").alias("__order")).agg(
+        F.count(F.lit(1)).alias("__times"), F.any_value(request).alias("__ask")
     )
-    refused = judged.filter(F.col("motif_refus").isNotNull()).select(
-        "appro_id", "ancien_statut", "cible", "motif_refus"
+    rows = orders.join(asked, orders["id"] == asked["__order"], "left")
+    rows = with_total(rows, facts.received_by_order(tables), "id", "appro_id")
+    accepted = (F.col("__times") == 1) & _is_legal(F.col("statut"), F.col("__ask.cible"))
+    return _moved(rows.withColumn("__to", F.when(accepted, F.col("__ask.cible"))), orders), _refused(orders, requests)
+
+
+def _is_legal(source: Column, target: Column) -> Column:
+    return reduce(or_, [(source == a) & (target == b) for a, b in MOVES])
+
+
+def _refused(orders: DataFrame, requests: DataFrame) -> DataFrame:
+    times = requests.groupBy("appro_id").agg(F.count(F.lit(1)).alias("__times"))
+    current = orders.select(F.col("id").alias("appro_id"), F.col("statut").alias("ancien_statut"))
+    judged = requests.join(times, "appro_id").join(current, "appro_id", "left")
+    reason = F.when(F.col("ancien_statut").isNull(), "inconnu").when(F.col("__times") > 1, "doublon")
+    reason = reason.when(~_is_legal(F.col("ancien_statut"), F.col("cible")), "interdit")
+    return judged.select("appro_id", "ancien_statut", "cible", reason.alias("motif_refus")).filter(
+        F.col("motif_refus").isNotNull()
     )
-    accepted = judged.filter(F.col("motif_refus").isNull())
-    return _move(tables, accepted), refused
 
 
-def _move(tables: Frames, accepted: DataFrame) -> DataFrame:
+def _moved(rows: DataFrame, orders: DataFrame) -> DataFrame:
     """Orders with stage, stage date, actor and quantities of the accepted moves."""
-    stock = to_stock(tables).select(F.col("id").alias("__stock"), "qte_a_stocker")
-    received = facts.received_by_order(tables).withColumnRenamed("appro_id", "__received")
-    moves = accepted.select("appro_id", "cible", "date_etape", "acteur",
-                            F.col("numero_bc").alias("__bc"), F.col("fournisseur").alias("__fournisseur"))
-    moves = moves.join(stock, moves["appro_id"] == stock["__stock"], "left")
-    moves = moves.join(received, moves["appro_id"] == received["__received"], "left")
-    orders = tables["approvisionnements"]
-    rows = orders.join(moves, orders["id"] == moves["appro_id"], "left")
-
     def on(stage: str, value: Column | str, column: str) -> Column:
         given = F.col(value) if isinstance(value, str) else value
         kind = orders.schema[column].dataType
-        return F.when(F.col("cible") == stage, given.cast(kind)).otherwise(F.col(column)).alias(column)
+        return F.when(F.col("__to") == stage, given.cast(kind)).otherwise(F.col(column)).alias(column)
 
     changed = {
-        "statut": F.coalesce("cible", "statut").alias("statut"),
-        "date_validation_cc": on(VALIDATED, "date_etape", "date_validation_cc"),
-        "validateur_cc": on(VALIDATED, "acteur", "validateur_cc"),
-        "numero_bc": on(ORDERED, "__bc", "numero_bc"),
-        "fournisseur": on(ORDERED, "__fournisseur", "fournisseur"),
-        "date_bc": on(ORDERED, "date_etape", "date_bc"),
-        "quantite_recue": on(RECEIVED, F.coalesce("total_recu", F.lit(0)), "quantite_recue"),
-        "date_mise_stock": on(STOCKED, "date_etape", "date_mise_stock"),
-        "quantite_mise_stock": on(STOCKED, "qte_a_stocker", "quantite_mise_stock"),
+        "statut": F.coalesce("__to", "statut").alias("statut"),
+        "date_validation_cc": on(VALIDATED, "__ask.date_etape", "date_validation_cc"),
+        "validateur_cc": on(VALIDATED, "__ask.acteur", "validateur_cc"),
+        "numero_bc": on(ORDERED, "__ask.numero_bc", "numero_bc"),
+        "fournisseur": on(ORDERED, "__ask.fournisseur", "fournisseur"),
+        "date_bc": on(ORDERED, "__ask.date_etape", "date_bc"),
+        "quantite_recue": on(RECEIVED, "total_recu", "quantite_recue"),
+        "date_mise_stock": on(STOCKED, "__ask.date_etape", "date_mise_stock"),
+        "quantite_mise_stock": on(STOCKED, _quantity_to_stock(), "quantite_mise_stock"),
         "prix_unitaire_reel": on(STOCKED, "prix_unitaire_estime", "prix_unitaire_reel"),
     }
-    return rows.select(*[changed.get(c, orders[c]) for c in orders.columns])
+    return rows.select(*[changed.get(c, F.col(c)) for c in orders.columns])
 
 
 def recompute_received(tables: Frames, touched: DataFrame) -> DataFrame:

@@ -37,7 +37,7 @@ DIARY_PERIOD = (dt.date(2024, 1, 5), dt.date(2024, 2, 20))
 def _files(t: Tables) -> DataFrame:
     """Site of each uploaded file, two files per site."""
     count = t["rues"].agg(F.count(F.lit(1))).scalar()
-    files = ingest.detect_header(t["raw_cells"]).select("file_id")
+    files = t["raw_cells"].filter((F.col("row_idx") < 6) & (F.col("col_idx") == 0)).select("file_id").distinct()
     return files.withColumn("rue_id", (F.col("file_id") % 25) % count)
 
 
