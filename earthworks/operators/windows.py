@@ -28,26 +28,22 @@ def id_block(df: DataFrame, column: str, rows: int | None = None, prefix: int =
 
 def running_total(
     df: DataFrame, value: Column, by: list[str], date: str, id_column: str, out: str,
-    block: Column | None = None, window_rows: int = WINDOW_ROWS, counted: DataFrame | None = None,
+    block: Column | None = None, window_rows: int | None = None,
 ) -> DataFrame:
     """Running sum of ``value`` per key in (date, id) order, over whole groups.
 
     A key's rows are summed in one window while they are at most ``window_rows``,
     which is counted first. Keys with more are summed in slices, and with no
-    key so is a longer table, so that no task holds a whole hot key. ``counted``
-    may name a cheaper frame with the same number of rows per key.
+    key so is a longer table, so that no task holds a whole hot key.
     """
     block = id_block(df, id_column) if block is None else block
-    counted = df if counted is None else counted
+    window_rows = window_rows or WINDOW_ROWS
     if not by:
-        split = _sliced if counted.count() > window_rows else _plain
+        split = _sliced if df.count() > window_rows else _plain
         return split(df, value, by, date, id_column, out, block)
-    sizes = counted.groupBy(*by).agg(F.count(F.lit(1)).alias("__rows"))
-    hot = sizes.filter(F.col("__rows") > window_rows).drop("__rows")
-    if hot.isEmpty():
+    hot = _hot_keys(df, by, window_rows)
+    if hot is None:
         return _plain(df, value, by, date, id_column, out, block)
-    # At most one key per window_rows rows is hot, so this side is small by construction.
-    hot = small(stable(hot))
     renamed = hot.select(*[F.col(k).alias(f"__hot_{k}") for k in by])
     same = reduce(and_, [df[k].eqNullSafe(F.col(f"__hot_{k}")) for k in by])
     calm, busy = df.join(renamed, same, "left_anti"), df.join(renamed, same, "left_semi")
@@ -56,6 +52,13 @@ def running_total(
     )
 
 
+def _hot_keys(df: DataFrame, by: list[str], window_rows: int) -> DataFrame | None:
+    """Keys with more rows than a window should hold, or None; at most one key per ``window_rows`` rows."""
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__rows"))
+    hot = sizes.filter(F.col("__rows") > window_rows).drop("__rows")
+    return None if hot.isEmpty() else small(stable(hot))
+
+
 def _total_type(df: DataFrame, value: Column) -> T.DataType:
     kind = df.select(F.sum(value).alias("t")).schema["t"].dataType
     return T.DecimalType(38, kind.scale) if isinstance(kind, T.DecimalType) else kind
@@ -124,10 +127,16 @@ def sequential_runs(
     positions of a key, far fewer than the rows, and joined back to the rows.
     """
     places = df.select(by, position, label.alias("__label")).distinct()
-    places = places.withColumn("__block", id_block(places, position))
-    starts = _with_previous(places, "__label", by, position, "__before")
-    fresh = F.when(F.col("__before").eqNullSafe(F.col("__label")), 0).otherwise(1)
-    numbered = running_total(starts, fresh, [by], "__block", position, out, block=F.lit(0), counted=places)
+    along = Window.partitionBy(by).orderBy(F.asc_nulls_first(position))
+    if _hot_keys(places, [by], WINDOW_ROWS) is None:
+        fresh = F.when(F.lag("__label").over(along).eqNullSafe(F.col("__label")), 0).otherwise(1)
+        upto = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        numbered = places.withColumn("__new", fresh).withColumn(out, F.sum("__new").over(upto))
+    else:
+        blocks = places.withColumn("__block", id_block(places, position))
+        starts = _with_previous(blocks, "__label", by, position, "__before")
+        fresh = F.when(F.col("__before").eqNullSafe(F.col("__label")), 0).otherwise(1)
+        numbered = running_total(starts, fresh, [by], "__block", position, out, block=F.lit(0))
     return _join_nullsafe(df, numbered.select(by, position, out), [by, position])
 
 

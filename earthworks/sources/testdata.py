@@ -322,9 +322,21 @@ def _dialect(text: str, duckdb: bool) -> str:
     return re.sub(r"explode\(sequence\(0, (\d+)\)\)", r"unnest(range(0, \1 + 1))", text) if duckdb else text
 
 
+# Scans by application, folder and name, so that schemas are read from the files once.
+_opened: dict[tuple[str, str, str], DataFrame] = {}
+
+
 def tables(spark: SparkSession, sf_dir: str) -> Tables:
     """The domain tables, lazily derived from the Parquet files of ``sf_dir``."""
-    sources = Tables(spark, SOURCES, lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    session = spark.sparkContext.applicationId
+
+    def source(name: str) -> DataFrame:
+        key = (session, sf_dir, name)
+        if key not in _opened:
+            _opened[key] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return _opened[key]
+
+    sources = Tables(spark, SOURCES, source)
 
     def derive(name: str) -> DataFrame:
         text = select_text(name)

@@ -1,0 +1 @@
+"""No streaming operators: the records are read and changed in batches only."""

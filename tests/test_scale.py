@@ -73,6 +73,7 @@ def test_runs_cross_blocks(spark, monkeypatch):
     )
     plain = collected(windows.sequential_runs(data, F.col("l"), "k", "p", "run"))
     monkeypatch.setattr(windows, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(windows, "WINDOW_ROWS", 20)
     assert collected(windows.sequential_runs(data, F.col("l"), "k", "p", "run")) == plain
     assert len({r for r in plain}) == 200
 
@@ -80,7 +81,7 @@ def test_runs_cross_blocks(spark, monkeypatch):
 def test_hot_site_balance_is_the_same(spark, tables, monkeypatch):
     whole = collected(records.cash_running(tables, per_site=True))
     monkeypatch.setattr(windows, "BLOCK_ROWS", 32)
-    monkeypatch.setattr(windows.running_total, "__defaults__", (None, 100))
+    monkeypatch.setattr(windows, "WINDOW_ROWS", 100)
     assert collected(records.cash_running(tables, per_site=True)) == whole
 
 
