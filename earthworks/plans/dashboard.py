@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from earthworks.functions.columns import delay, delay_band, or_label, percent, zero_if_null
-from earthworks.operators.aggregates import total, total_where
+from earthworks.operators.aggregates import total_where
 from earthworks.operators.filters import equals_if
 from earthworks.operators.joins import with_names, with_site, with_total
 from earthworks.operators.windows import latest
-from earthworks.plans import facts
+from earthworks.plans import facts, market
 from earthworks.plans.facts import Frames
 from earthworks.sources import catalog
 
@@ -50,10 +50,7 @@ def open_counts(tables: Frames, site: int | None = None) -> DataFrame:
 
 
 def execution(tables: Frames, site: int | None = None) -> DataFrame:
-    sums = facts.amounts_by_site(tables, site).agg(
-        total("montant_marche").alias("montant_marche"), total("montant_execute").alias("montant_execute")
-    )
-    return sums.withColumn("taux_pct", percent(F.col("montant_execute"), F.col("montant_marche")))
+    return market.work_statement_total(tables, site)
 
 
 def site_progress(tables: Frames, site: int | None = None) -> DataFrame:

@@ -76,6 +76,14 @@ def work_statement(tables: Frames, site: int | None = None, deliverable: int | N
     )
 
 
+def work_statement_total(tables: Frames, site: int | None = None, deliverable: int | None = None) -> DataFrame:
+    """Market and executed amount of the chosen lines and their ratio."""
+    sums = facts.line_progress(tables, site, deliverable).agg(
+        total("montant_marche").alias("montant_marche"), total("montant_execute").alias("montant_execute")
+    )
+    return sums.withColumn("taux_pct", percent(F.col("montant_execute"), F.col("montant_marche")))
+
+
 def work_statement_sites(tables: Frames, project: int | None = None) -> DataFrame:
     """Sites that own lines with their amounts, then the portfolio total."""
     sites = tables["rues"]

@@ -29,33 +29,6 @@ REQUIRED = {
     "materiaux": ["nom", "unite"],
     "materiels": ["nom"],
 }
-# Allowed values of the enumerated columns.
-DOMAINS = {
-    ("dossiers", "statut"): ["En cours", "Terminé", "Suspendu", "En préparation"],
-    ("rues", "statut_chantier"): ["En cours", "Terminé", "Suspendu", "Non démarré"],
-    ("devis_rue", "unite"): catalog.UNITS,
-    ("sous_traitants", "statut"): ["Actif", "Terminé", "Suspendu"],
-    ("paiements_st", "mode_paiement"): ["Virement", "Chèque", "Espèces", "Mobile Money"],
-    ("personnel", "categorie"): catalog.STAFF_CATEGORIES,
-    ("pointage", "statut"): catalog.ATTENDANCE_STATUSES,
-    ("materiaux", "categorie"): ["Matériau", "Carburant", "Consommable", "Fourniture", "Autre"],
-    ("approvisionnements", "statut"): [*catalog.ORDER_STAGES, catalog.REJECTED],
-    ("mouvements_materiaux", "type_mvt"): [catalog.ENTRY, catalog.EXIT],
-    ("materiels", "type_materiel"): [
-        *catalog.PLANT_TYPES, "Engin TP", "Véhicule",
-    ],
-    ("materiels", "etat"): ["Opérationnel", "En panne", "En maintenance", "Hors service"],
-    ("maintenance_materiels", "type_maintenance"): ["Préventive", "Corrective", "Vidange", "Réparation", "Autre"],
-    ("caisse_chantier", "type_op"): [catalog.EXPENSE, catalog.INCOME, catalog.ADVANCE],
-    ("caisse_chantier", "categorie"): ["Main d'œuvre", "Matériaux", "Transport", "Sous-traitance", "Divers"],
-    ("courriers", "type_courrier"): ["Entrant", "Sortant", "Interne"],
-    ("courriers", "priorite"): ["Normale", "Urgente", "Confidentielle"],
-    ("incidents", "gravite"): [*catalog.SEVERITIES, "Critique"],
-    ("incidents", "type_incident"): [
-        "Accident corporel", "Accident matériel", "Presqu'accident", "Incident environnemental",
-        "Violation sécurité", "Autre",
-    ],
-}
 # Lower and upper bound of numbers; a bound may be open.
 RANGES = {
     ("devis_rue", "quantite_marche"): (0, None),
@@ -88,7 +61,7 @@ def blank_required(tables: Frames) -> DataFrame:
 
 def outside_domain(tables: Frames) -> DataFrame:
     return _counts(tables, {
-        (t, c): F.col(c).isNotNull() & ~F.col(c).isin(allowed) for (t, c), allowed in DOMAINS.items()
+        (t, c): F.col(c).isNotNull() & ~F.col(c).isin(allowed) for (t, c), allowed in catalog.DOMAINS.items()
     })
 
 

@@ -20,6 +20,7 @@ from earthworks.plans import (
 )
 from earthworks.sources import catalog, tables as scans
 from earthworks.sources.tables import Tables
+from earthworks.sources.text_load import typed
 
 Job = Callable[[Tables], DataFrame]
 
@@ -103,6 +104,17 @@ def schema_defaults(t: Tables) -> DataFrame:
     return scans.with_defaults(given, "personnel", fill_nulls=True).drop("telephone", "rue_id")
 
 
+def typed_load(t: Tables) -> DataFrame:
+    """Orders written as text, some dates and numbers unreadable, labels without accents."""
+    texts = t["approvisionnements"].select(
+        F.col("id").cast("string").alias("id"),
+        F.when(F.col("id") % 10 == 3, "inconnue").otherwise(F.col("date_besoin").cast("string")).alias("date_besoin"),
+        F.when(F.col("id") % 13 == 0, " ").otherwise(F.col("quantite_demandee").cast("string")).alias("quantite_demandee"),
+        F.upper(F.translate("statut", "é", "e")).alias("statut"), F.lit("").alias("date_bc"),
+    )
+    return typed(texts, "approvisionnements")
+
+
 def lookup_filters(t: Tables) -> DataFrame:
     parts = {
         "livrables": scans.deliverables(t),
@@ -306,6 +318,7 @@ JOBS: dict[str, Job] = {
     # scans, sources and ingestion
     "param_scan": param_scan,
     "schema_defaults": schema_defaults,
+    "typed_load": typed_load,
     "lookup_filters": lookup_filters,
     "site_labels": projects.site_labels,
     "name_norm": lambda t: t["raw_cells"].select("file_id", "row_idx", "col_idx", fn.normalised_name("value").alias("nom")),
@@ -370,6 +383,7 @@ JOBS: dict[str, Job] = {
     "boq_recap_wide": recap_wide,
     "boq_recap_totals": market.recap_totals,
     "work_statement": market.work_statement,
+    "work_statement_total": market.work_statement_total,
     "work_statement_sites": market.work_statement_sites,
     "post_executions": post_executions,
     # subcontractors

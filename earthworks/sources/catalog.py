@@ -408,6 +408,34 @@ PRESENT = "Présent"
 OPERATIONAL = "Opérationnel"
 FUEL_CATEGORY = "carburant"
 
+# Allowed values of the enumerated columns.
+DOMAINS = {
+    ("dossiers", "statut"): ["En cours", "Terminé", "Suspendu", "En préparation"],
+    ("rues", "statut_chantier"): ["En cours", "Terminé", "Suspendu", "Non démarré"],
+    ("devis_rue", "unite"): UNITS,
+    ("sous_traitants", "statut"): ["Actif", "Terminé", "Suspendu"],
+    ("paiements_st", "mode_paiement"): ["Virement", "Chèque", "Espèces", "Mobile Money"],
+    ("personnel", "categorie"): STAFF_CATEGORIES,
+    ("pointage", "statut"): ATTENDANCE_STATUSES,
+    ("materiaux", "categorie"): ["Matériau", "Carburant", "Consommable", "Fourniture", "Autre"],
+    ("approvisionnements", "statut"): [*ORDER_STAGES, REJECTED],
+    ("mouvements_materiaux", "type_mvt"): [ENTRY, EXIT],
+    ("materiels", "type_materiel"): [
+        *PLANT_TYPES, "Engin TP", "Véhicule",
+    ],
+    ("materiels", "etat"): ["Opérationnel", "En panne", "En maintenance", "Hors service"],
+    ("maintenance_materiels", "type_maintenance"): ["Préventive", "Corrective", "Vidange", "Réparation", "Autre"],
+    ("caisse_chantier", "type_op"): [EXPENSE, INCOME, ADVANCE],
+    ("caisse_chantier", "categorie"): ["Main d'œuvre", "Matériaux", "Transport", "Sous-traitance", "Divers"],
+    ("courriers", "type_courrier"): ["Entrant", "Sortant", "Interne"],
+    ("courriers", "priorite"): ["Normale", "Urgente", "Confidentielle"],
+    ("incidents", "gravite"): [*SEVERITIES, "Critique"],
+    ("incidents", "type_incident"): [
+        "Accident corporel", "Accident matériel", "Presqu'accident", "Incident environnemental",
+        "Violation sécurité", "Autre",
+    ],
+}
+
 MONEY = T.DecimalType(18, 2)
 _TYPES = {
     "bigint": T.LongType(),

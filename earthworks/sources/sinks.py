@@ -6,21 +6,27 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
 
+from earthworks.sources.labels import with_labels
+
 NAME_LIMIT = 31
 NO_DATA = "Aucune donnée"
 
 
-def export(sheets: Mapping[str, DataFrame], directory: str, fmt: str = "parquet", mode: str = "errorifexists") -> list[str]:
+def export(
+    sheets: Mapping[str, DataFrame], directory: str, fmt: str = "parquet", mode: str = "errorifexists",
+    labels: bool = False,
+) -> list[str]:
     """Write one directory per sheet and give their paths.
 
     Names are cut to 31 characters; a sheet without rows gets one row saying so.
+    ``labels`` writes display names as column heads.
     """
     paths = []
     for name, df in sheets.items():
         path = f"{directory}/{name[:NAME_LIMIT]}"
         if df.isEmpty():
             df = df.sparkSession.createDataFrame([(NO_DATA,)], "message string")
-        writer = df.write.mode(mode)
+        writer = (with_labels(df) if labels else df).write.mode(mode)
         if fmt == "csv":
             writer = writer.option("header", True)
         writer.format(fmt).save(path)

@@ -9,6 +9,15 @@ SELECT id, nom, coalesce(prenom, '') AS prenom, categorie, '' AS poste, actif, s
        NULL AS date_entree, '' AS observation
 FROM personnel
 
+-- name: typed_load
+-- columns: id:i date_besoin:t quantite_demandee:d statut:s date_bc:t
+SELECT id, CASE WHEN id % 10 <> 3 THEN date_besoin END AS date_besoin,
+       CASE WHEN id % 13 <> 0 THEN quantite_demandee END AS quantite_demandee,
+       CASE WHEN statut = 'Rejeté' THEN 'Rejeté' WHEN statut LIKE 'Besoin%' THEN 'Besoin exprimé' WHEN statut LIKE 'Valid%' THEN 'Validé chef chantier'
+            WHEN statut LIKE 'Bon%' THEN 'Bon de commande émis' WHEN statut LIKE 'R_cep%' THEN 'Réceptionné' ELSE 'Mis en stock' END AS statut,
+       NULL AS date_bc
+FROM approvisionnements
+
 -- name: lookup_filters
 -- columns: source:s id:i nom:s
 SELECT 'livrables' AS source, id, nom FROM livrables
@@ -307,6 +316,12 @@ SELECT id, rue_id, code_poste, designation, unite, quantite_marche, qe AS qte_ex
        quantite_marche * prix_unitaire AS montant_marche, qe * prix_unitaire AS montant_execute
 FROM q
 
+-- name: work_statement_total
+-- columns: montant_marche:d montant_execute:d taux_pct:d
+WITH q AS (SELECT d.quantite_marche * d.prix_unitaire AS mm,
+           coalesce((SELECT sum(x.quantite_jour) FROM realisations_journalieres x WHERE x.devis_id = d.id), 0) * d.prix_unitaire AS me FROM devis_rue d)
+SELECT sum(mm) AS montant_marche, sum(me) AS montant_execute, round(sum(me)::DOUBLE / sum(mm)::DOUBLE * 100, 1) AS taux_pct FROM q
+
 -- name: work_statement_sites
 -- columns: niveau:s chantier:s montant_marche:d montant_execute:d reste:d taux_pct:d
 WITH q AS (SELECT d.rue_id, d.quantite_marche * d.prix_unitaire AS mm,

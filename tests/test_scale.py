@@ -163,8 +163,9 @@ def test_export_marks_empty_sheets(spark, tables, tmp_path):
 
 
 def test_csv_export_and_preview(spark, tables, tmp_path):
-    path = sinks.export({"s": tables["dossiers"]}, str(tmp_path / "csv"), "csv")[0]
-    assert spark.read.option("header", True).csv(path).count() == 5
+    path = sinks.export({"s": tables["dossiers"]}, str(tmp_path / "csv"), "csv", labels=True)[0]
+    written = spark.read.option("header", True).csv(path)
+    assert written.count() == 5 and "Nom" in written.columns
     head, n = sinks.preview(tables["dossiers"], 2)
     assert (head.count(), n) == (2, 5)
 
