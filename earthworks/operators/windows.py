@@ -15,7 +15,7 @@ BLOCK_ROWS = 1 << 20
 WINDOW_ROWS = 1 << 21
 
 
-def id_block(df: DataFrame, column: str, rows: int | None = None, prefix: int = 10) -> Column:
+def id_block(df: DataFrame, column: str, rows: int | None = None, prefix: int = 6) -> Column:
     """Order-preserving slice of a unique id, to bound the rows of a window.
 
     Whole numbers are cut every ``rows`` ids, so a slice never holds more rows
@@ -33,14 +33,13 @@ def running_total(
     """Running sum of ``value`` per key in (date, id) order, over whole groups.
 
     A key's rows are summed in one window while they are at most ``window_rows``,
-    which is counted first. Keys with more are summed in slices, and with no
-    key so is a longer table, so that no task holds a whole hot key.
+    which is counted first. Keys with more are summed in slices, and so is a
+    whole table, so that no task holds a hot key or all rows.
     """
     block = id_block(df, id_column) if block is None else block
     window_rows = window_rows or WINDOW_ROWS
     if not by:
-        split = _sliced if df.count() > window_rows else _plain
-        return split(df, value, by, date, id_column, out, block)
+        return _sliced(df, value, by, date, id_column, out, block)
     hot = _hot_keys(df, by, window_rows)
     if hot is None:
         return _plain(df, value, by, date, id_column, out, block)

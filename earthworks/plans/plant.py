@@ -16,6 +16,9 @@ from earthworks.plans.facts import Frames
 from earthworks.sources import catalog
 from earthworks.sources.tables import recent
 
+# Fixed value: note of a fuel exit, before the name of the plant.
+FUEL_NOTE = "Carburant engin "
+
 
 def _log(tables: Frames, as_of: dt.date, days: int | None, site: int | None, k: int | None) -> DataFrame:
     entries = recent(tables["suivi_materiels"], "suivi_materiels", as_of, days)
@@ -52,7 +55,7 @@ def fuel_exits(tables: Frames) -> DataFrame:
     return rows.select(
         F.col("date_suivi").alias("date_mvt"), "rue_id", F.col("carburant_materiau_id").alias("materiau_id"),
         F.lit(catalog.EXIT).alias("type_mvt"), F.col("carburant_consomme").alias("quantite"),
-        F.concat(F.lit("Carburant engin "), F.col("__plant")).alias("observation"),
+        F.concat(F.lit(FUEL_NOTE), F.col("__plant")).alias("observation"),
     )
 
 

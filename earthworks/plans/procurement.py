@@ -21,6 +21,9 @@ from earthworks.sources.catalog import ENTRY, NEED, ORDERED, RECEIVED, REJECTED,
 MOVES = [
     (NEED, VALIDATED), (NEED, REJECTED), (VALIDATED, ORDERED), (ORDERED, RECEIVED), (RECEIVED, STOCKED),
 ]
+# Texts shown with an order.
+POSTED_NOTE = "Via Circuit Appro BC:"
+DELIVERING, CLOSED = "En livraison", "Clôturé - en attente mise en stock"
 OPEN_STAGES = [NEED, VALIDATED, ORDERED, RECEIVED]
 
 
@@ -38,7 +41,7 @@ def reception_status(tables: Frames) -> DataFrame:
     orders = tables["approvisionnements"].filter(F.col("statut").isin(ORDERED, RECEIVED))
     rows = with_total(orders, facts.received_by_order(tables), "id", "appro_id")
     ordered, received = F.col("quantite_demandee"), F.col("total_recu")
-    state = F.when(F.col("statut") == ORDERED, "En livraison").otherwise("Clôturé - en attente mise en stock")
+    state = F.when(F.col("statut") == ORDERED, DELIVERING).otherwise(CLOSED)
     return rows.select(
         "id", "designation", "unite", "quantite_demandee", "total_recu",
         remaining(ordered, received).alias("reste"),
@@ -61,7 +64,7 @@ def _quantity_to_stock() -> Column:
 def post_stock_entries(tables: Frames, day: dt.date) -> DataFrame:
     """Stock entries for received orders of a catalogued material, ready to append."""
     rows = to_stock(tables).filter(F.col("materiau_id").isNotNull() & (F.col("qte_a_stocker") > 0))
-    note = F.concat(F.lit("Via Circuit Appro BC:"), F.coalesce("numero_bc", F.lit("")))
+    note = F.concat(F.lit(POSTED_NOTE), F.coalesce("numero_bc", F.lit("")))
     return rows.select(
         F.lit(day).alias("date_mvt"), "rue_id", "materiau_id", F.lit(ENTRY).alias("type_mvt"),
         F.col("qte_a_stocker").alias("quantite"), F.col("prix_unitaire_estime").alias("prix_unitaire"),

@@ -14,6 +14,7 @@ from earthworks.plans import facts
 from earthworks.plans.facts import Frames
 from earthworks.sources import catalog
 
+# Texts for where a movement came from.
 MANUAL = "Saisie manuelle"
 VIA_ORDER = "Circuit Appro — BC: "
 

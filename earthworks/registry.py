@@ -6,7 +6,8 @@ The arguments are those the SQL texts in ``oracle/`` spell out.
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable
+from collections import ChainMap
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -56,11 +57,11 @@ def _stage_requests(t: Tables) -> DataFrame:
     ).drop("__time")
 
 
-def _overriding(t: Tables, **frames: DataFrame) -> dict[str, DataFrame]:
-    return {name: frames.get(name, t[name]) for name in t if name != "raw_cells"}
+def _overriding(t: Tables, **frames: DataFrame) -> Mapping[str, DataFrame]:
+    return ChainMap(frames, t)
 
 
-def _dirty_names(t: Tables) -> dict[str, DataFrame]:
+def _dirty_names(t: Tables) -> Mapping[str, DataFrame]:
     return _overriding(
         t,
         sous_traitants=t["sous_traitants"].withColumn("nom", F.right("nom", F.lit(1))),
@@ -68,7 +69,7 @@ def _dirty_names(t: Tables) -> dict[str, DataFrame]:
     )
 
 
-def _blanked(t: Tables) -> dict[str, DataFrame]:
+def _blanked(t: Tables) -> Mapping[str, DataFrame]:
     lines = t["devis_rue"].withColumns({
         "designation": F.when(F.col("id") % 6 == 0, "  ").otherwise(F.col("designation")),
         "unite": F.when(F.col("id") % 9 != 0, F.col("unite")),
@@ -77,7 +78,7 @@ def _blanked(t: Tables) -> dict[str, DataFrame]:
     return _overriding(t, devis_rue=lines, personnel=people)
 
 
-def _thinned(t: Tables) -> dict[str, DataFrame]:
+def _thinned(t: Tables) -> Mapping[str, DataFrame]:
     return _overriding(
         t,
         rues=t["rues"].filter(F.col("statut_chantier") != "Terminé"),
@@ -284,15 +285,14 @@ def cascade_delete(t: Tables) -> DataFrame:
 
 
 def audit_diff(t: Tables) -> DataFrame:
+    """Materials after dropping the consumables, raising some prices and thresholds, adding every bill line."""
     base = t["materiaux"]
-    kept = base.filter(F.col("id") % 11 != 0).withColumns({
-        "prix_unitaire": F.when(F.col("id") % 3 == 0, F.col("prix_unitaire") + 1).otherwise(F.col("prix_unitaire")),
-        "seuil_alerte": F.when(F.col("id") % 2 == 0, F.col("seuil_alerte") * 2).otherwise(F.col("seuil_alerte")),
+    kept = base.filter(F.col("categorie") != "Consommable").withColumns({
+        "prix_unitaire": F.when(F.col("unite").isin("PROMO", "SMALL"), F.col("prix_unitaire") + 1).otherwise(F.col("prix_unitaire")),
+        "seuil_alerte": F.when(F.col("unite").isin("PROMO", "MEDIUM"), F.col("seuil_alerte") * 2).otherwise(F.col("seuil_alerte")),
     })
     kept = kept.withColumns({c: F.col(c).cast(catalog.MONEY) for c in ("prix_unitaire", "seuil_alerte")})
-    added = t["devis_rue"].filter(F.col("id") % 13 == 0).select(
-        (F.col("id") + 5000000000).alias("id"), F.col("designation").alias("nom"), "unite"
-    )
+    added = t["devis_rue"].select((F.col("id") + 5000000000).alias("id"), F.col("designation").alias("nom"), "unite")
     new = kept.unionByName(scans.with_defaults(added, "materiaux").select(base.columns))
     return changes.audit_diff(base, new, "materiaux", dt.datetime(2024, 2, 1, 8))
 

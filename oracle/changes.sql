@@ -67,13 +67,16 @@ UNION ALL SELECT 'incidents', count(*), 0 FROM incidents WHERE rue_id NOT IN (FR
 
 -- name: audit_diff
 -- columns: timestamp:ts table_name:s action:s record_id:i details:s
-SELECT TIMESTAMP '2024-02-01 08:00:00' AS timestamp, 'materiaux' AS table_name,
-       CASE WHEN id % 11 = 0 THEN 'DELETE' ELSE 'UPDATE' END AS action, id AS record_id,
-       CASE WHEN id % 11 = 0 THEN '' WHEN id % 3 = 0 AND id % 2 = 0 AND seuil_alerte <> 0 THEN 'seuil_alerte,prix_unitaire'
-            WHEN id % 3 = 0 THEN 'prix_unitaire' ELSE 'seuil_alerte' END AS details
-FROM materiaux WHERE id % 11 = 0 OR id % 3 = 0 OR (id % 2 = 0 AND seuil_alerte <> 0)
+WITH c AS (
+  SELECT id, CASE WHEN categorie = 'Consommable' THEN 'DELETE' ELSE 'UPDATE' END AS action,
+         CASE WHEN categorie = 'Consommable' THEN '' ELSE concat_ws(',',
+           CASE WHEN unite IN ('PROMO', 'MEDIUM') AND seuil_alerte <> 0 THEN 'seuil_alerte' END,
+           CASE WHEN unite IN ('PROMO', 'SMALL') THEN 'prix_unitaire' END) END AS details
+  FROM materiaux)
+SELECT TIMESTAMP '2024-02-01 08:00:00' AS timestamp, 'materiaux' AS table_name, action, id AS record_id, details
+FROM c WHERE action = 'DELETE' OR details <> ''
 UNION ALL
-SELECT TIMESTAMP '2024-02-01 08:00:00', 'materiaux', 'CREATE', id + 5000000000, '' FROM devis_rue WHERE id % 13 = 0
+SELECT TIMESTAMP '2024-02-01 08:00:00', 'materiaux', 'CREATE', id + 5000000000, '' FROM devis_rue
 
 -- name: dq_unique
 -- columns: table_name:s colonne:s n:i

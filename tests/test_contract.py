@@ -24,7 +24,7 @@ def test_entry_gives_rows(spark):
     assert contract.entry(spark).count() > 0
 
 
-# A window with no key may only see a row per day, per slice or of a table counted to be short.
+# A window with no key may only see a row per day or per slice of ids.
 WHOLE_TABLE_WINDOWS = {"cash_running_all", "append_rows", "attendance_batch"}
 
 
