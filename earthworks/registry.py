@@ -288,8 +288,8 @@ def audit_diff(t: Tables) -> DataFrame:
     """Materials after dropping the consumables, raising some prices and thresholds, adding every bill line."""
     base = t["materiaux"]
     kept = base.filter(F.col("categorie") != "Consommable").withColumns({
-        "prix_unitaire": F.when(F.col("unite").isin("PROMO", "SMALL"), F.col("prix_unitaire") + 1).otherwise(F.col("prix_unitaire")),
-        "seuil_alerte": F.when(F.col("unite").isin("PROMO", "MEDIUM"), F.col("seuil_alerte") * 2).otherwise(F.col("seuil_alerte")),
+        "prix_unitaire": F.col("prix_unitaire") + F.col("unite").isin("PROMO", "SMALL").cast("int"),
+        "seuil_alerte": F.col("seuil_alerte") * (1 + F.col("unite").isin("PROMO", "MEDIUM").cast("int")),
     })
     kept = kept.withColumns({c: F.col(c).cast(catalog.MONEY) for c in ("prix_unitaire", "seuil_alerte")})
     added = t["devis_rue"].select((F.col("id") + 5000000000).alias("id"), F.col("designation").alias("nom"), "unite")
