@@ -162,7 +162,7 @@ def audit_diff(base: DataFrame, new: DataFrame, table: str, at: dt.datetime) ->
     )
     details = F.when(action == "UPDATE", F.concat_ws(",", *changed)).otherwise("")
     rows = both.select(
-        F.lit(at).cast("timestamp_ntz").alias("timestamp"), F.lit(table).alias("table_name"),
+        F.lit(at.isoformat(sep=" ")).cast("timestamp_ntz").alias("timestamp"), F.lit(table).alias("table_name"),
         action.alias("action"), F.col("id").alias("record_id"), details.alias("details"),
     )
     return rows.filter((F.col("action") != "UPDATE") | (F.col("details") != ""))

@@ -315,6 +315,28 @@ class TestChanges:
         assert changes.audit_diff(base, base, "materiaux", dt.datetime(2024, 1, 1)).isEmpty()
 
 
+def test_audit_time_does_not_depend_on_the_time_zone(spark, make):
+    one = make("materiaux", [{"id": 1, "nom": "a", "unite": "U"}])
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        row = changes.audit_diff(one, one.filter("id > 1"), "materiaux", dt.datetime(2024, 1, 1, 8)).collect()[0]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert (row.timestamp, row.action) == (dt.datetime(2024, 1, 1, 8), "DELETE")
+
+
+def test_text_dump_gets_types_and_labels(spark):
+    from earthworks.sources.text_load import typed
+
+    raw = spark.createDataFrame(
+        [("1", "2024-01-02", "PRESENT", "7.5"), ("2", "bientot", "Vacances", "")],
+        "id string, date_pointage string, statut string, heures_travaillees string",
+    )
+    got = [tuple(r) for r in typed(raw, "pointage").select("id", "date_pointage", "statut").collect()]
+    assert got == [(1, D(2024, 1, 2), "Présent"), (2, None, "Vacances")]
+
+
 def test_first_value_skips_null(spark):
     df = spark.createDataFrame([(1, "a", None), (3, "a", "late"), (2, "a", "early")], "id int, k string, v string")
     assert aggregates.first_per_key(df, ["k"], ["v"]).collect()[0].v == "early"
