@@ -273,6 +273,27 @@ class TestSheets:
         assert sorted((r.file_id, r.code_poste, r.designation) for r in got) == [(1, "1", "short"), (1, "3", "z")]
 
 
+    def test_subcontractor_sheet(self, cells, spark):
+        files = spark.createDataFrame([(1, 4)], "file_id int, st_id bigint")
+        got = ingest.import_simple(cells, files, target="sous_traitant").collect()
+        assert {(r.st_id, r.designation, r.unite) for r in got} == {(4, "short", "m"), (4, "z", "m")}
+
+    def test_wide_sheet_follows_the_first_deliverable_by_name(self, spark, make):
+        sheet = [["Désignation", "Unité", "Rue A", "Total"], ["dig", "m", "3", "9"], ["fill", "m", "0", "0"], ["cut", "m", "x", "2"]]
+        cells = spark.createDataFrame(
+            [(1, r, c, v) for r, line in enumerate(sheet) for c, v in enumerate(line)],
+            "file_id int, row_idx int, col_idx int, value string",
+        )
+        files = spark.createDataFrame([(1, 1)], "file_id int, rue_id bigint")
+        named = make("livrables", [
+            {"id": 8, "chantier_id": 1, "nom": "Rue A2"}, {"id": 9, "chantier_id": 1, "nom": "Rue A"},
+            {"id": 7, "chantier_id": 2, "nom": "Rue A"},
+        ])
+        got = [(r.livrable_id, r.designation, r.quantite) for r in ingest.import_multi(cells, files, named).collect()]
+        assert got == [(9, "dig", 3.0)]
+        assert ingest.import_simple(cells, files, named).isEmpty()
+
+
 class TestChanges:
     @pytest.fixture
     def base(self, make):
