@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,14 +23,12 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for kept results that the session names; else one below its warehouse, which executors share too."""
+    folder = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING, None)
+    return (folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_kept").rstrip("/")
+
+
 def _ensure_folder(spark: SparkSession) -> None:
-    """Use the folder the session names; a local session may do without one."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
-    folder = spark.conf.get(SETTING, None)
-    if folder is None:
-        if not context.master.startswith("local"):
-            raise ValueError(f"set {SETTING} to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="earthworks-")
-    context.setCheckpointDir(folder)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
