@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from earthworks.llm import mixing, quality_rules, secrets, simhash
+from earthworks.llm import langid, mixing, quality_rules, secrets, sentencepiece_codec, simhash
 from earthworks.llm.store import table
 
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 SQL_FOLDER = Path(__file__).resolve().parent / "sql"
 
 
@@ -19,11 +21,28 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = PIECE_MODEL) -> DataFrame:
+    model = sentencepiece_codec.read_model(model_path)
+    return sentencepiece_codec.digests(table(spark, sf_dir, "documents"), model)
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), ["doc_id"]).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def _remainder(by: int) -> Column:
+    """The checksum of doc_id as text, modulo a number; a null id has the checksum of no bytes."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % by
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.learn(docs.where(_remainder(4) != 2))
+    return langid.predicted(docs, model, ["doc_id"]).select(
+        "doc_id", (_remainder(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.report(table(spark, sf_dir, "documents"), ["doc_id"])
     text = secrets.spans_text(F.col("spans"))
@@ -37,7 +56,9 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_quality_rules": op3_quality_rules,
+    "op5_language_id": op5_language_id,
     "op7_secret_scans": op7_secret_scans,
     "op8_mixing": op8_mixing,
 }
