@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from earthworks.llm import langid, mixing, quality_rules, secrets, sentencepiece_codec, simhash
+from earthworks.llm import ann, langid, mixing, quality_rules, secrets, sentencepiece_codec, simhash
 from earthworks.llm.store import table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -43,6 +43,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (_remainder(4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.report(table(spark, sf_dir, "documents"), ["doc_id"])
     text = secrets.spans_text(F.col("spans"))
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece": op2_sentencepiece,
     "op3_quality_rules": op3_quality_rules,
     "op5_language_id": op5_language_id,
+    "op6_nearest": op6_nearest,
     "op7_secret_scans": op7_secret_scans,
     "op8_mixing": op8_mixing,
 }
