@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from earthworks.llm import ann, langid, mixing, quality_rules, secrets, sentencepiece_codec, simhash
+from earthworks.llm import ann, html_extract, langid, mixing, quality_rules, secrets, sentencepiece_codec, simhash
 from earthworks.llm.store import table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -58,6 +58,11 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extract.extracted(table(spark, sf_dir, "pages"), ["page_id", "url"])
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_sentencepiece": op2_sentencepiece,
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_nearest": op6_nearest,
     "op7_secret_scans": op7_secret_scans,
     "op8_mixing": op8_mixing,
+    "op10_html_extraction": op10_html_extraction,
 }
 
 
