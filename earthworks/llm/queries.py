@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from earthworks.llm import ann, html_extract, langid, mixing, quality_rules, secrets, sentencepiece_codec, simhash
+from earthworks.llm import ann, html_extract, langid, mixing, quality_classifier, quality_rules, secrets, sentencepiece_codec, simhash
 from earthworks.llm.store import table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -36,6 +36,14 @@ def _remainder(by: int) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % by
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    vectors, net = quality_classifier.learn(docs, labels.where(_remainder(5) != 0))
+    found = quality_classifier.scored(docs, ["doc_id"], vectors, net)
+    return found.select("doc_id", (_remainder(5) == 0).alias("held_out"), "score",
+                        F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.learn(docs.where(_remainder(4) != 2))
@@ -67,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_quality_rules": op3_quality_rules,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_language_id": op5_language_id,
     "op6_nearest": op6_nearest,
     "op7_secret_scans": op7_secret_scans,
