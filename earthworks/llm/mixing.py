@@ -59,7 +59,7 @@ def drawn(docs: DataFrame, buckets: int = 4096) -> DataFrame:
     """How many words of each row the mix takes.
 
     ``docs`` has ``doc_id``, ``source``, ``size``, ``weight`` and ``salt`` (a long that tells rows apart); the columns
-    ``source_size``, ``target``, ``taken`` are added. ``buckets`` sets the grain of the running sizes, not the result.
+    ``source_size``, ``target``, ``taken`` are added, and ``_times``, how often it takes the row. ``buckets`` sets the grain of the running sizes, not the result.
     """
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "doc_id", "salt"), 11) + 1) / F.lit(float(2**53 + 1))
     key = -F.log(u) / F.greatest("weight", F.lit(1e-9))
@@ -89,7 +89,8 @@ def drawn(docs: DataFrame, buckets: int = 4096) -> DataFrame:
         "_in", (F.col("_before") + ahead + F.col("size") / 2 <= F.col("_budget")) & (F.col("_budget") > 0))
     rest = placed.where(F.col("_place") != "edge").withColumn("_in", F.col("_place") == "in")
     return edge.unionByName(rest).withColumn(
-        "taken", (F.col("size") * (F.col("_epochs") + F.when(F.col("_in"), 1).otherwise(0))).cast("long"))
+        "_times", (F.col("_epochs") + F.when(F.col("_in"), 1).otherwise(0)).cast("int")).withColumn(
+        "taken", F.col("size") * F.col("_times"))
 
 
 def sized(df: DataFrame, text: str = "text", weight: Column | None = None) -> DataFrame:
@@ -103,3 +104,21 @@ def mix(df: DataFrame, text: str = "text", weight: Column | None = None) -> Data
     """``doc_id``, ``size``, ``source_size``, ``target``, ``taken`` of every row."""
     docs = kept(sized(df, text, weight), "sizes")  # narrow; texts are read once
     return drawn(docs).select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+def repeated(df: DataFrame, text: str = "text", weight: Column | None = None) -> DataFrame:
+    """All columns, every row as often as the mix takes it. Rows of size 0 follow their source's whole epochs.
+
+    Texts meet their counts by id and text; equal rows are told apart by their number among themselves.
+    """
+    docs = kept(sized(df, text, weight), "sizes")
+    taken = drawn(docs).select("doc_id", "source", "salt", "size", F.col("_times").alias("times"))
+    order = Window.partitionBy("doc_id", "source", "salt")
+    counts = kept(taken.where("times > 0").withColumn("_n", F.row_number().over(order.orderBy(F.desc("times")))).select(
+        F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("salt").alias("_x"), "_n", "times"), "counts")
+    rows = df.withColumn("_salt", F.xxhash64(text))
+    number = F.row_number().over(Window.partitionBy("doc_id", "source", "_salt").orderBy(F.lit(0)))
+    same = (F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s"))
+            & F.col("_salt").eqNullSafe(F.col("_x")) & (F.col("_m") == F.col("_n")))
+    met = rows.withColumn("_m", number).join(counts, same)
+    return met.withColumn("_t", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*df.columns)

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from earthworks.llm import ann, html_extract, langid, mixing, quality_classifier, quality_rules, secrets, sentencepiece_codec, simhash
+from earthworks.llm import ann, chat, html_extract, langid, mixing, quality_classifier, quality_rules, secrets, sentencepiece_codec, simhash
 from earthworks.llm.store import table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -66,6 +66,12 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talks = table(spark, sf_dir, "conversations")
+    text = chat.transcript(F.col("conv_id"), F.col("role"), F.col("text"))
+    return chat.turns(talks.select("conv_id", F.col("turn").alias("place"), text.alias("text")), "conv_id", ["place"])
+
+
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = html_extract.extracted(table(spark, sf_dir, "pages"), ["page_id", "url"])
     return found.withColumn("n_chars", F.length("text").cast("long"))
@@ -80,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_nearest": op6_nearest,
     "op7_secret_scans": op7_secret_scans,
     "op8_mixing": op8_mixing,
+    "op9_chat_formatting": op9_chat_formatting,
     "op10_html_extraction": op10_html_extraction,
 }
 
