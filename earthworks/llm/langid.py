@@ -23,8 +23,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from earthworks.llm.store import kept
+from earthworks.llm.words import pieces
 
 BUCKETS = 1 << 15
 ORDER = 3
@@ -38,20 +40,21 @@ LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def features(text: str | None, order: int = ORDER, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of a text's n-grams and how often each occurs."""
-    runs = LETTERS.findall((text or "").lower())
-    if not runs:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    data = np.frombuffer((" " + " ".join(runs) + " ").encode(), np.uint8).astype(np.uint64)
-    grams = np.zeros(max(len(data) - order + 1, 1), np.uint64)
-    for k in range(min(order, len(data))):
-        grams = (grams << np.uint64(8)) | data[k : k + len(grams)]
-    spread = (grams * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - buckets.bit_length() + 1)
-    counts = np.bincount(spread.astype(np.int64), minlength=1) if len(grams) > buckets else None
-    if counts is not None:
-        at = np.flatnonzero(counts)
-        return at, counts[at]
-    return np.unique(spread.astype(np.int64), return_counts=True)
+    """Buckets of a text's n-grams and how often each occurs. Runs of letters are joined by one blank."""
+    total, found = None, (np.empty(0, np.int64), np.empty(0, np.int64))
+    for piece in pieces(text or ""):
+        if not (runs := LETTERS.findall(piece.lower())):
+            continue
+        data = np.frombuffer((" " + " ".join(runs) + " ").encode("utf-8", "replace"), np.uint8).astype(np.uint64)
+        grams = np.zeros(max(len(data) - order + 1, 1), np.uint64)
+        for k in range(min(order, len(data))):
+            grams = (grams << np.uint64(8)) | data[k : k + len(grams)]
+        spread = (grams * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - buckets.bit_length() + 1)
+        if total is None and len(piece) == len(text):
+            return np.unique(spread.astype(np.int64), return_counts=True)
+        total = (0 if total is None else total) + np.bincount(spread.astype(np.int64), minlength=buckets)
+        found = np.flatnonzero(total), total[total > 0]
+    return found
 
 
 @dataclass(frozen=True)
@@ -136,11 +139,11 @@ def infer(model: Model, bags: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.n
 
 def predicted(df: DataFrame, model: Model, keys: list[Column | str], text: str = "text") -> DataFrame:
     """The keys, ``lang_pred``, ``score`` (the language's proportion) and ``languages`` with their proportions."""
-    rows = df.select(*keys, F.col(text).alias("_text"))
+    rows = df.select(*keys, F.col(text))
     names = rows.columns[:-1]
     sent = df.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]) + \
-        ", lang_pred string, score double, languages map<string,double>"
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField(
+        "score", T.DoubleType()), T.StructField("languages", T.MapType(T.StringType(), T.DoubleType()))])
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = sent.value

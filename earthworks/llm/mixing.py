@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from earthworks.llm.store import kept
+from earthworks.llm.store import kept, packed
 from earthworks.llm.words import word_count
 
 MOST_EPOCHS = 3
@@ -116,9 +116,9 @@ def repeated(df: DataFrame, text: str = "text", weight: Column | None = None) ->
     order = Window.partitionBy("doc_id", "source", "salt")
     counts = kept(taken.where("times > 0").withColumn("_n", F.row_number().over(order.orderBy(F.desc("times")))).select(
         F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("salt").alias("_x"), "_n", "times"), "counts")
-    rows = df.withColumn("_salt", F.xxhash64(text))
-    number = F.row_number().over(Window.partitionBy("doc_id", "source", "_salt").orderBy(F.lit(0)))
-    same = (F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s"))
-            & F.col("_salt").eqNullSafe(F.col("_x")) & (F.col("_m") == F.col("_n")))
-    met = rows.withColumn("_m", number).join(counts, same)
-    return met.withColumn("_t", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*df.columns)
+    whole = packed(df).withColumn("salt", F.xxhash64(f"row.{text}"))
+    number = F.row_number().over(Window.partitionBy("row.doc_id", "row.source", "salt").orderBy(F.lit(0)))
+    same = (F.col("row.doc_id").eqNullSafe(F.col("_d")) & F.col("row.source").eqNullSafe(F.col("_s"))
+            & (F.col("salt") == F.col("_x")) & (F.col("_m") == F.col("_n")))
+    met = whole.withColumn("_m", number).join(counts, same)
+    return met.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")

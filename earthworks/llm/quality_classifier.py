@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from earthworks.llm.store import kept
+from earthworks.llm.words import pieces
 
 BUCKETS = 1 << 12
 DIMENSIONS = 64
@@ -37,9 +38,7 @@ REACH = 2
 TRAIN_ROWS = 20_000
 HIDDEN = 32
 SEED = 11
-PIECE = 1 << 20
 WORD = re.compile(r"[^\W_]+|(?:[^\w\s]|_)+")
-BLANK = re.compile(r"\s")
 
 
 class Buckets(dict):
@@ -52,18 +51,6 @@ class Buckets(dict):
         return at
 
 
-def pieces(text: str) -> Iterator[str]:
-    """A text in pieces cut at white space, so that no list of words is very long."""
-    at = 0
-    while len(text) - at > PIECE:
-        cut = BLANK.search(text, at + PIECE)
-        if not cut:
-            break
-        yield text[at : cut.start()]
-        at = cut.start()
-    yield text[at:]
-
-
 def bucketed(text: str | None, buckets: Buckets) -> np.ndarray:
     parts = [np.fromiter(map(buckets.__getitem__, WORD.findall(p)), np.int64) for p in pieces(text or "")]
     return parts[0] if len(parts) == 1 else np.concatenate(parts)

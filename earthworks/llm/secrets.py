@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from earthworks.llm.store import kept
+from earthworks.llm.store import kept, packed
 
 
 @dataclass(frozen=True)
@@ -154,9 +154,9 @@ def masked(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, m
     Overlapping spans of different kinds become one mask.
     """
     found, _ = scan(df, text, rules=rules)
-    blobs = kept(per_blob(found, rules).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans")), "masks")
+    blobs = kept(per_blob(found, rules).select("blob", "spans"), "masks")
     seed = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
-    whole = F.col(text)
+    whole = F.col(f"row.{text}")
 
     def step(acc: Column, x: Column) -> Column:
         gap = F.substring(whole, acc["at"].cast("int") + 1, F.greatest(x["start"] - acc["at"], F.lit(0)).cast("int"))
@@ -167,6 +167,6 @@ def masked(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, m
     def finish(acc: Column) -> Column:
         return F.concat(acc["out"], F.substring(whole, acc["at"].cast("int") + 1, F.length(whole)))
 
-    clean = F.when(F.col("_spans").isNull(), whole).otherwise(F.aggregate("_spans", seed, step, finish))
-    joined = df.withColumn("_blob", blob_id(whole)).join(blobs, "_blob", "left")
-    return joined.withColumn(text, clean).select(*df.columns)
+    clean = F.when(F.col("spans").isNull(), whole).otherwise(F.aggregate("spans", seed, step, finish))
+    joined = packed(df).withColumn("blob", blob_id(whole)).join(blobs, "blob", "left")
+    return joined.select(F.col("row").withField(text, clean).alias("row")).select("row.*")

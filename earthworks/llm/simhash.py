@@ -14,7 +14,7 @@ documents through the driver. A task returns the links of a spanning forest, not
 Defined results: null, empty and blank texts have fingerprint zero and link like any other. Texts with fewer words than a
 shingle are one shingle of all their words. Repeated rows each get a result. Ties do not arise: a component is named by
 its smallest id, null ids are passed over, and only a component without any id has a null name. Long texts are hashed in
-blocks, whole. Empty tables give empty results. Other columns of the input are not read.
+pieces, whole. Empty tables give empty results. Other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -29,30 +29,34 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from earthworks.llm.components import components
-from earthworks.llm.store import kept
+from earthworks.llm.store import kept, packed
+from earthworks.llm.words import pieces
 
 RADIUS = 3
 SHINGLE = 3
 BLOCKS = 5
 LEAF = 4096
-HASH_BLOCK = 1 << 16
+PIECE = 1 << 18
+
+
+def _bit_counts(words: list[bytes], shingle: int, seed: int) -> np.ndarray:
+    """How many of the words' shingles have each hash bit set."""
+    digest = xxhash.xxh64_intdigest
+    grams = zip(*(words[k:] for k in range(shingle)), strict=False)
+    hashes = np.fromiter((digest(b" ".join(g), seed) for g in grams), "<u8", len(words) - shingle + 1)
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = 42) -> int:
     """The unsigned 64-bit fingerprint of one text. bytes.lower() changes A-Z only, bytes.split() cuts at ASCII white space."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
-    if len(words) < shingle:
-        words, shingle = [b" ".join(words)], 1
-    digest = xxhash.xxh64_intdigest
-    total, counts = len(words) - shingle + 1, np.zeros(64, np.int64)
-    for at in range(0, total, HASH_BLOCK):
-        part = words[at : at + HASH_BLOCK + shingle - 1]
-        grams = zip(*(part[k:] for k in range(shingle)), strict=False)
-        hashes = np.fromiter((digest(b" ".join(g), seed) for g in grams), "<u8", min(HASH_BLOCK, total - at))
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts += bits.sum(axis=0, dtype=np.int64)
+    counts, total, words = np.zeros(64, np.int64), 0, []
+    for piece in pieces((text or "").encode("utf-8", "surrogatepass").lower(), PIECE):
+        words = (words[len(words) - shingle + 1 :] if total else words) + piece.split()
+        if len(words) >= shingle:
+            counts += _bit_counts(words, shingle, seed)
+            total += len(words) - shingle + 1
+    if not total and words:
+        counts, total = _bit_counts([b" ".join(words)], 1, seed), 1
     return int(np.packbits(2 * counts > total, bitorder="little").view("<u8")[0])
 
 
@@ -172,10 +176,10 @@ def deduplicated(df: DataFrame, text: str = "text", **options: int) -> DataFrame
     """One row of each component with all its columns: the smallest id, among its texts the one with the smallest hash."""
     rows = near_duplicates(df, text, **options)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "salt")
-    stay = rows.groupBy("root").agg(F.min(order).alias("o")).select(F.col("o.doc_id").alias("_id"), F.col("o.salt").alias("_salt"))
+    stay = rows.groupBy("root").agg(F.min(order).alias("o")).select(F.col("o.doc_id").alias("id"), "o.salt")
     stay = kept(stay, "stay")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_salt"))
-    found = df.join(stay, same)
+    whole = packed(df)
+    same = F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.xxhash64(f"row.{text}") == F.col("salt"))
     # a repeated row meets its copies here, nothing else does
-    once = Window.partitionBy("_id", "_salt").orderBy(F.lit(0))
-    return found.withColumn("_n", F.row_number().over(once)).where("_n = 1").select(*df.columns)
+    once = Window.partitionBy("id", "salt").orderBy(F.lit(0))
+    return whole.join(stay, same).withColumn("n", F.row_number().over(once)).where("n = 1").select("row.*")

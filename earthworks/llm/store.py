@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from earthworks.operators.lineage import shared_folder
 
@@ -22,3 +23,8 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/llm-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def packed(df: DataFrame) -> DataFrame:
+    """All columns as one, ``row``, so that no name of theirs can clash with one of the work's."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))

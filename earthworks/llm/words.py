@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,3 +20,20 @@ def words(text: Column) -> Column:
 def word_count(text: Column) -> Column:
     """The number of words, without building them: gaps inside the trimmed text, and one."""
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
+
+
+PIECE = 1 << 20
+BLANK = re.compile(r"[\x20\x09-\x0D]")
+BYTE_BLANK = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def pieces(text: str | bytes, size: int = PIECE) -> Iterator[str | bytes]:
+    """A text in pieces cut at white space, so that no list of its words is very long."""
+    blank, at = (BLANK if isinstance(text, str) else BYTE_BLANK), 0
+    while len(text) - at > size:
+        cut = blank.search(text, at + size)
+        if not cut:
+            break
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:]
