@@ -114,12 +114,15 @@ def path(scores: np.ndarray, model: Model, before: int | None, last: int | None)
 
 
 def _segments(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[dict, list[str]]]:
-    """Runs of rows with one part and conversation, with the lines of all their texts. Columns: c, part, ..., text."""
+    """Runs of rows with one part and conversation, with the lines of all their texts. Columns: c, part, ..., text.
+
+    A run's row also has the Arrow ``type`` of c, which a null alone does not tell.
+    """
     open_, lines = None, []
     for batch in batches:
         columns = [batch.column(n) for n in names]
         for values in zip(*(c.to_pylist() for c in columns), strict=True):
-            row = dict(zip(names, values, strict=True))
+            row = dict(zip(names, values, strict=True)) | {"type": columns[0].type}
             if open_ is not None and (open_["c"], open_["part"]) != (row["c"], row["part"]):
                 yield open_, lines
                 open_ = None
@@ -176,7 +179,7 @@ def turns(df: DataFrame, conversation: str, order: list[Column | str], text: str
     def sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, found in _segments(batches, ["c", "part", "first", "text"]):
             table = transfer(seen(found, sent.value)[0], sent.value, row["part"] == row["first"])
-            yield pa.record_batch({"c": [row["c"]], "part": pa.array([row["part"]], pa.int32()), "m": [table.ravel().tolist()]})
+            yield pa.record_batch({"c": pa.array([row["c"]], row["type"]), "part": pa.array([row["part"]], pa.int32()), "m": [table.ravel().tolist()]})
 
     sums = dealt_again(lines.join(marked, same)).mapInArrow(sum_up, f"c {kind}, part int, m array<double>")
     cuts = kept(_cuts(kept(sums, "parts"), model), "cuts")
@@ -193,7 +196,7 @@ def turns(df: DataFrame, conversation: str, order: list[Column | str], text: str
             bodies = [x[m.end():] if m and b else x for x, m, b in zip(found, marks, begins, strict=True)]
             texts = ["\n".join(bodies[a:b]) for a, b in zip(starts, [*starts[1:], len(found)], strict=True)]
             yield pa.record_batch({
-                "c": pa.array([row["c"]] * len(starts)), "part": pa.array([row["part"]] * len(starts), pa.int32()),
+                "c": pa.array([row["c"]] * len(starts), row["type"]), "part": pa.array([row["part"]] * len(starts), pa.int32()),
                 "number": pa.array(number[starts], pa.int64()),
                 "role": [ROLES[STATES[states[a]][0]] for a in starts], "text": texts})
 
