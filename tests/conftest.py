@@ -14,10 +14,12 @@ SF_DIR = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
+    shared = tmp_path_factory.mktemp("shared")
     session = build(
         "tests", "local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false",
         spark__ui__showConsoleProgress="false", spark__driver__memory="4g",
+        spark__checkpoint__dir=f"file://{shared}/kept", spark__sql__warehouse__dir=f"file://{shared}/warehouse",
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
