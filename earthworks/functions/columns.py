@@ -24,8 +24,18 @@ def zero_if_null(c: Column) -> Column:
     return F.coalesce(c, F.lit(0))
 
 
+# All white space, no-break and other wide spaces included.
+_SPACE = r"[\s\p{Z}\x1C-\x1F\x85]"
+_NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+
+
+def strip(c: str | Column) -> Column:
+    """Text without white space of any kind at its ends."""
+    return F.regexp_replace(c if isinstance(c, Column) else F.col(c), f"^{_SPACE}+|{_SPACE}+$", "")
+
+
 def blank_to_null(c: str | Column) -> Column:
-    return F.nullif(F.trim(c), F.lit(""))
+    return F.nullif(strip(c), F.lit(""))
 
 
 def or_label(c: str | Column, label: str = NO_LABEL) -> Column:
@@ -76,7 +86,7 @@ def percent_text(value: Column) -> Column:
 
 def normalised_name(c: str | Column) -> Column:
     """Lower-case ASCII name with single underscores, for matching headers."""
-    text = F.lower(F.trim(c))
+    text = F.lower(strip(c))
     text = F.translate(text, _FOLD_FROM + _SIGNS_TO_UNDERSCORE + _SIGNS_DROPPED,
                        _FOLD_TO + "_" * len(_SIGNS_TO_UNDERSCORE))
     text = F.replace(F.replace(text, F.lit("œ"), F.lit("oe")), F.lit("æ"), F.lit("ae"))
@@ -85,13 +95,13 @@ def normalised_name(c: str | Column) -> Column:
 
 def to_number(c: str | Column) -> Column:
     """Number in a text cell, 0 where there is none."""
-    number = F.trim(c).try_cast("double")
-    return F.when(number.isNull() | F.isnan(number), F.lit(0.0)).otherwise(number)
+    text = strip(c)
+    return F.coalesce(F.when(text.rlike(_NUMBER), text.try_cast("double")), F.lit(0.0))
 
 
 def has_name(c: str | Column) -> Column:
     """True where a designation is neither blank nor a written "nan"."""
-    return ~F.coalesce(F.trim(c), F.lit("")).isin("", "nan", "None")
+    return ~F.coalesce(strip(c), F.lit("")).isin("", "nan", "None")
 
 
 def line_key(code: str, designation: str, unit: str) -> Column:
@@ -142,4 +152,4 @@ def unit_or_mark(c: str) -> Column:
 
 
 def is_known_unit(c: str) -> Column:
-    return F.coalesce(F.trim(c).isin(catalog.UNITS), F.lit(False))
+    return F.coalesce(strip(c).isin(catalog.UNITS), F.lit(False))

@@ -12,15 +12,15 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from earthworks.operators.windows import id_block, running_total
+from earthworks.operators.lineage import stable
+from earthworks.operators.windows import running_total
 from earthworks.sources import catalog
 from earthworks.sources.tables import MONTH, with_defaults
 
 
 def number_rows(df: DataFrame, order: str, out: str) -> DataFrame:
     """Number rows from 1 in the order of a unique column, without a one-task window."""
-    slices = df.withColumn("__slice", id_block(df, order))
-    return running_total(slices, F.lit(1), [], "__slice", order, out, block=F.lit(0)).drop("__slice")
+    return running_total(df, F.lit(1), [], [order], out)
 
 
 def append_rows(
@@ -44,16 +44,10 @@ def newest_per_key(df: DataFrame, key: Sequence[str], order: str) -> DataFrame:
     return best.select(*key, "__row.*").select(df.columns)
 
 
-def upsert_rows(
-    base: DataFrame, changes: DataFrame, key: Sequence[str], order: str | None = None
-) -> DataFrame:
-    """Replace the base rows of every changed key and add the new keys.
-
-    With ``order``, the last change of a key counts.
-    """
+def upsert_rows(base: DataFrame, changes: DataFrame, key: Sequence[str], order: str) -> DataFrame:
+    """Replace the base rows of every changed key and add the new keys; the change of highest order counts."""
     base = base.drop(MONTH)
-    if order is not None:
-        changes = newest_per_key(changes, key, order)
+    changes = newest_per_key(changes, key, order)
     return without(base, changes, key).unionByName(changes.select(base.columns))
 
 
@@ -64,12 +58,17 @@ def insert_ignore(base: DataFrame, new: DataFrame, key: Sequence[str], order: st
     return base.unionByName(without(first, base, key).select(base.columns))
 
 
-def update_rows(base: DataFrame, changes: DataFrame, columns: Sequence[str], key: str = "id") -> DataFrame:
+def update_rows(
+    base: DataFrame, changes: DataFrame, columns: Sequence[str], key: str = "id", order: str | None = None
+) -> DataFrame:
     """Set the given columns from the change with the same key; other rows stay.
 
-    A change sets what it holds, NULL included.
+    A change sets what it holds, NULL included. Of several changes of a key the one of highest ``order`` counts; without
+    an order the greatest values do, compared column by column.
     """
-    side = changes.select(F.col(key).alias("__key"), *[F.col(c).alias(f"__{c}") for c in columns])
+    ranked = changes.withColumn("__order", F.col(order) if order else F.struct(*columns))
+    side = newest_per_key(ranked.filter(F.col(key).isNotNull()).select(key, *columns, "__order"), [key], "__order")
+    side = side.select(F.col(key).alias("__key"), *[F.col(c).alias(f"__{c}") for c in columns])
     joined = base.join(side, base[key] == side["__key"], "left")
     hit = F.col("__key").isNotNull()
     return joined.select(*[
@@ -86,10 +85,14 @@ def without(base: DataFrame, gone: DataFrame, key: Sequence[str]) -> DataFrame:
     return base.join(side, reduce(lambda a, b: a & b, same), "left_anti")
 
 
-def replace_slice(base: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Delete the slices the new rows belong to, then add the new rows."""
+def replace_slice(base: DataFrame, new: DataFrame, key: Sequence[str], slices: DataFrame | None = None) -> DataFrame:
+    """Delete slices, then add the new rows.
+
+    ``slices`` names the slices by their key, also those that get no new row; by default they are those of the new rows.
+    """
     base = base.drop(MONTH)
-    return without(base, new.select(*key).distinct(), key).unionByName(new.select(base.columns))
+    named = (new if slices is None else slices).select(*key).distinct()
+    return without(base, named, key).unionByName(new.select(base.columns))
 
 
 # How a site takes its records with it: child, column, parent, what happens.
@@ -100,10 +103,11 @@ DETACH = {("materiels", "rue_id_affectation")}
 def cascade_delete(tables: Mapping[str, DataFrame], site_ids: DataFrame) -> dict[str, DataFrame]:
     """Every table after deleting sites, along the foreign keys from the sites.
 
-    Children go with their parent, except columns that are set to NULL.
+    Children go with their parent, except columns that are set to NULL. The ids
+    that go are kept once per table with children, all reasons together.
     ``site_ids`` holds one column ``id``.
     """
-    gone = {"rues": site_ids}
+    gone = {"rues": stable(site_ids)}
     result = {"rues": without(tables["rues"], site_ids, ["id"])}
     for table in _children_after_parents("rues"):
         df = tables[table]
@@ -120,7 +124,11 @@ def cascade_delete(tables: Mapping[str, DataFrame], site_ids: DataFrame) -> dict
                 kept = _set_null(kept, column, gone[parent])
         result[table] = kept
         if doomed and any(p == table for _, _, p, _ in catalog.FOREIGN_KEYS):
-            gone[table] = reduce(DataFrame.union, doomed).distinct()
+            gone[table] = stable(reduce(DataFrame.union, doomed).distinct())
+            result[table] = without(df, gone[table], ["id"])
+            for column, parent, rule in links:
+                if rule == "set null" or (table, column) in DETACH:
+                    result[table] = _set_null(result[table], column, gone[parent])
     return result
 
 

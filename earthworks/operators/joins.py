@@ -43,6 +43,6 @@ def with_total(df: DataFrame, totals: DataFrame, on: str, key: str) -> DataFrame
 
 
 def name_to_id(df: DataFrame, dim: DataFrame, name: str, out: str) -> DataFrame:
-    """Resolve names to the ids of a dimension with unique names; NULL if unknown."""
-    side = dim.select(F.col("id").alias(out), F.col("nom").alias("__name"))
+    """Resolve names to ids of a dimension; the lowest id if several rows have a name, NULL if none has."""
+    side = dim.groupBy(F.col("nom").alias("__name")).agg(F.min("id").alias(out))
     return df.join(side, df[name] == side["__name"], "left").drop("__name")

@@ -1,34 +1,25 @@
-"""Keep small results that several later steps read, and broadcast those counted small."""
+"""Results that several later steps read, kept in the folder that all executors share."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
-BROADCAST_ROWS = 500_000
 
 
 def stable(df: DataFrame) -> DataFrame:
-    """Write a result to the shared checkpoint folder and read it from there.
+    """Write a result to the shared folder and read it from there.
 
     It survives the loss of executors, and what built it is not run again.
     """
-    _ensure_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a narrow frame for broadcast if it is counted to be small; else leave it as it is."""
-    return F.broadcast(df) if df.count() <= rows else df
+    path = f"{shared_folder(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder for kept results that the session names; else one below its warehouse, which executors share too."""
     folder = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING, None)
     return (folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_kept").rstrip("/")
-
-
-def _ensure_folder(spark: SparkSession) -> None:
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))

@@ -1,7 +1,13 @@
-"""Ordered analytics that stay distributed when one key holds most rows."""
+"""Ordered analytics that stay distributed when one key holds most rows.
+
+Rows are dealt out once by ranges of (key, order): a hot key, or a whole table, then lies in many parts of like size,
+whatever its ids look like. Each part is summed, the few sums are added up along the parts of a key, and a window inside
+a part does the rest. There is one path for every size.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
@@ -9,53 +15,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from earthworks.operators.lineage import small, stable
+from earthworks.operators.lineage import stable
 
-BLOCK_ROWS = 1 << 20
-WINDOW_ROWS = 1 << 21
+PART = "__part"
 
 
-def id_block(df: DataFrame, column: str, rows: int | None = None, prefix: int = 6) -> Column:
-    """Order-preserving slice of a unique id, to bound the rows of a window.
+def dealt(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Rows with the part they are dealt to; kept, since parts must not change while they are read twice."""
+    along = [F.asc_nulls_first(c) for c in (*by, *order)]
+    return stable(df.repartitionByRange(*along).withColumn(PART, F.spark_partition_id()))
 
-    Whole numbers are cut every ``rows`` ids, so a slice never holds more rows
-    than that; texts are cut by their first characters.
-    """
-    if isinstance(df.schema[column].dataType, T.IntegralType):
-        return F.floor(F.col(column) / F.lit(rows or BLOCK_ROWS))
-    return F.substring(column, 1, prefix)
 
-
-def running_total(
-    df: DataFrame, value: Column, by: list[str], date: str, id_column: str, out: str,
-    block: Column | None = None, window_rows: int | None = None,
-) -> DataFrame:
-    """Running sum of ``value`` per key in (date, id) order, over whole groups.
-
-    A key's rows are summed in one window while they are at most ``window_rows``,
-    which is counted first. Keys with more are summed in slices, and so is a
-    whole table, so that no task holds a hot key or all rows.
-    """
-    block = id_block(df, id_column) if block is None else block
-    window_rows = window_rows or WINDOW_ROWS
-    if not by:
-        return _sliced(df, value, by, date, id_column, out, block)
-    hot = _hot_keys(df, by, window_rows)
-    if hot is None:
-        return _plain(df, value, by, date, id_column, out, block)
-    renamed = hot.select(*[F.col(k).alias(f"__hot_{k}") for k in by])
-    same = reduce(and_, [df[k].eqNullSafe(F.col(f"__hot_{k}")) for k in by])
-    calm, busy = df.join(renamed, same, "left_anti"), df.join(renamed, same, "left_semi")
-    return _plain(calm, value, by, date, id_column, out, block).unionByName(
-        _sliced(busy, value, by, date, id_column, out, block)
-    )
-
-
-def _hot_keys(df: DataFrame, by: list[str], window_rows: int) -> DataFrame | None:
-    """Keys with more rows than a window should hold, or None; at most one key per ``window_rows`` rows."""
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__rows"))
-    hot = sizes.filter(F.col("__rows") > window_rows).drop("__rows")
-    return None if hot.isEmpty() else small(stable(hot))
+def _inside(by: Sequence[str], order: Sequence[str]) -> Window:
+    return Window.partitionBy(*by, PART).orderBy(*[F.asc_nulls_first(c) for c in order])
 
 
 def _total_type(df: DataFrame, value: Column) -> T.DataType:
@@ -63,97 +35,74 @@ def _total_type(df: DataFrame, value: Column) -> T.DataType:
     return T.DecimalType(38, kind.scale) if isinstance(kind, T.DecimalType) else kind
 
 
-def _plain(
-    df: DataFrame, value: Column, by: list[str], date: str, id_column: str, out: str, block: Column
-) -> DataFrame:
-    along = Window.partitionBy(*by).orderBy(F.asc_nulls_first(date), F.asc_nulls_first(id_column))
-    upto = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn(out, F.sum(value).over(upto).cast(_total_type(df, value)))
-
-
-def _sliced(
-    df: DataFrame, value: Column, by: list[str], date: str, id_column: str, out: str, block: Column
-) -> DataFrame:
-    """From coarse to fine: over the days of a key, the id slices of a day, the rows of a slice.
-
-    The widest window sees one row per day of a key.
-    """
+def running_total(df: DataFrame, value: Column, by: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
+    """Running sum of ``value`` per key along ``order``, which is unique in a key; over the whole table without one."""
     total_type = _total_type(df, value)
-    rows = df.withColumns({"__v": value.cast(total_type), "__b": block})
-    day, leaf = [*by, date], [*by, date, "__b"]
-
-    slices = rows.groupBy(*leaf).agg(F.sum("__v").cast(total_type).alias("__v"))
-    days = slices.groupBy(*day).agg(F.sum("__v").cast(total_type).alias("__v"))
-    day_starts = _starts(days, by, [date])
-    slice_starts = _starts(_opened_by(slices, day_starts), day, ["__row", "__b"]).filter("__row = 1").drop("__row")
-    inside = Window.partitionBy(*leaf).orderBy("__row", F.asc_nulls_first(id_column))
-    summed = _opened_by(rows, slice_starts).withColumn(
-        out, F.sum("__v").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast(total_type)
-    )
-    return summed.filter("__row = 1").select(*df.columns, out)
+    rows = dealt(df.withColumn("__v", value.cast(total_type)), by, order)
+    return _summed(rows, by, order, out).select(*df.columns, out)
 
 
-def _starts(totals: DataFrame, within: list[str], order: list[str]) -> DataFrame:
-    """Replace each total by the sum of those before it."""
-    before = Window.partitionBy(*within).orderBy(*[F.asc_nulls_first(c) for c in order]).rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    return totals.withColumn("__v", F.coalesce(F.sum("__v").over(before), F.lit(0)).cast(totals.schema["__v"].dataType))
+def _summed(rows: DataFrame, by: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
+    """Running sum of the column ``__v`` of dealt rows."""
+    total_type = rows.schema["__v"].dataType
+    sums = rows.groupBy(*by, PART).agg(F.sum("__v").alias("__sum"))
+    before = Window.partitionBy(*by).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(*by, PART, F.coalesce(F.sum("__sum").over(before), F.lit(0)).cast(total_type).alias("__start"))
+    upto = _inside(by, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    opened = _join_nullsafe(rows, starts, [*by, PART])
+    return opened.withColumn(out, (F.col("__start") + F.coalesce(F.sum("__v").over(upto), F.lit(0))).cast(total_type))
 
 
-def _opened_by(rows: DataFrame, starts: DataFrame) -> DataFrame:
-    """Put the starting value of each group in front of its rows, as row 0.
-
-    The window over the group then begins at that value, with no join.
-    """
-    first = starts.withColumn("__row", F.lit(0))
-    return rows.withColumn("__row", F.lit(1)).unionByName(first, allowMissingColumns=True)
-
-
-def _join_nullsafe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+def _join_nullsafe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Inner equi-join on keys that may be NULL, keeping the left key columns."""
     renamed = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
     same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys])
     return left.join(renamed, same).drop(*[f"__r_{k}" for k in keys])
 
 
-def sequential_runs(
-    df: DataFrame, label: Column, by: str, position: str, out: str
-) -> DataFrame:
+def sequential_runs(df: DataFrame, label: Column, by: str, position: str, out: str) -> DataFrame:
     """Number the runs of equal labels along a position, within each key.
 
     The label depends on the position, so runs are found on the distinct
     positions of a key, far fewer than the rows, and joined back to the rows.
     """
-    places = df.select(by, position, label.alias("__label")).distinct()
-    along = Window.partitionBy(by).orderBy(F.asc_nulls_first(position))
-    if _hot_keys(places, [by], WINDOW_ROWS) is None:
-        fresh = F.when(F.lag("__label").over(along).eqNullSafe(F.col("__label")), 0).otherwise(1)
-        upto = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        numbered = places.withColumn("__new", fresh).withColumn(out, F.sum("__new").over(upto))
-    else:
-        blocks = places.withColumn("__block", id_block(places, position))
-        starts = _with_previous(blocks, "__label", by, position, "__before")
-        fresh = F.when(F.col("__before").eqNullSafe(F.col("__label")), 0).otherwise(1)
-        numbered = running_total(starts, fresh, [by], "__block", position, out, block=F.lit(0))
+    places = dealt(df.select(by, position, label.alias("__label")).distinct(), [by], [position])
+    last = places.groupBy(by, PART).agg(
+        F.max_by("__label", F.struct(F.col(position).isNotNull(), F.col(position))).alias("__last"))
+    along = Window.partitionBy(by).orderBy(PART)
+    edges = last.select(by, PART, F.lag("__last").over(along).alias("__edge"))
+    rows = _join_nullsafe(places, edges, [by, PART])
+    inside = _inside([by], [position])
+    before = F.when(F.row_number().over(inside) == 1, F.col("__edge")).otherwise(F.lag("__label").over(inside))
+    fresh = rows.withColumn("__v", F.when(before.eqNullSafe(F.col("__label")), 0).otherwise(1).cast("bigint"))
+    numbered = _summed(fresh, [by], [position], out)
     return _join_nullsafe(df, numbered.select(by, position, out), [by, position])
 
 
-def _with_previous(df: DataFrame, column: str, by: str, position: str, out: str) -> DataFrame:
-    """Value of the row before, looked up inside blocks and, for their first rows, in the last block."""
-    inside = Window.partitionBy(by, "__block").orderBy(F.asc_nulls_first(position))
-    blocks = df.groupBy(by, "__block").agg(
-        F.max_by(column, F.struct(F.col(position).isNotNull(), F.col(position))).alias("__last")
-    )
-    across = Window.partitionBy(by).orderBy(F.asc_nulls_first("__block"))
-    edges = blocks.withColumn("__edge", F.lag("__last").over(across)).drop("__last")
-    rows = df.withColumns({"__n": F.row_number().over(inside), "__lag": F.lag(column).over(inside)})
-    joined = _join_nullsafe(rows, edges, [by, "__block"])
-    previous = F.when(F.col("__n") == 1, F.col("__edge")).otherwise(F.col("__lag"))
-    return joined.withColumn(out, previous).drop("__n", "__lag", "__edge")
-
-
 def latest(df: DataFrame, date: str, id_column: str, k: int | None) -> DataFrame:
     """Newest first; ``k`` keeps the first rows. Ids settle equal dates."""
     ordered = df.orderBy(F.desc(date), F.desc(id_column))
     return ordered if k is None else ordered.limit(k)
+
+
+def newest_with_match(
+    df: DataFrame, dim: DataFrame, on: str, date: str, k: int | None, month: str | None = None
+) -> DataFrame:
+    """The rows of a fact among which the ``k`` newest with a known ``on`` are, before any join of whole rows.
+
+    Rows are counted per (day, key), the few counts meet the dimension, and days are added up from the newest until they
+    hold ``k``; the fact is then read from that day on. Equal days stay together, so a cut by (date, id) can follow.
+    """
+    if k is None:
+        return df
+    day = F.to_date(date)
+    counts = df.filter(F.col(on).isNotNull()).groupBy(day.alias("__day"), on).agg(F.count(F.lit(1)).alias("__n"))
+    known = counts.join(dim.select(F.col("id").alias(on)), on, "left_semi").groupBy("__day").agg(F.sum("__n").alias("__n"))
+    # one row per day of the table
+    newer = Window.orderBy(F.desc_nulls_last("__day")).rowsBetween(Window.unboundedPreceding, -1)
+    wanted = known.withColumn("__newer", F.coalesce(F.sum("__n").over(newer), F.lit(0))).filter(F.col("__newer") < k)
+    since, undated = wanted.agg(F.min("__day")).scalar(), wanted.agg(F.count_if(F.col("__day").isNull()) > 0).scalar()
+    chosen = df.filter((F.col(date) >= since) | (F.col(date).isNull() & undated))
+    if month and month in df.columns:
+        chosen = chosen.filter((F.col(month) >= F.date_format(since, "yyyy-MM")) | F.col(month).isNull())
+    return chosen

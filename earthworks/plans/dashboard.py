@@ -15,11 +15,12 @@ from earthworks.operators.windows import latest
 from earthworks.plans import facts, market
 from earthworks.plans.facts import Frames
 from earthworks.sources import catalog
+from earthworks.sources.tables import period
 
 
 def present_count(tables: Frames, day: dt.date, site: int | None = None) -> DataFrame:
-    present = (F.col("date_pointage") == F.lit(day)) & (F.col("statut") == catalog.PRESENT)
-    return tables["pointage"].filter(present & equals_if("rue_id", site)).agg(
+    present = (F.col("statut") == catalog.PRESENT) & equals_if("rue_id", site)
+    return period(tables["pointage"], "pointage", day, day).filter(present).agg(
         F.count(F.lit(1)).alias("presents")
     )
 
@@ -57,7 +58,7 @@ def site_progress(tables: Frames, site: int | None = None) -> DataFrame:
     """Market and executed amount of every site, sites without lines at 0."""
     sites = tables["rues"].filter(equals_if("id", site))
     sites = with_names(sites, tables["dossiers"], "dossier_id", __dossier="nom")
-    done = with_total(sites, facts.amounts_by_site(tables), "id", "rue_id")
+    done = with_total(sites, facts.amounts_by_site(tables, site), "id", "rue_id")
     market, executed = F.col("montant_marche"), F.col("montant_execute")
     return done.select(
         F.col("id").alias("rue_id"),

@@ -16,10 +16,13 @@ from earthworks.sources.tables import bill_lines
 Frames = Mapping[str, DataFrame]
 
 
-def executed_by_line(tables: Frames) -> DataFrame:
-    return tables["realisations_journalieres"].groupBy("devis_id").agg(
-        F.sum("quantite_jour").alias("qte_executee")
-    )
+def executed_by_line(tables: Frames, lines: DataFrame | None = None) -> DataFrame:
+    """Executed quantity of every line, or of the given lines only (column ``id``)."""
+    done = tables["realisations_journalieres"]
+    if lines is not None:
+        chosen = lines.select(F.col("id").alias("__line"))
+        done = done.join(chosen, done["devis_id"] == chosen["__line"], "left_semi")
+    return done.groupBy("devis_id").agg(F.sum("quantite_jour").alias("qte_executee"))
 
 
 def line_progress(tables: Frames, site: int | None = None, deliverable: int | None = None) -> DataFrame:
@@ -27,7 +30,8 @@ def line_progress(tables: Frames, site: int | None = None, deliverable: int | No
     lines = bill_lines(tables, site, deliverable).withColumns({
         c: zero_if_null(F.col(c)) for c in ("quantite_marche", "prix_unitaire")
     })
-    done = with_total(lines, executed_by_line(tables), "id", "devis_id")
+    narrowed = site is not None or deliverable is not None
+    done = with_total(lines, executed_by_line(tables, lines if narrowed else None), "id", "devis_id")
     return done.withColumns({
         "montant_marche": amount("quantite_marche", "prix_unitaire"),
         "montant_execute": amount("qte_executee", "prix_unitaire"),

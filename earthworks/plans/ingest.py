@@ -8,9 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from earthworks.functions.columns import blank_to_null, has_name, normalised_name, to_number
-from earthworks.operators.lineage import small, stable
-from earthworks.operators.windows import BLOCK_ROWS, running_total
+from earthworks.functions.columns import blank_to_null, has_name, normalised_name, strip, to_number
+from earthworks.operators.lineage import stable
+from earthworks.operators.windows import running_total
 
 # Words that mark a header row.
 HEADER_WORDS = [
@@ -62,23 +62,25 @@ def _filled(cells: DataFrame) -> DataFrame:
     return cells.filter(blank_to_null("value").isNotNull())
 
 
-def column_names(cells: DataFrame) -> DataFrame:
+def column_names(cells: DataFrame, max_scan: int = MAX_SCAN) -> DataFrame:
     """Normalised names of the columns that hold anything below the header.
 
     The cells are read once for the last filled row of each column, and once
-    more for the few rows a header may be in.
+    more for the few rows a header may be in. A file with a header and nothing
+    below it has one row without a column.
     """
     last = _filled(cells).groupBy("file_id", "col_idx").agg(F.max("row_idx").alias("last_row"))
-    heads = cells.filter(F.col("row_idx") < MAX_SCAN).select(
+    heads = cells.filter(F.col("row_idx") < max_scan).select(
         "file_id", "col_idx", F.col("row_idx").alias("header_row"), "value"
     )
-    known = detect_header(cells).select("file_id", "header_row")
+    known = detect_header(cells, max_scan).select("file_id", "header_row")
     used = last.join(known, "file_id", "left").withColumn("header_row", F.coalesce("header_row", F.lit(0)))
-    named = used.filter(F.col("last_row") > F.col("header_row")).join(
-        heads, ["file_id", "col_idx", "header_row"], "left"
-    )
+    below = F.col("last_row") > F.col("header_row")
+    files = used.groupBy("file_id").agg(F.first("header_row").alias("header_row"), F.count_if(below).alias("n"))
+    bare = files.filter("n = 0").select("file_id", "header_row", F.lit(None).cast("int").alias("col_idx"), F.lit(None).cast("string").alias("nom"))
+    named = used.filter(below).join(heads, ["file_id", "col_idx", "header_row"], "left")
     text = F.coalesce(blank_to_null("value"), F.concat(F.lit("Unnamed: "), F.col("col_idx")))
-    return named.select("file_id", "header_row", "col_idx", normalised_name(text).alias("nom"))
+    return named.select("file_id", "header_row", "col_idx", normalised_name(text).alias("nom")).unionByName(bare)
 
 
 def resolve(names: DataFrame, target: str = "site") -> DataFrame:
@@ -104,11 +106,11 @@ def layout(cells: DataFrame, target: str = "site") -> DataFrame:
     """Every used column of every file: header row, position, name and field.
 
     A column chosen for two fields has two rows; one chosen for none has a NULL field.
-    Names and layout are few rows that are read several times, so they are kept.
+    The layout is few rows that are read several times, so it is kept.
     """
-    names = stable(column_names(cells))
-    fields = resolve(names, target).select("file_id", "col_idx", "champ", "rang")
-    return stable(names.join(fields, ["file_id", "col_idx"], "left"))
+    named = column_names(cells)
+    fields = resolve(named.filter(F.col("col_idx").isNotNull()), target).select("file_id", "col_idx", "champ", "rang")
+    return stable(named.join(fields, ["file_id", "col_idx"], "left"))
 
 
 def fields_of(columns: DataFrame) -> DataFrame:
@@ -128,7 +130,7 @@ def missing_fields(columns: DataFrame) -> DataFrame:
 def _body(cells: DataFrame, columns: DataFrame) -> DataFrame:
     """Filled cells below the header with the field of their column, if any."""
     side = columns.select("file_id", "col_idx", "header_row", "champ")
-    return _filled(cells).join(small(side), ["file_id", "col_idx"]).filter(F.col("row_idx") > F.col("header_row"))
+    return _filled(cells).join(side, ["file_id", "col_idx"]).filter(F.col("row_idx") > F.col("header_row"))
 
 
 def _rows(cells: DataFrame, columns: DataFrame, target: str) -> DataFrame:
@@ -141,9 +143,17 @@ def _rows(cells: DataFrame, columns: DataFrame, target: str) -> DataFrame:
 def grid(cells: DataFrame, target: str = "site") -> DataFrame:
     """Sheet rows with their resolved fields as text, numbered from 0 in each file."""
     rows = _rows(cells, layout(cells, target), target)
-    blocks = rows.withColumn("__block", F.floor(F.col("row_idx") / BLOCK_ROWS))
-    counted = running_total(blocks, F.lit(1), ["file_id"], "__block", "row_idx", "__n", block=F.lit(0))
-    return counted.withColumn("ligne", F.col("__n") - 1).drop("__block", "__n")
+    counted = running_total(rows, F.lit(1), ["file_id"], ["row_idx"], "__n")
+    return counted.withColumn("ligne", F.col("__n") - 1).drop("__n")
+
+
+def grid_cells(cells: DataFrame, target: str = "site") -> DataFrame:
+    """Every filled cell below the header in long form: file, row from 0, column name and value, of any width."""
+    body = _filled(cells).join(layout(cells, target).select("file_id", "col_idx", "header_row", "nom").distinct(),
+                               ["file_id", "col_idx"]).filter(F.col("row_idx") > F.col("header_row"))
+    rows = running_total(body.select("file_id", "row_idx").distinct(), F.lit(1), ["file_id"], ["row_idx"], "__n")
+    return body.join(rows, ["file_id", "row_idx"]).select(
+        "file_id", (F.col("__n") - 1).alias("ligne"), "col_idx", "nom", "value")
 
 
 def match_deliverables(columns: DataFrame, files: DataFrame, deliverables: DataFrame) -> DataFrame:
@@ -158,9 +168,12 @@ def match_deliverables(columns: DataFrame, files: DataFrame, deliverables: DataF
         F.lower(F.trim("nom")).alias("livrable"), normalised_name("nom").alias("__norm"),
     )
     either = F.col("nom").contains(F.col("__norm")) | F.col("__norm").contains(F.col("nom"))
-    pairs = free.join(files, "file_id").join(side, "rue_id").filter(either)
+    placed = free.join(files, "file_id")
+    # each name of a site is matched once, however many of its files have it
+    pairs = placed.select("rue_id", "nom").distinct().join(side, "rue_id").filter(either)
     best = F.min(F.struct("livrable", "livrable_id")).alias("best")
-    return pairs.groupBy("file_id", "rue_id", "col_idx", "nom").agg(best).select(
+    found = pairs.groupBy("rue_id", "nom").agg(best)
+    return placed.join(found, ["rue_id", "nom"]).select(
         "file_id", "rue_id", "col_idx", "nom", "best.livrable_id", "best.livrable"
     )
 
@@ -172,7 +185,7 @@ def _accepted(cells: DataFrame, columns: DataFrame, target: str) -> DataFrame:
 
 
 def _text(field: str) -> Column:
-    return F.coalesce(F.trim(F.col(field)), F.lit(""))
+    return F.coalesce(strip(field), F.lit(""))
 
 
 def import_simple(
@@ -204,17 +217,23 @@ def import_multi(
 ) -> DataFrame:
     """Lines of files with a column per deliverable, one per quantity that is not 0."""
     columns = layout(cells) if columns is None else columns
-    matches = match_deliverables(columns, files, deliverables).select(
-        "file_id", "rue_id", "col_idx", "livrable_id"
-    )
-    quantities = cells.join(small(matches), ["file_id", "col_idx"]).select(
-        "file_id", "row_idx", "rue_id", "livrable_id", to_number("value").alias("quantite")
-    ).filter(F.col("quantite") != 0)
-    return _accepted(cells, columns, "site").join(quantities, ["file_id", "row_idx"]).select(
-        "file_id", "row_idx", "rue_id", "livrable_id",
-        _text("code").alias("code_poste"), _text("designation").alias("designation"), _text("unite").alias("unite"),
-        "quantite", to_number("pu").alias("prix_unitaire"),
+    matches = match_deliverables(columns, files, deliverables).select("file_id", "col_idx", "rue_id", "livrable_id")
+    side = columns.join(matches, ["file_id", "col_idx"], "left").select(
+        "file_id", "col_idx", "header_row", "champ", "rue_id", "livrable_id")
+    body = _filled(cells).join(side, ["file_id", "col_idx"]).filter(F.col("row_idx") > F.col("header_row"))
+    # one group per sheet row: its fields, and as many quantities as the sheet has deliverable columns
+    number = to_number("value")
+    counted = F.when(F.col("livrable_id").isNotNull() & (number != 0), F.struct("rue_id", "livrable_id", number.alias("quantite")))
+    rows = body.groupBy("file_id", "row_idx").agg(
+        *[F.max(F.when(F.col("champ") == f, F.col("value"))).alias(f) for f in ALIASES["site"]],
+        F.collect_list(counted).alias("__counted"),
     )
+    refused = missing_fields(columns).select("file_id")
+    accepted = rows.filter(has_name("designation")).join(refused, "file_id", "left_anti")
+    return accepted.select(
+        "file_id", "row_idx", _text("code").alias("code_poste"), _text("designation").alias("designation"),
+        _text("unite").alias("unite"), to_number("pu").alias("prix_unitaire"), F.inline("__counted"),
+    ).select("file_id", "row_idx", "rue_id", "livrable_id", "code_poste", "designation", "unite", "quantite", "prix_unitaire")
 
 
 def import_stats(lines: DataFrame) -> DataFrame:

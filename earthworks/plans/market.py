@@ -11,7 +11,7 @@ from earthworks.functions.columns import (
     NO_DELIVERABLE, amount, line_key, or_label, percent, remaining, zero_if_null,
 )
 from earthworks.operators.aggregates import (
-    DETAIL, LEVEL, TOTAL, append_levels, at_level, first_by_id, pivot_sums, total,
+    DETAIL, LEVEL, TOTAL, append_levels, at_level, distinct_in_order, first_by_id, pivot_sums, total,
 )
 from earthworks.operators.joins import with_names
 from earthworks.plans import facts
@@ -32,12 +32,13 @@ def lines_total(tables: Frames, site: int | None = None, deliverable: int | None
     )
 
 
+def _keyed(tables: Frames, site: int | None) -> DataFrame:
+    return bill_lines(tables, site).withColumn("cle", line_key("code_poste", "designation", "unite"))
+
+
 def _keyed_lines(tables: Frames, site: int | None) -> DataFrame:
-    named = with_names(bill_lines(tables, site), tables["livrables"], "livrable_id", __livrable="nom")
-    return named.withColumns({
-        "livrable": or_label("__livrable", NO_DELIVERABLE),
-        "cle": line_key("code_poste", "designation", "unite"),
-    })
+    named = with_names(_keyed(tables, site), tables["livrables"], "livrable_id", __livrable="nom")
+    return named.withColumn("livrable", or_label("__livrable", NO_DELIVERABLE))
 
 
 def recap(tables: Frames, site: int | None = None) -> DataFrame:
@@ -47,9 +48,25 @@ def recap(tables: Frames, site: int | None = None) -> DataFrame:
     )
 
 
-def recap_wide(tables: Frames, names: list[str], site: int | None = None) -> DataFrame:
-    """Recap matrix with one column per deliverable name, in the given order."""
-    return pivot_sums(_keyed_lines(tables, site), ["rue_id", "cle"], "livrable", "quantite_marche", names)
+def recap_names(tables: Frames, site: int | None = None) -> list[str]:
+    """Names of all deliverables that lines have, in the order in which the lines first name them."""
+    named = distinct_in_order(_keyed_lines(tables, site), "livrable")
+    return [r.livrable for r in named.collect()]  # column names of one result, few by nature
+
+
+def recap_wide(tables: Frames, names: list[str] | None = None, site: int | None = None) -> DataFrame:
+    """Recap matrix: a column per deliverable, then total quantity and amount, and a total row per site.
+
+    Columns are all deliverables in first-seen order, or the given ones; totals always count every deliverable.
+    """
+    names = recap_names(tables, site) if names is None else names
+    wide = pivot_sums(_keyed_lines(tables, site), ["rue_id", "cle"], "livrable", "quantite_marche", names)
+    totals = recap_totals(tables, site)
+    keys = totals.filter(F.col(LEVEL) == DETAIL).select("rue_id", "cle", "qte_totale", "montant_total")
+    detail = at_level(wide.join(keys, ["rue_id", "cle"]), DETAIL)
+    per_site = wide.groupBy("rue_id").agg(*[total(F.col(f"`{n}`")).alias(n) for n in names])
+    sums = keys.groupBy("rue_id").agg(total("qte_totale").alias("qte_totale"), total("montant_total").alias("montant_total"))
+    return append_levels(detail, at_level(per_site.join(sums, "rue_id"), TOTAL))
 
 
 def recap_totals(tables: Frames, site: int | None = None) -> DataFrame:
@@ -57,7 +74,7 @@ def recap_totals(tables: Frames, site: int | None = None) -> DataFrame:
 
     The amount is the summed quantity times the first unit price of the key.
     """
-    lines = _keyed_lines(tables, site)
+    lines = _keyed(tables, site)
     shown = ["code_poste", "designation", "unite", "prix_unitaire"]
     keys = lines.groupBy("rue_id", "cle").agg(
         *[first_by_id(c).alias(c) for c in shown], total("quantite_marche").alias("qte_totale")

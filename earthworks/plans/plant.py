@@ -11,18 +11,22 @@ from earthworks.functions.columns import or_label
 from earthworks.operators.aggregates import total
 from earthworks.operators.filters import equals_if
 from earthworks.operators.joins import with_names, with_site
-from earthworks.operators.windows import latest
+from earthworks.operators.windows import latest, newest_with_match
 from earthworks.plans.facts import Frames
 from earthworks.sources import catalog
-from earthworks.sources.tables import recent
+from earthworks.sources.tables import MONTH, recent
 
 # Fixed value: note of a fuel exit, before the name of the plant.
 FUEL_NOTE = "Carburant engin "
 
 
+def _entries(tables: Frames, as_of: dt.date, days: int | None, site: int | None) -> DataFrame:
+    return recent(tables["suivi_materiels"], "suivi_materiels", as_of, days).filter(equals_if("rue_id", site))
+
+
 def _log(tables: Frames, as_of: dt.date, days: int | None, site: int | None, k: int | None) -> DataFrame:
-    entries = recent(tables["suivi_materiels"], "suivi_materiels", as_of, days)
-    chosen = entries.filter(equals_if("rue_id", site))
+    chosen = newest_with_match(
+        _entries(tables, as_of, days, site), tables["materiels"], "materiel_id", "date_suivi", k, MONTH)
     rows = with_names(chosen, tables["materiels"], "materiel_id", "inner", engin="nom")
     return rows if k is None else latest(rows, "date_suivi", "id", k)
 
@@ -41,8 +45,12 @@ def plant_log(
 def plant_totals(
     tables: Frames, as_of: dt.date, days: int | None = None, site: int | None = None, last_n: int | None = None
 ) -> DataFrame:
-    return _log(tables, as_of, days, site, last_n).agg(
-        total("heures_travail").alias("total_heures"), total("carburant_consomme").alias("total_carburant")
+    """Hours and fuel of known plant; sums are taken per machine first, and only they meet the list of plant."""
+    rows = _entries(tables, as_of, days, site) if last_n is None else _log(tables, as_of, days, site, last_n)
+    per_machine = rows.groupBy("materiel_id").agg(
+        total("heures_travail").alias("heures"), total("carburant_consomme").alias("carburant"))
+    return with_names(per_machine, tables["materiels"], "materiel_id", "inner").agg(
+        total("heures").alias("total_heures"), total("carburant").alias("total_carburant")
     )
 
 
@@ -60,7 +68,9 @@ def fuel_exits(tables: Frames) -> DataFrame:
 
 
 def maintenance_history(tables: Frames, k: int = 100) -> DataFrame:
-    rows = with_names(tables["maintenance_materiels"], tables["materiels"], "materiel_id", "inner", engin="nom")
+    newest = newest_with_match(
+        tables["maintenance_materiels"], tables["materiels"], "materiel_id", "date_maintenance", k, MONTH)
+    rows = with_names(newest, tables["materiels"], "materiel_id", "inner", engin="nom")
     return latest(rows, "date_maintenance", "id", k).select(
         "id", "date_maintenance", "engin", "type_maintenance", "description", "cout"
     )

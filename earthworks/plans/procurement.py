@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from earthworks.functions.columns import GENERAL, amount, percent, remaining
-from earthworks.operators.changes import update_rows
+from earthworks.operators.changes import append_rows, update_rows
 from earthworks.operators.filters import equals_if
 from earthworks.operators.joins import with_site, with_total
 from earthworks.plans import facts
@@ -128,6 +128,44 @@ def _moved(rows: DataFrame, orders: DataFrame) -> DataFrame:
     return rows.select(*[changed.get(c, F.col(c)) for c in orders.columns])
 
 
+def stock_moves(tables: Frames, requests: DataFrame, day: dt.date) -> tuple[DataFrame, DataFrame]:
+    """Orders after a batch of requests, and the stock entries of exactly the orders it moves to stock.
+
+    An entry takes the quantity and price that the order keeps; orders without a catalogued material get none.
+    """
+    orders, _ = transitions(tables, requests)
+    before = tables["approvisionnements"].select(F.col("id").alias("__id"), F.col("statut").alias("__before"))
+    moved = orders.filter(F.col("statut") == STOCKED).join(before, F.col("id") == F.col("__id")).filter(
+        (F.col("__before") != STOCKED) & F.col("materiau_id").isNotNull())
+    note = F.concat(F.lit(POSTED_NOTE), F.coalesce("numero_bc", F.lit("")))
+    entries = moved.select(
+        F.lit(day).alias("date_mvt"), "rue_id", "materiau_id", F.lit(ENTRY).alias("type_mvt"),
+        F.col("quantite_mise_stock").alias("quantite"), F.col("prix_unitaire_reel").alias("prix_unitaire"),
+        F.coalesce("fournisseur", F.lit("")).alias("fournisseur"),
+        F.coalesce("bon_livraison", F.lit("")).alias("bon_livraison"),
+        F.col("id").alias("appro_id"), note.alias("observation"),
+    )
+    return orders, entries
+
+
+def post_receptions(tables: Frames, deliveries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Receptions with new deliveries, and the orders with the quantity, last date and last note that follow.
+
+    ``deliveries`` holds ``appro_id, date_reception, quantite_recue, bon_livraison, observation`` and a unique
+    ``source_id`` that settles the order of those of one day. Deliveries of nothing are left out.
+    """
+    new = deliveries.filter(F.col("quantite_recue") > 0)
+    base = tables["receptions_appro"]
+    receptions = append_rows(base, new, "receptions_appro", order="source_id")
+    last = new.groupBy(F.col("appro_id").alias("id")).agg(
+        F.max_by(F.struct("date_reception", "bon_livraison"), F.struct("date_reception", "source_id")).alias("__last"))
+    sums = facts.received_by_order({"receptions_appro": receptions}).withColumnRenamed("appro_id", "id")
+    changes = last.join(sums, "id").select(
+        "id", F.col("total_recu").alias("quantite_recue"), "__last.date_reception", "__last.bon_livraison")
+    orders = update_rows(tables["approvisionnements"], changes, ["quantite_recue", "date_reception", "bon_livraison"])
+    return receptions, orders
+
+
 def recompute_received(tables: Frames, touched: DataFrame) -> DataFrame:
     """Orders whose receptions changed get their received quantity anew.
 

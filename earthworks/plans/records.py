@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from earthworks.functions.columns import GENERAL, signed, tagged_note
 from earthworks.operators.aggregates import total, total_where
-from earthworks.operators.filters import all_of, equals_if, last_days, text_contains
+from earthworks.operators.filters import all_of, equals_if, text_contains
 from earthworks.operators.joins import with_site
 from earthworks.operators.windows import latest, running_total
 from earthworks.plans.facts import Frames
 from earthworks.sources import catalog
-from earthworks.sources.tables import month as in_that_month, month_of, recent
+from earthworks.sources.tables import month as in_that_month, month_of, period, recent
 
 SURPLUS, DEFICIT = "Excédent", "Déficit"
 AUDIT_START = dt.date(2000, 1, 1)
@@ -92,7 +92,7 @@ def cash_running(
     rows = _cash(tables, site, month, last_n).select("id", "date_op", "rue_id", "type_op", "montant")
     impact = signed("type_op", "montant", [catalog.INCOME], [catalog.EXPENSE, catalog.ADVANCE])
     by = ["rue_id"] if per_site else []
-    summed = running_total(rows, impact, by, "date_op", "id", "solde_cumule")
+    summed = running_total(rows, impact, by, ["date_op", "id"], "solde_cumule")
     return summed.withColumn("solde_cumule", F.round("solde_cumule", 0))
 
 
@@ -130,9 +130,9 @@ def audit_view(
     action: str | None = None, k: int | None = 500,
 ) -> DataFrame:
     """Newest audit rows of a period; the filter matches the stored action."""
-    since = (F.col("timestamp") >= F.lit(AUDIT_START)) & last_days("timestamp", as_of, days)
-    chosen = tables["audit_log"].filter(
-        since & text_contains("table_name", table_part) & equals_if("action", action)
+    since = AUDIT_START if days is None else max(AUDIT_START, as_of - dt.timedelta(days=days))
+    chosen = period(tables["audit_log"], "audit_log", since, None).filter(
+        text_contains("table_name", table_part) & equals_if("action", action)
     )
     return latest(chosen, "timestamp", "id", k).select(
         "id", "timestamp", "table_name", "action", "record_id", "details"

@@ -11,9 +11,10 @@ from earthworks.operators.aggregates import LEVEL, total_where
 from earthworks.operators.changes import append_rows, upsert_rows
 from earthworks.operators.filters import equals_if
 from earthworks.operators.joins import with_names, with_site
+from earthworks.operators.windows import newest_with_match
 from earthworks.plans.facts import Frames
 from earthworks.sources import catalog
-from earthworks.sources.tables import staff
+from earthworks.sources.tables import MONTH, staff
 
 DEFAULT_HOURS = 8
 
@@ -31,8 +32,9 @@ def payroll(tables: Frames, category: str | None = None) -> DataFrame:
 
 def attendance_history(tables: Frames, k: int = 300) -> DataFrame:
     """Newest attendance rows with the person and the site."""
+    rows = newest_with_match(tables["pointage"], tables["personnel"], "personnel_id", "date_pointage", k, MONTH)
     people = with_names(
-        tables["pointage"], tables["personnel"], "personnel_id", "inner",
+        rows, tables["personnel"], "personnel_id", "inner",
         nom="nom", prenom="prenom", categorie="categorie",
     )
     newest = people.orderBy(F.desc("date_pointage"), "nom", "id").limit(k)
@@ -59,4 +61,4 @@ def post_attendance(tables: Frames, entries: DataFrame) -> DataFrame:
     """Attendance table after entering a batch: one row per person and day."""
     table = tables["pointage"]
     numbered = append_rows(table, entries, "pointage", order="personnel_id", keep_base=False)
-    return upsert_rows(table, numbered, ["date_pointage", "personnel_id"])
+    return upsert_rows(table, numbered, ["date_pointage", "personnel_id"], "id")

@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from earthworks.functions.columns import GENERAL, signed, zero_if_null
-from earthworks.operators.aggregates import total_where
+from earthworks.operators.aggregates import total, total_where
 from earthworks.operators.filters import all_of, equals_if
 from earthworks.operators.joins import with_names, with_site, with_total
-from earthworks.operators.windows import latest, running_total
+from earthworks.operators.windows import latest, newest_with_match, running_total
 from earthworks.plans import facts
 from earthworks.plans.facts import Frames
 from earthworks.sources import catalog
+from earthworks.sources.tables import MONTH
 
 # Texts for where a movement came from.
 MANUAL = "Saisie manuelle"
@@ -45,7 +46,7 @@ def overdrawn_exits(tables: Frames) -> DataFrame:
     impact = signed("type_mvt", "quantite", [catalog.ENTRY], [catalog.EXIT])
     history = running_total(
         moves.select("id", "date_mvt", "materiau_id", "type_mvt", "quantite"),
-        impact, ["materiau_id"], "date_mvt", "id", "__moved",
+        impact, ["materiau_id"], ["date_mvt", "id"], "__moved",
     )
     opened = with_names(history, tables["materiaux"], "materiau_id", "inner", article="nom", __opening="stock_initial")
     before = F.col("__opening") + F.col("__moved") + F.col("quantite")
@@ -56,11 +57,12 @@ def overdrawn_exits(tables: Frames) -> DataFrame:
 
 
 def _movements(tables: Frames, article: int | None, kind: str | None, last_n: int | None) -> DataFrame:
-    """Movements of catalogued materials, optionally the newest only."""
-    rows = with_names(tables["mouvements_materiaux"], tables["materiaux"], "materiau_id", "inner", article="nom")
-    if last_n is not None:
-        rows = latest(rows, "date_mvt", "id", last_n)
-    return rows.filter(all_of(equals_if("materiau_id", article), equals_if("type_mvt", kind)))
+    """Movements of catalogued materials; filters come first, then the newest are kept."""
+    wanted = all_of(equals_if("materiau_id", article), equals_if("type_mvt", kind))
+    moves = tables["mouvements_materiaux"].filter(wanted)
+    moves = newest_with_match(moves, tables["materiaux"], "materiau_id", "date_mvt", last_n, MONTH)
+    rows = with_names(moves, tables["materiaux"], "materiau_id", "inner", article="nom")
+    return rows if last_n is None else latest(rows, "date_mvt", "id", last_n)
 
 
 def movement_history(
@@ -80,10 +82,22 @@ def movement_history(
 def movement_totals(
     tables: Frames, article: int | None = None, kind: str | None = None, last_n: int | None = None
 ) -> DataFrame:
-    """Quantities in and out and how many movements came from procurement."""
-    rows = _movements(tables, article, kind, last_n)
-    return rows.agg(
-        total_where(F.col("type_mvt") == catalog.ENTRY, "quantite").alias("total_entrees"),
-        total_where(F.col("type_mvt") == catalog.EXIT, "quantite").alias("total_sorties"),
-        F.count_if(F.col("appro_id").isNotNull()).alias("dont_circuit_appro"),
+    """Quantities in and out and how many movements came from procurement.
+
+    Sums are taken per material first, and only they meet the catalogue.
+    """
+    if last_n is None:
+        wanted = all_of(equals_if("materiau_id", article), equals_if("type_mvt", kind))
+        rows = tables["mouvements_materiaux"].filter(wanted)
+    else:
+        rows = _movements(tables, article, kind, last_n)
+    per_material = rows.groupBy("materiau_id").agg(
+        total_where(F.col("type_mvt") == catalog.ENTRY, "quantite").alias("entrees"),
+        total_where(F.col("type_mvt") == catalog.EXIT, "quantite").alias("sorties"),
+        F.count_if(F.col("appro_id").isNotNull()).alias("circuit"),
+    )
+    known = with_names(per_material, tables["materiaux"], "materiau_id", "inner")
+    return known.agg(
+        total("entrees").alias("total_entrees"), total("sorties").alias("total_sorties"),
+        total("circuit").alias("dont_circuit_appro"),
     )

@@ -9,7 +9,7 @@ import datetime as dt
 from collections import ChainMap
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,7 +39,7 @@ DIARY_PERIOD = (dt.date(2024, 1, 5), dt.date(2024, 2, 20))
 def _files(t: Tables) -> DataFrame:
     """Site of each uploaded file, two files per site."""
     count = t["rues"].agg(F.count(F.lit(1))).scalar()
-    files = t["raw_cells"].filter((F.col("row_idx") < 6) & (F.col("col_idx") == 0)).select("file_id").distinct()
+    files = t["raw_cells"].select("file_id").distinct()
     return files.withColumn("rue_id", (F.col("file_id") % 25) % count)
 
 
@@ -78,6 +78,23 @@ def _blanked(t: Tables) -> Mapping[str, DataFrame]:
     return _overriding(t, devis_rue=lines, personnel=people)
 
 
+def _digit(column: str) -> Column:
+    """A figure from 0 to 9 that differs from row to row: the last digit of a key."""
+    return F.right(F.col(column).cast("string"), F.lit(1)).cast("int")
+
+
+def _spoiled(t: Tables) -> Mapping[str, DataFrame]:
+    """Every checked column with good values, except where the id ends in 3 (unknown) or 4 (out of range)."""
+    frames = {}
+    for name in dict.fromkeys(n for n, _ in (*catalog.DOMAINS, *quality.RANGES)):
+        good = {c: F.when(_digit("id") == 3, F.lit("inconnu")).otherwise(F.lit(allowed[0]))
+                for (n, c), allowed in catalog.DOMAINS.items() if n == name}
+        numbers = {c: F.when(_digit("id") == 4, F.lit(-1)).when(F.col(c) <= 0, F.lit(1)).otherwise(F.col(c))
+                   for n, c in quality.RANGES if n == name}
+        frames[name] = t[name].withColumns(good | numbers)
+    return _overriding(t, **frames)
+
+
 def _thinned(t: Tables) -> Mapping[str, DataFrame]:
     return _overriding(
         t,
@@ -95,14 +112,15 @@ def _thinned(t: Tables) -> Mapping[str, DataFrame]:
 def param_scan(t: Tables) -> DataFrame:
     query = """
         SELECT mode_paiement, count(*) AS nb, sum(montant) AS montant FROM {payments}
-        WHERE date_paiement >= :since AND montant > :above GROUP BY mode_paiement
+        WHERE montant > :above GROUP BY mode_paiement
     """
-    return scans.sql(t.spark, query, {"since": dt.date(1997, 1, 1), "above": 50000}, payments=t["paiements_st"])
+    recent = scans.period(t["paiements_st"], "paiements_st", dt.date(1997, 1, 1), None)
+    return scans.sql(t.spark, query, {"above": 50000}, payments=recent)
 
 
 def schema_defaults(t: Tables) -> DataFrame:
     given = t["personnel"].select("id", "nom", "prenom", "categorie", "actif", "salaire_journalier")
-    return scans.with_defaults(given, "personnel", fill_nulls=True).drop("telephone", "rue_id")
+    return scans.with_defaults(given, "personnel", fill_nulls=True)
 
 
 def typed_load(t: Tables) -> DataFrame:
@@ -135,14 +153,14 @@ def filter_status(t: Tables) -> DataFrame:
 
 
 def filter_period(t: Tables) -> DataFrame:
-    return t["pointage"].filter(filters.last_days("date_pointage", EVENTS_AS_OF, 7)).select(
+    return scans.recent(t["pointage"], "pointage", EVENTS_AS_OF, 7).select(
         "id", "date_pointage", "personnel_id", "statut"
     )
 
 
 def filter_range(t: Tables) -> DataFrame:
-    inside = filters.between_if("date_op", dt.date(1997, 1, 1), dt.date(1998, 12, 31))
-    return t["caisse_chantier"].filter(inside).select("id", "date_op", "montant")
+    inside = scans.period(t["caisse_chantier"], "caisse_chantier", dt.date(1997, 1, 1), dt.date(1998, 12, 31))
+    return inside.select("id", "date_op", "montant")
 
 
 def join_inner_left(t: Tables) -> DataFrame:
@@ -204,17 +222,11 @@ def post_statements(t: Tables) -> DataFrame:
 
 def attendance_batch(t: Tables) -> DataFrame:
     entered = staff.post_attendance(t, staff.attendance_entries(t, EVENTS_AS_OF))
-    return joins.with_site(entered, t).select(
-        "id", "date_pointage", "personnel_id", "chantier", "statut", "heures_travaillees", "heures_normales"
-    )
+    return joins.with_site(entered, t)
 
 
 def stage_transitions(t: Tables) -> DataFrame:
-    moved, _ = procurement.transitions(t, _stage_requests(t))
-    return moved.select(
-        "id", "statut", "date_validation_cc", "validateur_cc", "numero_bc", "fournisseur", "date_bc",
-        "quantite_recue", "date_mise_stock", "quantite_mise_stock", "prix_unitaire_reel",
-    )
+    return procurement.transitions(t, _stage_requests(t))[0]
 
 
 def stage_rejects(t: Tables) -> DataFrame:
@@ -225,7 +237,38 @@ def recompute_received(t: Tables) -> DataFrame:
     receptions = t["receptions_appro"]
     deleted = receptions.filter(F.col("quantite_recue") > 45)
     after = {"approvisionnements": t["approvisionnements"], "receptions_appro": receptions.filter(F.col("quantite_recue") <= 45)}
-    return procurement.recompute_received(after, deleted).select("id", "quantite_recue")
+    return procurement.recompute_received(after, deleted)
+
+
+def _deliveries(t: Tables) -> DataFrame:
+    """Two deliveries for some orders, one for others, some of nothing."""
+    times = F.when(F.col("id") % 9 == 2, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    asked = t["approvisionnements"].filter(F.col("id") % 3 == 2).select("id", F.explode(times).alias("k"))
+    return asked.select(
+        (F.col("id") * 10 + F.col("k")).alias("source_id"), F.col("id").alias("appro_id"),
+        F.date_add(F.lit(POSTING_DAY), (F.col("id") % 3 + F.col("k")).cast("int")).alias("date_reception"),
+        (F.col("id") % 4 * F.col("k")).cast(catalog.MONEY).alias("quantite_recue"),
+        F.concat(F.lit("BL"), F.col("id").cast("string"), F.lit("-"), F.col("k").cast("string")).alias("bon_livraison"),
+    )
+
+
+def _numbered_receptions(t: Tables) -> Mapping[str, DataFrame]:
+    """Receptions under whole-number ids, as the reception form gives them."""
+    ids = F.split(F.col("id").cast("string"), "-")
+    whole = (ids[0].cast("bigint") * 10 + ids[1].cast("bigint")).alias("id")
+    return _overriding(t, receptions_appro=t["receptions_appro"].withColumn("id", whole))
+
+
+def post_receptions_orders(t: Tables) -> DataFrame:
+    return procurement.post_receptions(_numbered_receptions(t), _deliveries(t))[1]
+
+
+def post_receptions_rows(t: Tables) -> DataFrame:
+    return procurement.post_receptions(_numbered_receptions(t), _deliveries(t))[0]
+
+
+def stock_moves(t: Tables) -> DataFrame:
+    return procurement.stock_moves(t, _stage_requests(t), POSTING_DAY)[1]
 
 
 def append_rows(t: Tables) -> DataFrame:
@@ -233,32 +276,31 @@ def append_rows(t: Tables) -> DataFrame:
         F.col("id").alias("source_id"), F.col("date_maintenance").alias("date_op"), F.lit(catalog.EXPENSE).alias("type_op"),
         F.col("type_maintenance").alias("rubrique"), F.col("cout").alias("montant"),
     )
-    return changes.append_rows(t["caisse_chantier"], spent, "caisse_chantier", order="source_id").select(
-        "id", "date_op", "type_op", "rubrique", "montant", "categorie", "mode_paiement", "valide"
-    )
+    return changes.append_rows(t["caisse_chantier"], spent, "caisse_chantier", order="source_id")
 
 
 def upsert_rows(t: Tables) -> DataFrame:
-    columns = ["id", "date_pointage", "personnel_id", "statut", "heures_travaillees"]
     entered = t["suivi_materiels"].select(
         "id", F.col("date_suivi").alias("date_pointage"), F.col("materiel_id").alias("personnel_id"),
         F.lit("Mission").alias("statut"), F.col("heures_travail").alias("heures_travaillees"),
         F.col("id").alias("__order"),
     )
-    return changes.upsert_rows(t["pointage"].select(columns), entered, ["date_pointage", "personnel_id"], "__order")
+    full = scans.with_defaults(entered, "pointage").withColumn("__order", F.col("id"))
+    return changes.upsert_rows(t["pointage"], full, ["date_pointage", "personnel_id"], "__order")
 
 
 def insert_ignore(t: Tables) -> DataFrame:
     listed = t["devis_rue"].select((F.col("id") + 1000000).alias("id"), F.col("designation").alias("nom"))
     again = t["materiaux"].select((F.col("id") + 2000000).alias("id"), "nom")
     new = scans.with_defaults(listed.unionByName(again).withColumn("unite", F.lit("U")), "materiaux")
-    return changes.insert_ignore(t["materiaux"], new, ["nom"], "id").select("id", "nom", "unite", "categorie", "stock_initial")
+    return changes.insert_ignore(t["materiaux"], new, ["nom"], "id")
 
 
 def update_rows(t: Tables) -> DataFrame:
+    """Every entry asks for its price, so most materials are asked for many times; the highest price counts."""
     entries = t["mouvements_materiaux"].filter(F.col("type_mvt") == catalog.ENTRY)
-    prices = entries.groupBy(F.col("materiau_id").alias("id")).agg(F.max("prix_unitaire").alias("prix_unitaire"))
-    return changes.update_rows(t["materiaux"], prices, ["prix_unitaire"]).select("id", "nom", "prix_unitaire", "seuil_alerte")
+    asked = entries.select(F.col("materiau_id").alias("id"), "prix_unitaire")
+    return changes.update_rows(t["materiaux"], asked, ["prix_unitaire"])
 
 
 def _imported(t: Tables) -> DataFrame:
@@ -266,22 +308,61 @@ def _imported(t: Tables) -> DataFrame:
 
 
 def replace_slice(t: Tables) -> DataFrame:
-    columns = ["rue_id", "code_poste", "designation", "unite", "quantite_marche", "prix_unitaire"]
+    """Bill lines after the import of the simple sheets; the sites of sheets without accepted lines are cleared too."""
     lines = _imported(t).withColumn("quantite_marche", F.col("quantite").cast(catalog.MONEY))
     lines = lines.withColumn("prix_unitaire", F.col("prix_unitaire").cast(catalog.MONEY))
-    return changes.replace_slice(t["devis_rue"].select(columns), lines, ["rue_id"])
+    lines = lines.withColumn("id", F.col("row_idx") * 100 + F.col("file_id") + 1000000000)
+    sites = _files(t).filter(F.col("file_id") < 25).select("rue_id")
+    return changes.replace_slice(t["devis_rue"], scans.with_defaults(lines, "devis_rue"), ["rue_id"], sites)
+
+
+def _owned(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Deliverable and subcontractor of every simple sheet."""
+    files = _files(t).filter(F.col("file_id") < 25)
+    return (files.withColumn("livrable_id", F.col("rue_id") * 5 + F.col("file_id") % 4),
+            files.withColumn("st_id", F.col("rue_id")))
+
+
+def import_deliverable(t: Tables) -> DataFrame:
+    return ingest.import_simple(t["raw_cells"], _owned(t)[0], target="livrable")
+
+
+def import_subcontractor(t: Tables) -> DataFrame:
+    return ingest.import_simple(t["raw_cells"], _owned(t)[1], target="sous_traitant")
+
+
+def replace_deliverable(t: Tables) -> DataFrame:
+    lines = import_deliverable(t).withColumns({
+        "quantite_marche": F.col("quantite").cast(catalog.MONEY), "prix_unitaire": F.col("prix_unitaire").cast(catalog.MONEY),
+        "id": F.col("row_idx") * 100 + F.col("file_id") + 1000000000,
+    })
+    slices = _owned(t)[0].select("rue_id", "livrable_id")
+    return changes.replace_slice(t["devis_rue"], scans.with_defaults(lines, "devis_rue"), ["rue_id", "livrable_id"], slices)
+
+
+def replace_subcontractor(t: Tables) -> DataFrame:
+    lines = import_subcontractor(t).withColumns({
+        "quantite": F.col("quantite").cast(catalog.MONEY), "prix_unitaire": F.col("prix_unitaire").cast(catalog.MONEY),
+        "id": F.col("row_idx") * 100 + F.col("file_id") + 1000000000,
+    })
+    return changes.replace_slice(t["devis_st"], scans.with_defaults(lines, "devis_st"), ["st_id"], _owned(t)[1].select("st_id"))
+
+
+def name_to_id_repeated(t: Tables) -> DataFrame:
+    """Names that many materials share resolve to the lowest id, once per asked row."""
+    shared = t["materiaux"].withColumn("nom", F.split_part("nom", F.lit(" #"), F.lit(1)))
+    asked = t["devis_rue"].select(F.col("id").alias("ligne"), F.col("designation").alias("article"))
+    return joins.name_to_id(asked, shared, "article", "materiau_id").select("ligne", "materiau_id")
 
 
 def cascade_delete(t: Tables) -> DataFrame:
     finished = t["rues"].filter(F.col("statut_chantier") == "Terminé").select("id")
     unlinked = {"devis_rue": "livrable_id", "materiels": "rue_id_affectation"}
-    counts = []
+    rows = []
     for name, df in changes.cascade_delete(t, finished).items():
-        cleared = F.count_if(F.col(unlinked[name]).isNull()) if name in unlinked else F.lit(0).cast("bigint")
-        counts.append(df.agg(F.count(F.lit(1)).alias("n"), cleared.alias("sans_lien")).select(
-            F.lit(name).alias("table_name"), "n", "sans_lien"
-        ))
-    return aggregates.append_levels(*counts)
+        link = F.col(unlinked[name]) if name in unlinked else F.lit(None)
+        rows.append(df.select(F.lit(name).alias("table_name"), F.col("id").cast("string").alias("id"), link.cast("bigint").alias("lien")))
+    return aggregates.append_levels(*rows)
 
 
 def audit_diff(t: Tables) -> DataFrame:
@@ -305,9 +386,8 @@ def import_stats(t: Tables) -> DataFrame:
 
 
 def recap_wide(t: Tables) -> DataFrame:
-    names = [fn.NO_DELIVERABLE, "Livrable 0", "Livrable 1", "Livrable 2", "Livrable 3"]
-    wide = market.recap_wide(t, names)
-    return wide.withColumnsRenamed({n: n.lower().replace(" ", "_") for n in names})
+    wide = market.recap_wide(t)
+    return wide.withColumnsRenamed({n: n.lower().replace(" ", "_") for n in wide.columns})
 
 
 def _global(name: str) -> Job:
@@ -331,16 +411,15 @@ JOBS: dict[str, Job] = {
     "import_simple": _imported,
     "import_multi": lambda t: ingest.import_multi(t["raw_cells"], _files(t), t["livrables"]),
     "import_stats": import_stats,
+    "import_deliverable": import_deliverable,
+    "import_subcontractor": import_subcontractor,
+    "grid_cells": lambda t: ingest.grid_cells(t["raw_cells"]),
     # filters and projections
     "filter_status": filter_status,
-    "filter_mail": lambda t: records.mail(t, kind="Entrant", status="Nouveau").drop(
-        "reference", "expediteur", "destinataire"
-    ),
+    "filter_mail": lambda t: records.mail(t, kind="Entrant", status="Nouveau"),
     "filter_period": filter_period,
     "filter_range": filter_range,
-    "filter_month": lambda t: records.cash_list(t, month="1997-03", last_n=None).drop(
-        "beneficiaire", "reference_piece"
-    ),
+    "filter_month": lambda t: records.cash_list(t, month="1997-03", last_n=None),
     "audit_log_view": lambda t: records.audit_view(t, EVENTS_AS_OF, 30, "devis", "UPDATE"),
     "fuel_materials": lambda t: scans.fuels(t).select("id", "nom", "unite"),
     "operational_plant": lambda t: scans.plant(t, catalog.OPERATIONAL).select("id", "nom"),
@@ -350,11 +429,12 @@ JOBS: dict[str, Job] = {
     "join_site": lambda t: joins.with_site(t["caisse_chantier"], t).select("id", "chantier", "montant"),
     "join_inner_left": join_inner_left,
     "name_to_id": name_to_id,
+    "name_to_id_repeated": name_to_id_repeated,
     # aggregates, windows, top-k
     "distinct_values": lambda t: aggregates.distinct_in_order(t["devis_rue"], "unite"),
     "numeric_summary": lambda t: aggregates.numeric_summary(reports.subcontractors(t)),
-    "cash_running_site": lambda t: records.cash_running(t, per_site=True).drop("type_op"),
-    "cash_running_all": lambda t: records.cash_running(t, per_site=False).drop("type_op"),
+    "cash_running_site": lambda t: records.cash_running(t, per_site=True),
+    "cash_running_all": lambda t: records.cash_running(t, per_site=False),
     "boq_islands": lambda t: reports.deliverable_runs(t).select("rue_id", "id", "livrable", "groupe"),
     "first_per_key": lambda t: aggregates.first_per_key(t["devis_rue"], ["designation"], ["unite", "prix_unitaire"]),
     "latest_k": lambda t: windows.latest(t["paiements_st"].select("id", "date_paiement", "montant"), "date_paiement", "id", 100),
@@ -386,6 +466,16 @@ JOBS: dict[str, Job] = {
     "work_statement_total": market.work_statement_total,
     "work_statement_sites": market.work_statement_sites,
     "post_executions": post_executions,
+    # the same for one site
+    "site_work_statement": lambda t: market.work_statement(t, site=3),
+    "site_work_total": lambda t: dashboard.execution(t, site=3),
+    "site_progress_one": lambda t: dashboard.site_progress(t, site=3),
+    "site_present": lambda t: dashboard.present_count(t, dt.date(2024, 1, 15), site=3),
+    "site_cash": lambda t: dashboard.cash_totals(t, site=3),
+    "site_counts": lambda t: dashboard.open_counts(t, site=3),
+    "site_boq_lines": lambda t: market.lines_with_amount(t, site=3, deliverable=16),
+    "site_report_progress": lambda t: reports.progress(t, site=3),
+    "site_report_gap": lambda t: reports.gap(t, site=3),
     # subcontractors
     "subcontractor_balance": subcontract.balances,
     "subcontractor_boq": subcontract.quote_lines,
@@ -409,21 +499,25 @@ JOBS: dict[str, Job] = {
         "date_mvt", "chantier", "materiau_id", "type_mvt", "quantite", "prix_unitaire", "appro_id", "observation"
     ),
     "procurement_followup": procurement.followup,
-    "receipt_history": lambda t: procurement.receipt_history(t).select("id", "appro_id", "date_reception", "quantite_recue"),
+    "receipt_history": procurement.receipt_history,
+    "post_receptions_orders": post_receptions_orders,
+    "post_receptions_rows": post_receptions_rows,
+    "stock_moves": stock_moves,
     # stock
     "stock_levels": stock.levels,
     "stock_alerts": stock.alerts,
     "stock_overdraw": stock.overdrawn_exits,
     "movement_totals": stock.movement_totals,
-    "movement_history": lambda t: stock.movement_history(t).drop("fournisseur", "bon_livraison"),
+    "movement_history_article": lambda t: stock.movement_history(t, article=7, last_n=5),
+    "movement_history": stock.movement_history,
     # plant
-    "plant_log": lambda t: plant.plant_log(t, EVENTS_AS_OF, 7).drop("observations"),
+    "plant_log": lambda t: plant.plant_log(t, EVENTS_AS_OF, 7),
     "plant_totals": lambda t: plant.plant_totals(t, EVENTS_AS_OF),
     "fuel_to_stock": plant.fuel_exits,
     "maintenance_history": plant.maintenance_history,
     "maintenance_costs": plant.maintenance_costs,
     # records
-    "diary_list": lambda t: records.diary(t, DIARY_AS_OF, 30).drop("meteo", "observations"),
+    "diary_list": lambda t: records.diary(t, DIARY_AS_OF, 30),
     "diary_weekly": records.diary_weekly,
     "cash_month": records.cash_months,
     "incident_list": lambda t: records.incidents(t, status="Ouvert"),
@@ -433,10 +527,10 @@ JOBS: dict[str, Job] = {
     "report_subcontractors": reports.subcontractors,
     "report_attendance": lambda t: reports.attendance(t, None, *EVENT_PERIOD),
     "report_stock": reports.stock_sheet,
-    "report_plant": lambda t: reports.plant(t, None, *EVENT_PERIOD).drop("cout_carburant", "chauffeur", "panne"),
+    "report_plant": lambda t: reports.plant(t, None, *EVENT_PERIOD),
     "report_diary": lambda t: reports.diary(t, None, *DIARY_PERIOD),
     "report_cash": lambda t: reports.cash(t, None, *ORDER_PERIOD),
-    "report_incidents": lambda t: reports.incidents(t, None, *EVENT_PERIOD).drop("personne_concernee", "mesures_prises"),
+    "report_incidents": lambda t: reports.incidents(t, None, *EVENT_PERIOD),
     "report_gap": reports.gap,
     "report_procurement": lambda t: reports.procurement(t, None, *ORDER_PERIOD),
     "report_global_sites": _global("Chantiers"),
@@ -451,14 +545,16 @@ JOBS: dict[str, Job] = {
     "insert_ignore": insert_ignore,
     "update_rows": update_rows,
     "replace_slice": replace_slice,
+    "replace_deliverable": replace_deliverable,
+    "replace_subcontractor": replace_subcontractor,
     "cascade_delete": cascade_delete,
     "audit_diff": audit_diff,
     # quality
     "dq_unique": lambda t: quality.duplicate_names(_dirty_names(t)),
     "dq_orphans": lambda t: quality.orphans(_thinned(t)),
     "dq_required": lambda t: quality.blank_required(_blanked(t)),
-    "dq_domain": quality.outside_domain,
-    "dq_range": quality.outside_range,
+    "dq_domain": lambda t: quality.outside_domain(_spoiled(t)),
+    "dq_range": lambda t: quality.outside_range(_spoiled(t)),
 }
 
 

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 
 from earthworks.sources.labels import with_labels
 
-NAME_LIMIT = 31
 NO_DATA = "Aucune donnée"
 
 
@@ -18,15 +17,16 @@ def export(
 ) -> list[str]:
     """Write one directory per sheet and give their paths.
 
-    Names are cut to 31 characters; a sheet without rows gets one row saying so.
+    A folder has the full name of its sheet; a sheet without rows gets one row saying so.
     ``labels`` writes display names as column heads.
     """
     paths = []
     for name, df in sheets.items():
-        path = f"{directory}/{name[:NAME_LIMIT]}"
-        if df.isEmpty():
-            df = df.sparkSession.createDataFrame([(NO_DATA,)], "message string")
-        writer = (with_labels(df) if labels else df).write.mode(mode)
+        path = f"{directory}/{name}"
+        shown = with_labels(df) if labels else df
+        if df.limit(1).count() == 0:
+            shown = df.sparkSession.createDataFrame([(NO_DATA,)], "message string")
+        writer = shown.write.mode(mode)
         if fmt == "csv":
             writer = writer.option("header", True)
         writer.format(fmt).save(path)

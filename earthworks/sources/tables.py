@@ -27,6 +27,7 @@ EVENT_DATES = {
     "courriers": "date_courrier",
     "incidents": "date_incident",
     "receptions_appro": "date_reception",
+    "audit_log": "timestamp",
 }
 MONTH = "mois"
 

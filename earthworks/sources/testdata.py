@@ -155,6 +155,8 @@ DERIVED = {
         "appro_id": "l_orderkey",
         "date_reception": "l_shipdate",
         "quantite_recue": "l_quantity",
+        "bon_livraison": "concat('BL', CAST(l_partkey AS STRING))",
+        "observation": "concat('R', CAST(l_suppkey AS STRING))",
     }),
     "mouvements_materiaux": ("{lineitem}", {
         "id": _LINE_ID,
@@ -164,6 +166,9 @@ DERIVED = {
         "type_mvt": "CASE WHEN l_linestatus = 'O' THEN 'ENTREE' ELSE 'SORTIE' END",
         "quantite": "l_quantity",
         "prix_unitaire": "l_extendedprice",
+        "fournisseur": "concat('F', CAST(l_suppkey AS STRING))",
+        "bon_livraison": "concat('BL', CAST(l_linenumber AS STRING))",
+        "observation": "CASE WHEN l_linenumber = 2 THEN 'deux' ELSE '' END",
         "appro_id": "CASE WHEN l_returnflag = 'N' THEN l_orderkey ELSE NULL END",
     }),
     "materiels": ("{supplier}", {
@@ -181,6 +186,7 @@ DERIVED = {
         "heures_travail": "LEAST(value, 24)",
         "carburant_materiau_id": f"CASE WHEN event_type = 'view' THEN NULL ELSE event_id % {_PARTS} END",
         "carburant_consomme": "value",
+        "observations": "props",
     }),
     "maintenance_materiels": ("{orders}", {
         "id": "o_orderkey",
@@ -198,6 +204,9 @@ DERIVED = {
         "nb_ouvriers": "turn * 3",
         "nb_encadrants": "turn",
         "travaux_realises": "text",
+        "meteo": "CASE turn % 3 WHEN 0 THEN 'Soleil' WHEN 1 THEN 'Pluie' ELSE 'Vent' END",
+        "temperature": "20 + turn",
+        "observations": "role",
     }),
     "caisse_chantier": ("{orders}", {
         "id": "o_orderkey",
@@ -207,6 +216,8 @@ DERIVED = {
         "type_op": "CASE o_orderstatus WHEN 'F' THEN 'Dépense' WHEN 'O' THEN 'Recette' ELSE 'Avance' END",
         "rubrique": "o_orderpriority",
         "montant": "o_totalprice",
+        "beneficiaire": "concat('B', CAST(o_custkey AS STRING))",
+        "reference_piece": "concat('P', CAST(o_orderkey AS STRING))",
     }),
     "courriers": ("{conversations}", {
         "id": "conv_id * 100 + turn",
@@ -216,6 +227,9 @@ DERIVED = {
         "priorite": "CASE turn % 3 WHEN 0 THEN 'Normale' WHEN 1 THEN 'Urgente' ELSE 'Confidentielle' END",
         "statut": "CASE conv_id % 3 WHEN 0 THEN 'Nouveau' WHEN 1 THEN 'En traitement' ELSE 'Clôturé' END",
         "objet": "text",
+        "reference": "concat('C-', CAST(conv_id AS STRING))",
+        "expediteur": "role",
+        "destinataire": "concat('D', CAST(turn AS STRING))",
     }),
     "incidents": ("{events} WHERE event_type = 'error'", {
         "id": "event_id",
@@ -229,6 +243,8 @@ DERIVED = {
         "cout_estime": "value",
         "statut": "CASE event_id % 3 WHEN 0 THEN 'Ouvert' WHEN 1 THEN 'En cours' ELSE 'Clôturé' END",
         "cloture": "CASE WHEN event_id % 5 = 0 THEN 1 ELSE 0 END",
+        "personne_concernee": "concat('U', CAST(user_id AS STRING))",
+        "mesures_prises": "CASE WHEN event_id % 2 = 0 THEN 'Balisage' ELSE '' END",
     }),
     "audit_log": ("{events}", {
         "id": "event_id",
@@ -265,6 +281,14 @@ _WIDE_CELLS = [
     "CASE WHEN p_partkey % 3 = 0 THEN 'ok' ELSE NULL END",
 ]
 
+_DEEP_HEADERS = ["concat('N° Code', chr(10))", "concat(chr(160), 'Désignation')", "concat('Unité', chr(9))", "'Qté'",
+                 "concat(chr(160), 'Prix Unitaire', chr(160))"]
+_DEEP_CELLS = [
+    "p_brand", "concat(chr(160), p_name, chr(10))", "concat(chr(9), p_type)",
+    "CASE WHEN p_partkey % 3 = 0 THEN concat(CAST(p_size AS STRING), 'd') ELSE concat(' ', CAST(p_size AS STRING), chr(9)) END",
+    "CAST(CAST(p_retailprice AS DECIMAL(18,2)) AS STRING)",
+]
+
 
 def _pick(values: list[str], quote: bool = False) -> str:
     whens = " ".join(f"WHEN {k} THEN " + (f"'{v}'" if quote else v) for k, v in enumerate(values))
@@ -290,6 +314,14 @@ def _cells() -> str:
         f"SELECT {_SHEET}, {_ROW}, CAST(k AS INT), {_pick(_SIMPLE_CELLS)} FROM {_spread('part', 5)}",
         f"SELECT {_SHEET} + 25, {_ROW}, CAST(k AS INT), {_pick(_WIDE_CELLS)} FROM {_spread('part', 8)}",
     ]
+    # sheet 50 begins below row 7 with an empty first column, among white space of all kinds; sheet 51 is a header only
+    parts += [
+        f"SELECT 50, 8, CAST(k + 1 AS INT), {_pick(_DEEP_HEADERS)} FROM {_spread('nation', 5)} WHERE n_nationkey = 0",
+        f"SELECT 50, CAST(9 + floor(p_partkey / 50) AS INT), CAST(k + 1 AS INT), {_pick(_DEEP_CELLS)} "
+        f"FROM {_spread('part', 5)} WHERE p_partkey % 50 = 1",
+        "SELECT 51, 2, CAST(k AS INT), " + _pick(["Code", "Désignation", "Unité"], True)
+        + f" FROM {_spread('nation', 3)} WHERE n_nationkey = 0",
+    ]
     return " UNION ALL ".join(parts)
 
 

@@ -1,69 +1,73 @@
 -- name: append_rows
--- columns: id:i date_op:t type_op:s rubrique:s montant:d categorie:s mode_paiement:s valide:i
-SELECT id, date_op, type_op, rubrique, montant, categorie, mode_paiement, valide FROM caisse_chantier
+-- columns: id:i date_op:t categorie:s rue_id:i type_op:s rubrique:s montant:d beneficiaire:s reference_piece:s mode_paiement:s valide:i observation:s observations:s
+SELECT * FROM caisse_chantier
 UNION ALL
-SELECT (SELECT max(id) FROM caisse_chantier) + row_number() OVER (ORDER BY id), date_maintenance, 'Dépense', type_maintenance, cout,
-       'CHANTIER', 'Espèces', 0 FROM maintenance_materiels
+SELECT (SELECT max(id) FROM caisse_chantier) + row_number() OVER (ORDER BY id), date_maintenance, 'CHANTIER', NULL, 'Dépense', type_maintenance, cout,
+       '', '', 'Espèces', 0, '', '' FROM maintenance_materiels
 
 -- name: upsert_rows
--- columns: id:i date_pointage:t personnel_id:i statut:s heures_travaillees:d
+-- columns: id:i date_pointage:t personnel_id:i rue_id:i statut:s heures_travaillees:d heures_normales:d heures_sup:d tache:s observation:s
 WITH c AS (
-  SELECT max(id) AS id, date_suivi AS date_pointage, materiel_id AS personnel_id, 'Mission' AS statut, max_by(heures_travail, id) AS h
+  SELECT max(id) AS id, date_suivi AS date_pointage, materiel_id AS personnel_id, max_by(heures_travail, id) AS h
   FROM suivi_materiels GROUP BY date_suivi, materiel_id)
-SELECT id, date_pointage, personnel_id, statut, h AS heures_travaillees FROM c
+SELECT id, date_pointage, personnel_id, NULL AS rue_id, 'Mission' AS statut, h AS heures_travaillees, 8 AS heures_normales, 0 AS heures_sup,
+       '' AS tache, '' AS observation FROM c
 UNION ALL
-SELECT p.id, p.date_pointage, p.personnel_id, p.statut, p.heures_travaillees FROM pointage p
-LEFT JOIN c ON c.date_pointage = p.date_pointage AND c.personnel_id = p.personnel_id WHERE c.id IS NULL
+SELECT p.* FROM pointage p LEFT JOIN c ON c.date_pointage = p.date_pointage AND c.personnel_id = p.personnel_id WHERE c.id IS NULL
 
 -- name: insert_ignore
--- columns: id:i nom:s unite:s categorie:s stock_initial:d
+-- columns: id:i nom:s unite:s categorie:s stock_initial:d seuil_alerte:d prix_unitaire:d
 WITH n AS (SELECT min(id) + 1000000 AS id, designation AS nom FROM devis_rue GROUP BY designation
            UNION ALL SELECT id + 2000000, nom FROM materiaux)
-SELECT id, nom, unite, categorie, stock_initial FROM materiaux
+SELECT * FROM materiaux
 UNION ALL
-SELECT id, nom, 'U', 'Matériau', 0 FROM n WHERE NOT EXISTS (SELECT 1 FROM materiaux m WHERE m.nom = n.nom)
+SELECT id, nom, 'U', 'Matériau', 0, 0, 0 FROM n WHERE NOT EXISTS (SELECT 1 FROM materiaux m WHERE m.nom = n.nom)
 
 -- name: update_rows
--- columns: id:i nom:s prix_unitaire:d seuil_alerte:d
-SELECT m.id, m.nom, CASE WHEN v.materiau_id IS NULL THEN m.prix_unitaire ELSE v.pu END AS prix_unitaire, m.seuil_alerte
+-- columns: id:i nom:s unite:s categorie:s stock_initial:d seuil_alerte:d prix_unitaire:d
+SELECT m.id, m.nom, m.unite, m.categorie, m.stock_initial, m.seuil_alerte, CASE WHEN v.materiau_id IS NULL THEN m.prix_unitaire ELSE v.pu END AS prix_unitaire
 FROM materiaux m LEFT JOIN (SELECT materiau_id, max(prix_unitaire) AS pu FROM mouvements_materiaux WHERE type_mvt = 'ENTREE' GROUP BY 1) v
   ON v.materiau_id = m.id
 
 -- name: replace_slice
--- columns: rue_id:i code_poste:s designation:s unite:s quantite_marche:d prix_unitaire:d
-WITH n AS (
-  SELECT p_partkey % 25 % (SELECT count(*) FROM supplier) AS rue_id, p_brand AS code_poste, p_name AS designation, p_type AS unite, p_size AS quantite_marche,
-         CASE WHEN p_partkey % 17 = 0 THEN 0 ELSE CAST(p_retailprice AS DECIMAL(18,2)) END AS prix_unitaire
-  FROM part WHERE p_partkey % 29 <> 0 AND p_partkey % 31 <> 0 AND p_partkey % 25 NOT IN (7, 8))
-SELECT rue_id, code_poste, designation, unite, quantite_marche, prix_unitaire FROM devis_rue WHERE rue_id NOT IN (SELECT rue_id FROM n)
+-- columns: id:i rue_id:i livrable_id:i code_poste:s designation:s unite:s quantite_marche:d prix_unitaire:d observation:s
+WITH p AS (
+  SELECT CAST(p_partkey % 25 AS INT) AS f, (p_partkey % 25) % 6 + 1 + floor(p_partkey / 25) AS r, p_brand AS code, p_name AS nm, p_type AS un, p_size::DOUBLE AS q,
+         CASE WHEN p_partkey % 17 = 0 THEN 0 ELSE CAST(CAST(p_retailprice AS DECIMAL(18,2)) AS DOUBLE) END AS pu
+  FROM part WHERE p_partkey % 29 <> 0 AND p_partkey % 31 <> 0 AND p_partkey % 25 NOT IN (7, 8)
+  UNION ALL
+  SELECT 50, 9 + floor(p_partkey / 50), p_brand, p_name, p_type, CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE p_size END,
+         CAST(CAST(p_retailprice AS DECIMAL(18,2)) AS DOUBLE) FROM part WHERE p_partkey % 50 = 1),
+n AS (SELECT CAST(r * 100 + f + 1000000000 AS BIGINT) AS id, f % 25 % (SELECT count(*) FROM supplier) AS rue_id, NULL::BIGINT AS livrable_id, code, nm, un, q, pu, '' AS observation FROM p)
+SELECT * FROM devis_rue WHERE rue_id NOT IN (SELECT n_nationkey % (SELECT count(*) FROM supplier) FROM nation)
 UNION ALL SELECT * FROM n
 
 -- name: cascade_delete
--- columns: table_name:s n:i sans_lien:i
+-- columns: table_name:s id:s lien:i
 WITH s AS (SELECT id FROM rues WHERE statut_chantier = 'Terminé'),
 t AS (SELECT id FROM sous_traitants WHERE rue_id IN (FROM s)), p AS (SELECT id FROM personnel WHERE rue_id IN (FROM s)),
 d AS (SELECT id FROM devis_rue WHERE rue_id IN (FROM s)), l AS (SELECT id FROM livrables WHERE chantier_id IN (FROM s)),
 e AS (SELECT id FROM devis_st WHERE rue_id IN (FROM s) OR st_id IN (FROM t)), a AS (SELECT id FROM approvisionnements WHERE rue_id IN (FROM s))
-SELECT 'rues' AS table_name, count(*) AS n, 0 AS sans_lien FROM rues WHERE id NOT IN (FROM s)
-UNION ALL SELECT 'livrables', count(*), 0 FROM livrables WHERE id NOT IN (FROM l)
-UNION ALL SELECT 'devis_rue', count(*), count(*) FILTER (livrable_id IS NULL OR livrable_id IN (FROM l)) FROM devis_rue WHERE id NOT IN (FROM d)
-UNION ALL SELECT 'realisations_journalieres', count(*), 0 FROM realisations_journalieres WHERE rue_id NOT IN (FROM s) AND devis_id NOT IN (FROM d)
-UNION ALL SELECT 'sous_traitants', count(*), 0 FROM sous_traitants WHERE id NOT IN (FROM t)
-UNION ALL SELECT 'devis_st', count(*), 0 FROM devis_st WHERE id NOT IN (FROM e)
-UNION ALL SELECT 'decomptes_st', count(*), 0 FROM decomptes_st WHERE st_id NOT IN (FROM t) AND devis_st_id NOT IN (FROM e)
-UNION ALL SELECT 'paiements_st', count(*), 0 FROM paiements_st WHERE st_id NOT IN (FROM t)
-UNION ALL SELECT 'personnel', count(*), 0 FROM personnel WHERE id NOT IN (FROM p)
-UNION ALL SELECT 'pointage', count(*), 0 FROM pointage WHERE personnel_id NOT IN (FROM p) AND (rue_id IS NULL OR rue_id NOT IN (FROM s))
-UNION ALL SELECT 'approvisionnements', count(*), 0 FROM approvisionnements WHERE id NOT IN (FROM a)
-UNION ALL SELECT 'receptions_appro', count(*), 0 FROM receptions_appro WHERE appro_id NOT IN (FROM a)
-UNION ALL SELECT 'mouvements_materiaux', count(*), 0 FROM mouvements_materiaux WHERE rue_id IS NULL OR rue_id NOT IN (FROM s)
-UNION ALL SELECT 'materiels', count(*), count(*) FROM materiels
-UNION ALL SELECT 'maintenance_materiels', count(*), 0 FROM maintenance_materiels
-UNION ALL SELECT 'suivi_materiels', count(*), 0 FROM suivi_materiels WHERE rue_id NOT IN (FROM s)
-UNION ALL SELECT 'journal_chantier', count(*), 0 FROM journal_chantier WHERE rue_id NOT IN (FROM s)
-UNION ALL SELECT 'caisse_chantier', count(*), 0 FROM caisse_chantier WHERE rue_id NOT IN (FROM s)
-UNION ALL SELECT 'courriers', count(*), 0 FROM courriers WHERE rue_id IS NULL OR rue_id NOT IN (FROM s)
-UNION ALL SELECT 'incidents', count(*), 0 FROM incidents WHERE rue_id NOT IN (FROM s)
+SELECT 'rues' AS table_name, CAST(id AS VARCHAR) AS id, NULL::BIGINT AS lien FROM rues WHERE id NOT IN (FROM s)
+UNION ALL SELECT 'livrables', CAST(id AS VARCHAR), NULL FROM livrables WHERE id NOT IN (FROM l)
+UNION ALL SELECT 'devis_rue', CAST(id AS VARCHAR), CASE WHEN livrable_id NOT IN (FROM l) THEN livrable_id END FROM devis_rue WHERE id NOT IN (FROM d)
+UNION ALL SELECT 'realisations_journalieres', CAST(id AS VARCHAR), NULL FROM realisations_journalieres WHERE rue_id NOT IN (FROM s) AND devis_id NOT IN (FROM d)
+UNION ALL SELECT 'sous_traitants', CAST(id AS VARCHAR), NULL FROM sous_traitants WHERE id NOT IN (FROM t)
+UNION ALL SELECT 'devis_st', CAST(id AS VARCHAR), NULL FROM devis_st WHERE id NOT IN (FROM e)
+UNION ALL SELECT 'decomptes_st', CAST(id AS VARCHAR), NULL FROM decomptes_st WHERE st_id NOT IN (FROM t) AND devis_st_id NOT IN (FROM e)
+UNION ALL SELECT 'paiements_st', CAST(id AS VARCHAR), NULL FROM paiements_st WHERE st_id NOT IN (FROM t)
+UNION ALL SELECT 'personnel', CAST(id AS VARCHAR), NULL FROM personnel WHERE id NOT IN (FROM p)
+UNION ALL SELECT 'pointage', CAST(id AS VARCHAR), NULL FROM pointage WHERE personnel_id NOT IN (FROM p) AND (rue_id IS NULL OR rue_id NOT IN (FROM s))
+UNION ALL SELECT 'approvisionnements', CAST(id AS VARCHAR), NULL FROM approvisionnements WHERE id NOT IN (FROM a)
+UNION ALL SELECT 'receptions_appro', CAST(id AS VARCHAR), NULL FROM receptions_appro WHERE appro_id NOT IN (FROM a)
+UNION ALL SELECT 'mouvements_materiaux', CAST(id AS VARCHAR), NULL FROM mouvements_materiaux WHERE rue_id IS NULL OR rue_id NOT IN (FROM s)
+UNION ALL SELECT 'materiels', CAST(id AS VARCHAR), CASE WHEN rue_id_affectation NOT IN (FROM s) THEN rue_id_affectation END FROM materiels
+UNION ALL SELECT 'maintenance_materiels', CAST(id AS VARCHAR), NULL FROM maintenance_materiels
+UNION ALL SELECT 'suivi_materiels', CAST(id AS VARCHAR), NULL FROM suivi_materiels WHERE rue_id NOT IN (FROM s)
+UNION ALL SELECT 'journal_chantier', CAST(id AS VARCHAR), NULL FROM journal_chantier WHERE rue_id NOT IN (FROM s)
+UNION ALL SELECT 'caisse_chantier', CAST(id AS VARCHAR), NULL FROM caisse_chantier WHERE rue_id NOT IN (FROM s)
+UNION ALL SELECT 'courriers', CAST(id AS VARCHAR), NULL FROM courriers WHERE rue_id IS NULL OR rue_id NOT IN (FROM s)
+UNION ALL SELECT 'incidents', CAST(id AS VARCHAR), NULL FROM incidents WHERE rue_id NOT IN (FROM s)
 
 -- name: audit_diff
 -- columns: timestamp:ts table_name:s action:s record_id:i details:s
@@ -98,30 +102,38 @@ UNION ALL SELECT 'materiaux', 'unite', 0 UNION ALL SELECT 'materiels', 'nom', 0
 
 -- name: dq_domain
 -- columns: table_name:s colonne:s n:i
-SELECT 'dossiers' AS table_name, 'statut' AS colonne, 0 AS n UNION ALL SELECT 'rues', 'statut_chantier', 0
-UNION ALL SELECT 'devis_rue', 'unite', count(*) FROM devis_rue
-UNION ALL SELECT 'sous_traitants', 'statut', 0 UNION ALL SELECT 'paiements_st', 'mode_paiement', 0
-UNION ALL SELECT 'personnel', 'categorie', count(*) FROM personnel
-UNION ALL SELECT 'pointage', 'statut', 0 UNION ALL SELECT 'materiaux', 'categorie', 0
-UNION ALL SELECT 'approvisionnements', 'statut', 0 UNION ALL SELECT 'mouvements_materiaux', 'type_mvt', 0
-UNION ALL SELECT 'materiels', 'type_materiel', 0 UNION ALL SELECT 'materiels', 'etat', 0
-UNION ALL SELECT 'maintenance_materiels', 'type_maintenance', 0 UNION ALL SELECT 'caisse_chantier', 'type_op', 0
-UNION ALL SELECT 'caisse_chantier', 'categorie', count(*) FROM caisse_chantier
-UNION ALL SELECT 'courriers', 'type_courrier', 0 UNION ALL SELECT 'courriers', 'priorite', 0
-UNION ALL SELECT 'incidents', 'gravite', 0 UNION ALL SELECT 'incidents', 'type_incident', count(*) FROM incidents
+SELECT 'dossiers' AS table_name, 'statut' AS colonne, count(*) AS n FROM dossiers WHERE right(CAST(id AS VARCHAR), 1) = '3'
+UNION ALL SELECT 'rues' AS table_name, 'statut_chantier' AS colonne, count(*) AS n FROM rues WHERE right(CAST(id AS VARCHAR), 1) = '3'
+UNION ALL SELECT 'devis_rue' AS table_name, 'unite' AS colonne, count(*) AS n FROM devis_rue WHERE right(CAST(id AS VARCHAR), 1) = '3'
+UNION ALL SELECT 'sous_traitants' AS table_name, 'statut' AS colonne, count(*) AS n FROM sous_traitants WHERE right(CAST(id AS VARCHAR), 1) = '3'
+UNION ALL SELECT 'paiements_st' AS table_name, 'mode_paiement' AS colonne, count(*) AS n FROM paiements_st WHERE right(CAST(id AS VARCHAR), 1) = '3'
+UNION ALL SELECT 'personnel' AS table_name, 'categorie' AS colonne, count(*) AS n FROM personnel WHERE right(CAST(id AS VARCHAR), 1) = '3'
+UNION ALL SELECT 'pointage' AS table_name, 'statut' AS colonne, count(*) AS n FROM pointage WHERE right(CAST(id AS VARCHAR), 1) = '3'
+UNION ALL SELECT 'materiaux' AS table_name, 'categorie' AS colonne, count(*) AS n FROM materiaux WHERE right(CAST(id AS VARCHAR), 1) = '3'
+UNION ALL SELECT 'approvisionnements' AS table_name, 'statut' AS colonne, count(*) AS n FROM approvisionnements WHERE right(CAST(id AS VARCHAR), 1) = '3'
+UNION ALL SELECT 'mouvements_materiaux' AS table_name, 'type_mvt' AS colonne, count(*) AS n FROM mouvements_materiaux WHERE right(CAST(id AS VARCHAR), 1) = '3'
+UNION ALL SELECT 'materiels' AS table_name, 'type_materiel' AS colonne, count(*) AS n FROM materiels WHERE right(CAST(id AS VARCHAR), 1) = '3'
+UNION ALL SELECT 'materiels' AS table_name, 'etat' AS colonne, count(*) AS n FROM materiels WHERE right(CAST(id AS VARCHAR), 1) = '3'
+UNION ALL SELECT 'maintenance_materiels' AS table_name, 'type_maintenance' AS colonne, count(*) AS n FROM maintenance_materiels WHERE right(CAST(id AS VARCHAR), 1) = '3'
+UNION ALL SELECT 'caisse_chantier' AS table_name, 'type_op' AS colonne, count(*) AS n FROM caisse_chantier WHERE right(CAST(id AS VARCHAR), 1) = '3'
+UNION ALL SELECT 'caisse_chantier' AS table_name, 'categorie' AS colonne, count(*) AS n FROM caisse_chantier WHERE right(CAST(id AS VARCHAR), 1) = '3'
+UNION ALL SELECT 'courriers' AS table_name, 'type_courrier' AS colonne, count(*) AS n FROM courriers WHERE right(CAST(id AS VARCHAR), 1) = '3'
+UNION ALL SELECT 'courriers' AS table_name, 'priorite' AS colonne, count(*) AS n FROM courriers WHERE right(CAST(id AS VARCHAR), 1) = '3'
+UNION ALL SELECT 'incidents' AS table_name, 'gravite' AS colonne, count(*) AS n FROM incidents WHERE right(CAST(id AS VARCHAR), 1) = '3'
+UNION ALL SELECT 'incidents' AS table_name, 'type_incident' AS colonne, count(*) AS n FROM incidents WHERE right(CAST(id AS VARCHAR), 1) = '3'
 
 -- name: dq_range
 -- columns: table_name:s colonne:s n:i
-SELECT 'devis_rue' AS table_name, 'quantite_marche' AS colonne, count(*) FILTER (quantite_marche < 0) AS n FROM devis_rue
-UNION ALL SELECT 'devis_rue', 'prix_unitaire', count(*) FILTER (prix_unitaire < 0) FROM devis_rue
-UNION ALL SELECT 'devis_st', 'quantite', count(*) FILTER (quantite < 0) FROM devis_st
-UNION ALL SELECT 'devis_st', 'prix_unitaire', count(*) FILTER (prix_unitaire < 0) FROM devis_st
-UNION ALL SELECT 'sous_traitants', 'montant_contrat', count(*) FILTER (montant_contrat < 0) FROM sous_traitants
-UNION ALL SELECT 'personnel', 'salaire_journalier', count(*) FILTER (salaire_journalier < 0) FROM personnel
-UNION ALL SELECT 'pointage', 'heures_travaillees', count(*) FILTER (heures_travaillees NOT BETWEEN 0 AND 24) FROM pointage
-UNION ALL SELECT 'approvisionnements', 'quantite_demandee', count(*) FILTER (quantite_demandee <= 0) FROM approvisionnements
-UNION ALL SELECT 'caisse_chantier', 'montant', count(*) FILTER (montant <= 0) FROM caisse_chantier
-UNION ALL SELECT 'mouvements_materiaux', 'quantite', count(*) FILTER (quantite <= 0) FROM mouvements_materiaux
+SELECT 'devis_rue' AS table_name, 'quantite_marche' AS colonne, count(*) AS n FROM devis_rue WHERE right(CAST(id AS VARCHAR), 1) = '4'
+UNION ALL SELECT 'devis_rue' AS table_name, 'prix_unitaire' AS colonne, count(*) AS n FROM devis_rue WHERE right(CAST(id AS VARCHAR), 1) = '4'
+UNION ALL SELECT 'devis_st' AS table_name, 'quantite' AS colonne, count(*) AS n FROM devis_st WHERE right(CAST(id AS VARCHAR), 1) = '4'
+UNION ALL SELECT 'devis_st' AS table_name, 'prix_unitaire' AS colonne, count(*) AS n FROM devis_st WHERE right(CAST(id AS VARCHAR), 1) = '4'
+UNION ALL SELECT 'sous_traitants' AS table_name, 'montant_contrat' AS colonne, count(*) AS n FROM sous_traitants WHERE right(CAST(id AS VARCHAR), 1) = '4'
+UNION ALL SELECT 'personnel' AS table_name, 'salaire_journalier' AS colonne, count(*) AS n FROM personnel WHERE right(CAST(id AS VARCHAR), 1) = '4'
+UNION ALL SELECT 'pointage' AS table_name, 'heures_travaillees' AS colonne, count(*) AS n FROM pointage WHERE right(CAST(id AS VARCHAR), 1) = '4'
+UNION ALL SELECT 'approvisionnements' AS table_name, 'quantite_demandee' AS colonne, count(*) AS n FROM approvisionnements WHERE right(CAST(id AS VARCHAR), 1) = '4'
+UNION ALL SELECT 'caisse_chantier' AS table_name, 'montant' AS colonne, count(*) AS n FROM caisse_chantier WHERE right(CAST(id AS VARCHAR), 1) = '4'
+UNION ALL SELECT 'mouvements_materiaux' AS table_name, 'quantite' AS colonne, count(*) AS n FROM mouvements_materiaux WHERE right(CAST(id AS VARCHAR), 1) = '4'
 
 -- name: dq_orphans
 -- columns: table_name:s colonne:s n:i
@@ -158,3 +170,24 @@ UNION ALL SELECT 'caisse_chantier', 'rue_id', count(*) FROM caisse_chantier WHER
 UNION ALL SELECT 'courriers', 'rue_id', count(*) FROM courriers WHERE rue_id NOT IN (FROM r)
 UNION ALL SELECT 'incidents', 'rue_id', count(*) FROM incidents WHERE rue_id NOT IN (FROM r)
 UNION ALL SELECT 'receptions_appro', 'appro_id', 0
+
+-- name: replace_deliverable
+-- columns: id:i rue_id:i livrable_id:i code_poste:s designation:s unite:s quantite_marche:d prix_unitaire:d observation:s
+WITH p AS (
+  SELECT CAST(p_partkey % 25 AS INT) AS f, (p_partkey % 25) % 6 + 1 + floor(p_partkey / 25) AS r, p_brand AS code, p_name AS nm, p_type AS un, p_size::DOUBLE AS q,
+         CASE WHEN p_partkey % 17 = 0 THEN 0 ELSE CAST(CAST(p_retailprice AS DECIMAL(18,2)) AS DOUBLE) END AS pu
+  FROM part WHERE p_partkey % 29 <> 0 AND p_partkey % 31 <> 0 AND p_partkey % 25 NOT IN (7, 8)),
+n AS (SELECT CAST(r * 100 + f + 1000000000 AS BIGINT) AS id, f % (SELECT count(*) FROM supplier) AS rue_id, f % (SELECT count(*) FROM supplier) * 5 + f % 4 AS livrable_id, code, nm, un, q, pu, '' AS observation FROM p),
+s AS (SELECT DISTINCT n_nationkey % (SELECT count(*) FROM supplier) AS rue_id, n_nationkey % (SELECT count(*) FROM supplier) * 5 + n_nationkey % 4 AS livrable_id FROM nation)
+SELECT d.* FROM devis_rue d LEFT JOIN s ON s.rue_id = d.rue_id AND s.livrable_id = d.livrable_id WHERE s.rue_id IS NULL
+UNION ALL SELECT * FROM n
+
+-- name: replace_subcontractor
+-- columns: id:i st_id:i rue_id:i code_poste:s designation:s unite:s quantite:d prix_unitaire:d observation:s
+WITH p AS (
+  SELECT CAST(p_partkey % 25 AS INT) AS f, (p_partkey % 25) % 6 + 1 + floor(p_partkey / 25) AS r, p_brand AS code, p_name AS nm, p_type AS un, p_size::DOUBLE AS q,
+         CASE WHEN p_partkey % 17 = 0 THEN 0 ELSE CAST(CAST(p_retailprice AS DECIMAL(18,2)) AS DOUBLE) END AS pu
+  FROM part WHERE p_partkey % 29 <> 0 AND p_partkey % 31 <> 0 AND p_partkey % 25 NOT IN (7, 8)),
+n AS (SELECT CAST(r * 100 + f + 1000000000 AS BIGINT) AS id, f % (SELECT count(*) FROM supplier) AS st_id, f % (SELECT count(*) FROM supplier) AS rue_id, code, nm, un, q, pu, '' AS observation FROM p)
+SELECT * FROM devis_st WHERE st_id NOT IN (SELECT n_nationkey % (SELECT count(*) FROM supplier) FROM nation)
+UNION ALL SELECT * FROM n

@@ -4,9 +4,9 @@ SELECT mode_paiement, count(*) AS nb, sum(montant) AS montant FROM paiements_st
 WHERE date_paiement >= DATE '1997-01-01' AND montant > 50000 GROUP BY mode_paiement
 
 -- name: schema_defaults
--- columns: id:i nom:s prenom:s categorie:s poste:s actif:i salaire_journalier:d date_entree:t observation:s
+-- columns: id:i nom:s prenom:s categorie:s poste:s actif:i salaire_journalier:d telephone:s date_entree:t rue_id:i observation:s
 SELECT id, nom, coalesce(prenom, '') AS prenom, categorie, '' AS poste, actif, salaire_journalier,
-       NULL AS date_entree, '' AS observation
+       '' AS telephone, NULL AS date_entree, NULL AS rue_id, '' AS observation
 FROM personnel
 
 -- name: typed_load
@@ -38,8 +38,8 @@ SELECT id, statut FROM approvisionnements
 WHERE statut IN ('Bon de commande émis', 'Réceptionné') AND statut != 'Mis en stock'
 
 -- name: filter_mail
--- columns: id:i date_courrier:t type_courrier:s priorite:s chantier:s objet:s statut:s
-SELECT c.id, c.date_courrier, c.type_courrier, c.priorite, coalesce(r.nom, 'Général') AS chantier, c.objet, c.statut
+-- columns: id:i date_courrier:t reference:s expediteur:s destinataire:s type_courrier:s priorite:s chantier:s objet:s statut:s
+SELECT c.id, c.date_courrier, c.reference, c.expediteur, c.destinataire, c.type_courrier, c.priorite, coalesce(r.nom, 'Général') AS chantier, c.objet, c.statut
 FROM courriers c LEFT JOIN rues r ON r.id = c.rue_id
 WHERE c.type_courrier = 'Entrant' AND c.statut = 'Nouveau'
 ORDER BY c.date_courrier DESC, c.id DESC LIMIT 200
@@ -53,8 +53,8 @@ SELECT id, date_pointage, personnel_id, statut FROM pointage WHERE date_pointage
 SELECT id, date_op, montant FROM caisse_chantier WHERE date_op BETWEEN DATE '1997-01-01' AND DATE '1998-12-31'
 
 -- name: filter_month
--- columns: id:i date_op:t chantier:s type_op:s categorie:s montant:d
-SELECT c.id, c.date_op, coalesce(r.nom, '—') AS chantier, c.type_op, c.categorie, c.montant
+-- columns: id:i date_op:t chantier:s type_op:s categorie:s montant:d beneficiaire:s reference_piece:s
+SELECT c.id, c.date_op, coalesce(r.nom, '—') AS chantier, c.type_op, c.categorie, c.montant, c.beneficiaire, c.reference_piece
 FROM caisse_chantier c LEFT JOIN rues r ON r.id = c.rue_id
 WHERE strftime(c.date_op, '%Y-%m') = '1997-03'
 
@@ -110,15 +110,15 @@ UNION ALL
 SELECT 'total_decompte', (SELECT sum(montant) FROM decomptes_st)
 
 -- name: cash_running_site
--- columns: id:i date_op:t rue_id:i montant:d solde_cumule:d
-SELECT id, date_op, rue_id, montant,
+-- columns: id:i date_op:t rue_id:i type_op:s montant:d solde_cumule:d
+SELECT id, date_op, rue_id, type_op, montant,
        round(sum(CASE type_op WHEN 'Recette' THEN montant ELSE -montant END)
              OVER (PARTITION BY rue_id ORDER BY date_op, id ROWS UNBOUNDED PRECEDING), 0) AS solde_cumule
 FROM caisse_chantier
 
 -- name: cash_running_all
--- columns: id:i date_op:t rue_id:i montant:d solde_cumule:d
-SELECT id, date_op, rue_id, montant,
+-- columns: id:i date_op:t rue_id:i type_op:s montant:d solde_cumule:d
+SELECT id, date_op, rue_id, type_op, montant,
        round(sum(CASE type_op WHEN 'Recette' THEN montant ELSE -montant END)
              OVER (ORDER BY date_op, id ROWS UNBOUNDED PRECEDING), 0) AS solde_cumule
 FROM caisse_chantier
@@ -188,11 +188,11 @@ FROM journal_chantier
 
 -- name: unit_check
 -- columns: file_id:i row_idx:i unite:s connue:b
-SELECT file_id, row_idx, CASE WHEN trim(coalesce(value, '')) = '' THEN '?' ELSE trim(value) END AS unite,
-       coalesce(trim(value) IN ('ml','m','km','m²','m2','ha','km²','m³','m3','L','l','litre','kg','T','tonne',
+SELECT file_id, row_idx, CASE WHEN coalesce(bare, '') = '' THEN '?' ELSE bare END AS unite,
+       coalesce(bare IN ('ml','m','km','m²','m2','ha','km²','m³','m3','L','l','litre','kg','T','tonne',
          'quintal','U','unité','Ens','ensemble','Ft','forfait','Lot','lot','h','j','mois','semaine','sac','palette',
          'rouleau','ml²','Ml','barre'), false) AS connue
-FROM raw_cells WHERE col_idx = 2
+FROM (SELECT *, regexp_replace(value, '^[\s\x{A0}]+|[\s\x{A0}]+$', '', 'g') AS bare FROM raw_cells WHERE col_idx = 2)
 
 -- name: kpi_present
 -- columns: presents:i
@@ -281,18 +281,24 @@ SELECT d.rue_id, CASE WHEN trim(d.code_poste) <> '' THEN lower(trim(d.code_poste
 FROM devis_rue d LEFT JOIN livrables l ON l.id = d.livrable_id GROUP BY 1, 2, 3
 
 -- name: boq_recap_wide
--- columns: rue_id:i cle:s sans_livrable:d livrable_0:d livrable_1:d livrable_2:d livrable_3:d
+-- columns: niveau:s rue_id:i cle:s sans_livrable:d livrable_0:d livrable_1:d livrable_2:d livrable_3:d qte_totale:d montant_total:d
 WITH k AS (
   SELECT d.*, CASE WHEN trim(d.code_poste) <> '' THEN lower(trim(d.code_poste))
               ELSE lower(trim(d.designation)) || '|' || lower(trim(d.unite)) END AS cle, l.nom AS ln
-  FROM devis_rue d LEFT JOIN livrables l ON l.id = d.livrable_id)
-SELECT rue_id, cle,
-       sum(CASE WHEN ln IS NULL THEN quantite_marche ELSE 0 END) AS sans_livrable,
-       sum(CASE WHEN ln = 'Livrable 0' THEN quantite_marche ELSE 0 END) AS livrable_0,
-       sum(CASE WHEN ln = 'Livrable 1' THEN quantite_marche ELSE 0 END) AS livrable_1,
-       sum(CASE WHEN ln = 'Livrable 2' THEN quantite_marche ELSE 0 END) AS livrable_2,
-       sum(CASE WHEN ln = 'Livrable 3' THEN quantite_marche ELSE 0 END) AS livrable_3
-FROM k GROUP BY 1, 2
+  FROM devis_rue d LEFT JOIN livrables l ON l.id = d.livrable_id),
+w AS (
+  SELECT rue_id, cle,
+         sum(CASE WHEN ln IS NULL THEN quantite_marche ELSE 0 END) AS sans_livrable,
+         sum(CASE WHEN ln = 'Livrable 0' THEN quantite_marche ELSE 0 END) AS livrable_0,
+         sum(CASE WHEN ln = 'Livrable 1' THEN quantite_marche ELSE 0 END) AS livrable_1,
+         sum(CASE WHEN ln = 'Livrable 2' THEN quantite_marche ELSE 0 END) AS livrable_2,
+         sum(CASE WHEN ln = 'Livrable 3' THEN quantite_marche ELSE 0 END) AS livrable_3,
+         sum(quantite_marche) AS qte_totale, sum(quantite_marche) * arg_min(prix_unitaire, id) AS montant_total
+  FROM k GROUP BY 1, 2)
+SELECT 'detail' AS niveau, * FROM w
+UNION ALL
+SELECT 'total', rue_id, NULL, sum(sans_livrable), sum(livrable_0), sum(livrable_1), sum(livrable_2), sum(livrable_3), sum(qte_totale), sum(montant_total)
+FROM w GROUP BY rue_id
 
 -- name: boq_recap_totals
 -- columns: niveau:s rue_id:i cle:s code_poste:s designation:s unite:s prix_unitaire:d qte_totale:d montant_total:d
@@ -396,17 +402,17 @@ FROM pointage t JOIN personnel p ON p.id = t.personnel_id LEFT JOIN rues r ON r.
 ORDER BY t.date_pointage DESC, p.nom, t.id LIMIT 300
 
 -- name: attendance_batch
--- columns: id:i date_pointage:t personnel_id:i chantier:s statut:s heures_travaillees:d heures_normales:d
+-- columns: id:i date_pointage:t personnel_id:i rue_id:i statut:s heures_travaillees:d heures_normales:d heures_sup:d tache:s observation:s chantier:s
 WITH a AS (
   SELECT (SELECT max(id) FROM pointage) + row_number() OVER (ORDER BY id) AS id, DATE '2024-01-30' AS date_pointage,
-         id AS personnel_id, NULL::BIGINT AS rue_id, 'Présent' AS statut, 8 AS heures_travaillees, 8 AS heures_normales
+         id AS personnel_id, NULL::BIGINT AS rue_id, 'Présent' AS statut, 8 AS heures_travaillees, 8 AS heures_normales, 0 AS heures_sup,
+         '' AS tache, '' AS observation
   FROM personnel WHERE actif = 1),
 t AS (
-  SELECT id, date_pointage, personnel_id, rue_id, statut, heures_travaillees, heures_normales FROM pointage p
+  SELECT * FROM pointage p
   WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.date_pointage = p.date_pointage AND a.personnel_id = p.personnel_id)
   UNION ALL SELECT * FROM a)
-SELECT t.id, date_pointage, personnel_id, coalesce(r.nom, '—') AS chantier, statut, heures_travaillees, heures_normales
-FROM t LEFT JOIN rues r ON r.id = t.rue_id
+SELECT t.*, coalesce(r.nom, '—') AS chantier FROM t LEFT JOIN rues r ON r.id = t.rue_id
 
 -- name: procurement_queue
 -- columns: id:i date_besoin:t chantier:s designation:s unite:s quantite_demandee:d prix_unitaire_estime:d montant_estime:d statut:s
@@ -433,7 +439,7 @@ FROM approvisionnements a LEFT JOIN receptions_appro r ON r.appro_id = a.id
 WHERE a.statut = 'Réceptionné' GROUP BY a.id, a.quantite_recue
 
 -- name: stage_transitions
--- columns: id:i statut:s date_validation_cc:t validateur_cc:s numero_bc:s fournisseur:s date_bc:t quantite_recue:d date_mise_stock:t quantite_mise_stock:d prix_unitaire_reel:d
+-- columns: id:i date_besoin:t rue_id:i materiau_id:i designation:s unite:s quantite_demandee:d prix_unitaire_estime:d demandeur:s motif:s statut:s date_validation_cc:t validateur_cc:s numero_bc:s date_bc:t fournisseur:s date_reception:t quantite_recue:d bon_livraison:s date_mise_stock:t quantite_mise_stock:d prix_unitaire_reel:d observation:s
 WITH q AS (
   SELECT id AS appro_id, CASE WHEN id % 7 = 0 THEN 'Mis en stock' WHEN id % 20 = 1 THEN 'Rejeté'
          ELSE CASE statut WHEN 'Besoin exprimé' THEN 'Validé chef chantier' WHEN 'Validé chef chantier' THEN 'Bon de commande émis'
@@ -445,7 +451,7 @@ v AS (SELECT appro_id, cible FROM q JOIN approvisionnements a ON a.id = q.appro_
      OR (a.statut = 'Bon de commande émis' AND cible = 'Réceptionné')
      OR (a.statut = 'Réceptionné' AND cible = 'Mis en stock'))),
 r AS (SELECT appro_id, sum(quantite_recue) AS total FROM receptions_appro GROUP BY 1)
-SELECT a.id, coalesce(cible, statut) AS statut,
+SELECT a.id, a.date_besoin, a.rue_id, a.materiau_id, a.designation, a.unite, a.quantite_demandee, a.prix_unitaire_estime, a.demandeur, a.motif, a.date_reception, a.bon_livraison, a.observation, coalesce(cible, statut) AS statut,
        CASE cible WHEN 'Validé chef chantier' THEN DATE '2024-02-01' END AS date_validation_cc,
        CASE cible WHEN 'Validé chef chantier' THEN 'Chef' ELSE '' END AS validateur_cc,
        CASE cible WHEN 'Bon de commande émis' THEN 'N' || a.id ELSE numero_bc END AS numero_bc,
@@ -473,10 +479,10 @@ WHERE appro_id % 50 = 3 OR NOT (
      OR (ancien_statut = 'Réceptionné' AND cible = 'Mis en stock'))
 
 -- name: recompute_received
--- columns: id:i quantite_recue:d
-SELECT a.id, CASE WHEN EXISTS (SELECT 1 FROM receptions_appro r WHERE r.appro_id = a.id AND r.quantite_recue > 45)
+-- columns: id:i date_besoin:t rue_id:i materiau_id:i designation:s unite:s quantite_demandee:d prix_unitaire_estime:d demandeur:s motif:s statut:s date_validation_cc:t validateur_cc:s numero_bc:s date_bc:t fournisseur:s date_reception:t quantite_recue:d bon_livraison:s date_mise_stock:t quantite_mise_stock:d prix_unitaire_reel:d observation:s
+SELECT a.* REPLACE (CASE WHEN EXISTS (SELECT 1 FROM receptions_appro r WHERE r.appro_id = a.id AND r.quantite_recue > 45)
              THEN coalesce((SELECT sum(r.quantite_recue) FROM receptions_appro r WHERE r.appro_id = a.id AND r.quantite_recue <= 45), 0)
-             ELSE a.quantite_recue END AS quantite_recue
+             ELSE a.quantite_recue END AS quantite_recue)
 FROM approvisionnements a
 
 -- name: post_stock_entries
@@ -523,16 +529,16 @@ SELECT sum(quantite) FILTER (type_mvt = 'ENTREE') AS total_entrees, sum(quantite
        count(appro_id) AS dont_circuit_appro FROM mouvements_materiaux
 
 -- name: movement_history
--- columns: id:s date_mvt:t type_mvt:s article:s quantite:d prix_unitaire:d chantier:s provenance:s observation:s
-SELECT v.id, v.date_mvt, v.type_mvt, m.nom AS article, v.quantite, v.prix_unitaire, coalesce(r.nom, 'Général') AS chantier,
+-- columns: id:s date_mvt:t type_mvt:s article:s quantite:d prix_unitaire:d chantier:s fournisseur:s bon_livraison:s provenance:s observation:s
+SELECT v.id, v.date_mvt, v.type_mvt, m.nom AS article, v.quantite, v.prix_unitaire, coalesce(r.nom, 'Général') AS chantier, v.fournisseur, v.bon_livraison,
        CASE WHEN v.appro_id IS NULL THEN 'Saisie manuelle'
             ELSE 'Circuit Appro — BC: ' || coalesce(a.numero_bc, CAST(v.appro_id AS VARCHAR)) END AS provenance, v.observation
 FROM mouvements_materiaux v JOIN materiaux m ON m.id = v.materiau_id LEFT JOIN rues r ON r.id = v.rue_id
 LEFT JOIN approvisionnements a ON a.id = v.appro_id ORDER BY v.date_mvt DESC, v.id DESC LIMIT 500
 
 -- name: plant_log
--- columns: id:i date_suivi:t chantier:s engin:s heures_travail:d carburant:s carburant_consomme:d
-SELECT s.id, s.date_suivi, coalesce(r.nom, '—') AS chantier, m.nom AS engin, s.heures_travail, coalesce(f.nom, '—') AS carburant, s.carburant_consomme
+-- columns: id:i date_suivi:t chantier:s engin:s heures_travail:d carburant:s carburant_consomme:d observations:s
+SELECT s.id, s.date_suivi, coalesce(r.nom, '—') AS chantier, m.nom AS engin, s.heures_travail, coalesce(f.nom, '—') AS carburant, s.carburant_consomme, s.observations
 FROM suivi_materiels s JOIN materiels m ON m.id = s.materiel_id LEFT JOIN rues r ON r.id = s.rue_id
 LEFT JOIN materiaux f ON f.id = s.carburant_materiau_id
 WHERE s.date_suivi >= DATE '2024-01-23' ORDER BY s.date_suivi DESC, s.id DESC LIMIT 200
@@ -559,8 +565,8 @@ SELECT m.nom AS engin, count(*) AS nb_interventions, sum(x.cout) AS cout_total
 FROM maintenance_materiels x JOIN materiels m ON m.id = x.materiel_id GROUP BY m.nom
 
 -- name: diary_list
--- columns: id:i date_journal:t chantier:s temperature:d nb_ouvriers:i nb_encadrants:i travaux_realises:s
-SELECT j.id, j.date_journal, coalesce(r.nom, 'Général') AS chantier, j.temperature, j.nb_ouvriers, j.nb_encadrants, j.travaux_realises
+-- columns: id:i date_journal:t chantier:s meteo:s observations:s temperature:d nb_ouvriers:i nb_encadrants:i travaux_realises:s
+SELECT j.id, j.date_journal, coalesce(r.nom, 'Général') AS chantier, j.meteo, j.observations, j.temperature, j.nb_ouvriers, j.nb_encadrants, j.travaux_realises
 FROM journal_chantier j LEFT JOIN rues r ON r.id = j.rue_id
 WHERE j.date_journal >= DATE '2024-02-10' - 30 ORDER BY j.date_journal DESC, j.id DESC LIMIT 200
 
@@ -590,5 +596,119 @@ FROM incidents i LEFT JOIN rues r ON r.id = i.rue_id WHERE i.statut = 'Ouvert' O
 SELECT statut, gravite, count(*) AS nb, sum(nb_victimes) AS victimes, sum(cout_estime) AS cout FROM incidents GROUP BY 1, 2
 
 -- name: receipt_history
--- columns: id:s appro_id:i date_reception:t quantite_recue:d
-SELECT id, appro_id, date_reception, quantite_recue FROM receptions_appro
+-- columns: id:s appro_id:i date_reception:t quantite_recue:d bon_livraison:s observation:s
+SELECT id, appro_id, date_reception, quantite_recue, bon_livraison, observation FROM receptions_appro
+
+-- name: movement_history_article
+-- columns: id:s date_mvt:t type_mvt:s article:s quantite:d prix_unitaire:d chantier:s fournisseur:s bon_livraison:s provenance:s observation:s
+SELECT v.id, v.date_mvt, v.type_mvt, m.nom AS article, v.quantite, v.prix_unitaire, coalesce(r.nom, 'Général') AS chantier, v.fournisseur, v.bon_livraison,
+       CASE WHEN v.appro_id IS NULL THEN 'Saisie manuelle'
+            ELSE 'Circuit Appro — BC: ' || coalesce(a.numero_bc, CAST(v.appro_id AS VARCHAR)) END AS provenance, v.observation
+FROM mouvements_materiaux v JOIN materiaux m ON m.id = v.materiau_id LEFT JOIN rues r ON r.id = v.rue_id
+LEFT JOIN approvisionnements a ON a.id = v.appro_id WHERE v.materiau_id = 7 ORDER BY v.date_mvt DESC, v.id DESC LIMIT 5
+
+-- name: site_work_statement
+-- columns: id:i rue_id:i code_poste:s designation:s unite:s quantite_marche:d qte_executee:d reste:d taux_pct:d montant_marche:d montant_execute:d
+WITH q AS (SELECT d.*, coalesce((SELECT sum(x.quantite_jour) FROM realisations_journalieres x WHERE x.devis_id = d.id), 0) AS qe FROM devis_rue d WHERE d.rue_id = 3)
+SELECT id, rue_id, code_poste, designation, unite, quantite_marche, qe AS qte_executee,
+       CASE WHEN quantite_marche > qe THEN quantite_marche - qe ELSE 0 END AS reste,
+       CASE WHEN quantite_marche = 0 THEN 0 ELSE round(qe::DOUBLE / quantite_marche::DOUBLE * 100, 1) END AS taux_pct,
+       quantite_marche * prix_unitaire AS montant_marche, qe * prix_unitaire AS montant_execute
+FROM q
+
+-- name: site_work_total
+-- columns: montant_marche:d montant_execute:d taux_pct:d
+WITH q AS (SELECT d.quantite_marche * d.prix_unitaire AS mm,
+           coalesce((SELECT sum(x.quantite_jour) FROM realisations_journalieres x WHERE x.devis_id = d.id), 0) * d.prix_unitaire AS me FROM devis_rue d WHERE d.rue_id = 3)
+SELECT sum(mm) AS montant_marche, sum(me) AS montant_execute, round(sum(me)::DOUBLE / sum(mm)::DOUBLE * 100, 1) AS taux_pct FROM q
+
+-- name: site_progress_one
+-- columns: rue_id:i chantier:s dossier:s montant_marche:d montant_execute:d taux_pct:d
+WITH x AS (
+  SELECT d.rue_id, sum(q.qe * d.prix_unitaire) AS me, sum(d.quantite_marche * d.prix_unitaire) AS mm
+  FROM devis_rue d LEFT JOIN (SELECT devis_id, sum(quantite_jour) AS qe FROM realisations_journalieres GROUP BY 1) q
+    ON q.devis_id = d.id GROUP BY 1)
+SELECT r.id AS rue_id, r.nom AS chantier, coalesce(p.nom, '—') AS dossier,
+       round(coalesce(mm, 0), 0) AS montant_marche, round(coalesce(me, 0), 0) AS montant_execute,
+       CASE WHEN mm > 0 THEN round(coalesce(me, 0)::DOUBLE / mm::DOUBLE * 100, 1) ELSE 0 END AS taux_pct
+FROM rues r LEFT JOIN dossiers p ON p.id = r.dossier_id LEFT JOIN x ON x.rue_id = r.id WHERE r.id = 3
+
+-- name: site_present
+-- columns: presents:i
+SELECT count(*) AS presents FROM pointage WHERE date_pointage = DATE '2024-01-15' AND statut = 'Présent' AND rue_id = 3
+
+-- name: site_cash
+-- columns: recettes:d depenses:d avances:d solde:d
+WITH s AS (
+  SELECT coalesce(sum(montant) FILTER (type_op = 'Recette'), 0) AS recettes, coalesce(sum(montant) FILTER (type_op = 'Dépense'), 0) AS depenses,
+         coalesce(sum(montant) FILTER (type_op = 'Avance'), 0) AS avances FROM caisse_chantier WHERE rue_id = 3)
+SELECT *, recettes - depenses - avances AS solde FROM s
+
+-- name: site_counts
+-- columns: incidents_ouverts:i appros_en_attente:i nb_dossiers:i nb_chantiers:i
+SELECT (SELECT count(*) FROM incidents WHERE cloture = 0 AND rue_id = 3) AS incidents_ouverts,
+       (SELECT count(*) FROM approvisionnements WHERE statut <> 'Mis en stock') AS appros_en_attente,
+       (SELECT count(*) FROM dossiers) AS nb_dossiers, (SELECT count(*) FROM rues) AS nb_chantiers
+
+-- name: site_boq_lines
+-- columns: id:i rue_id:i code_poste:s designation:s unite:s quantite_marche:d prix_unitaire:d montant:d
+SELECT id, rue_id, code_poste, designation, unite, quantite_marche, prix_unitaire, quantite_marche * prix_unitaire AS montant
+FROM devis_rue WHERE rue_id = 3 AND livrable_id = 16
+
+-- name: name_to_id_repeated
+-- columns: ligne:i materiau_id:i
+SELECT d.id AS ligne, m.i AS materiau_id
+FROM devis_rue d LEFT JOIN (SELECT split_part(nom, ' #', 1) AS n, min(id) AS i FROM materiaux GROUP BY 1) m ON m.n = d.designation
+
+-- name: stock_moves
+-- columns: date_mvt:t rue_id:i materiau_id:i type_mvt:s quantite:d prix_unitaire:d fournisseur:s bon_livraison:s appro_id:i observation:s
+WITH o AS (WITH q AS (
+  SELECT id AS appro_id, CASE WHEN id % 7 = 0 THEN 'Mis en stock' WHEN id % 20 = 1 THEN 'Rejeté'
+         ELSE CASE statut WHEN 'Besoin exprimé' THEN 'Validé chef chantier' WHEN 'Validé chef chantier' THEN 'Bon de commande émis'
+              WHEN 'Bon de commande émis' THEN 'Réceptionné' ELSE 'Mis en stock' END END AS cible
+  FROM approvisionnements),
+v AS (SELECT appro_id, cible FROM q JOIN approvisionnements a ON a.id = q.appro_id
+  WHERE appro_id % 50 <> 3 AND ((a.statut = 'Besoin exprimé' AND cible IN ('Validé chef chantier', 'Rejeté'))
+     OR (a.statut = 'Validé chef chantier' AND cible = 'Bon de commande émis')
+     OR (a.statut = 'Bon de commande émis' AND cible = 'Réceptionné')
+     OR (a.statut = 'Réceptionné' AND cible = 'Mis en stock'))),
+r AS (SELECT appro_id, sum(quantite_recue) AS total FROM receptions_appro GROUP BY 1)
+SELECT a.id, a.date_besoin, a.rue_id, a.materiau_id, a.designation, a.unite, a.quantite_demandee, a.prix_unitaire_estime, a.demandeur, a.motif, a.date_reception, a.bon_livraison, a.observation, coalesce(cible, statut) AS statut,
+       CASE cible WHEN 'Validé chef chantier' THEN DATE '2024-02-01' END AS date_validation_cc,
+       CASE cible WHEN 'Validé chef chantier' THEN 'Chef' ELSE '' END AS validateur_cc,
+       CASE cible WHEN 'Bon de commande émis' THEN 'N' || a.id ELSE numero_bc END AS numero_bc,
+       CASE cible WHEN 'Bon de commande émis' THEN 'F' || (a.id % 9) ELSE fournisseur END AS fournisseur,
+       CASE cible WHEN 'Bon de commande émis' THEN DATE '2024-02-01' END AS date_bc,
+       CASE cible WHEN 'Réceptionné' THEN coalesce(total, 0) ELSE quantite_recue END AS quantite_recue,
+       CASE cible WHEN 'Mis en stock' THEN DATE '2024-02-01' END AS date_mise_stock,
+       CASE cible WHEN 'Mis en stock' THEN coalesce(nullif(total, 0), quantite_recue) ELSE 0 END AS quantite_mise_stock,
+       CASE cible WHEN 'Mis en stock' THEN prix_unitaire_estime ELSE 0 END AS prix_unitaire_reel
+FROM approvisionnements a LEFT JOIN v ON v.appro_id = a.id LEFT JOIN r ON r.appro_id = a.id)
+SELECT DATE '2024-02-01' AS date_mvt, o.rue_id, o.materiau_id, 'ENTREE' AS type_mvt, o.quantite_mise_stock AS quantite, o.prix_unitaire_reel AS prix_unitaire,
+       o.fournisseur, o.bon_livraison, o.id AS appro_id, 'Via Circuit Appro BC:' || coalesce(o.numero_bc, '') AS observation
+FROM o JOIN approvisionnements b ON b.id = o.id WHERE o.statut = 'Mis en stock' AND b.statut <> 'Mis en stock' AND o.materiau_id IS NOT NULL
+
+-- name: post_receptions_orders
+-- columns: id:i date_besoin:t rue_id:i materiau_id:i designation:s unite:s quantite_demandee:d prix_unitaire_estime:d demandeur:s motif:s statut:s date_validation_cc:t validateur_cc:s numero_bc:s date_bc:t fournisseur:s date_reception:t quantite_recue:d bon_livraison:s date_mise_stock:t quantite_mise_stock:d prix_unitaire_reel:d observation:s
+WITH d AS (SELECT id * 10 + k AS source_id, id AS appro_id, DATE '2024-02-01' + CAST(id % 3 + k AS INT) AS date_reception, id % 4 * k AS quantite_recue,
+             'BL' || id || '-' || k AS bon_livraison
+      FROM (SELECT id, unnest(CASE WHEN id % 9 = 2 THEN [1, 2] ELSE [1] END) AS k FROM approvisionnements WHERE id % 3 = 2)),
+n AS (SELECT * FROM d WHERE quantite_recue > 0),
+s AS (SELECT appro_id, sum(q) AS q FROM (SELECT appro_id, quantite_recue AS q FROM receptions_appro UNION ALL SELECT appro_id, quantite_recue FROM n) GROUP BY 1),
+l AS (SELECT DISTINCT ON (appro_id) appro_id, date_reception, bon_livraison FROM n ORDER BY appro_id, date_reception DESC, source_id DESC)
+SELECT a.* REPLACE (CASE WHEN l.appro_id IS NULL THEN a.quantite_recue ELSE s.q END AS quantite_recue,
+                    CASE WHEN l.appro_id IS NULL THEN a.date_reception ELSE l.date_reception END AS date_reception,
+                    CASE WHEN l.appro_id IS NULL THEN a.bon_livraison ELSE l.bon_livraison END AS bon_livraison)
+FROM approvisionnements a LEFT JOIN l ON l.appro_id = a.id LEFT JOIN s ON s.appro_id = a.id
+
+-- name: post_receptions_rows
+-- columns: id:i appro_id:i date_reception:t quantite_recue:d bon_livraison:s observation:s
+WITH d AS (SELECT id * 10 + k AS source_id, id AS appro_id, DATE '2024-02-01' + CAST(id % 3 + k AS INT) AS date_reception, id % 4 * k AS quantite_recue,
+             'BL' || id || '-' || k AS bon_livraison
+      FROM (SELECT id, unnest(CASE WHEN id % 9 = 2 THEN [1, 2] ELSE [1] END) AS k FROM approvisionnements WHERE id % 3 = 2)),
+n AS (SELECT * FROM d WHERE quantite_recue > 0),
+b AS (SELECT CAST(split_part(id, '-', 1) AS BIGINT) * 10 + CAST(split_part(id, '-', 2) AS BIGINT) AS id, appro_id, date_reception, quantite_recue, bon_livraison, observation
+      FROM receptions_appro)
+SELECT * FROM b
+UNION ALL
+SELECT (SELECT max(id) FROM b) + row_number() OVER (ORDER BY source_id), appro_id, date_reception, quantite_recue, bon_livraison, '' FROM n

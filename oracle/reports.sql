@@ -45,11 +45,11 @@ SELECT m.nom AS materiau, m.unite, m.categorie, m.stock_initial,
 FROM materiaux m LEFT JOIN mouvements_materiaux v ON v.materiau_id = m.id GROUP BY m.id, m.nom, m.unite, m.categorie, m.stock_initial
 
 -- name: report_plant
--- columns: id:i engin:s immat:s chantier:s date:t heures_marche:d heures_travail:d heures_effectives:d heures_arret:d carburant_l:d carburant_consomme:d carburant_effectif:d
+-- columns: id:i engin:s immat:s chantier:s date:t heures_marche:d heures_travail:d heures_effectives:d heures_arret:d carburant_l:d carburant_consomme:d carburant_effectif:d cout_carburant:d chauffeur:s panne:s
 SELECT s.id, m.nom AS engin, m.immatriculation AS immat, coalesce(r.nom, '—') AS chantier, s.date_suivi AS date, s.heures_marche,
        s.heures_travail, CASE WHEN s.heures_marche <> 0 THEN s.heures_marche ELSE s.heures_travail END AS heures_effectives,
        s.heures_arret, s.carburant_l, s.carburant_consomme,
-       CASE WHEN s.carburant_l <> 0 THEN s.carburant_l ELSE s.carburant_consomme END AS carburant_effectif
+       CASE WHEN s.carburant_l <> 0 THEN s.carburant_l ELSE s.carburant_consomme END AS carburant_effectif, s.cout_carburant, s.chauffeur, s.panne
 FROM suivi_materiels s JOIN materiels m ON m.id = s.materiel_id LEFT JOIN rues r ON r.id = s.rue_id
 WHERE s.date_suivi BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'
 
@@ -66,8 +66,8 @@ SELECT c.id, c.date_op AS date, coalesce(r.nom, '—') AS chantier, c.type_op, c
 FROM caisse_chantier c LEFT JOIN rues r ON r.id = c.rue_id WHERE c.date_op BETWEEN DATE '1996-01-01' AND DATE '1999-12-31'
 
 -- name: report_incidents
--- columns: id:i date:t chantier:s type_incident:s gravite:s description:s statut:s
-SELECT i.id, i.date_incident AS date, coalesce(r.nom, '—') AS chantier, i.type_incident, i.gravite, i.description,
+-- columns: id:i date:t chantier:s type_incident:s gravite:s description:s personne_concernee:s mesures_prises:s statut:s
+SELECT i.id, i.date_incident AS date, coalesce(r.nom, '—') AS chantier, i.type_incident, i.gravite, i.description, i.personne_concernee, i.mesures_prises,
        CASE i.cloture WHEN 1 THEN 'Clôturé' ELSE 'Ouvert' END AS statut
 FROM incidents i LEFT JOIN rues r ON r.id = i.rue_id WHERE i.date_incident BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'
 
@@ -117,3 +117,35 @@ SELECT nom, specialite, responsable, telephone, montant_contrat, statut FROM sou
 -- name: report_global_plant
 -- columns: nom:s immatriculation:s type_materiel:s etat:s
 SELECT nom, immatriculation, type_materiel, etat FROM materiels
+
+-- name: site_report_progress
+-- columns: niveau:s rang_niveau:i rue_id:i groupe:i id:i chantier:s livrable:s code_poste:s designation:s unite:s prix_unitaire:d quantite_marche:d montant_marche:d qte_realisee:d montant_realise:d reste:d pct_avancement:d
+WITH l AS (
+  SELECT d.*, coalesce(r.nom, '—') AS chantier, coalesce(v.nom, 'Sans livrable') AS livrable,
+         coalesce((SELECT sum(x.quantite_jour) FROM realisations_journalieres x WHERE x.devis_id = d.id), 0) AS qr
+  FROM devis_rue d LEFT JOIN rues r ON r.id = d.rue_id LEFT JOIN livrables v ON v.id = d.livrable_id WHERE d.rue_id = 3),
+n AS (
+  SELECT *, CASE WHEN lag(livrable) OVER (PARTITION BY rue_id ORDER BY livrable_id NULLS FIRST, id) = livrable THEN 0 ELSE 1 END AS neuf FROM l),
+g AS (
+  SELECT *, sum(neuf) OVER (PARTITION BY rue_id ORDER BY livrable_id NULLS FIRST, id ROWS UNBOUNDED PRECEDING) AS groupe,
+         quantite_marche * prix_unitaire AS mm, qr * prix_unitaire AS mr FROM n)
+SELECT 'detail' AS niveau, 0 AS rang_niveau, rue_id, groupe, id, chantier, livrable, code_poste, designation, unite, prix_unitaire,
+       quantite_marche, mm AS montant_marche, qr AS qte_realisee, mr AS montant_realise, mm - mr AS reste,
+       round(qr::DOUBLE / (CASE WHEN quantite_marche = 0 THEN 1 ELSE quantite_marche END)::DOUBLE * 100, 1) AS pct_avancement FROM g
+UNION ALL
+SELECT 'sous-total', 1, rue_id, groupe, NULL, chantier, livrable, NULL, NULL, NULL, NULL, sum(quantite_marche), sum(mm), sum(qr), sum(mr),
+       sum(mm - mr), CASE WHEN sum(mm) = 0 THEN 0 ELSE round(sum(mr)::DOUBLE / sum(mm)::DOUBLE * 100, 1) END
+FROM g GROUP BY rue_id, chantier, groupe, livrable
+UNION ALL
+SELECT 'total', 2, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, sum(quantite_marche), sum(mm), sum(qr), sum(mr),
+       sum(mm - mr), round(sum(mr)::DOUBLE / sum(mm)::DOUBLE * 100, 1) FROM g
+
+-- name: site_report_gap
+-- columns: id:i chantier:s code_poste:s designation:s unite:s quantite_marche:d prix_unitaire:d montant_marche:d qte_realisee:d montant_realise:d ecart:d pct_avancement:d
+SELECT d.id, r.nom AS chantier, d.code_poste, d.designation, d.unite, d.quantite_marche, d.prix_unitaire,
+       d.quantite_marche * d.prix_unitaire AS montant_marche, coalesce(sum(x.quantite_jour), 0) AS qte_realisee,
+       coalesce(sum(x.quantite_jour), 0) * d.prix_unitaire AS montant_realise,
+       d.quantite_marche * d.prix_unitaire - coalesce(sum(x.quantite_jour), 0) * d.prix_unitaire AS ecart,
+       round(coalesce(sum(x.quantite_jour), 0)::DOUBLE / coalesce(nullif(d.quantite_marche, 0), 1)::DOUBLE * 100, 1) AS pct_avancement
+FROM devis_rue d LEFT JOIN rues r ON r.id = d.rue_id LEFT JOIN realisations_journalieres x ON x.devis_id = d.id WHERE d.rue_id = 3
+GROUP BY d.id, r.nom, d.code_poste, d.designation, d.unite, d.quantite_marche, d.prix_unitaire

@@ -13,6 +13,7 @@ ROOT = Path(__file__).resolve().parent.parent
 sys.path.insert(0, str(ROOT))
 
 import __spark_entry__ as contract  # noqa: E402
+from earthworks import registry  # noqa: E402
 from earthworks.sources import testdata  # noqa: E402
 
 
@@ -57,7 +58,7 @@ if __name__ == "__main__":
     session.sparkContext.setLogLevel("ERROR")
     connection = database(sf)
     bad = 0
-    for key in contract.queries():
+    for key in registry.JOBS:
         if only and key not in only:
             continue
         start = time.time()
@@ -71,4 +72,4 @@ if __name__ == "__main__":
             print(f"BAD  {key} rows={n}", *diff, sep="\n     ", flush=True)
         else:
             print(f"ok   {key} rows={n} {took:.1f}s", flush=True)
-    print("bad:", bad, "of", len(only or contract.queries()))
+    print("bad:", bad, "of", len(only or registry.JOBS))
