@@ -306,8 +306,8 @@ class TestChanges:
 
     def test_upsert_twice_changes_nothing_more(self, base, make):
         change = make("materiaux", [{"id": 2, "nom": "m2", "unite": "kg"}, {"id": 9, "nom": "new", "unite": "kg"}])
-        once = changes.upsert_rows(base, change, ["nom"])
-        twice = changes.upsert_rows(once, change, ["nom"])
+        once = changes.upsert_rows(base, change, ["nom"], "id")
+        twice = changes.upsert_rows(once, change, ["nom"], "id")
         assert sorted(map(tuple, once.collect())) == sorted(map(tuple, twice.collect()))
         assert once.count() == 6
 
