@@ -473,7 +473,11 @@ JOBS: dict[str, Job] = {
     "site_present": lambda t: dashboard.present_count(t, dt.date(2024, 1, 15), site=3),
     "site_cash": lambda t: dashboard.cash_totals(t, site=3),
     "site_counts": lambda t: dashboard.open_counts(t, site=3),
-    "site_boq_lines": lambda t: market.lines_with_amount(t, site=3, deliverable=16),
+    "site_boq_lines": lambda t: market.lines_with_amount(t, site=3, deliverable=18),
+    "site_deliverable_total": lambda t: market.work_statement_total(t, site=3, deliverable=18),
+    "site_subcontractor_statement": lambda t: subcontract.statement(t, subcontractor=0, site=3),
+    "site_subcontractor_account": lambda t: subcontract.account(t, site=3),
+    "site_report_subcontractors": lambda t: reports.subcontractors(t, site=3),
     "site_report_progress": lambda t: reports.progress(t, site=3),
     "site_report_gap": lambda t: reports.gap(t, site=3),
     # subcontractors

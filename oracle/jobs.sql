@@ -653,7 +653,7 @@ SELECT (SELECT count(*) FROM incidents WHERE cloture = 0 AND rue_id = 3) AS inci
 -- name: site_boq_lines
 -- columns: id:i rue_id:i code_poste:s designation:s unite:s quantite_marche:d prix_unitaire:d montant:d
 SELECT id, rue_id, code_poste, designation, unite, quantite_marche, prix_unitaire, quantite_marche * prix_unitaire AS montant
-FROM devis_rue WHERE rue_id = 3 AND livrable_id = 16
+FROM devis_rue WHERE rue_id = 3 AND livrable_id = 18
 
 -- name: name_to_id_repeated
 -- columns: ligne:i materiau_id:i
@@ -712,3 +712,27 @@ b AS (SELECT CAST(split_part(id, '-', 1) AS BIGINT) * 10 + CAST(split_part(id, '
 SELECT * FROM b
 UNION ALL
 SELECT (SELECT max(id) FROM b) + row_number() OVER (ORDER BY source_id), appro_id, date_reception, quantite_recue, bon_livraison, '' FROM n
+
+-- name: site_subcontractor_statement
+-- columns: id:i st_id:i rue:s code_poste:s designation:s unite:s qte_devis:d qte_executee:d taux_pct:d montant_devis:d montant_execute:d
+SELECT d.id, d.st_id, r.nom AS rue, d.code_poste, d.designation, d.unite, d.quantite AS qte_devis,
+       coalesce(sum(c.quantite_executee), 0) AS qte_executee,
+       round(coalesce(sum(c.quantite_executee), 0)::DOUBLE / d.quantite::DOUBLE * 100, 1) AS taux_pct,
+       d.quantite * d.prix_unitaire AS montant_devis, coalesce(sum(c.montant), 0) AS montant_execute
+FROM devis_st d LEFT JOIN rues r ON r.id = d.rue_id LEFT JOIN decomptes_st c ON c.devis_st_id = d.id WHERE d.rue_id = 3 AND d.st_id = 0
+GROUP BY d.id, d.st_id, r.nom, d.code_poste, d.designation, d.unite, d.quantite, d.prix_unitaire
+
+-- name: site_subcontractor_account
+-- columns: id:i nom:s montant_devis:d montant_execute:d total_paye:d solde_a_payer:d
+WITH s AS (
+  SELECT id, nom, coalesce((SELECT sum(quantite * prix_unitaire) FROM devis_st d WHERE d.st_id = s.id AND d.rue_id = 3), 0) AS dv,
+         coalesce((SELECT sum(c.montant) FROM decomptes_st c JOIN devis_st d ON d.id = c.devis_st_id WHERE d.st_id = s.id AND d.rue_id = 3), 0) AS ex,
+         coalesce((SELECT sum(montant) FROM paiements_st p WHERE p.st_id = s.id), 0) AS py
+  FROM sous_traitants s)
+SELECT id, nom, dv AS montant_devis, ex AS montant_execute, py AS total_paye, ex - py AS solde_a_payer FROM s
+
+-- name: site_deliverable_total
+-- columns: montant_marche:d montant_execute:d taux_pct:d
+WITH q AS (SELECT d.quantite_marche * d.prix_unitaire AS mm,
+           coalesce((SELECT sum(x.quantite_jour) FROM realisations_journalieres x WHERE x.devis_id = d.id), 0) * d.prix_unitaire AS me FROM devis_rue d WHERE d.rue_id = 3 AND d.livrable_id = 18)
+SELECT sum(mm) AS montant_marche, sum(me) AS montant_execute, round(sum(me)::DOUBLE / sum(mm)::DOUBLE * 100, 1) AS taux_pct FROM q

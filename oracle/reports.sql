@@ -149,3 +149,13 @@ SELECT d.id, r.nom AS chantier, d.code_poste, d.designation, d.unite, d.quantite
        round(coalesce(sum(x.quantite_jour), 0)::DOUBLE / coalesce(nullif(d.quantite_marche, 0), 1)::DOUBLE * 100, 1) AS pct_avancement
 FROM devis_rue d LEFT JOIN rues r ON r.id = d.rue_id LEFT JOIN realisations_journalieres x ON x.devis_id = d.id WHERE d.rue_id = 3
 GROUP BY d.id, r.nom, d.code_poste, d.designation, d.unite, d.quantite_marche, d.prix_unitaire
+
+-- name: site_report_subcontractors
+-- columns: sous_traitant:s specialite:s montant_contrat:d montant_devis:d total_decompte:d total_paye:d solde_a_payer:d
+WITH s AS (
+  SELECT nom AS sous_traitant, specialite, montant_contrat,
+    coalesce((SELECT sum(quantite * prix_unitaire) FROM devis_st d WHERE d.st_id = t.id), 0) AS montant_devis,
+    coalesce((SELECT sum(montant) FROM decomptes_st d WHERE d.st_id = t.id), 0) AS total_decompte,
+    coalesce((SELECT sum(montant) FROM paiements_st d WHERE d.st_id = t.id), 0) AS total_paye
+  FROM sous_traitants t WHERE t.rue_id = 3)
+SELECT *, total_decompte - total_paye AS solde_a_payer FROM s

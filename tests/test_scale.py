@@ -144,8 +144,12 @@ def test_last_balance_is_the_cash_balance(tables):
 @pytest.fixture(scope="module")
 def warehouse(spark, tables, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("warehouse"))
-    for name in ("caisse_chantier", "rues", "dossiers", "incidents"):
-        save(tables[name], folder, name)
+    for name in ("caisse_chantier", "rues", "dossiers", "incidents", "pointage", "paiements_st", "audit_log", "materiaux",
+                 "approvisionnements", "mouvements_materiaux"):
+        df = tables[name]
+        if name == "mouvements_materiaux":  # the fixture's ids are texts
+            df = df.withColumn("id", F.xxhash64("id"))
+        save(df, folder, name)
     return folder
 
 
@@ -176,6 +180,33 @@ def test_months_are_pruned(spark, warehouse):
     assert recent.count() == stored["caisse_chantier"].filter("date_op >= DATE'2001-07-02'").count()
 
 
+@pytest.mark.parametrize("job, month", [
+    ("kpi_present", "2024-01"), ("filter_period", "2024-01"), ("filter_range", "1997-01"), ("param_scan", "1997-01"),
+    ("audit_log_view", "2023-12"),
+])
+def test_jobs_of_a_period_prune_months(spark, warehouse, job, month):
+    from earthworks import registry
+
+    plan = explained(registry.JOBS[job](open_warehouse(spark, warehouse)))
+    assert any(month in part.split("\n")[0] for part in plan.split("PartitionFilters:")[1:])
+
+
+def test_newest_lists_prune_months(spark, warehouse):
+    from earthworks.plans import stock
+
+    stored = open_warehouse(spark, warehouse)
+    plan = explained(stock.movement_history(stored, last_n=5))
+    assert any("subquery" in part.split("\n")[0].lower() for part in plan.split("PartitionFilters:")[1:])
+    assert stock.movement_history(stored, last_n=5).count() == 5
+
+
+def test_a_site_sums_only_its_own_lines(tables):
+    from earthworks.plans import market
+
+    plan = market.work_statement(tables, site=3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan
+
+
 def test_stored_facts_can_be_changed(spark, warehouse, tables):
     base = load(spark, warehouse, "caisse_chantier")
     new = tables["caisse_chantier"].select(F.col("id").alias("s"), "date_op", "type_op", "rubrique", "montant")
