@@ -9,7 +9,9 @@ whose centroid is within a ratio of its nearest. That ratio is set on the sample
 hold the wanted share of the sample's true neighbours. The lists are then searched exactly.
 
 Equal vectors are searched once and stand for all their ids; only the smallest ids of a group can be among the nearest.
-Lists of many vectors or queries are dealt into parts and blocks, so that the work of a task is bounded.
+Lists that lie near each other are bundled up to a bounded number of vectors, and a query's lists of one bundle give one
+answer. Longer lists are dealt to several bundles, and the queries of a bundle into blocks, so that the work of a task is
+bounded.
 
 Defined results: vectors that are null, zero, of another length than most, or hold null or non-finite components take no
 part, nor do rows without an id. Repeated rows count once. A candidate is any other id. Ties go to the smaller id. If there
@@ -31,7 +33,8 @@ from earthworks.llm.store import kept
 
 LIST_ROWS = 1000
 SAMPLE_ROWS = 16_384
-PART_ROWS = 2048
+BUNDLE_ROWS = 16_384
+BLOCK_ROWS = 4096
 REPLICAS = 4
 BOUNDARY = 1.15
 DEGREE = 16
@@ -158,6 +161,58 @@ def fit(sample: np.ndarray, norm: float, lists: int, total: int, k: int) -> Inde
     return Index(centroids, index.graph, norm, float(np.quantile(needed, RECALL)) + 1e-9, sizes)
 
 
+def bundled(index: Index, rows: dict[int, int], limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first bundle of each list, and over how many it is dealt.
+
+    Lists are taken in a walk from one to the nearest that is left; a bundle is closed before it would hold over ``limit`` rows.
+    """
+    count = len(index.centroids)
+    first, parts, left = np.zeros(count, np.int64), np.ones(count, np.int64), np.ones(count, bool)
+    at, bundle, held = 0, 0, 0
+    while True:
+        left[at] = False
+        size = rows.get(at, 0)
+        if held and held + size > limit:
+            bundle, held = bundle + 1, 0
+        first[at], parts[at] = bundle, max(-(-size // limit), 1)
+        bundle, held = (bundle, held + size) if parts[at] == 1 else (bundle + int(parts[at]), 0)
+        if not left.any():
+            return first, parts
+        others = np.flatnonzero(left)
+        at = int(others[np.linalg.norm(index.centroids[others] - index.centroids[at], axis=1).argmin()])
+
+
+def best_of(
+    lists: np.ndarray, x: np.ndarray, q: np.ndarray, wanted: np.ndarray, starts: np.ndarray, names: np.ndarray, keep: int,
+) -> tuple[np.ndarray, np.ndarray]:
+    """For every query the places and scores of the ``keep`` best rows of its lists; a place below 0 is none.
+
+    ``wanted`` has the lists of all queries one after the other, those of query i from ``starts[i]`` on. ``names`` tells
+    which rows are copies of one vector.
+    """
+    place = np.full((len(q), keep), -1)
+    score = np.full((len(q), keep), -np.inf)
+    asking = np.repeat(np.arange(len(q)), np.diff(starts))
+    for one in np.unique(lists):
+        rows, who = np.flatnonzero(lists == one), asking[wanted == one]
+        if not who.size:
+            continue
+        inner = q[who] @ x[rows].T
+        some = min(keep, len(rows))
+        at = np.argpartition(-inner, some - 1, axis=1)[:, :some]
+        places = np.column_stack([place[who], rows[at]])
+        scores = np.column_stack([score[who], np.take_along_axis(inner, at, axis=1)])
+        # a vector that is in several lists counts once
+        named = np.where(places < 0, -1 - np.arange(places.shape[1]), names[places])
+        order = np.argsort(named, axis=1, kind="stable")
+        twice = np.diff(np.take_along_axis(named, order, axis=1), axis=1, prepend=np.iinfo(np.int64).min) == 0
+        np.put_along_axis(scores, order, np.where(twice, -np.inf, np.take_along_axis(scores, order, axis=1)), axis=1)
+        best = np.argsort(-scores, axis=1, kind="stable")[:, :keep]
+        score[who] = np.take_along_axis(scores, best, axis=1)
+        place[who] = np.where(np.isfinite(score[who]), np.take_along_axis(places, best, axis=1), -1)
+    return place, score
+
+
 def usable(df: DataFrame, vector: str = "embedding") -> DataFrame:
     """``vec_id`` and ``v`` of the rows that take part, once each."""
     v = F.col(vector).cast("array<double>")
@@ -174,7 +229,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 def nearest(
     df: DataFrame, asked: Column, k: int = 20, vector: str = "embedding", list_rows: int = LIST_ROWS,
-    sample_rows: int = SAMPLE_ROWS, part_rows: int = PART_ROWS,
+    sample_rows: int = SAMPLE_ROWS, bundle_rows: int = BUNDLE_ROWS, block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id``, ``score`` of the ``k`` nearest to every row for which ``asked`` holds."""
     rows = kept(usable(df, vector), "vectors")
@@ -192,54 +247,69 @@ def nearest(
     sample = groups.orderBy(F.xxhash64("rep")).limit(sample_rows).select("rep", "v").toArrow()
     lists = min(max(round(total / list_rows), 1), max(sample_rows // 8, 1))
     index = fit(_matrix(sample.column("v")), float(norm), lists, total, k)
-    sent = df.sparkSession.sparkContext.broadcast(index)  # as many centroids as an eighth of the sample, at most
-
-    def place(probe: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = sent.value
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                x = _matrix(batch.column(1))
-                if probe:
-                    flat = np.column_stack([x, np.zeros(len(x))])
-                    to = [lists for lists, _ in index.near(flat, index.ratio, 4 * (k + 1))]
-                else:
-                    to = index.homes(index.lifted(x))
-                rows = np.repeat(np.arange(len(x)), [len(t) for t in to])
+    context = df.sparkSession.sparkContext
+    sent = context.broadcast(index)  # as many centroids as an eighth of the sample, at most
+
+    def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = sent.value
+        for batch in batches:
+            if batch.num_rows:
+                to = index.homes(index.lifted(_matrix(batch.column(1))))
+                rows = np.repeat(np.arange(len(to)), [len(t) for t in to])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(to).astype(np.int32)), *[c.take(pa.array(rows)) for c in batch.columns]],
                     names=["list", "rep", "v"])
-        return run
-
-    shape = "list int, rep long, v array<double>"
-    homes = kept(groups.select("rep", "v").mapInArrow(place(False), shape), "postings")
-    wanted = groups.join(queries.select("rep").distinct(), "rep", "left_semi")
-    probes = kept(wanted.select("rep", "v").mapInArrow(place(True), shape), "probes")
-    deal = (homes.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / part_rows).cast("int").alias("parts"))
-            .join(probes.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / part_rows).cast("int").alias("blocks")), "list"))
-    deal = kept(deal, "deal")  # one row per list
 
-    def dealt(side: DataFrame, own: str, other: str) -> DataFrame:
-        mine = F.pmod(F.xxhash64("rep"), F.col(f"{own}s")).cast("int").alias(own)
-        return side.join(deal, "list").select(
-            "list", mine, F.explode(F.sequence(F.lit(0), F.col(f"{other}s") - 1)).alias(other), "rep", "v")
+    homes = kept(groups.select("rep", "v").mapInArrow(home, "list int, rep long, v array<double>"), "postings")
+    held = {r["list"]: r["count"] for r in homes.groupBy("list").count().collect()}  # one row per centroid
+    first, parts = bundled(index, held, bundle_rows)
+    dealt_to = context.broadcast((first, parts))
 
-    keys = ["list", "part", "block"]
-    left, right = dealt(homes, "part", "block"), dealt(probes, "block", "part")
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, (first, parts) = sent.value, dealt_to.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = _matrix(batch.column(1))
+            rows, bundles, lists = [], [], []
+            for row, (found, _) in enumerate(index.near(np.column_stack([x, np.zeros(len(x))]), index.ratio, 4 * (k + 1))):
+                every = np.repeat(found, parts[found])
+                places = np.concatenate([np.arange(first[one], first[one] + parts[one]) for one in found])
+                for bundle in np.unique(places):
+                    rows.append(row)
+                    bundles.append(int(bundle))
+                    lists.append(every[places == bundle].astype(np.int32))
+            at = pa.array(rows)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(bundles, pa.int32()), pa.array(lists, pa.list_(pa.int32())), batch.column(0).take(at), batch.column(1).take(at)],
+                names=["bundle", "lists", "rep", "v"])
 
-    def score(held: pa.Table, asked: pa.Table) -> pa.Table:
+    wanted = groups.join(queries.select("rep").distinct(), "rep", "left_semi")
+    probes = kept(wanted.select("rep", "v").mapInArrow(probe, "bundle int, lists array<int>, rep long, v array<double>"), "probes")
+    blocks = kept(probes.groupBy("bundle").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks")), "blocks")
+    bounds = df.sparkSession.createDataFrame(
+        [(k, int(a), int(b)) for k, (a, b) in enumerate(zip(first, parts, strict=True))], "list int, first int, parts int")
+    own = (F.col("first") + F.pmod(F.xxhash64("rep"), F.col("parts"))).cast("int")
+    left = homes.join(F.broadcast(bounds), "list").withColumn("bundle", own).join(blocks, "bundle").select(
+        "bundle", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "list", "rep", "v")
+    right = probes.join(blocks, "bundle").select(
+        "bundle", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), "lists", "rep", "v")
+
+    def answer(held: pa.Table, asked: pa.Table) -> pa.Table:
         if not held.num_rows or not asked.num_rows:
             return pa.table({"q": pa.array([], pa.int64()), "rep": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        x, q = _matrix(held.column("v")), _matrix(asked.column("v"))
-        inner, reps = q @ x.T, held.column("rep").to_numpy()
-        keep = min(k + 1, len(x))
-        at = np.argpartition(-inner, keep - 1, axis=1)[:, :keep]
+        x, q, reps = _matrix(held.column("v")), _matrix(asked.column("v")), held.column("rep").to_numpy()
+        lists = asked.column("lists").combine_chunks()
+        starts = np.append(0, np.cumsum(lists.value_lengths().to_numpy()))
+        place, _ = best_of(held.column("list").to_numpy(), x, q, lists.flatten().to_numpy(), starts, reps, k + 1)
+        asker, rank = np.nonzero(place >= 0)
+        at = place[asker, rank]
         # one by one in a fixed order, so that a pair has the same score wherever it is met
-        exact = np.einsum("qd,qkd->qk", q, x[at])
-        return pa.table({"q": np.repeat(asked.column("rep").to_numpy(), keep), "rep": reps[at].ravel(), "score": exact.ravel()})
+        exact = np.einsum("nd,nd->n", q[asker], x[at])
+        return pa.table({"q": asked.column("rep").to_numpy()[asker], "rep": reps[at], "score": exact})
 
-    hits = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score, "q long, rep long, score double")
+    keys = ["bundle", "block"]
+    hits = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(answer, "q long, rep long, score double")
     best = Window.partitionBy("q").orderBy(F.desc("score"), "rep")
     pairs = hits.groupBy("q", "rep").agg(F.max("score").alias("score"))
     # k + 1 groups hold k + 1 ids at least; a group's other ids come in by its list

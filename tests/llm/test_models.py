@@ -114,7 +114,7 @@ def test_recall_of_a_pruned_index(spark):
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     wanted = brute_nearest(df.collect())
     found = {}
-    for r in ann.nearest(df, F.col("vec_id") % 20 == 0, list_rows=60, part_rows=50).collect():
+    for r in ann.nearest(df, F.col("vec_id") % 20 == 0, list_rows=60, bundle_rows=50, block_rows=7).collect():
         found.setdefault(r.query_id, set()).add(r.vec_id)
     assert np.mean([len(found[q] & set(w)) / 20 for q, w in wanted.items()]) >= 0.9
 
