@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from sentencepiece import sentencepiece_model_pb2 as model_format
 
 SPACE, ESCAPED = 0x20, np.frombuffer("▁".encode(), np.uint8)
-BATCH_IDS = 1 << 20
+BATCH_IDS = 1 << 18
 MODEL_BYTES = 64 << 20
 
 
