@@ -26,6 +26,7 @@ def zero_if_null(c: Column) -> Column:
 
 # All white space, no-break and other wide spaces included.
 _SPACE = r"[\s\p{Z}\x1C-\x1F\x85]"
+VISIBLE = r"[^\s\p{Z}\x1C-\x1F\x85]"
 _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 

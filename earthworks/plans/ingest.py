@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from earthworks.functions.columns import blank_to_null, has_name, normalised_name, strip, to_number
+from earthworks.functions.columns import VISIBLE, blank_to_null, has_name, normalised_name, strip, to_number
 from earthworks.operators.lineage import stable
 from earthworks.operators.windows import running_total
 
@@ -59,7 +59,7 @@ def detect_header(cells: DataFrame, max_scan: int = MAX_SCAN) -> DataFrame:
 
 
 def _filled(cells: DataFrame) -> DataFrame:
-    return cells.filter(blank_to_null("value").isNotNull())
+    return cells.filter(F.col("value").rlike(VISIBLE))
 
 
 def column_names(cells: DataFrame, max_scan: int = MAX_SCAN) -> DataFrame:
