@@ -161,10 +161,15 @@ def near_duplicates(
     """``doc_id``, ``fp``, ``salt`` (a hash of the text) and ``component_id`` of every row."""
     rows = kept(df.select("doc_id", fingerprints(F.col(text)).alias("fp"), F.xxhash64(text).alias("salt")), "prints")
     prints = kept(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-prints")
-    roots = components(links(prints.select("fp"), radius, blocks, leaf))
+    return named(rows, prints, links(prints.select("fp"), radius, blocks, leaf))
+
+
+def named(rows: DataFrame, prints: DataFrame, linked: DataFrame) -> DataFrame:
+    """Rows with the component of their ``fp``; ``prints`` has each ``fp`` with the ``first`` of its ids."""
+    roots = components(linked)
     member = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = member.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = kept(member.join(named, "root").select("fp", "component_id", "root"), "classes")
+    names = member.groupBy("root").agg(F.min("first").alias("component_id"))
+    classes = kept(member.join(names, "root").select("fp", "component_id", "root"), "classes")
     return rows.join(classes, "fp").select("doc_id", "fp", "salt", "component_id", "root")
 
 
@@ -174,7 +179,11 @@ def hex_digits(fp: Column) -> Column:
 
 def deduplicated(df: DataFrame, text: str = "text", **options: int) -> DataFrame:
     """One row of each component with all its columns: the smallest id, among its texts the one with the smallest hash."""
-    rows = near_duplicates(df, text, **options)
+    return one_of_each(df, near_duplicates(df, text, **options), text)
+
+
+def one_of_each(df: DataFrame, rows: DataFrame, text: str = "text") -> DataFrame:
+    """One row of each component of ``rows``, which has the ``doc_id``, ``salt`` and ``root`` of all rows."""
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "salt")
     stay = rows.groupBy("root").agg(F.min(order).alias("o")).select(F.col("o.doc_id").alias("id"), "o.salt")
     stay = kept(stay, "stay")
