@@ -37,3 +37,18 @@ def pieces(text: str | bytes, size: int = PIECE) -> Iterator[str | bytes]:
         yield text[at : cut.start()]
         at = cut.start()
     yield text[at:]
+
+
+BYTE_WORD_END = re.compile(rb"[^\x20\x09-\x0D](?=[\x20\x09-\x0D])")
+
+
+def pieces_of_units(text: bytes, size: int = PIECE) -> Iterator[bytes]:
+    """A text in pieces, each but the last cut where a word ends, so that no word loses the white space before it."""
+    at = 0
+    while len(text) - at > size:
+        cut = BYTE_WORD_END.search(text, at + size - 1)
+        if not cut:
+            break
+        yield text[at : cut.end()]
+        at = cut.end()
+    yield text[at:]

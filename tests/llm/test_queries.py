@@ -20,6 +20,10 @@ COLUMNS = {
     "op8_mixing": {"doc_id", "size", "source_size", "target", "taken"},
     "op9_chat_formatting": {"conv_id", "turn", "role", "text", "rendered"},
     "op10_html_extraction": {"page_id", "url", "text", "n_chars"},
+    "op11_fill_middle": {"doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256"},
+    "op12_exact_dedup": {"doc_id", "keep_id", "group_size", "kept", "text_sha256"},
+    "op13_periodic_runs": {
+        "doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"},
 }
 TABLES = {"op6_nearest": "embeddings", "op9_chat_formatting": "conversations", "op10_html_extraction": "pages"}
 
@@ -50,7 +54,8 @@ def test_odd_tables(spark, edge_dir, name):
     if name not in ("op6_nearest", "op9_chat_formatting"):
         table = TABLES.get(name, "documents")
         assert len(rows) == spark.read.parquet(f"{edge_dir}/{table}.parquet").count()
-    unknown = {"doc_id", "component_id", "page_id", "url", "conv_id"}
+    unknown = {"doc_id", "component_id", "page_id", "url", "conv_id", "prefix_chars", "middle_chars", "keep_id",
+               "start", "length", "period", "exponent_milli"}
     assert all(r[c] is not None for r in rows for c in COLUMNS[name] - unknown)
 
 
