@@ -163,9 +163,11 @@ def suspects(made: DataFrame, sent: DataFrame) -> DataFrame:
 def _filter(fps: DataFrame, size: int) -> np.ndarray:
     """A bitmap of ``size`` bits with those of all fingerprints set, built by Spark in sectors of fixed size."""
     at = F.pmod("fp", F.lit(size)) + 1
-    sectors = fps.groupBy(F.bitmap_bucket_number(at).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("b"))
+    places = fps.select(F.bitmap_bucket_number(at).alias("k"), F.bitmap_bit_position(at).alias("p"))
+    # places are dealt out before they become bitmaps, which are much longer
+    sectors = places.repartition("k").groupBy("k").agg(F.bitmap_construct_agg("p").alias("b"))
     out = np.zeros((-(-size // SECTOR), SECTOR // 8), np.uint8)
-    for row in sectors.toLocalIterator():  # at most size / SECTOR rows of 4 KB
+    for row in sectors.collect():  # at most size / SECTOR rows of 4 KB
         out[row.k - 1] = np.frombuffer(row.b, np.uint8)
     return out.ravel()
 
