@@ -9,7 +9,7 @@ import datetime as dt
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from earthworks.operators.lineage import stable
@@ -78,11 +78,20 @@ def update_rows(
     ])
 
 
+def _same_key(base: DataFrame, side: DataFrame, key: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a & b, [base[k].eqNullSafe(side[f"__{k}"]) for k in key])
+
+
 def without(base: DataFrame, gone: DataFrame, key: Sequence[str]) -> DataFrame:
     """Base rows whose key does not occur in ``gone``; NULL keys are compared too."""
     side = gone.select(*[F.col(k).alias(f"__{k}") for k in key])
-    same = [base[k].eqNullSafe(side[f"__{k}"]) for k in key]
-    return base.join(side, reduce(lambda a, b: a & b, same), "left_anti")
+    return base.join(side, _same_key(base, side, key), "left_anti")
+
+
+def with_key(base: DataFrame, wanted: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Base rows whose key occurs in ``wanted``; NULL keys are compared too."""
+    side = wanted.select(*[F.col(k).alias(f"__{k}") for k in key])
+    return base.join(side, _same_key(base, side, key), "left_semi")
 
 
 def replace_slice(base: DataFrame, new: DataFrame, key: Sequence[str], slices: DataFrame | None = None) -> DataFrame:
@@ -107,29 +116,55 @@ def cascade_delete(tables: Mapping[str, DataFrame], site_ids: DataFrame) -> dict
     that go are kept once per table with children, all reasons together.
     ``site_ids`` holds one column ``id``.
     """
+    gone = cascade_ids(tables, site_ids)
+    return {table: cascade_rest(table, tables[table], gone) for table in cascade_order(tables)}
+
+
+def cascade_order(tables: Mapping[str, DataFrame]) -> list[str]:
+    """The sites and all tables below them that there are, parents first."""
+    return [t for t in ["rues", *_children_after_parents("rues")] if t in tables]
+
+
+def _links(table: str, gone: Mapping[str, DataFrame]) -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
+    """Columns (with their parent) by which rows go, and those that are set to NULL."""
+    links = [(c, p, rule) for t, c, p, rule in catalog.FOREIGN_KEYS if t == table and p in gone]
+    freed = [(c, p) for c, p, rule in links if rule == "set null" or (table, c) in DETACH]
+    return [(c, p) for c, p, _ in links if (c, p) not in freed], freed
+
+
+def cascade_ids(tables: Mapping[str, DataFrame], site_ids: DataFrame) -> dict[str, DataFrame]:
+    """The ids that go, of every table that others hang on."""
     gone = {"rues": stable(site_ids)}
-    result = {"rues": without(tables["rues"], site_ids, ["id"])}
-    for table in _children_after_parents("rues"):
-        df = tables[table]
-        links = [(c, p, rule) for t, c, p, rule in catalog.FOREIGN_KEYS if t == table and p in gone]
-        kept, doomed = df, []
-        for column, parent, rule in links:
-            if rule == "set null" or (table, column) in DETACH:
-                continue
-            ids = gone[parent].select(F.col("id").alias("__gone"))
-            kept = kept.join(ids, kept[column] == ids["__gone"], "left_anti")
-            doomed.append(df.join(ids, df[column] == ids["__gone"], "left_semi").select("id"))
-        for column, parent, rule in links:
-            if rule == "set null" or (table, column) in DETACH:
-                kept = _set_null(kept, column, gone[parent])
-        result[table] = kept
-        if doomed and any(p == table for _, _, p, _ in catalog.FOREIGN_KEYS):
+    for table in cascade_order(tables)[1:]:
+        taken, _ = _links(table, gone)
+        if taken and any(p == table for _, _, p, _ in catalog.FOREIGN_KEYS):
+            doomed = [_linked(tables[table], c, gone[p]).select("id") for c, p in taken]
             gone[table] = stable(reduce(DataFrame.union, doomed).distinct())
-            result[table] = without(df, gone[table], ["id"])
-            for column, parent, rule in links:
-                if rule == "set null" or (table, column) in DETACH:
-                    result[table] = _set_null(result[table], column, gone[parent])
-    return result
+    return gone
+
+
+def _linked(df: DataFrame, column: str, gone: DataFrame, how: str = "left_semi") -> DataFrame:
+    ids = gone.select(F.col("id").alias("__gone"))
+    return df.join(ids, df[column] == ids["__gone"], how)
+
+
+def cascade_rest(table: str, df: DataFrame, gone: Mapping[str, DataFrame]) -> DataFrame:
+    """What is left of a table, or of some of its rows, when the ids of ``cascade_ids`` go."""
+    taken, freed = _links(table, gone)
+    if table in gone:
+        kept = without(df, gone[table], ["id"])
+    else:
+        kept = reduce(lambda rows, link: _linked(rows, link[0], gone[link[1]], "left_anti"), taken, df)
+    return reduce(lambda rows, link: _set_null(rows, link[0], gone[link[1]]), freed, kept)
+
+
+def cascade_hit(table: str, df: DataFrame, gone: Mapping[str, DataFrame]) -> DataFrame:
+    """The rows of a table that go or change, some of them several times."""
+    taken, freed = _links(table, gone)
+    hit = [_linked(df, c, gone[p]) for c, p in (*taken, *freed)]
+    if table in gone:
+        hit.append(with_key(df, gone[table], ["id"]))
+    return reduce(DataFrame.union, hit)
 
 
 def _set_null(df: DataFrame, column: str, gone: DataFrame) -> DataFrame:

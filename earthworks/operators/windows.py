@@ -7,7 +7,8 @@ a part does the rest. There is one path for every size.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 from functools import reduce
 from operator import and_
 
@@ -88,21 +89,41 @@ def latest(df: DataFrame, date: str, id_column: str, k: int | None) -> DataFrame
 def newest_with_match(
     df: DataFrame, dim: DataFrame, on: str, date: str, k: int | None, month: str | None = None
 ) -> DataFrame:
-    """The rows of a fact among which the ``k`` newest with a known ``on`` are, before any join of whole rows.
+    """The newest part of a fact, in which at least ``k`` rows have a known ``on``; the whole fact if there are fewer.
 
-    Rows are counted per (day, key), the few counts meet the dimension, and days are added up from the newest until they
-    hold ``k``; the fact is then read from that day on. Equal days stay together, so a cut by (date, id) can follow.
+    The fact is walked from its newest end, a longer part at a time, until the part holds ``k`` rows whose key is in the
+    dimension. A stored fact is walked by months, whose names come from the folders, so older ones are never read; of any
+    other fact the rows per day are counted once, which moves no rows. Equal days stay together, so a cut by (date, id) can
+    follow; rows without a date are older than all others.
     """
     if k is None:
         return df
-    day = F.to_date(date)
-    counts = df.filter(F.col(on).isNotNull()).groupBy(day.alias("__day"), on).agg(F.count(F.lit(1)).alias("__n"))
-    known = counts.join(dim.select(F.col("id").alias(on)), on, "left_semi").groupBy("__day").agg(F.sum("__n").alias("__n"))
-    # one row per day of the table
-    newer = Window.orderBy(F.desc_nulls_last("__day")).rowsBetween(Window.unboundedPreceding, -1)
-    wanted = known.withColumn("__newer", F.coalesce(F.sum("__n").over(newer), F.lit(0))).filter(F.col("__newer") < k)
-    since, undated = wanted.agg(F.min("__day")).scalar(), wanted.agg(F.count_if(F.col("__day").isNull()) > 0).scalar()
-    chosen = df.filter((F.col(date) >= since) | (F.col(date).isNull() & undated))
-    if month and month in df.columns:
-        chosen = chosen.filter((F.col(month) >= F.date_format(since, "yyyy-MM")) | F.col(month).isNull())
-    return chosen
+    known = dim.select(F.col("id").alias(on))
+
+    def holds(part: DataFrame) -> bool:
+        return part.filter(F.col(on).isNotNull()).select(on).join(known, on, "left_semi").limit(k).count() >= k
+
+    parts = _newest_months(df, month) if month and month in df.columns else _newest_days(df, on, date, k)
+    return next((part for part in parts if holds(part)), df)
+
+
+def _newest_months(df: DataFrame, month: str) -> Iterator[DataFrame]:
+    """The newest month of a stored fact, the newest two, four and so on."""
+    folders = {m[1] for path in df.inputFiles() if (m := re.search(rf"/{month}=([^/]+)/", path))}
+    dated = sorted(m for m in folders if not m.startswith("__"))  # the folder of rows without a month has no name
+    back = 1
+    while back < len(dated):
+        yield df.filter(F.col(month) >= dated[-back])
+        back *= 2
+
+
+def _newest_days(df: DataFrame, on: str, date: str, k: int) -> Iterator[DataFrame]:
+    """The newest days with twice ``k`` rows, with eight times as many and so on."""
+    days = df.filter(F.col(on).isNotNull()).groupBy(F.to_date(date).alias("d")).agg(F.count(F.lit(1)).alias("n"))
+    counted = sorted(((r.d, r.n) for r in days.filter("d IS NOT NULL").collect()), reverse=True)  # a row a calendar day
+    rows, wanted = 0, 2 * k
+    for day, n in counted:
+        rows += n
+        if rows >= wanted:
+            yield df.filter(F.col(date) >= F.lit(day))
+            wanted = 8 * rows

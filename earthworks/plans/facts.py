@@ -16,12 +16,17 @@ from earthworks.sources.tables import bill_lines
 Frames = Mapping[str, DataFrame]
 
 
+def _of(fact: DataFrame, column: str, owners: DataFrame | None) -> DataFrame:
+    """A fact, or only its rows that belong to the given owners (column ``id``): they are chosen before any sum."""
+    if owners is None:
+        return fact
+    chosen = owners.select(F.col("id").alias("__owner"))
+    return fact.join(chosen, fact[column] == chosen["__owner"], "left_semi")
+
+
 def executed_by_line(tables: Frames, lines: DataFrame | None = None) -> DataFrame:
-    """Executed quantity of every line, or of the given lines only (column ``id``)."""
-    done = tables["realisations_journalieres"]
-    if lines is not None:
-        chosen = lines.select(F.col("id").alias("__line"))
-        done = done.join(chosen, done["devis_id"] == chosen["__line"], "left_semi")
+    """Executed quantity of every line, or of the given lines only."""
+    done = _of(tables["realisations_journalieres"], "devis_id", lines)
     return done.groupBy("devis_id").agg(F.sum("quantite_jour").alias("qte_executee"))
 
 
@@ -57,21 +62,21 @@ def movements_by_material(tables: Frames) -> DataFrame:
     )
 
 
-def statements_by_line(tables: Frames) -> DataFrame:
-    return tables["decomptes_st"].groupBy("devis_st_id").agg(
+def statements_by_line(tables: Frames, lines: DataFrame | None = None) -> DataFrame:
+    return _of(tables["decomptes_st"], "devis_st_id", lines).groupBy("devis_st_id").agg(
         total("quantite_executee").alias("qte_executee"), total("montant").alias("montant_execute")
     )
 
 
-def statements_by_subcontractor(tables: Frames) -> DataFrame:
-    return tables["decomptes_st"].groupBy("st_id").agg(F.sum("montant").alias("total_decompte"))
+def statements_by_subcontractor(tables: Frames, who: DataFrame | None = None) -> DataFrame:
+    return _of(tables["decomptes_st"], "st_id", who).groupBy("st_id").agg(F.sum("montant").alias("total_decompte"))
 
 
-def payments_by_subcontractor(tables: Frames) -> DataFrame:
-    return tables["paiements_st"].groupBy("st_id").agg(F.sum("montant").alias("total_paye"))
+def payments_by_subcontractor(tables: Frames, who: DataFrame | None = None) -> DataFrame:
+    return _of(tables["paiements_st"], "st_id", who).groupBy("st_id").agg(F.sum("montant").alias("total_paye"))
 
 
-def quotes_by_subcontractor(tables: Frames) -> DataFrame:
-    return tables["devis_st"].groupBy("st_id").agg(
+def quotes_by_subcontractor(tables: Frames, who: DataFrame | None = None) -> DataFrame:
+    return _of(tables["devis_st"], "st_id", who).groupBy("st_id").agg(
         F.sum(amount("quantite", "prix_unitaire")).alias("montant_devis")
     )

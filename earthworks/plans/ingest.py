@@ -178,6 +178,14 @@ def match_deliverables(columns: DataFrame, files: DataFrame, deliverables: DataF
     )
 
 
+def simple_files(cells: DataFrame, files: DataFrame, deliverables: DataFrame, columns: DataFrame | None = None) -> DataFrame:
+    """The files with one quantity column that can be imported: neither refused nor with a column per deliverable."""
+    columns = layout(cells) if columns is None else columns
+    multi = match_deliverables(columns, files, deliverables).select("file_id")
+    unfit = missing_fields(columns).select("file_id").union(multi)
+    return files.join(columns.select("file_id"), "file_id", "left_semi").join(unfit, "file_id", "left_anti")
+
+
 def _accepted(cells: DataFrame, columns: DataFrame, target: str) -> DataFrame:
     """Sheet rows with a designation, from files that are not refused."""
     refused = missing_fields(columns).select("file_id")

@@ -11,7 +11,7 @@ from earthworks.functions.columns import (
     NO_DELIVERABLE, amount, line_key, or_label, percent, remaining, zero_if_null,
 )
 from earthworks.operators.aggregates import (
-    DETAIL, LEVEL, TOTAL, append_levels, at_level, distinct_in_order, first_by_id, pivot_sums, total,
+    DETAIL, LEVEL, TOTAL, append_levels, at_level, first_by_id, pivot_sums, total,
 )
 from earthworks.operators.joins import with_names
 from earthworks.plans import facts
@@ -48,21 +48,60 @@ def recap(tables: Frames, site: int | None = None) -> DataFrame:
     )
 
 
-def recap_names(tables: Frames, site: int | None = None) -> list[str]:
-    """Names of all deliverables that lines have, in the order in which the lines first name them."""
-    named = distinct_in_order(_keyed_lines(tables, site), "livrable")
-    return [r.livrable for r in named.collect()]  # column names of one result, few by nature
+def recap_names(tables: Frames, site: int | None = None) -> DataFrame:
+    """``rue_id`` and ``livrables``: the names that the lines of each site have, in the order in which they first occur.
+
+    One row per site, whose length is the number of its deliverables.
+    """
+    first = _keyed_lines(tables, site).groupBy("rue_id", "livrable").agg(F.min("id").alias("premier"))
+    named = first.groupBy("rue_id").agg(F.sort_array(F.collect_list(F.struct("premier", "livrable"))).alias("__named"))
+    return named.select("rue_id", F.col("__named.livrable").alias("livrables"))
+
+
+def recap_matrix(tables: Frames, site: int | None = None) -> DataFrame:
+    """Recap matrix of every site: per line key, and in total, one array of quantities in the order of the site's names.
+
+    Names are numbered within their site, so a portfolio of any number of names needs no column for each, and a row is as
+    long as its own site's list. Missing quantities are 0.
+    """
+    places = recap_names(tables, site).select("rue_id", F.size("livrables").alias("__n"), F.posexplode("livrables").alias("__at", "livrable"))
+    sums = recap(tables, site).join(places, ["rue_id", "livrable"])
+    per_site = sums.groupBy("rue_id", "__n", "__at").agg(F.sum("quantite").alias("quantite"))
+    entries = append_levels(
+        at_level(sums.select("rue_id", "cle", "__n", "__at", "quantite"), DETAIL), at_level(per_site, TOTAL))
+    zero = F.lit(0).cast(entries.schema["quantite"].dataType)
+    filled = entries.groupBy(LEVEL, "rue_id", "cle", "__n").agg(
+        F.sort_array(F.collect_list(F.struct("__at", "quantite"))).alias("__set"))
+    # each entry brings the zeros between the one before and itself; what follows the last comes at the end
+    last = lambda k: F.when(k == 0, -1).otherwise(F.get("__set", k - 1)["__at"])
+    dense = F.flatten(F.transform("__set", lambda e, k: F.concat(
+        F.array_repeat(zero, e["__at"] - last(k) - 1), F.array(e["quantite"]))))
+    rest = F.array_repeat(zero, F.col("__n") - 1 - F.element_at("__set", -1)["__at"])
+    return filled.select(LEVEL, "rue_id", "cle", F.concat(dense, rest).alias("quantites"))
+
+
+def recap_cells(tables: Frames, site: int | None = None) -> DataFrame:
+    """The matrix with the name of each quantity, a row per cell."""
+    named = recap_matrix(tables, site).join(recap_names(tables, site), "rue_id")
+    cells = F.arrays_zip(F.col("livrables").alias("livrable"), F.col("quantites").alias("quantite"))
+    return named.select(LEVEL, "rue_id", "cle", F.posexplode(cells).alias("rang", "__cell")).select(
+        LEVEL, "rue_id", "cle", "rang", "__cell.livrable", "__cell.quantite")
 
 
 def recap_wide(tables: Frames, names: list[str] | None = None, site: int | None = None) -> DataFrame:
     """Recap matrix: a column per deliverable, then total quantity and amount, and a total row per site.
 
-    Columns are all deliverables in first-seen order, or the given ones; totals always count every deliverable.
+    Columns are the given names, or those of one site in first-seen order; totals always count every deliverable. Over
+    several sites the names must be given, or see ``recap_matrix``, which needs none.
     """
-    names = recap_names(tables, site) if names is None else names
-    wide = pivot_sums(_keyed_lines(tables, site), ["rue_id", "cle"], "livrable", "quantite_marche", names)
+    if names is None:
+        if site is None:
+            raise ValueError("give the names of the columns or one site")
+        found = recap_names(tables, site).first()  # the list of one site
+        names = found.livrables if found else []
     totals = recap_totals(tables, site)
     keys = totals.filter(F.col(LEVEL) == DETAIL).select("rue_id", "cle", "qte_totale", "montant_total")
+    wide = pivot_sums(_keyed_lines(tables, site), ["rue_id", "cle"], "livrable", "quantite_marche", names)
     detail = at_level(wide.join(keys, ["rue_id", "cle"]), DETAIL)
     per_site = wide.groupBy("rue_id").agg(*[total(F.col(f"`{n}`")).alias(n) for n in names])
     sums = keys.groupBy("rue_id").agg(total("qte_totale").alias("qte_totale"), total("montant_total").alias("montant_total"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from functools import reduce
 from operator import or_
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from earthworks.functions.columns import GENERAL, amount, percent, remaining
 from earthworks.operators.changes import append_rows, update_rows
 from earthworks.operators.filters import equals_if
 from earthworks.operators.joins import with_site, with_total
+from earthworks.operators.lineage import stable
 from earthworks.plans import facts
 from earthworks.plans.facts import Frames
 from earthworks.sources.catalog import ENTRY, NEED, ORDERED, RECEIVED, REJECTED, STOCKED, VALIDATED
@@ -148,6 +150,115 @@ def stock_moves(tables: Frames, requests: DataFrame, day: dt.date) -> tuple[Data
     return orders, entries
 
 
+class Batch(NamedTuple):
+    """What a batch of requests does: the new orders, the steps taken, the requests refused, the stock entries."""
+
+    orders: DataFrame
+    taken: DataFrame
+    refused: DataFrame
+    entries: DataFrame
+
+
+# How many moves an order can make one after the other, and what is stocked if nothing came in.
+LONGEST_PATH = 4
+LEAST_STOCKED = 1
+
+
+def run_batch(tables: Frames, requests: DataFrame) -> Batch:
+    """Take the requests of each order one after the other, by date and number, as forms that are sent one by one.
+
+    ``requests`` holds ``appro_id, numero, cible, date_etape, acteur, numero_bc, fournisseur, quantite, prix``; the number
+    is unique. A request moves its order if the stage that the order has reached by then allows it; otherwise it is refused
+    with that stage. Quantity and price count when an order goes to stock; without them it takes what was received (1 if
+    nothing was) and the estimated price.
+
+    Stages never recur, so an order makes at most four moves: each round finds, for all orders at once, the first legal
+    request after the last one taken. That is a combining aggregate, whatever number of requests an order has.
+    """
+    orders = tables["approvisionnements"]
+    asked = stable(requests.select(
+        "appro_id", F.struct("date_etape", "numero").alias("place"), "cible",
+        F.struct("acteur", "numero_bc", "fournisseur", "quantite", "prix").alias("form")))
+    begun = orders.join(asked.select(F.col("appro_id").alias("id")).distinct(), "id", "left_semi")
+    # an order without a stage moves nowhere
+    never = F.lit(None).cast(asked.schema["place"].dataType)
+    state = begun.select(F.col("id").alias("__order"), F.col("statut").alias("reached"), never.alias("since"))
+    steps = []
+    for number in range(1, LONGEST_PATH + 1):
+        waiting = asked.join(state, asked["appro_id"] == state["__order"]).filter(
+            (F.col("since").isNull() | (F.col("place") > F.col("since"))) & _is_legal(F.col("reached"), F.col("cible")))
+        step = F.struct("place", "cible", "form", F.col("reached").alias("ancien_statut"))
+        found = stable(waiting.groupBy("appro_id").agg(F.min_by(step, F.col("place")).alias("step")))
+        steps.append(found.select("appro_id", F.lit(number).alias("rang"), "step.*"))
+        state = found.select(
+            F.col("appro_id").alias("__order"), F.col("step.cible").alias("reached"), F.col("step.place").alias("since"))
+    taken = reduce(DataFrame.union, steps)
+    paths = taken.groupBy("appro_id").agg(F.sort_array(F.collect_list(F.struct("place", "cible", "form"))).alias("path"))
+    moved = _after_path(tables, orders, paths)
+    return Batch(
+        moved, taken.select("appro_id", "rang", "place.numero", "ancien_statut", "cible", "place.date_etape"),
+        _refused_requests(orders, asked, paths), _entries(moved, paths))
+
+
+def _step_to(stage: str) -> Column:
+    """The step of a path that leads to a stage."""
+    return F.get(F.filter("path", lambda x: x["cible"] == stage), 0)
+
+
+def _after_path(tables: Frames, orders: DataFrame, paths: DataFrame) -> DataFrame:
+    """Orders with what the steps on their path set."""
+    rows = orders.join(paths.withColumnRenamed("appro_id", "__order"), orders["id"] == F.col("__order"), "left")
+    rows = with_total(rows, facts.received_by_order(tables), "id", "appro_id")
+    rows = rows.withColumns({f"__{k}": _step_to(stage) for k, stage in enumerate((VALIDATED, ORDERED, RECEIVED, STOCKED))})
+    came = F.when(F.col("__2").isNotNull(), F.col("total_recu")).otherwise(F.col("quantite_recue"))
+    came = F.when(F.col("total_recu") != 0, F.col("total_recu")).otherwise(came)
+    stocked = F.coalesce(F.col("__3.form.quantite"), F.when(came > 0, came).otherwise(LEAST_STOCKED))
+    price = F.coalesce(F.col("__3.form.prix"), F.col("prix_unitaire_estime"))
+
+    def on(step: str, value: Column, column: str) -> Column:
+        return F.when(F.col(step).isNotNull(), value.cast(orders.schema[column].dataType)).otherwise(F.col(column)).alias(column)
+
+    changed = {
+        "statut": F.coalesce(F.get(F.col("path.cible"), F.size("path") - 1), "statut").alias("statut"),
+        "date_validation_cc": on("__0", F.col("__0.place.date_etape"), "date_validation_cc"),
+        "validateur_cc": on("__0", F.col("__0.form.acteur"), "validateur_cc"),
+        "numero_bc": on("__1", F.col("__1.form.numero_bc"), "numero_bc"),
+        "fournisseur": on("__1", F.col("__1.form.fournisseur"), "fournisseur"),
+        "date_bc": on("__1", F.col("__1.place.date_etape"), "date_bc"),
+        "quantite_recue": on("__2", F.col("total_recu"), "quantite_recue"),
+        "date_mise_stock": on("__3", F.col("__3.place.date_etape"), "date_mise_stock"),
+        "quantite_mise_stock": on("__3", stocked, "quantite_mise_stock"),
+        "prix_unitaire_reel": on("__3", price, "prix_unitaire_reel"),
+    }
+    return rows.select(*[changed.get(c, F.col(c)) for c in orders.columns])
+
+
+def _refused_requests(orders: DataFrame, asked: DataFrame, paths: DataFrame) -> DataFrame:
+    """Requests that were not taken, with the stage at which they came (NULL for an unknown order) and the reason."""
+    current = orders.select(F.col("id").alias("__order"), "statut")
+    side = paths.withColumnRenamed("appro_id", "__path")
+    rows = asked.join(current, asked["appro_id"] == current["__order"], "left")
+    rows = rows.join(side, rows["appro_id"] == side["__path"], "left")
+    done = F.filter("path", lambda x: x["place"] < F.col("place"))
+    stage = F.coalesce(F.get(F.transform(done, lambda x: x["cible"]), F.size(done) - 1), "statut")
+    taken = F.exists("path", lambda x: x["place"] == F.col("place"))
+    return rows.filter(~F.coalesce(taken, F.lit(False))).select(
+        "appro_id", "place.numero", stage.alias("ancien_statut"), "cible",
+        F.when(F.col("__order").isNull(), "inconnu").otherwise("interdit").alias("motif_refus"))
+
+
+def _entries(moved: DataFrame, paths: DataFrame) -> DataFrame:
+    """Stock entries of the orders that the batch takes to stock, at their date, quantity and price."""
+    stocked = paths.filter(F.exists("path", lambda x: x["cible"] == STOCKED)).select(F.col("appro_id").alias("id"))
+    rows = moved.join(stocked, "id", "left_semi").filter(F.col("materiau_id").isNotNull())
+    note = F.concat(F.lit(POSTED_NOTE), F.coalesce("numero_bc", F.lit("")))
+    return rows.select(
+        F.col("date_mise_stock").alias("date_mvt"), "rue_id", "materiau_id", F.lit(ENTRY).alias("type_mvt"),
+        F.col("quantite_mise_stock").alias("quantite"), F.col("prix_unitaire_reel").alias("prix_unitaire"),
+        F.coalesce("fournisseur", F.lit("")).alias("fournisseur"), F.coalesce("bon_livraison", F.lit("")).alias("bon_livraison"),
+        F.col("id").alias("appro_id"), note.alias("observation"))
+
+
 def post_receptions(tables: Frames, deliveries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Receptions with new deliveries, and the orders with the quantity, last date and last note that follow.
 

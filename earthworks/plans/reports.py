@@ -63,12 +63,13 @@ def progress(tables: Frames, site: int | None = None) -> DataFrame:
 
 
 def subcontractors(tables: Frames, site: int | None = None) -> DataFrame:
-    """Contract, quote, statements and payments; each child summed before the join."""
+    """Contract, quote, statements and payments; each child summed before the join, for one site only its own rows."""
     rows = tables["sous_traitants"].filter(equals_if("rue_id", site))
+    who = None if site is None else rows
     for child in (
-        facts.quotes_by_subcontractor(tables),
-        facts.statements_by_subcontractor(tables),
-        facts.payments_by_subcontractor(tables),
+        facts.quotes_by_subcontractor(tables, who),
+        facts.statements_by_subcontractor(tables, who),
+        facts.payments_by_subcontractor(tables, who),
     ):
         rows = with_total(rows, child, "id", "st_id")
     return rows.select(

@@ -38,7 +38,8 @@ def quote_totals(tables: Frames, subcontractor: int | None = None) -> DataFrame:
 def statement(tables: Frames, subcontractor: int | None = None, site: int | None = None) -> DataFrame:
     """Quoted against executed per line; executed amounts are those stored."""
     lines = tables["devis_st"].filter(equals_if("st_id", subcontractor) & equals_if("rue_id", site))
-    done = with_total(lines, facts.statements_by_line(tables), "id", "devis_st_id")
+    narrowed = subcontractor is not None or site is not None
+    done = with_total(lines, facts.statements_by_line(tables, lines if narrowed else None), "id", "devis_st_id")
     named = with_names(done, tables["rues"], "rue_id", rue="nom")
     return named.select(
         "id", "st_id", "rue", "code_poste", "designation", "unite",
@@ -56,7 +57,8 @@ def account(tables: Frames, subcontractor: int | None = None, site: int | None =
     )
     who = tables["sous_traitants"].filter(equals_if("id", subcontractor))
     rows = with_total(who.select("id", "nom"), sums, "id", "st_id")
-    rows = with_total(rows, facts.payments_by_subcontractor(tables), "id", "st_id")
+    paid = facts.payments_by_subcontractor(tables, None if subcontractor is None else who)
+    rows = with_total(rows, paid, "id", "st_id")
     return rows.withColumn("solde_a_payer", F.col("montant_execute") - F.col("total_paye"))
 
 

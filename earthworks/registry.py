@@ -241,9 +241,10 @@ def recompute_received(t: Tables) -> DataFrame:
 
 
 def _deliveries(t: Tables) -> DataFrame:
-    """Two deliveries for some orders, one for others, some of nothing."""
+    """Two deliveries for some orders, one for others, some of nothing, none for those that were rejected."""
     times = F.when(F.col("id") % 9 == 2, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
-    asked = t["approvisionnements"].filter(F.col("id") % 3 == 2).select("id", F.explode(times).alias("k"))
+    wanted = t["approvisionnements"].filter(F.col("statut") != catalog.REJECTED)
+    asked = wanted.select("id", F.explode(times).alias("k"))
     return asked.select(
         (F.col("id") * 10 + F.col("k")).alias("source_id"), F.col("id").alias("appro_id"),
         F.date_add(F.lit(POSTING_DAY), (F.col("id") % 3 + F.col("k")).cast("int")).alias("date_reception"),
@@ -267,6 +268,50 @@ def post_receptions_rows(t: Tables) -> DataFrame:
     return procurement.post_receptions(_numbered_receptions(t), _deliveries(t))[0]
 
 
+def _batch_requests(t: Tables) -> DataFrame:
+    """Several requests of one order in a batch: along the stages, skipping one, repeating one; some orders are unknown.
+
+    What an order asks for follows from its material and its quantity: the first request aims at the stage after its own or
+    beyond, later ones at the stages that follow. Stocking comes with a quantity and a price, or without.
+    """
+    stages = F.array(*[F.lit(x) for x in (catalog.NEED, catalog.VALIDATED, catalog.ORDERED, catalog.RECEIVED, catalog.STOCKED)])
+    here = F.array_position(stages, F.col("statut"))  # from 1; 0 for a rejected order
+    wide = F.coalesce(F.col("materiau_id"), F.lit(0)) + F.col("quantite_demandee").cast("int")
+    asked = t["approvisionnements"].select("*", here.alias("__here"), (wide % 5).cast("int").alias("__kind")).select(
+        "id", "statut", "quantite_demandee", "__here", "__kind", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("k"))
+    # kind 0: all stages that follow; 1: begins one stage too far; 2: asks twice for each; 3: only two; 4: all, in reverse order of dates
+    ahead = F.when(F.col("__kind") == 1, F.col("k") % 4 + 1).when(F.col("__kind") == 2, F.ceil(F.col("k") / 2)).otherwise(F.col("k"))
+    target = F.when(F.col("__kind").isin(3) & (F.col("k") > 2), F.lit(catalog.REJECTED)).otherwise(
+        F.get(stages, (F.col("__here") - 1 + ahead).cast("int")))
+    day = F.date_add(F.lit(POSTING_DAY), F.when(F.col("__kind") == 4, -F.col("k")).otherwise(F.floor(F.col("k") / 3)).cast("int"))
+    given = (F.col("quantite_demandee").cast("int") % 2 == 0) & (F.col("k") >= 2)
+    return asked.filter(target.isNotNull()).select(
+        F.when(F.col("quantite_demandee").cast("int") % 17 == 0, F.col("id") + 900000000).otherwise(F.col("id")).alias("appro_id"),
+        (F.col("id") * 10 + F.col("k")).alias("numero"), target.alias("cible"), day.alias("date_etape"),
+        F.concat(F.lit("Chef "), F.col("k").cast("string")).alias("acteur"),
+        F.concat(F.lit("N"), F.col("id").cast("string"), F.lit("-"), F.col("k").cast("string")).alias("numero_bc"),
+        F.concat(F.lit("F"), F.col("k").cast("string")).alias("fournisseur"),
+        F.when(given, F.col("quantite_demandee") / 2).cast(catalog.MONEY).alias("quantite"),
+        F.when(given, F.col("k") * 10).cast(catalog.MONEY).alias("prix"),
+    )
+
+
+def batch_orders(t: Tables) -> DataFrame:
+    return procurement.run_batch(t, _batch_requests(t)).orders
+
+
+def batch_steps(t: Tables) -> DataFrame:
+    return procurement.run_batch(t, _batch_requests(t)).taken
+
+
+def batch_refused(t: Tables) -> DataFrame:
+    return procurement.run_batch(t, _batch_requests(t)).refused
+
+
+def batch_entries(t: Tables) -> DataFrame:
+    return procurement.run_batch(t, _batch_requests(t)).entries
+
+
 def stock_moves(t: Tables) -> DataFrame:
     return procurement.stock_moves(t, _stage_requests(t), POSTING_DAY)[1]
 
@@ -308,17 +353,17 @@ def _imported(t: Tables) -> DataFrame:
 
 
 def replace_slice(t: Tables) -> DataFrame:
-    """Bill lines after the import of the simple sheets; the sites of sheets without accepted lines are cleared too."""
+    """Bill lines after the import of the simple sheets; the sites of accepted sheets without lines are cleared too."""
     lines = _imported(t).withColumn("quantite_marche", F.col("quantite").cast(catalog.MONEY))
     lines = lines.withColumn("prix_unitaire", F.col("prix_unitaire").cast(catalog.MONEY))
     lines = lines.withColumn("id", F.col("row_idx") * 100 + F.col("file_id") + 1000000000)
-    sites = _files(t).filter(F.col("file_id") < 25).select("rue_id")
+    sites = ingest.simple_files(t["raw_cells"], _files(t), t["livrables"]).select("rue_id")
     return changes.replace_slice(t["devis_rue"], scans.with_defaults(lines, "devis_rue"), ["rue_id"], sites)
 
 
 def _owned(t: Tables) -> tuple[DataFrame, DataFrame]:
     """Deliverable and subcontractor of every simple sheet."""
-    files = _files(t).filter(F.col("file_id") < 25)
+    files = ingest.simple_files(t["raw_cells"], _files(t), t["livrables"])
     return (files.withColumn("livrable_id", F.col("rue_id") * 5 + F.col("file_id") % 4),
             files.withColumn("st_id", F.col("rue_id")))
 
@@ -386,7 +431,7 @@ def import_stats(t: Tables) -> DataFrame:
 
 
 def recap_wide(t: Tables) -> DataFrame:
-    wide = market.recap_wide(t)
+    wide = market.recap_wide(t, [fn.NO_DELIVERABLE, *[f"Livrable {k}" for k in range(4)]])
     return wide.withColumnsRenamed({n: n.lower().replace(" ", "_") for n in wide.columns})
 
 
@@ -461,6 +506,7 @@ JOBS: dict[str, Job] = {
     # market
     "boq_recap": market.recap,
     "boq_recap_wide": recap_wide,
+    "boq_recap_matrix": market.recap_cells,
     "boq_recap_totals": market.recap_totals,
     "work_statement": market.work_statement,
     "work_statement_total": market.work_statement_total,
@@ -507,6 +553,10 @@ JOBS: dict[str, Job] = {
     "post_receptions_orders": post_receptions_orders,
     "post_receptions_rows": post_receptions_rows,
     "stock_moves": stock_moves,
+    "batch_orders": batch_orders,
+    "batch_steps": batch_steps,
+    "batch_refused": batch_refused,
+    "batch_entries": batch_entries,
     # stock
     "stock_levels": stock.levels,
     "stock_alerts": stock.alerts,

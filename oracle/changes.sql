@@ -39,7 +39,7 @@ WITH p AS (
   SELECT 50, 9 + floor(p_partkey / 50), p_brand, p_name, p_type, CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE p_size END,
          CAST(CAST(p_retailprice AS DECIMAL(18,2)) AS DOUBLE) FROM part WHERE p_partkey % 50 = 1),
 n AS (SELECT CAST(r * 100 + f + 1000000000 AS BIGINT) AS id, f % 25 % (SELECT count(*) FROM supplier) AS rue_id, NULL::BIGINT AS livrable_id, code, nm, un, q, pu, '' AS observation FROM p)
-SELECT * FROM devis_rue WHERE rue_id NOT IN (SELECT n_nationkey % (SELECT count(*) FROM supplier) FROM nation)
+SELECT * FROM devis_rue WHERE rue_id NOT IN (SELECT n_nationkey % (SELECT count(*) FROM supplier) FROM nation WHERE n_nationkey NOT IN (7, 8))
 UNION ALL SELECT * FROM n
 
 -- name: cascade_delete
@@ -176,9 +176,13 @@ UNION ALL SELECT 'receptions_appro', 'appro_id', 0
 WITH p AS (
   SELECT CAST(p_partkey % 25 AS INT) AS f, (p_partkey % 25) % 6 + 1 + floor(p_partkey / 25) AS r, p_brand AS code, p_name AS nm, p_type AS un, p_size::DOUBLE AS q,
          CASE WHEN p_partkey % 17 = 0 THEN 0 ELSE CAST(CAST(p_retailprice AS DECIMAL(18,2)) AS DOUBLE) END AS pu
-  FROM part WHERE p_partkey % 29 <> 0 AND p_partkey % 31 <> 0 AND p_partkey % 25 NOT IN (7, 8)),
-n AS (SELECT CAST(r * 100 + f + 1000000000 AS BIGINT) AS id, f % (SELECT count(*) FROM supplier) AS rue_id, f % (SELECT count(*) FROM supplier) * 5 + f % 4 AS livrable_id, code, nm, un, q, pu, '' AS observation FROM p),
-s AS (SELECT DISTINCT n_nationkey % (SELECT count(*) FROM supplier) AS rue_id, n_nationkey % (SELECT count(*) FROM supplier) * 5 + n_nationkey % 4 AS livrable_id FROM nation)
+  FROM part WHERE p_partkey % 29 <> 0 AND p_partkey % 31 <> 0 AND p_partkey % 25 NOT IN (7, 8)
+  UNION ALL
+  SELECT 50, 9 + floor(p_partkey / 50), p_brand, p_name, p_type, CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE p_size END,
+         CAST(CAST(p_retailprice AS DECIMAL(18,2)) AS DOUBLE) FROM part WHERE p_partkey % 50 = 1),
+n AS (SELECT CAST(r * 100 + f + 1000000000 AS BIGINT) AS id, f % 25 % (SELECT count(*) FROM supplier) AS rue_id, f % 25 % (SELECT count(*) FROM supplier) * 5 + f % 4 AS livrable_id, code, nm, un, q, pu, '' AS observation FROM p),
+w AS (SELECT n_nationkey AS f FROM nation WHERE n_nationkey NOT IN (7, 8) UNION ALL SELECT 50),
+s AS (SELECT DISTINCT f % 25 % (SELECT count(*) FROM supplier) AS rue_id, f % 25 % (SELECT count(*) FROM supplier) * 5 + f % 4 AS livrable_id FROM w)
 SELECT d.* FROM devis_rue d LEFT JOIN s ON s.rue_id = d.rue_id AND s.livrable_id = d.livrable_id WHERE s.rue_id IS NULL
 UNION ALL SELECT * FROM n
 
@@ -187,7 +191,10 @@ UNION ALL SELECT * FROM n
 WITH p AS (
   SELECT CAST(p_partkey % 25 AS INT) AS f, (p_partkey % 25) % 6 + 1 + floor(p_partkey / 25) AS r, p_brand AS code, p_name AS nm, p_type AS un, p_size::DOUBLE AS q,
          CASE WHEN p_partkey % 17 = 0 THEN 0 ELSE CAST(CAST(p_retailprice AS DECIMAL(18,2)) AS DOUBLE) END AS pu
-  FROM part WHERE p_partkey % 29 <> 0 AND p_partkey % 31 <> 0 AND p_partkey % 25 NOT IN (7, 8)),
-n AS (SELECT CAST(r * 100 + f + 1000000000 AS BIGINT) AS id, f % (SELECT count(*) FROM supplier) AS st_id, f % (SELECT count(*) FROM supplier) AS rue_id, code, nm, un, q, pu, '' AS observation FROM p)
-SELECT * FROM devis_st WHERE st_id NOT IN (SELECT n_nationkey % (SELECT count(*) FROM supplier) FROM nation)
+  FROM part WHERE p_partkey % 29 <> 0 AND p_partkey % 31 <> 0 AND p_partkey % 25 NOT IN (7, 8)
+  UNION ALL
+  SELECT 50, 9 + floor(p_partkey / 50), p_brand, p_name, p_type, CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE p_size END,
+         CAST(CAST(p_retailprice AS DECIMAL(18,2)) AS DOUBLE) FROM part WHERE p_partkey % 50 = 1),
+n AS (SELECT CAST(r * 100 + f + 1000000000 AS BIGINT) AS id, f % 25 % (SELECT count(*) FROM supplier) AS st_id, f % 25 % (SELECT count(*) FROM supplier) AS rue_id, code, nm, un, q, pu, '' AS observation FROM p)
+SELECT * FROM devis_st WHERE st_id NOT IN (SELECT n_nationkey % (SELECT count(*) FROM supplier) FROM nation WHERE n_nationkey NOT IN (7, 8))
 UNION ALL SELECT * FROM n

@@ -112,8 +112,11 @@ SELECT 50, count(*), 0 FROM part WHERE p_partkey % 50 = 1 HAVING count(*) > 0
 WITH p AS (
   SELECT CAST(p_partkey % 25 AS INT) AS f, (p_partkey % 25) % 6 + 1 + floor(p_partkey / 25) AS r, p_brand AS code, p_name AS nm, p_type AS un, p_size::DOUBLE AS q,
          CASE WHEN p_partkey % 17 = 0 THEN 0 ELSE CAST(CAST(p_retailprice AS DECIMAL(18,2)) AS DOUBLE) END AS pu
-  FROM part WHERE p_partkey % 29 <> 0 AND p_partkey % 31 <> 0 AND p_partkey % 25 NOT IN (7, 8))
-SELECT f AS file_id, r AS row_idx, f % (SELECT count(*) FROM supplier) AS rue_id, f % (SELECT count(*) FROM supplier) * 5 + f % 4 AS livrable_id, code AS code_poste, nm AS designation, un AS unite,
+  FROM part WHERE p_partkey % 29 <> 0 AND p_partkey % 31 <> 0 AND p_partkey % 25 NOT IN (7, 8)
+  UNION ALL
+  SELECT 50, 9 + floor(p_partkey / 50), p_brand, p_name, p_type, CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE p_size END,
+         CAST(CAST(p_retailprice AS DECIMAL(18,2)) AS DOUBLE) FROM part WHERE p_partkey % 50 = 1)
+SELECT f AS file_id, r AS row_idx, f % 25 % (SELECT count(*) FROM supplier) AS rue_id, f % 25 % (SELECT count(*) FROM supplier) * 5 + f % 4 AS livrable_id, code AS code_poste, nm AS designation, un AS unite,
        q AS quantite, pu AS prix_unitaire, q * pu AS montant
 FROM p
 
@@ -122,8 +125,11 @@ FROM p
 WITH p AS (
   SELECT CAST(p_partkey % 25 AS INT) AS f, (p_partkey % 25) % 6 + 1 + floor(p_partkey / 25) AS r, p_brand AS code, p_name AS nm, p_type AS un, p_size::DOUBLE AS q,
          CASE WHEN p_partkey % 17 = 0 THEN 0 ELSE CAST(CAST(p_retailprice AS DECIMAL(18,2)) AS DOUBLE) END AS pu
-  FROM part WHERE p_partkey % 29 <> 0 AND p_partkey % 31 <> 0 AND p_partkey % 25 NOT IN (7, 8))
-SELECT f AS file_id, r AS row_idx, f % (SELECT count(*) FROM supplier) AS rue_id, f % (SELECT count(*) FROM supplier) AS st_id, code AS code_poste, nm AS designation, un AS unite,
+  FROM part WHERE p_partkey % 29 <> 0 AND p_partkey % 31 <> 0 AND p_partkey % 25 NOT IN (7, 8)
+  UNION ALL
+  SELECT 50, 9 + floor(p_partkey / 50), p_brand, p_name, p_type, CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE p_size END,
+         CAST(CAST(p_retailprice AS DECIMAL(18,2)) AS DOUBLE) FROM part WHERE p_partkey % 50 = 1)
+SELECT f AS file_id, r AS row_idx, f % 25 % (SELECT count(*) FROM supplier) AS rue_id, f % 25 % (SELECT count(*) FROM supplier) AS st_id, code AS code_poste, nm AS designation, un AS unite,
        q AS quantite, pu AS prix_unitaire, q * pu AS montant
 FROM p
 

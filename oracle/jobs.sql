@@ -692,7 +692,7 @@ FROM o JOIN approvisionnements b ON b.id = o.id WHERE o.statut = 'Mis en stock'
 -- columns: id:i date_besoin:t rue_id:i materiau_id:i designation:s unite:s quantite_demandee:d prix_unitaire_estime:d demandeur:s motif:s statut:s date_validation_cc:t validateur_cc:s numero_bc:s date_bc:t fournisseur:s date_reception:t quantite_recue:d bon_livraison:s date_mise_stock:t quantite_mise_stock:d prix_unitaire_reel:d observation:s
 WITH d AS (SELECT id * 10 + k AS source_id, id AS appro_id, DATE '2024-02-01' + CAST(id % 3 + k AS INT) AS date_reception, id % 4 * k AS quantite_recue,
              'BL' || id || '-' || k AS bon_livraison
-      FROM (SELECT id, unnest(CASE WHEN id % 9 = 2 THEN [1, 2] ELSE [1] END) AS k FROM approvisionnements WHERE id % 3 = 2)),
+      FROM (SELECT id, unnest(CASE WHEN id % 9 = 2 THEN [1, 2] ELSE [1] END) AS k FROM approvisionnements WHERE statut <> 'Rejeté')),
 n AS (SELECT * FROM d WHERE quantite_recue > 0),
 s AS (SELECT appro_id, sum(q) AS q FROM (SELECT appro_id, quantite_recue AS q FROM receptions_appro UNION ALL SELECT appro_id, quantite_recue FROM n) GROUP BY 1),
 l AS (SELECT DISTINCT ON (appro_id) appro_id, date_reception, bon_livraison FROM n ORDER BY appro_id, date_reception DESC, source_id DESC)
@@ -705,7 +705,7 @@ FROM approvisionnements a LEFT JOIN l ON l.appro_id = a.id LEFT JOIN s ON s.appr
 -- columns: id:i appro_id:i date_reception:t quantite_recue:d bon_livraison:s observation:s
 WITH d AS (SELECT id * 10 + k AS source_id, id AS appro_id, DATE '2024-02-01' + CAST(id % 3 + k AS INT) AS date_reception, id % 4 * k AS quantite_recue,
              'BL' || id || '-' || k AS bon_livraison
-      FROM (SELECT id, unnest(CASE WHEN id % 9 = 2 THEN [1, 2] ELSE [1] END) AS k FROM approvisionnements WHERE id % 3 = 2)),
+      FROM (SELECT id, unnest(CASE WHEN id % 9 = 2 THEN [1, 2] ELSE [1] END) AS k FROM approvisionnements WHERE statut <> 'Rejeté')),
 n AS (SELECT * FROM d WHERE quantite_recue > 0),
 b AS (SELECT CAST(split_part(id, '-', 1) AS BIGINT) * 10 + CAST(split_part(id, '-', 2) AS BIGINT) AS id, appro_id, date_reception, quantite_recue, bon_livraison, observation
       FROM receptions_appro)
@@ -736,3 +736,180 @@ SELECT id, nom, dv AS montant_devis, ex AS montant_execute, py AS total_paye, ex
 WITH q AS (SELECT d.quantite_marche * d.prix_unitaire AS mm,
            coalesce((SELECT sum(x.quantite_jour) FROM realisations_journalieres x WHERE x.devis_id = d.id), 0) * d.prix_unitaire AS me FROM devis_rue d WHERE d.rue_id = 3 AND d.livrable_id = 18)
 SELECT sum(mm) AS montant_marche, sum(me) AS montant_execute, round(sum(me)::DOUBLE / sum(mm)::DOUBLE * 100, 1) AS taux_pct FROM q
+
+-- name: boq_recap_matrix
+-- columns: niveau:s rue_id:i cle:s rang:i livrable:s quantite:d
+WITH k AS (
+  SELECT d.rue_id, d.id, d.quantite_marche, coalesce(l.nom, 'Sans livrable') AS livrable,
+         CASE WHEN trim(d.code_poste) <> '' THEN lower(trim(d.code_poste))
+              ELSE lower(trim(d.designation)) || '|' || lower(trim(d.unite)) END AS cle
+  FROM devis_rue d LEFT JOIN livrables l ON l.id = d.livrable_id),
+n AS (SELECT rue_id, livrable, row_number() OVER (PARTITION BY rue_id ORDER BY min(id)) - 1 AS rang FROM k GROUP BY 1, 2),
+c AS (SELECT DISTINCT rue_id, cle FROM k),
+q AS (SELECT c.rue_id, c.cle, n.rang, n.livrable, coalesce(sum(k.quantite_marche), 0) AS quantite
+      FROM c JOIN n ON n.rue_id = c.rue_id LEFT JOIN k ON k.rue_id = c.rue_id AND k.cle = c.cle AND k.livrable = n.livrable GROUP BY 1, 2, 3, 4)
+SELECT 'detail' AS niveau, * FROM q
+UNION ALL SELECT 'total', rue_id, NULL, rang, livrable, sum(quantite) FROM q GROUP BY rue_id, rang, livrable
+
+-- name: batch_orders
+-- columns: id:i date_besoin:t rue_id:i materiau_id:i designation:s unite:s quantite_demandee:d prix_unitaire_estime:d demandeur:s motif:s statut:s date_validation_cc:t validateur_cc:s numero_bc:s date_bc:t fournisseur:s date_reception:t quantite_recue:d bon_livraison:s date_mise_stock:t quantite_mise_stock:d prix_unitaire_reel:d observation:s
+WITH RECURSIVE g(i, s) AS (VALUES (1, 'Besoin exprimé'), (2, 'Validé chef chantier'), (3, 'Bon de commande émis'), (4, 'Réceptionné'), (5, 'Mis en stock')),
+a AS (SELECT o.*, coalesce(g.i, 0) AS i, (coalesce(materiau_id, 0) + CAST(quantite_demandee AS INT)) % 5 AS kind
+      FROM approvisionnements o LEFT JOIN g ON g.s = o.statut),
+q AS (SELECT id, quantite_demandee, kind, k, i - 1 + CASE kind WHEN 1 THEN k % 4 + 1 WHEN 2 THEN ceil(k / 2) ELSE k END AS at
+      FROM a, (SELECT unnest([1, 2, 3, 4]) AS k)),
+r AS (SELECT CASE WHEN CAST(quantite_demandee AS INT) % 17 = 0 THEN id + 900000000 ELSE id END AS appro_id, id * 10 + k AS numero,
+             CASE WHEN kind = 3 AND k > 2 THEN 'Rejeté' ELSE g.s END AS cible,
+             DATE '2024-02-01' + CAST(CASE WHEN kind = 4 THEN -k ELSE k // 3 END AS INT) AS date_etape, 'Chef ' || k AS acteur, 'N' || id || '-' || k AS numero_bc, 'F' || k AS fournisseur,
+             CASE WHEN CAST(quantite_demandee AS INT) % 2 = 0 AND k >= 2 THEN quantite_demandee / 2 END AS quantite,
+             CASE WHEN CAST(quantite_demandee AS INT) % 2 = 0 AND k >= 2 THEN k * 10 END AS prix
+      FROM q LEFT JOIN g ON g.i = q.at + 1 WHERE g.s IS NOT NULL OR (kind = 3 AND k > 2)),
+z AS (SELECT *, row_number() OVER (PARTITION BY appro_id ORDER BY date_etape, numero) AS n FROM r),
+legal AS (SELECT unnest(['Besoin exprimé>Validé chef chantier', 'Besoin exprimé>Rejeté', 'Validé chef chantier>Bon de commande émis',
+                         'Bon de commande émis>Réceptionné', 'Réceptionné>Mis en stock'])),
+m AS (SELECT id, CAST(0 AS BIGINT) AS n, statut AS st, CAST(NULL AS VARCHAR) AS was, false AS ok FROM approvisionnements
+      UNION ALL
+      SELECT m.id, z.n, CASE WHEN (m.st || '>' || z.cible) IN (FROM legal) THEN z.cible ELSE m.st END, m.st, (m.st || '>' || z.cible) IN (FROM legal)
+      FROM m JOIN z ON z.appro_id = m.id AND z.n = m.n + 1),
+t AS (SELECT m.id AS appro_id, m.was, z.* EXCLUDE (appro_id) FROM m JOIN z ON z.appro_id = m.id AND z.n = m.n WHERE m.ok),
+x AS (SELECT appro_id, sum(quantite_recue) AS total FROM receptions_appro GROUP BY 1),
+p AS (SELECT appro_id, arg_max(cible, n) AS st,
+        any_value(date_etape) FILTER (cible = 'Validé chef chantier') AS dv, any_value(acteur) FILTER (cible = 'Validé chef chantier') AS av,
+        any_value(numero_bc) FILTER (cible = 'Bon de commande émis') AS bc, any_value(fournisseur) FILTER (cible = 'Bon de commande émis') AS fo,
+        any_value(date_etape) FILTER (cible = 'Bon de commande émis') AS db, bool_or(cible = 'Réceptionné') AS rec,
+        bool_or(cible = 'Mis en stock') AS sto, any_value(date_etape) FILTER (cible = 'Mis en stock') AS ds,
+        any_value(quantite) FILTER (cible = 'Mis en stock') AS qs, any_value(prix) FILTER (cible = 'Mis en stock') AS ps
+      FROM t GROUP BY 1),
+f AS (SELECT a.* EXCLUDE (i, kind) REPLACE (
+        coalesce(p.st, a.statut) AS statut, coalesce(p.dv, a.date_validation_cc) AS date_validation_cc, coalesce(p.av, a.validateur_cc) AS validateur_cc,
+        coalesce(p.bc, a.numero_bc) AS numero_bc, coalesce(p.fo, a.fournisseur) AS fournisseur, coalesce(p.db, a.date_bc) AS date_bc,
+        CASE WHEN p.rec THEN coalesce(x.total, 0) ELSE a.quantite_recue END AS quantite_recue,
+        coalesce(p.ds, a.date_mise_stock) AS date_mise_stock,
+        CASE WHEN p.sto THEN coalesce(p.qs, CASE WHEN x.total > 0 THEN x.total WHEN NOT p.rec AND a.quantite_recue > 0 THEN a.quantite_recue ELSE 1 END)
+             ELSE a.quantite_mise_stock END AS quantite_mise_stock,
+        CASE WHEN p.sto THEN coalesce(p.ps, a.prix_unitaire_estime) ELSE a.prix_unitaire_reel END AS prix_unitaire_reel)
+      FROM a LEFT JOIN p ON p.appro_id = a.id LEFT JOIN x ON x.appro_id = a.id)
+SELECT * FROM f
+
+-- name: batch_steps
+-- columns: appro_id:i rang:i numero:i ancien_statut:s cible:s date_etape:t
+WITH RECURSIVE g(i, s) AS (VALUES (1, 'Besoin exprimé'), (2, 'Validé chef chantier'), (3, 'Bon de commande émis'), (4, 'Réceptionné'), (5, 'Mis en stock')),
+a AS (SELECT o.*, coalesce(g.i, 0) AS i, (coalesce(materiau_id, 0) + CAST(quantite_demandee AS INT)) % 5 AS kind
+      FROM approvisionnements o LEFT JOIN g ON g.s = o.statut),
+q AS (SELECT id, quantite_demandee, kind, k, i - 1 + CASE kind WHEN 1 THEN k % 4 + 1 WHEN 2 THEN ceil(k / 2) ELSE k END AS at
+      FROM a, (SELECT unnest([1, 2, 3, 4]) AS k)),
+r AS (SELECT CASE WHEN CAST(quantite_demandee AS INT) % 17 = 0 THEN id + 900000000 ELSE id END AS appro_id, id * 10 + k AS numero,
+             CASE WHEN kind = 3 AND k > 2 THEN 'Rejeté' ELSE g.s END AS cible,
+             DATE '2024-02-01' + CAST(CASE WHEN kind = 4 THEN -k ELSE k // 3 END AS INT) AS date_etape, 'Chef ' || k AS acteur, 'N' || id || '-' || k AS numero_bc, 'F' || k AS fournisseur,
+             CASE WHEN CAST(quantite_demandee AS INT) % 2 = 0 AND k >= 2 THEN quantite_demandee / 2 END AS quantite,
+             CASE WHEN CAST(quantite_demandee AS INT) % 2 = 0 AND k >= 2 THEN k * 10 END AS prix
+      FROM q LEFT JOIN g ON g.i = q.at + 1 WHERE g.s IS NOT NULL OR (kind = 3 AND k > 2)),
+z AS (SELECT *, row_number() OVER (PARTITION BY appro_id ORDER BY date_etape, numero) AS n FROM r),
+legal AS (SELECT unnest(['Besoin exprimé>Validé chef chantier', 'Besoin exprimé>Rejeté', 'Validé chef chantier>Bon de commande émis',
+                         'Bon de commande émis>Réceptionné', 'Réceptionné>Mis en stock'])),
+m AS (SELECT id, CAST(0 AS BIGINT) AS n, statut AS st, CAST(NULL AS VARCHAR) AS was, false AS ok FROM approvisionnements
+      UNION ALL
+      SELECT m.id, z.n, CASE WHEN (m.st || '>' || z.cible) IN (FROM legal) THEN z.cible ELSE m.st END, m.st, (m.st || '>' || z.cible) IN (FROM legal)
+      FROM m JOIN z ON z.appro_id = m.id AND z.n = m.n + 1),
+t AS (SELECT m.id AS appro_id, m.was, z.* EXCLUDE (appro_id) FROM m JOIN z ON z.appro_id = m.id AND z.n = m.n WHERE m.ok),
+x AS (SELECT appro_id, sum(quantite_recue) AS total FROM receptions_appro GROUP BY 1),
+p AS (SELECT appro_id, arg_max(cible, n) AS st,
+        any_value(date_etape) FILTER (cible = 'Validé chef chantier') AS dv, any_value(acteur) FILTER (cible = 'Validé chef chantier') AS av,
+        any_value(numero_bc) FILTER (cible = 'Bon de commande émis') AS bc, any_value(fournisseur) FILTER (cible = 'Bon de commande émis') AS fo,
+        any_value(date_etape) FILTER (cible = 'Bon de commande émis') AS db, bool_or(cible = 'Réceptionné') AS rec,
+        bool_or(cible = 'Mis en stock') AS sto, any_value(date_etape) FILTER (cible = 'Mis en stock') AS ds,
+        any_value(quantite) FILTER (cible = 'Mis en stock') AS qs, any_value(prix) FILTER (cible = 'Mis en stock') AS ps
+      FROM t GROUP BY 1),
+f AS (SELECT a.* EXCLUDE (i, kind) REPLACE (
+        coalesce(p.st, a.statut) AS statut, coalesce(p.dv, a.date_validation_cc) AS date_validation_cc, coalesce(p.av, a.validateur_cc) AS validateur_cc,
+        coalesce(p.bc, a.numero_bc) AS numero_bc, coalesce(p.fo, a.fournisseur) AS fournisseur, coalesce(p.db, a.date_bc) AS date_bc,
+        CASE WHEN p.rec THEN coalesce(x.total, 0) ELSE a.quantite_recue END AS quantite_recue,
+        coalesce(p.ds, a.date_mise_stock) AS date_mise_stock,
+        CASE WHEN p.sto THEN coalesce(p.qs, CASE WHEN x.total > 0 THEN x.total WHEN NOT p.rec AND a.quantite_recue > 0 THEN a.quantite_recue ELSE 1 END)
+             ELSE a.quantite_mise_stock END AS quantite_mise_stock,
+        CASE WHEN p.sto THEN coalesce(p.ps, a.prix_unitaire_estime) ELSE a.prix_unitaire_reel END AS prix_unitaire_reel)
+      FROM a LEFT JOIN p ON p.appro_id = a.id LEFT JOIN x ON x.appro_id = a.id)
+SELECT appro_id, row_number() OVER (PARTITION BY appro_id ORDER BY n) AS rang, numero, was AS ancien_statut, cible, date_etape FROM t
+
+-- name: batch_refused
+-- columns: appro_id:i numero:i ancien_statut:s cible:s motif_refus:s
+WITH RECURSIVE g(i, s) AS (VALUES (1, 'Besoin exprimé'), (2, 'Validé chef chantier'), (3, 'Bon de commande émis'), (4, 'Réceptionné'), (5, 'Mis en stock')),
+a AS (SELECT o.*, coalesce(g.i, 0) AS i, (coalesce(materiau_id, 0) + CAST(quantite_demandee AS INT)) % 5 AS kind
+      FROM approvisionnements o LEFT JOIN g ON g.s = o.statut),
+q AS (SELECT id, quantite_demandee, kind, k, i - 1 + CASE kind WHEN 1 THEN k % 4 + 1 WHEN 2 THEN ceil(k / 2) ELSE k END AS at
+      FROM a, (SELECT unnest([1, 2, 3, 4]) AS k)),
+r AS (SELECT CASE WHEN CAST(quantite_demandee AS INT) % 17 = 0 THEN id + 900000000 ELSE id END AS appro_id, id * 10 + k AS numero,
+             CASE WHEN kind = 3 AND k > 2 THEN 'Rejeté' ELSE g.s END AS cible,
+             DATE '2024-02-01' + CAST(CASE WHEN kind = 4 THEN -k ELSE k // 3 END AS INT) AS date_etape, 'Chef ' || k AS acteur, 'N' || id || '-' || k AS numero_bc, 'F' || k AS fournisseur,
+             CASE WHEN CAST(quantite_demandee AS INT) % 2 = 0 AND k >= 2 THEN quantite_demandee / 2 END AS quantite,
+             CASE WHEN CAST(quantite_demandee AS INT) % 2 = 0 AND k >= 2 THEN k * 10 END AS prix
+      FROM q LEFT JOIN g ON g.i = q.at + 1 WHERE g.s IS NOT NULL OR (kind = 3 AND k > 2)),
+z AS (SELECT *, row_number() OVER (PARTITION BY appro_id ORDER BY date_etape, numero) AS n FROM r),
+legal AS (SELECT unnest(['Besoin exprimé>Validé chef chantier', 'Besoin exprimé>Rejeté', 'Validé chef chantier>Bon de commande émis',
+                         'Bon de commande émis>Réceptionné', 'Réceptionné>Mis en stock'])),
+m AS (SELECT id, CAST(0 AS BIGINT) AS n, statut AS st, CAST(NULL AS VARCHAR) AS was, false AS ok FROM approvisionnements
+      UNION ALL
+      SELECT m.id, z.n, CASE WHEN (m.st || '>' || z.cible) IN (FROM legal) THEN z.cible ELSE m.st END, m.st, (m.st || '>' || z.cible) IN (FROM legal)
+      FROM m JOIN z ON z.appro_id = m.id AND z.n = m.n + 1),
+t AS (SELECT m.id AS appro_id, m.was, z.* EXCLUDE (appro_id) FROM m JOIN z ON z.appro_id = m.id AND z.n = m.n WHERE m.ok),
+x AS (SELECT appro_id, sum(quantite_recue) AS total FROM receptions_appro GROUP BY 1),
+p AS (SELECT appro_id, arg_max(cible, n) AS st,
+        any_value(date_etape) FILTER (cible = 'Validé chef chantier') AS dv, any_value(acteur) FILTER (cible = 'Validé chef chantier') AS av,
+        any_value(numero_bc) FILTER (cible = 'Bon de commande émis') AS bc, any_value(fournisseur) FILTER (cible = 'Bon de commande émis') AS fo,
+        any_value(date_etape) FILTER (cible = 'Bon de commande émis') AS db, bool_or(cible = 'Réceptionné') AS rec,
+        bool_or(cible = 'Mis en stock') AS sto, any_value(date_etape) FILTER (cible = 'Mis en stock') AS ds,
+        any_value(quantite) FILTER (cible = 'Mis en stock') AS qs, any_value(prix) FILTER (cible = 'Mis en stock') AS ps
+      FROM t GROUP BY 1),
+f AS (SELECT a.* EXCLUDE (i, kind) REPLACE (
+        coalesce(p.st, a.statut) AS statut, coalesce(p.dv, a.date_validation_cc) AS date_validation_cc, coalesce(p.av, a.validateur_cc) AS validateur_cc,
+        coalesce(p.bc, a.numero_bc) AS numero_bc, coalesce(p.fo, a.fournisseur) AS fournisseur, coalesce(p.db, a.date_bc) AS date_bc,
+        CASE WHEN p.rec THEN coalesce(x.total, 0) ELSE a.quantite_recue END AS quantite_recue,
+        coalesce(p.ds, a.date_mise_stock) AS date_mise_stock,
+        CASE WHEN p.sto THEN coalesce(p.qs, CASE WHEN x.total > 0 THEN x.total WHEN NOT p.rec AND a.quantite_recue > 0 THEN a.quantite_recue ELSE 1 END)
+             ELSE a.quantite_mise_stock END AS quantite_mise_stock,
+        CASE WHEN p.sto THEN coalesce(p.ps, a.prix_unitaire_estime) ELSE a.prix_unitaire_reel END AS prix_unitaire_reel)
+      FROM a LEFT JOIN p ON p.appro_id = a.id LEFT JOIN x ON x.appro_id = a.id)
+SELECT z.appro_id, z.numero, m.was AS ancien_statut, z.cible, CASE WHEN m.id IS NULL THEN 'inconnu' ELSE 'interdit' END AS motif_refus
+FROM z LEFT JOIN m ON m.id = z.appro_id AND m.n = z.n WHERE m.id IS NULL OR NOT m.ok
+
+-- name: batch_entries
+-- columns: date_mvt:t rue_id:i materiau_id:i type_mvt:s quantite:d prix_unitaire:d fournisseur:s bon_livraison:s appro_id:i observation:s
+WITH RECURSIVE g(i, s) AS (VALUES (1, 'Besoin exprimé'), (2, 'Validé chef chantier'), (3, 'Bon de commande émis'), (4, 'Réceptionné'), (5, 'Mis en stock')),
+a AS (SELECT o.*, coalesce(g.i, 0) AS i, (coalesce(materiau_id, 0) + CAST(quantite_demandee AS INT)) % 5 AS kind
+      FROM approvisionnements o LEFT JOIN g ON g.s = o.statut),
+q AS (SELECT id, quantite_demandee, kind, k, i - 1 + CASE kind WHEN 1 THEN k % 4 + 1 WHEN 2 THEN ceil(k / 2) ELSE k END AS at
+      FROM a, (SELECT unnest([1, 2, 3, 4]) AS k)),
+r AS (SELECT CASE WHEN CAST(quantite_demandee AS INT) % 17 = 0 THEN id + 900000000 ELSE id END AS appro_id, id * 10 + k AS numero,
+             CASE WHEN kind = 3 AND k > 2 THEN 'Rejeté' ELSE g.s END AS cible,
+             DATE '2024-02-01' + CAST(CASE WHEN kind = 4 THEN -k ELSE k // 3 END AS INT) AS date_etape, 'Chef ' || k AS acteur, 'N' || id || '-' || k AS numero_bc, 'F' || k AS fournisseur,
+             CASE WHEN CAST(quantite_demandee AS INT) % 2 = 0 AND k >= 2 THEN quantite_demandee / 2 END AS quantite,
+             CASE WHEN CAST(quantite_demandee AS INT) % 2 = 0 AND k >= 2 THEN k * 10 END AS prix
+      FROM q LEFT JOIN g ON g.i = q.at + 1 WHERE g.s IS NOT NULL OR (kind = 3 AND k > 2)),
+z AS (SELECT *, row_number() OVER (PARTITION BY appro_id ORDER BY date_etape, numero) AS n FROM r),
+legal AS (SELECT unnest(['Besoin exprimé>Validé chef chantier', 'Besoin exprimé>Rejeté', 'Validé chef chantier>Bon de commande émis',
+                         'Bon de commande émis>Réceptionné', 'Réceptionné>Mis en stock'])),
+m AS (SELECT id, CAST(0 AS BIGINT) AS n, statut AS st, CAST(NULL AS VARCHAR) AS was, false AS ok FROM approvisionnements
+      UNION ALL
+      SELECT m.id, z.n, CASE WHEN (m.st || '>' || z.cible) IN (FROM legal) THEN z.cible ELSE m.st END, m.st, (m.st || '>' || z.cible) IN (FROM legal)
+      FROM m JOIN z ON z.appro_id = m.id AND z.n = m.n + 1),
+t AS (SELECT m.id AS appro_id, m.was, z.* EXCLUDE (appro_id) FROM m JOIN z ON z.appro_id = m.id AND z.n = m.n WHERE m.ok),
+x AS (SELECT appro_id, sum(quantite_recue) AS total FROM receptions_appro GROUP BY 1),
+p AS (SELECT appro_id, arg_max(cible, n) AS st,
+        any_value(date_etape) FILTER (cible = 'Validé chef chantier') AS dv, any_value(acteur) FILTER (cible = 'Validé chef chantier') AS av,
+        any_value(numero_bc) FILTER (cible = 'Bon de commande émis') AS bc, any_value(fournisseur) FILTER (cible = 'Bon de commande émis') AS fo,
+        any_value(date_etape) FILTER (cible = 'Bon de commande émis') AS db, bool_or(cible = 'Réceptionné') AS rec,
+        bool_or(cible = 'Mis en stock') AS sto, any_value(date_etape) FILTER (cible = 'Mis en stock') AS ds,
+        any_value(quantite) FILTER (cible = 'Mis en stock') AS qs, any_value(prix) FILTER (cible = 'Mis en stock') AS ps
+      FROM t GROUP BY 1),
+f AS (SELECT a.* EXCLUDE (i, kind) REPLACE (
+        coalesce(p.st, a.statut) AS statut, coalesce(p.dv, a.date_validation_cc) AS date_validation_cc, coalesce(p.av, a.validateur_cc) AS validateur_cc,
+        coalesce(p.bc, a.numero_bc) AS numero_bc, coalesce(p.fo, a.fournisseur) AS fournisseur, coalesce(p.db, a.date_bc) AS date_bc,
+        CASE WHEN p.rec THEN coalesce(x.total, 0) ELSE a.quantite_recue END AS quantite_recue,
+        coalesce(p.ds, a.date_mise_stock) AS date_mise_stock,
+        CASE WHEN p.sto THEN coalesce(p.qs, CASE WHEN x.total > 0 THEN x.total WHEN NOT p.rec AND a.quantite_recue > 0 THEN a.quantite_recue ELSE 1 END)
+             ELSE a.quantite_mise_stock END AS quantite_mise_stock,
+        CASE WHEN p.sto THEN coalesce(p.ps, a.prix_unitaire_estime) ELSE a.prix_unitaire_reel END AS prix_unitaire_reel)
+      FROM a LEFT JOIN p ON p.appro_id = a.id LEFT JOIN x ON x.appro_id = a.id)
+SELECT f.date_mise_stock AS date_mvt, f.rue_id, f.materiau_id, 'ENTREE' AS type_mvt, f.quantite_mise_stock AS quantite, f.prix_unitaire_reel AS prix_unitaire,
+       coalesce(f.fournisseur, '') AS fournisseur, coalesce(f.bon_livraison, '') AS bon_livraison, f.id AS appro_id, 'Via Circuit Appro BC:' || coalesce(f.numero_bc, '') AS observation
+FROM f WHERE f.id IN (SELECT appro_id FROM t WHERE cible = 'Mis en stock') AND f.materiau_id IS NOT NULL

@@ -86,16 +86,28 @@ def test_runs_cross_parts(spark):
         assert number == run
 
 
-def test_newest_rows_with_a_known_key(spark):
+@pytest.fixture
+def dated(spark):
+    """Ten rows a day of 30 days with one of seven keys, of which two are known, and one row without a date."""
     rows = [(k, D(2024, 1, 1) + dt.timedelta(days=k // 10), k % 7) for k in range(300)] + [(900, None, 1)]
-    facts_ = spark.createDataFrame(rows, "id long, d date, key long")
-    dim = spark.createDataFrame([(1,), (2,)], "id long")
-    kept = windows.newest_with_match(facts_, dim, "key", "d", 5).collect()
-    known = sorted(((r[1], r[0]) for r in rows if r[2] in (1, 2) and r[1]), reverse=True)[:5]
-    assert {i for _, i in known} <= {r.id for r in kept} and len(kept) <= 40
-    assert windows.newest_with_match(facts_, dim, "key", "d", 500).count() == 301
-    plan = windows.newest_with_match(facts_, dim, "key", "d", 5)._jdf.queryExecution().optimizedPlan().toString()
-    assert "scalar-subquery" in plan
+    return rows, spark.createDataFrame(rows, "id long, d date, key long"), spark.createDataFrame([(1,), (2,)], "id long")
+
+
+@pytest.mark.parametrize("k", [1, 5, 20, 60, 85, 86, 500])
+def test_newest_rows_with_a_known_key(dated, k):
+    rows, fact, dim = dated
+    kept = [r.id for r in windows.newest_with_match(fact, dim, "key", "d", k).collect()]
+    known = sorted(((r[1] or D.min, r[0]) for r in rows if r[2] in (1, 2)), reverse=True)[:k]
+    assert {i for _, i in known} <= set(kept)
+    assert len(kept) <= max(40, 10 * k)
+
+
+def test_newest_rows_of_keys_that_are_mostly_unknown(spark):
+    """The known rows are old: the walk goes on to them."""
+    fact = spark.range(4000).select("id", F.date_sub(F.lit(D(2024, 1, 1)), (F.col("id") / 10).cast("int")).alias("d"),
+                                    F.when(F.col("id") > 3000, 1).otherwise(9).alias("key"))
+    kept = windows.newest_with_match(fact, spark.createDataFrame([(1,)], "id long"), "key", "d", 5)
+    assert kept.filter("key = 1").count() >= 5
 
 
 def test_repeated_changes_give_one_row_a_key(spark):
@@ -191,13 +203,39 @@ def test_jobs_of_a_period_prune_months(spark, warehouse, job, month):
     assert any(month in part.split("\n")[0] for part in plan.split("PartitionFilters:")[1:])
 
 
+def scanned(df, column):
+    """The least value that a pushed partition filter asks of a column, of each scan that has one."""
+    return [part.split(f"{column}#")[2].split(">= ")[1].split(")")[0] for part in explained(df).split("PartitionFilters:")[1:]
+            if ">= " in part.split("\n")[0] and f"{column}#" in part.split("\n")[0]]
+
+
 def test_newest_lists_prune_months(spark, warehouse):
+    """The list of the five newest movements reads the last month; that of one article goes back as far as it must."""
     from earthworks.plans import stock
 
     stored = open_warehouse(spark, warehouse)
-    plan = explained(stock.movement_history(stored, last_n=5))
-    assert any("subquery" in part.split("\n")[0].lower() for part in plan.split("PartitionFilters:")[1:])
-    assert stock.movement_history(stored, last_n=5).count() == 5
+    newest = stored["mouvements_materiaux"].agg(F.max("mois")).first()[0]
+    rows = stock.movement_history(stored, last_n=5)
+    assert scanned(rows, "mois") == [newest] and rows.count() == 5
+    article = stock.movement_history(stored, article=7, last_n=5)
+    whole = stored["mouvements_materiaux"].filter("materiau_id = 7").orderBy(F.desc("date_mvt"), F.desc("id")).limit(5)
+    assert [r.id for r in article.collect()] == [r.id for r in whole.collect()]
+    assert scanned(article, "mois") and scanned(article, "mois")[0] < newest
+
+
+def test_newest_lists_of_a_version_read_its_last_months(spark, tables, tmp_path):
+    """The folders of a stored version are walked in the same way, and the join sees the rows of the last months only."""
+    from earthworks.plans import staff
+    from earthworks.sources.versions import Store
+
+    store = Store(spark, f"file://{tmp_path}/books")
+    store.create({n: tables[n] for n in ("pointage", "personnel", "rues")})
+    months = store.months("pointage")
+    late = tables["pointage"].filter(F.date_format("date_pointage", "yyyy-MM") == months[-1])
+    rows = staff.attendance_history(store.tables(), k=20)
+    assert scanned(rows, "mois") == [months[-1]] and late.count() < tables["pointage"].count()
+    wanted = staff.attendance_history(tables, k=20)
+    assert collected(rows) == collected(wanted)
 
 
 def test_a_site_sums_only_its_own_lines(tables):
