@@ -13,6 +13,7 @@ tables give empty results. The input's columns that are named as keys are carrie
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -208,12 +209,30 @@ def decoded(ids: Column, model: bytes, spark) -> Column:
     return of(ids)
 
 
+def _sha256(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
 def digests(df: DataFrame, model: bytes, text: str = "text") -> DataFrame:
-    """``doc_id``, ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` and ``n_bytes``, the end of the last span."""
-    found = encoded(df, ["doc_id"], model, text).withColumn(
-        "_decoded", decoded(F.col("ids"), model, df.sparkSession))
-    joined = F.array_join(F.col("ids").cast("array<string>"), ",")
-    return found.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"),
-        F.sha2("_decoded", 256).alias("decoded_sha256"),
-        F.coalesce(F.try_element_at("ends", F.lit(-1)), F.lit(0)).cast("long").alias("n_bytes"))
+    """``doc_id``, ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` and ``n_bytes``, the end of the last span.
+
+    One pass: the ids of a text are decoded and hashed where they arise, only the digests leave Python.
+    """
+    sent = df.sparkSession.sparkContext.broadcast(model)
+    schema = T.StructType([df.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()),
+                           T.StructField("decoded_sha256", T.StringType()), T.StructField("n_bytes", T.LongType())])
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = codec(sent.value)
+        for batch in batches:
+            rows = []
+            for one in batch.column(1):
+                ids, edges = of.encode(one.as_py())
+                ids = ids.tolist()
+                rows.append((len(ids), _sha256(",".join(map(str, ids))), _sha256(of.decode(ids)), int(edges[-1]) if ids else 0))
+            found = zip(*rows, strict=True) if rows else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *[pa.array(c, kind) for c, kind in zip(found, (pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)]],
+                names=schema.names)
+
+    return df.select("doc_id", text).mapInArrow(digest, schema)
