@@ -15,24 +15,22 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from earthworks.llm import langid, mixing, resemblance, secrets, sentencepiece_codec
+from earthworks.llm import langid, mixing, secrets, sentencepiece_codec, simhash
 from earthworks.llm.queries import PIECE_MODEL
 from earthworks.llm.store import packed, table
 from earthworks.operators.lineage import shared_folder
 
-LEAST_SCORE = 0.4
-
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learned language stay; ``lang`` becomes the predicted one. Mixtures without a main language go."""
+    """Documents in a learned language, or several, stay; ``lang`` becomes the predicted one. Texts without a letter go."""
     found = langid.predicted(packed(docs).select("row", "row.text"), langid.learn(docs), ["row"])
-    known = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    known = found.where(F.col("lang_pred") != langid.UNKNOWN)
     return known.select(F.col("row").withField("lang", F.col("lang_pred")).alias("row")).select("row.*")
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays whose texts share 4/5 of their five-word shingles."""
-    return resemblance.deduplicated(docs)
+    """One document of each group stays whose fingerprints link: three-word shingles, at most three bits apart."""
+    return simhash.deduplicated(docs)
 
 
 def mask(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
