@@ -6,13 +6,17 @@ far as they go; the fraction that remains is a weighted sample without replaceme
 ``-ln(u) / weight``, an exponential variable scaled by its quality weight, and the smallest keys are taken until their
 running size comes nearest to the fraction's budget. ``u`` is a hash of the row, so reruns agree.
 
-Running sizes take no window over a whole source: keys are dealt to buckets by their rank in the key space, sizes are
-summed by (source, bucket) with partial sums, and only the bucket in which the budget ends is sorted inside.
+Running sizes take no window over a whole source: keys are dealt to buckets by their logarithm, sizes are summed by
+(source, bucket) with partial sums, and only the bucket in which the budget ends is sorted inside. A weight only shifts the
+logarithm, so the rows of one weight spread over many buckets whether it is 1 or 1e-9.
 
-Defined results: a null source is a source of its own and comes last; a null or blank text has size 0 and is never needed,
-it is taken as often as its whole epochs say, which counts no words. Rows with equal keys are ordered by doc_id, null
-first, then by size; exact duplicates of a row are interchangeable. With no words at all every target is 0. An empty table
-gives an empty result.
+``repeated`` moves no texts: the draw of a row depends on the row and on where its source's draw ends, so each source's
+last place is found on narrow rows and joined to the scan.
+
+Defined results: a null source is a source of its own and comes last; a null or blank text has size 0 and is never needed;
+it comes as often as its source's whole epochs, and once more if its key lies before the end of the draw. Rows with equal
+keys are ordered by doc_id, null first, then by size; exact duplicates of a row are interchangeable. With no words at all
+every target is 0 and nothing is taken. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,11 +24,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from earthworks.llm.store import kept, packed
+from earthworks.llm.store import kept
 from earthworks.llm.words import word_count
 
 MOST_EPOCHS = 3
 SEED = 20240229
+LEAST_WEIGHT = 1e-9
+# -ln(u) lies between 2**-53 and 37, so the logarithm of a key lies between these
+LOWEST, HIGHEST = -37.0, 25.0
 
 
 def letter_share(text: Column) -> Column:
@@ -55,17 +62,21 @@ def targets(sizes: DataFrame, most: float = MOST_EPOCHS) -> DataFrame:
         F.least("_cap", F.col("_w") * F.coalesce("_at", F.lit(float("inf")))).alias("target"))
 
 
+def draw_key() -> Column:
+    """The exponential key of a row, scaled by its weight; ``u`` is a hash of the row."""
+    u = (F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "doc_id", "salt"), 11) + 1) / F.lit(float(2**53 + 1))
+    return -F.log(u) / F.greatest("weight", F.lit(LEAST_WEIGHT))
+
+
 def drawn(docs: DataFrame, buckets: int = 4096) -> DataFrame:
     """How many words of each row the mix takes.
 
     ``docs`` has ``doc_id``, ``source``, ``size``, ``weight`` and ``salt`` (a long that tells rows apart); the columns
     ``source_size``, ``target``, ``taken`` are added, and ``_times``, how often it takes the row. ``buckets`` sets the grain of the running sizes, not the result.
     """
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "doc_id", "salt"), 11) + 1) / F.lit(float(2**53 + 1))
-    key = -F.log(u) / F.greatest("weight", F.lit(1e-9))
-    # exp(-key) has values in (0, 1) and falls as the key rises
-    bucket = F.least(F.floor((1 - F.exp(-F.col("_key"))) * buckets), F.lit(buckets - 1)).cast("int")
-    keyed = docs.withColumn("_key", key).withColumn("_bucket", bucket)
+    step = (F.log("_key") - LOWEST) * (buckets / (HIGHEST - LOWEST))
+    bucket = F.greatest(F.least(F.floor(step), F.lit(buckets - 1)), F.lit(0)).cast("int")
+    keyed = docs.withColumn("_key", draw_key()).withColumn("_bucket", bucket)
     # a hot source has its rows in thousands of (source, bucket) groups
     sums = kept(keyed.groupBy("source", "_bucket").agg(F.sum("size").alias("_sum")), "buckets")
     aims = targets(sums.groupBy("source").agg(F.sum("_sum").alias("size")))
@@ -87,17 +98,20 @@ def drawn(docs: DataFrame, buckets: int = 4096) -> DataFrame:
     ahead = F.coalesce(F.sum("size").over(group.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     edge = placed.where(F.col("_place") == "edge").withColumn(
         "_in", (F.col("_before") + ahead + F.col("size") / 2 <= F.col("_budget")) & (F.col("_budget") > 0))
-    rest = placed.where(F.col("_place") != "edge").withColumn("_in", F.col("_place") == "in")
+    rest = placed.where(F.col("_place") != "edge").withColumn("_in", (F.col("_place") == "in") & (F.col("_budget") > 0))
     return edge.unionByName(rest).withColumn(
         "_times", (F.col("_epochs") + F.when(F.col("_in"), 1).otherwise(0)).cast("int")).withColumn(
         "taken", F.col("size") * F.col("_times"))
 
 
+def _figures(text: str, weight: Column | None) -> list[Column]:
+    return [F.col("doc_id"), F.col("source"), word_count(F.col(text)).alias("size"),
+            (letter_share(F.col(text)) if weight is None else weight).alias("weight"), F.xxhash64(text).alias("salt")]
+
+
 def sized(df: DataFrame, text: str = "text", weight: Column | None = None) -> DataFrame:
     """``doc_id``, ``source``, ``size``, ``weight`` and ``salt`` of every row."""
-    return df.select("doc_id", "source", word_count(F.col(text)).alias("size"),
-                     (letter_share(F.col(text)) if weight is None else weight).alias("weight"),
-                     F.xxhash64(text).alias("salt"))
+    return df.select(*_figures(text, weight))
 
 
 def mix(df: DataFrame, text: str = "text", weight: Column | None = None) -> DataFrame:
@@ -106,19 +120,44 @@ def mix(df: DataFrame, text: str = "text", weight: Column | None = None) -> Data
     return drawn(docs).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
+def ends(docs: DataFrame) -> DataFrame:
+    """Where the draw of each source ends: ``_s`` the source, ``_epochs``, and ``_cut``, the place of the last row it takes.
+
+    If rows that are alike lie at that place and only some of them are taken, ``_some`` is how many, else it is null.
+    """
+    place = _place().alias("place")
+    taken = kept(drawn(docs).select("source", place, "_in", "_epochs"), "drawn")
+    # a third of all rows may have one source: partial maxima come before the shuffle
+    last = taken.groupBy("source").agg(
+        F.max("_epochs").alias("_epochs"), F.max(F.when(F.col("_in"), F.col("place"))).alias("_cut"),
+        F.min(F.when(~F.col("_in"), F.col("place"))).alias("_out"))
+    last = kept(last.withColumnRenamed("source", "_s"), "ends")
+    torn = last.where("_cut = _out").select("_s", "_cut")
+    same = F.col("source").eqNullSafe(F.col("_s")) & (F.col("place") == F.col("_cut"))
+    some = taken.where("_in").join(torn, same).groupBy("_s").agg(F.count(F.lit(1)).alias("_some"))
+    some = some.withColumnRenamed("_s", "_t")
+    return kept(last.join(some, F.col("_s").eqNullSafe(F.col("_t")), "left").select("_s", "_epochs", "_cut", "_some"), "cuts")
+
+
+def _place() -> Column:
+    return F.struct(F.col("_key").alias("k"), F.col("doc_id").alias("d"), F.col("size").alias("n"), F.col("salt").alias("x"))
+
+
 def repeated(df: DataFrame, text: str = "text", weight: Column | None = None) -> DataFrame:
     """All columns, every row as often as the mix takes it. Rows of size 0 follow their source's whole epochs.
 
-    Texts meet their counts by id and text; equal rows are told apart by their number among themselves.
+    The scan of the texts meets one row per source; only rows that are alike and lie where a draw ends are numbered.
     """
-    docs = kept(sized(df, text, weight), "sizes")
-    taken = drawn(docs).select("doc_id", "source", "salt", "size", F.col("_times").alias("times"))
-    order = Window.partitionBy("doc_id", "source", "salt")
-    counts = kept(taken.where("times > 0").withColumn("_n", F.row_number().over(order.orderBy(F.desc("times")))).select(
-        F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("salt").alias("_x"), "_n", "times"), "counts")
-    whole = packed(df).withColumn("salt", F.xxhash64(f"row.{text}"))
-    number = F.row_number().over(Window.partitionBy("row.doc_id", "row.source", "salt").orderBy(F.lit(0)))
-    same = (F.col("row.doc_id").eqNullSafe(F.col("_d")) & F.col("row.source").eqNullSafe(F.col("_s"))
-            & (F.col("salt") == F.col("_x")) & (F.col("_m") == F.col("_n")))
-    met = whole.withColumn("_m", number).join(counts, same)
-    return met.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
+    cuts = ends(kept(sized(df, text, weight), "sizes"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+    rows = df.select(whole, *_figures(text, weight)).withColumn("_key", draw_key()).select("row", "source", _place().alias("place"))
+    met = rows.join(cuts, F.col("source").eqNullSafe(F.col("_s")))
+    torn = (F.col("place") == F.col("_cut")) & F.col("_some").isNotNull()
+    clear = met if cuts.where("_some IS NOT NULL").isEmpty() else met.where(~F.coalesce(torn, F.lit(False)))
+    taken = clear.withColumn("_n", F.when(F.col("place") <= F.col("_cut"), 1).otherwise(0))
+    if clear is not met:
+        number = F.row_number().over(Window.partitionBy("source").orderBy(F.lit(0)))
+        alike = met.where(torn).withColumn("_n", F.when(number <= F.col("_some"), 1).otherwise(0))
+        taken = taken.unionByName(alike)
+    times = taken.select("row", (F.col("_epochs") + F.col("_n")).cast("int").alias("times")).where("times > 0")
+    return times.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")

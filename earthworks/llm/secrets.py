@@ -15,6 +15,8 @@ own length, are the largest group that meets in a task. Other columns of the inp
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -151,7 +153,8 @@ def report(df: DataFrame, keys: list[str], text: str = "text", rules: tuple[Rule
 def masked(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, mask: str = "[SECRET]") -> DataFrame:
     """All rows and columns, with every span of the text replaced; a text without findings stays as it is.
 
-    Overlapping spans of different kinds become one mask.
+    Overlapping spans of different kinds become one mask. Only texts with a hint of a secret meet the findings; the others
+    pass as they are read.
     """
     found, _ = scan(df, text, rules=rules)
     blobs = kept(per_blob(found, rules).select("blob", "spans"), "masks")
@@ -168,5 +171,7 @@ def masked(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, m
         return F.concat(acc["out"], F.substring(whole, acc["at"].cast("int") + 1, F.length(whole)))
 
     clean = F.when(F.col("spans").isNull(), whole).otherwise(F.aggregate("spans", seed, step, finish))
-    joined = packed(df).withColumn("blob", blob_id(whole)).join(blobs, "blob", "left")
-    return joined.select(F.col("row").withField(text, clean).alias("row")).select("row.*")
+    hinted = F.coalesce(reduce(or_, [whole.rlike(rule.hint) for rule in rules]), F.lit(False))
+    rows = packed(df)
+    joined = rows.where(hinted).withColumn("blob", blob_id(whole)).join(blobs, "blob", "left")
+    return joined.select(F.col("row").withField(text, clean).alias("row")).unionByName(rows.where(~hinted)).select("row.*")

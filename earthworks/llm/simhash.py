@@ -184,11 +184,11 @@ def deduplicated(df: DataFrame, text: str = "text", **options: int) -> DataFrame
 
 def one_of_each(df: DataFrame, rows: DataFrame, text: str = "text") -> DataFrame:
     """One row of each component of ``rows``, which has the ``doc_id``, ``salt`` and ``root`` of all rows."""
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "salt")
-    stay = rows.groupBy("root").agg(F.min(order).alias("o")).select(F.col("o.doc_id").alias("id"), "o.salt")
-    stay = kept(stay, "stay")
-    whole = packed(df)
-    same = F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.xxhash64(f"row.{text}") == F.col("salt"))
-    # a repeated row meets its copies here, nothing else does
-    once = Window.partitionBy("id", "salt").orderBy(F.lit(0))
-    return whole.join(stay, same).withColumn("n", F.row_number().over(once)).where("n = 1").select("row.*")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "salt")
+    stay = kept(rows.groupBy("root").agg(F.min(order).alias("o")).select("o.*"), "stay")
+    key = ["none", "id", "salt"]  # never null, so that join and window share one shuffle of the rows
+    whole = packed(df).select("row", F.col("row.doc_id").isNull().alias("none"), F.coalesce("row.doc_id", F.lit(0)).alias("id"),
+                              F.xxhash64(f"row.{text}").alias("salt"))
+    # rows with the same id and text meet here, nothing else does; the one with the smallest hash of all its columns stays
+    once = Window.partitionBy(*key).orderBy(F.xxhash64("row"))
+    return whole.join(stay, key).withColumn("n", F.row_number().over(once)).where("n = 1").select("row.*")

@@ -107,6 +107,53 @@ def test_sample_goes_by_weight(spark):
     assert heavy > 1.3 * sum(r.taken for r in found if r.doc_id % 2 == 0)
 
 
+def test_smallest_keys_are_taken(spark):
+    """The rows in are, by key, id, size and salt, those before the place at which the budget is nearest."""
+    rows = [(k % 90, "abc"[k % 3] if k % 7 else None, k % 13 if k % 5 else 0, [1.0, 0.3, 1e-9][k % 3], k % 50) for k in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long, weight double, salt long")
+    for buckets in (1, 7, 4096):
+        found = mixing.drawn(df, buckets).collect()
+        for source in (None, *"abc"):
+            mine = [r for r in found if r.source == source]
+            mine.sort(key=lambda r: (r["_key"], r.doc_id, r["size"], r.salt))
+            epochs = int(mine[0].target / mine[0].source_size + 1e-9)
+            budget, before = mine[0].target - epochs * mine[0].source_size, 0
+            for r in mine:
+                taken = budget > 0 and before + r["size"] / 2 <= budget
+                assert r.taken == r["size"] * (epochs + taken)
+                before += r["size"]
+
+
+def test_buckets_stay_small_for_small_weights(spark):
+    """Rows of one source and one weight, whatever it is, spread over the buckets."""
+    for weight in (1.0, 0.05, 1e-3, 1e-9):
+        df = spark.range(20000).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.lit(10).cast("long").alias("size"),
+                                       F.lit(weight).alias("weight"), F.col("id").alias("salt"))
+        assert mixing.drawn(df).groupBy("_bucket").count().agg(F.max("count")).first()[0] < 0.012 * 20000
+
+
+def test_a_source_of_blanks_is_not_taken(spark):
+    df = spark.createDataFrame([(1, " ", "b"), (2, "", "b"), (3, None, "b"), (4, "some words", "a")], "doc_id long, text string, source string")
+    assert {r.doc_id for r in mixing.repeated(df).collect()} == {4}
+
+
+def test_copies_at_the_end_of_a_draw(spark):
+    """Of rows that are alike only some may be taken; the repeats hold as many as the mix."""
+    df = spark.createDataFrame([(1, "w " * 10, "a")] * 40 + [(2, "v " * 20, "b")] * 10 + [(9, "x", "c")], "doc_id long, text string, source string")
+    taken = {}
+    for r in mixing.mix(df).collect():
+        taken[r.doc_id] = taken.get(r.doc_id, 0) + r.taken // r["size"]
+    times = {}
+    for r in mixing.repeated(df).collect():
+        times[r.doc_id] = times.get(r.doc_id, 0) + 1
+    assert times == {k: n for k, n in taken.items() if n} and any(n % 40 for n in (taken[1],)) | any(n % 10 for n in (taken[2],))
+
+
+def test_only_hinted_texts_are_joined(spark):
+    df = spark.createDataFrame([(1, "token=abcdef x"), (2, "no hint"), (3, None), (4, "secret: ab")], "doc_id long, text string")
+    assert [r.text for r in secrets.masked(df).orderBy("doc_id").collect()] == ["[SECRET] x", "no hint", None, "secret: ab"]
+
+
 def test_repeats_follow_the_mix(spark, edge_dir):
     docs = spark.read.parquet(f"{edge_dir}/documents.parquet")
     taken = sum(r.taken for r in mixing.mix(docs).collect())
