@@ -164,7 +164,7 @@ def cascade_hit(table: str, df: DataFrame, gone: Mapping[str, DataFrame]) -> Dat
     hit = [_linked(df, c, gone[p]) for c, p in (*taken, *freed)]
     if table in gone:
         hit.append(with_key(df, gone[table], ["id"]))
-    return reduce(DataFrame.union, hit)
+    return reduce(DataFrame.union, hit, df.filter(F.lit(False)))
 
 
 def _set_null(df: DataFrame, column: str, gone: DataFrame) -> DataFrame:

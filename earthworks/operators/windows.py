@@ -31,34 +31,34 @@ def _inside(by: Sequence[str], order: Sequence[str]) -> Window:
     return Window.partitionBy(*by, PART).orderBy(*[F.asc_nulls_first(c) for c in order])
 
 
-def _total_type(df: DataFrame, value: Column) -> T.DataType:
+def total_type(df: DataFrame, value: Column) -> T.DataType:
+    """The type of a running total of a value."""
     kind = df.select(F.sum(value).alias("t")).schema["t"].dataType
     return T.DecimalType(38, kind.scale) if isinstance(kind, T.DecimalType) else kind
 
 
 def running_total(df: DataFrame, value: Column, by: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
     """Running sum of ``value`` per key along ``order``, which is unique in a key; over the whole table without one."""
-    total_type = _total_type(df, value)
-    rows = dealt(df.withColumn("__v", value.cast(total_type)), by, order)
+    rows = dealt(df.withColumn("__v", value.cast(total_type(df, value))), by, order)
     return _summed(rows, by, order, out).select(*df.columns, out)
 
 
 def _summed(rows: DataFrame, by: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
     """Running sum of the column ``__v`` of dealt rows."""
-    total_type = rows.schema["__v"].dataType
+    kind = rows.schema["__v"].dataType
     sums = rows.groupBy(*by, PART).agg(F.sum("__v").alias("__sum"))
     before = Window.partitionBy(*by).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(*by, PART, F.coalesce(F.sum("__sum").over(before), F.lit(0)).cast(total_type).alias("__start"))
+    starts = sums.select(*by, PART, F.coalesce(F.sum("__sum").over(before), F.lit(0)).cast(kind).alias("__start"))
     upto = _inside(by, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    opened = _join_nullsafe(rows, starts, [*by, PART])
-    return opened.withColumn(out, (F.col("__start") + F.coalesce(F.sum("__v").over(upto), F.lit(0))).cast(total_type))
+    opened = join_nullsafe(rows, starts, [*by, PART])
+    return opened.withColumn(out, (F.col("__start") + F.coalesce(F.sum("__v").over(upto), F.lit(0))).cast(kind))
 
 
-def _join_nullsafe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Inner equi-join on keys that may be NULL, keeping the left key columns."""
+def join_nullsafe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on keys that may be NULL, keeping the left key columns."""
     renamed = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
     same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys])
-    return left.join(renamed, same).drop(*[f"__r_{k}" for k in keys])
+    return left.join(renamed, same, how).drop(*[f"__r_{k}" for k in keys])
 
 
 def sequential_runs(df: DataFrame, label: Column, by: str, position: str, out: str) -> DataFrame:
@@ -72,12 +72,12 @@ def sequential_runs(df: DataFrame, label: Column, by: str, position: str, out: s
         F.max_by("__label", F.struct(F.col(position).isNotNull(), F.col(position))).alias("__last"))
     along = Window.partitionBy(by).orderBy(PART)
     edges = last.select(by, PART, F.lag("__last").over(along).alias("__edge"))
-    rows = _join_nullsafe(places, edges, [by, PART])
+    rows = join_nullsafe(places, edges, [by, PART])
     inside = _inside([by], [position])
     before = F.when(F.row_number().over(inside) == 1, F.col("__edge")).otherwise(F.lag("__label").over(inside))
     fresh = rows.withColumn("__v", F.when(before.eqNullSafe(F.col("__label")), 0).otherwise(1).cast("bigint"))
     numbered = _summed(fresh, [by], [position], out)
-    return _join_nullsafe(df, numbered.select(by, position, out), [by, position])
+    return join_nullsafe(df, numbered.select(by, position, out), [by, position])
 
 
 def latest(df: DataFrame, date: str, id_column: str, k: int | None) -> DataFrame:

@@ -156,21 +156,60 @@ def grid_cells(cells: DataFrame, target: str = "site") -> DataFrame:
         "file_id", (F.col("__n") - 1).alias("ligne"), "col_idx", "nom", "value")
 
 
+GRAM = 3
+
+
+def _grams(text: str, sizes: range) -> Column:
+    """All distinct groups of so many neighbouring letters of a text."""
+    def of(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.length(text) - n + 1)
+        return F.when(F.length(text) >= n, F.transform(starts, lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array())
+
+    return F.array_distinct(F.flatten(F.array(*[of(n) for n in sizes])))
+
+
+def containing_candidates(large: DataFrame, small: DataFrame) -> DataFrame:
+    """Pairs of texts of one site, ``grand`` and ``petit``, of which the first may contain the second.
+
+    A text that contains another has all its letter groups. So a group of three letters of the small text, or the text
+    itself if it is shorter, is looked up in an index of the groups of the large ones: of its groups that which the fewest
+    large texts of the site have. A small text with a group that none has is in none. An empty text is in every text.
+    """
+    index = large.select("rue_id", F.col("texte").alias("grand"), F.explode(_grams("texte", range(1, GRAM + 1))).alias("groupe"))
+    often = index.groupBy("rue_id", "groupe").agg(F.count(F.lit(1)).alias("n"))
+    own = F.when(F.length("texte") >= GRAM, _grams("texte", range(GRAM, GRAM + 1))).otherwise(F.array("texte"))
+    asked = small.filter(F.length("texte") > 0).select("rue_id", F.col("texte").alias("petit"), F.explode(own).alias("groupe"))
+    rated = asked.join(often, ["rue_id", "groupe"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    rarest = rated.groupBy("rue_id", "petit").agg(F.min(F.struct("n", "groupe")).alias("r")).select("rue_id", "petit", "r.groupe")
+    found = index.join(rarest, ["rue_id", "groupe"]).select("rue_id", "grand", "petit")
+    blank = small.filter(F.length("texte") == 0).select("rue_id", F.col("texte").alias("petit"))
+    return found.unionByName(large.select("rue_id", F.col("texte").alias("grand")).join(blank, "rue_id"))
+
+
+def containing(large: DataFrame, small: DataFrame) -> DataFrame:
+    """Pairs of texts of one site (columns ``rue_id`` and ``texte``), of which the first contains the second."""
+    return containing_candidates(large, small).filter(F.col("grand").contains(F.col("petit")))
+
+
 def match_deliverables(columns: DataFrame, files: DataFrame, deliverables: DataFrame) -> DataFrame:
     """Deliverable each leftover column of a file stands for.
 
     Names match when one contains the other; the first deliverable by name
-    counts. ``files`` gives the site of each file.
+    counts. ``files`` gives the site of each file. Only pairs that an index of
+    letter groups finds are compared (``containing``).
     """
     free = columns.filter(F.col("champ").isNull() & ~F.col("nom").isin(_TOTAL_COLUMNS + _NO_COLUMNS))
     side = deliverables.select(
         F.col("chantier_id").alias("rue_id"), F.col("id").alias("livrable_id"),
         F.lower(F.trim("nom")).alias("livrable"), normalised_name("nom").alias("__norm"),
     )
-    either = F.col("nom").contains(F.col("__norm")) | F.col("__norm").contains(F.col("nom"))
     placed = free.join(files, "file_id")
     # each name of a site is matched once, however many of its files have it
-    pairs = placed.select("rue_id", "nom").distinct().join(side, "rue_id").filter(either)
+    heads = placed.select("rue_id", F.col("nom").alias("texte")).distinct()
+    names = side.select("rue_id", F.col("__norm").alias("texte")).distinct()
+    found = containing(heads, names).select("rue_id", F.col("grand").alias("nom"), F.col("petit").alias("__norm"))
+    turned = containing(names, heads).select("rue_id", F.col("petit").alias("nom"), F.col("grand").alias("__norm"))
+    pairs = found.union(turned).distinct().join(side, ["rue_id", "__norm"])
     best = F.min(F.struct("livrable", "livrable_id")).alias("best")
     found = pairs.groupBy("rue_id", "nom").agg(best)
     return placed.join(found, ["rue_id", "nom"]).select(

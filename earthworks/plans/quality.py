@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from earthworks.functions.columns import blank_to_null
+from earthworks.operators.lineage import stable
 from earthworks.plans.facts import Frames
 from earthworks.sources import catalog
 
@@ -84,11 +85,28 @@ def duplicate_names(tables: Frames) -> DataFrame:
     return reduce(DataFrame.unionAll, parts)
 
 
+BITMAP_ROW, BITMAP_BYTES = 4096 + 64, 32 << 20
+
+
+def id_bitmaps(tables: Frames, parents: list[str]) -> DataFrame:
+    """``parent``, ``__bucket`` and ``__bits``: which ids each table has."""
+    ids = reduce(DataFrame.unionAll, [tables[p].select(F.lit(p).alias("parent"), F.col("id")) for p in parents])
+    placed = ids.select("parent", F.bitmap_bucket_number("id").alias("__bucket"), F.bitmap_bit_position("id").alias("__bit"))
+    return placed.groupBy("parent", "__bucket").agg(F.bitmap_construct_agg("__bit").alias("__bits"))
+
+
+def _has_bit(bits: Column, place: Column) -> Column:
+    """Whether a bit of a bitmap is set; not in a missing one."""
+    byte = F.conv(F.hex(F.substring(bits, F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.coalesce(F.call_function("shiftright", byte, (place % 8).cast("int")).bitwiseAND(F.lit(1)) == 1, F.lit(False))
+
+
 def orphans(tables: Frames) -> DataFrame:
     """Rows whose foreign key has no parent, per key.
 
-    Every child is read once and its rows counted per key value; the distinct
-    values of all keys then meet the ids of all parents in a single join.
+    The ids of every parent become bitmaps, a bit for each id, kept in rows of 32,768 bits. While all bitmaps together are
+    below ``BITMAP_BYTES`` they are sent to the scans of the children, each read once and without a shuffle of its rows;
+    beyond that the children are counted per key value first and meet the bitmaps in one join.
     """
     links = [link for link in catalog.FOREIGN_KEYS if link[0] in tables and link[2] in tables]
     children = []
@@ -99,13 +117,14 @@ def orphans(tables: Frames) -> DataFrame:
         ]
         values = tables[child].select(F.lit(child).alias("table_name"), F.inline(F.array(*pairs)))
         children.append(values.filter(F.col("id").isNotNull()))
-    counts = reduce(DataFrame.unionAll, children).groupBy("table_name", "colonne", "parent", "id").agg(
-        F.count(F.lit(1)).alias("rows")
-    )
-    parents = reduce(DataFrame.unionAll, [
-        tables[p].select(F.lit(p).alias("parent"), F.col("id")) for p in dict.fromkeys(p for *_, p, _ in links)
-    ])
-    lost = counts.join(parents, ["parent", "id"], "left_anti").select("table_name", "colonne", "rows")
-    session = counts.sparkSession
+    keys = reduce(DataFrame.unionAll, children)
+    bits = stable(id_bitmaps(tables, list(dict.fromkeys(p for *_, p, _ in links))))
+    if bits.count() * BITMAP_ROW <= BITMAP_BYTES:
+        counts, bits = keys.withColumn("rows", F.lit(1).cast("bigint")), F.broadcast(bits)
+    else:
+        counts = keys.groupBy("table_name", "colonne", "parent", "id").agg(F.count(F.lit(1)).alias("rows"))
+    met = counts.withColumn("__bucket", F.bitmap_bucket_number("id")).join(bits, ["parent", "__bucket"], "left")
+    lost = met.filter(~_has_bit(F.col("__bits"), F.bitmap_bit_position("id"))).select("table_name", "colonne", "rows")
+    session = keys.sparkSession
     listed = session.createDataFrame([(t, c, 0) for t, c, *_ in links], "table_name string, colonne string, rows bigint")
     return lost.unionByName(listed).groupBy("table_name", "colonne").agg(F.sum("rows").alias("n"))

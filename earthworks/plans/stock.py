@@ -48,7 +48,12 @@ def overdrawn_exits(tables: Frames) -> DataFrame:
         moves.select("id", "date_mvt", "materiau_id", "type_mvt", "quantite"),
         impact, ["materiau_id"], ["date_mvt", "id"], "__moved",
     )
-    opened = with_names(history, tables["materiaux"], "materiau_id", "inner", article="nom", __opening="stock_initial")
+    return overdrawn(history, tables["materiaux"])
+
+
+def overdrawn(history: DataFrame, materials: DataFrame) -> DataFrame:
+    """The exits of a history with running totals ``__moved`` that took more than there was."""
+    opened = with_names(history, materials, "materiau_id", "inner", article="nom", __opening="stock_initial")
     before = F.col("__opening") + F.col("__moved") + F.col("quantite")
     exits = opened.filter(F.col("type_mvt") == catalog.EXIT).withColumn("stock_avant", before)
     return exits.filter(F.col("quantite") > F.col("stock_avant")).select(

@@ -6,6 +6,7 @@ The arguments are those the SQL texts in ``oracle/`` spell out.
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections import ChainMap
 from collections.abc import Callable, Mapping
 
@@ -15,13 +16,15 @@ from pyspark.sql import types as T
 
 from earthworks.functions import columns as fn
 from earthworks.operators import aggregates, changes, filters, joins, windows
+from earthworks.operators.lineage import shared_folder
 from earthworks.plans import (
-    dashboard, ingest, market, plant, procurement, projects, quality, records, reports, staff, stock,
+    dashboard, history, ingest, market, plant, procurement, projects, quality, records, reports, staff, stock,
     subcontract,
 )
 from earthworks.sources import catalog, tables as scans
 from earthworks.sources.tables import Tables
 from earthworks.sources.text_load import typed
+from earthworks.sources.versions import Store, counts
 
 Job = Callable[[Tables], DataFrame]
 
@@ -84,14 +87,12 @@ def _digit(column: str) -> Column:
 
 
 def _spoiled(t: Tables) -> Mapping[str, DataFrame]:
-    """Every checked column with good values, except where the id ends in 3 (unknown) or 4 (out of range)."""
+    """The stored values, except where the id ends in 3 (an unknown word) or 4 (a number out of range)."""
     frames = {}
     for name in dict.fromkeys(n for n, _ in (*catalog.DOMAINS, *quality.RANGES)):
-        good = {c: F.when(_digit("id") == 3, F.lit("inconnu")).otherwise(F.lit(allowed[0]))
-                for (n, c), allowed in catalog.DOMAINS.items() if n == name}
-        numbers = {c: F.when(_digit("id") == 4, F.lit(-1)).when(F.col(c) <= 0, F.lit(1)).otherwise(F.col(c))
-                   for n, c in quality.RANGES if n == name}
-        frames[name] = t[name].withColumns(good | numbers)
+        words = {c: F.when(_digit("id") == 3, F.lit("inconnu")).otherwise(F.col(c)) for n, c in catalog.DOMAINS if n == name}
+        numbers = {c: F.when(_digit("id") == 4, F.lit(-1)).otherwise(F.col(c)) for n, c in quality.RANGES if n == name}
+        frames[name] = t[name].withColumns(words | numbers)
     return _overriding(t, **frames)
 
 
@@ -423,6 +424,117 @@ def audit_diff(t: Tables) -> DataFrame:
     return changes.audit_diff(base, new, "materiaux", dt.datetime(2024, 2, 1, 8))
 
 
+# --- the same on stored versions ---
+
+def _stored(t: Tables, *names: str, **frames: DataFrame) -> Store:
+    """A new store whose first version has the given tables."""
+    store = Store(t.spark, f"{shared_folder(t.spark)}/versions-{uuid.uuid4().hex}")
+    store.create({n: t[n] for n in names} | frames)
+    return store
+
+
+def _attendance_changes(t: Tables) -> DataFrame:
+    """What plant was used for becomes attendance, as in ``upsert_rows``, of the last days only."""
+    late = t["suivi_materiels"].filter(F.col("date_suivi") >= F.lit(EVENTS_AS_OF - dt.timedelta(days=10)))
+    entered = late.select(
+        "id", F.col("date_suivi").alias("date_pointage"), F.col("materiel_id").alias("personnel_id"),
+        F.lit("Mission").alias("statut"), F.col("heures_travail").alias("heures_travaillees"),
+    )
+    return scans.with_defaults(entered, "pointage")
+
+
+def stored_upsert(t: Tables) -> DataFrame:
+    store = _stored(t, "pointage")
+    store.upsert("pointage", _attendance_changes(t), ["date_pointage", "personnel_id"], "id")
+    return store.read("pointage").drop(scans.MONTH)
+
+
+def version_changes(t: Tables) -> DataFrame:
+    """What differs between the versions before and after."""
+    store = _stored(t, "pointage")
+    store.upsert("pointage", _attendance_changes(t), ["date_pointage", "personnel_id"], "id")
+    return store.change_log("pointage", 0, 1, dt.datetime(2024, 2, 1, 8))
+
+
+def _late_costs(t: Tables) -> DataFrame:
+    return t["maintenance_materiels"].filter(F.col("date_maintenance") >= F.lit(LATE)).select(
+        F.col("id").alias("source_id"), F.col("date_maintenance").alias("date_op"), F.col("materiel_id").alias("rue_id"),
+        F.lit(catalog.EXPENSE).alias("type_op"), F.col("type_maintenance").alias("rubrique"), F.col("cout").alias("montant"))
+
+
+LATE = dt.date(1998, 1, 1)
+
+
+def stored_replace(t: Tables) -> DataFrame:
+    """The cash book after the operations of all finished sites made way for the late costs of their plant."""
+    store = _stored(t, "caisse_chantier")
+    finished = t["rues"].filter(F.col("statut_chantier") == "Terminé").select(F.col("id").alias("rue_id"))
+    costs = _late_costs(t).join(finished, "rue_id", "left_semi").withColumn("id", F.col("source_id") + 1000000000)
+    store.replace("caisse_chantier", scans.with_defaults(costs, "caisse_chantier"), ["rue_id"], finished)
+    return store.read("caisse_chantier").drop(scans.MONTH)
+
+
+def stored_versions(t: Tables) -> DataFrame:
+    """Every version of a cash book and a list of materials, read one after the other: first, appended, updated, replaced."""
+    store = _stored(t, "caisse_chantier", "materiaux")
+    store.append("caisse_chantier", _late_costs(t), "source_id")
+    asked = t["caisse_chantier"].filter(F.col("type_op") == catalog.ADVANCE).select("id", F.add_months("date_op", 2).alias("date_op"))
+    store.update("caisse_chantier", asked, ["date_op"])
+    consumed = t["materiaux"].filter(F.col("categorie") == "Consommable").select("categorie")
+    store.replace("materiaux", t["materiaux"].limit(0), ["categorie"], consumed)
+    return counts(store, store.numbers())
+
+
+def stored_cascade(t: Tables) -> DataFrame:
+    """Rows and freed links of all tables before and after the finished sites went, both versions read from the store."""
+    names = list(changes.cascade_order(t))
+    numbered = {n: t[n] if n in NUMBERED else _with_numbers(t[n]) for n in names}
+    store = _stored(t, **numbered)
+    store.delete_sites(t["rues"].filter(F.col("statut_chantier") == "Terminé").select("id"))
+    unlinked = {"devis_rue": "livrable_id", "materiels": "rue_id_affectation"}
+    rows = []
+    for number in store.numbers():
+        for name, df in store.tables(number).items():
+            link = F.count(unlinked[name]) if name in unlinked else F.lit(0)
+            rows.append(df.agg(F.lit(number).alias("version"), F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("n"),
+                               link.cast("bigint").alias("liens")))
+    return aggregates.append_levels(*rows)
+
+
+# Fixture tables whose ids are numbers; the others have texts.
+NUMBERED = {
+    "rues", "livrables", "devis_rue", "sous_traitants", "devis_st", "paiements_st", "personnel", "pointage", "approvisionnements",
+    "materiels", "maintenance_materiels", "suivi_materiels", "journal_chantier", "caisse_chantier", "courriers", "incidents",
+}
+
+
+def _with_numbers(df: DataFrame) -> DataFrame:
+    """Ids as whole numbers, in the order of the texts they were."""
+    return changes.number_rows(df, "id", "__n").withColumn("id", F.col("__n").cast("bigint")).drop("__n")
+
+
+def _late_cash(t: Tables) -> Store:
+    store = _stored(t, "caisse_chantier")
+    store.append("caisse_chantier", _late_costs(t), "source_id")
+    return store
+
+
+def cash_since_site(t: Tables) -> DataFrame:
+    """Balances from the first month on that late costs changed; the months before come as sums."""
+    store = _late_cash(t)
+    return history.cash_running(store, history.first_changed(store, "caisse_chantier", 0, 1), per_site=True)
+
+
+def cash_since_all(t: Tables) -> DataFrame:
+    store = _late_cash(t)
+    return history.cash_running(store, history.first_changed(store, "caisse_chantier", 0, 1), per_site=False)
+
+
+def overdraw_since(t: Tables) -> DataFrame:
+    store = _stored(t, "materiaux", mouvements_materiaux=_with_numbers(t["mouvements_materiaux"]))
+    return history.overdrawn_exits(store, f"{LATE:%Y-%m}")
+
+
 def import_stats(t: Tables) -> DataFrame:
     cells, files, columns = t["raw_cells"], _files(t), ingest.layout(t["raw_cells"])
     multi = ingest.import_multi(cells, files, t["livrables"], columns)
@@ -603,6 +715,15 @@ JOBS: dict[str, Job] = {
     "replace_subcontractor": replace_subcontractor,
     "cascade_delete": cascade_delete,
     "audit_diff": audit_diff,
+    # stored versions
+    "stored_upsert": stored_upsert,
+    "stored_replace": stored_replace,
+    "stored_versions": stored_versions,
+    "stored_cascade": stored_cascade,
+    "version_changes": version_changes,
+    "cash_since_site": cash_since_site,
+    "cash_since_all": cash_since_all,
+    "overdraw_since": overdraw_since,
     # quality
     "dq_unique": lambda t: quality.duplicate_names(_dirty_names(t)),
     "dq_orphans": lambda t: quality.orphans(_thinned(t)),

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import functions as F
 
 from earthworks.sources.labels import with_labels
 
 NO_DATA = "Aucune donnée"
+LISTING = "_feuilles"
 
 
 def export(
@@ -17,21 +19,30 @@ def export(
 ) -> list[str]:
     """Write one directory per sheet and give their paths.
 
-    A folder has the full name of its sheet; a sheet without rows gets one row saying so.
-    ``labels`` writes display names as column heads.
+    A folder has the full name of its sheet; a sheet without rows gets one row saying so. ``labels`` writes display names as
+    column heads. Each sheet is computed once: its rows are counted while they are written. The list of all sheets with
+    their rows is written last, so an export without it broke off.
     """
-    paths = []
-    for name, df in sheets.items():
-        path = f"{directory}/{name}"
-        shown = with_labels(df) if labels else df
-        if df.limit(1).count() == 0:
-            shown = df.sparkSession.createDataFrame([(NO_DATA,)], "message string")
-        writer = shown.write.mode(mode)
-        if fmt == "csv":
-            writer = writer.option("header", True)
-        writer.format(fmt).save(path)
-        paths.append(path)
-    return paths
+    if mode not in ("errorifexists", "error", "overwrite", "append"):
+        raise ValueError(f"unknown mode {mode}")
+    written = [(name, f"{directory}/{name}", _write(df, f"{directory}/{name}", fmt, mode, labels)) for name, df in sheets.items()]
+    if written:
+        session = next(iter(sheets.values())).sparkSession
+        listing = session.createDataFrame([(name, rows) for name, _, rows in written], "feuille string, lignes bigint")
+        listing.coalesce(1).write.mode(mode).parquet(f"{directory}/{LISTING}")
+    return [path for _, path, _ in written]
+
+
+def _write(df: DataFrame, path: str, fmt: str, mode: str, labels: bool) -> int:
+    seen = Observation()
+    shown = (with_labels(df) if labels else df).observe(seen, F.count(F.lit(1)).alias("lignes"))
+    options = {"header": True} if fmt == "csv" else {}
+    shown.write.mode(mode).options(**options).format(fmt).save(path)
+    rows = seen.get["lignes"]
+    if not rows:
+        marker = df.sparkSession.createDataFrame([(NO_DATA,)], "message string")
+        marker.coalesce(1).write.mode("append" if mode == "append" else "overwrite").options(**options).format(fmt).save(path)
+    return rows
 
 
 def preview(df: DataFrame, n: int = 20) -> tuple[DataFrame, int]:

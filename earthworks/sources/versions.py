@@ -127,6 +127,16 @@ class Store:
             return self.spark.createDataFrame([], fields).drop(WRITE)
         return self.spark.read.schema(fields).option("basePath", self._data(table)).parquet(*paths).drop(WRITE)
 
+    def of_write(self, table: str, write: str) -> DataFrame:
+        """All rows of one write, with their month."""
+        fields = catalog.schema(table).add(MONTH, "string")
+        return self.spark.read.schema(fields).parquet(f"{self._data(table)}/{WRITE}={write}")
+
+    def is_written(self, folder: str) -> bool:
+        """Whether a folder of this store was written to its end."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+
     def read(self, table: str, version: int | None = None, months: Iterable[str | None] | None = None) -> DataFrame:
         """A table at a version; ``months`` reads only these parts. A table without an event date has no month."""
         parts = self.version(version).of(table)
