@@ -5,6 +5,11 @@ taken as drawn from a mixture of the languages: expectation-maximisation estimat
 languages; nested sets of its strongest languages are fitted again, and the set with the highest likelihood less a
 penalty per language is chosen. The prediction is the language with the largest proportion in that set.
 
+Sets of every size are tried, up to all languages; a size is left out only if all languages beyond it together add less to
+the likelihood of the first fit than one penalty. ``fit`` says how well the chosen mixture explains the text: its mean log
+likelihood per n-gram, less that of texts of the same mixture. It is near 0 for learned languages, and far below for a
+language that was never learned, whatever the shares of the learned ones in it.
+
 Only runs of letters count, lower-cased, with a mark at both ends; digits and signs say nothing of a language.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0, and so is every text if nothing could be
@@ -31,7 +36,6 @@ from earthworks.llm.words import pieces
 BUCKETS = 1 << 15
 ORDER = 3
 STEPS = 12
-MOST_SET = 3
 PENALTY = 3.0
 SMOOTH = 0.5
 MOST_LANGUAGES = 1000
@@ -117,51 +121,66 @@ def _fit(p: np.ndarray, n: np.ndarray, starts: np.ndarray, row: np.ndarray, allo
     return share, np.add.reduceat(n * np.log((p * share[row]).sum(axis=1)), starts)
 
 
-def infer(model: Model, bags: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """The proportions of all languages and the chosen set for documents with at least one n-gram."""
+def infer(model: Model, bags: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The proportions of all languages, the chosen set, and the fit, for documents with at least one n-gram."""
     sizes = np.array([len(at) for at, _ in bags])
     starts, row = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(bags)), sizes)
     at, n = (np.concatenate(x) for x in zip(*bags, strict=True))
     p, n = model.likelihood[at], n.astype(float)
     total = np.add.reduceat(n, starts)
-    full = np.ones((len(bags), len(model.languages)))
-    share, _ = _fit(p, n, starts, row, full, model.prior, STEPS)
+    most = len(model.languages)
+    share, whole = _fit(p, n, starts, row, np.ones((len(bags), most)), model.prior, STEPS)
+    penalty = PENALTY * np.log(total + 1)
+    by_share = -np.sort(-share, axis=1)
+    rest = -np.log(np.minimum(np.cumsum(by_share, axis=1), 1)) * total[:, None]  # what the languages beyond each size add
+    rest[:, -1] = 0
+    limit = 1 + np.argmax(rest <= penalty[:, None], axis=1)
     rank = np.argsort(np.argsort(-share, axis=1, kind="stable"), axis=1, kind="stable")
-    best, score, chosen = np.zeros_like(share), np.full(len(bags), -np.inf), np.zeros(share.shape, bool)
-    for size in range(1, min(MOST_SET, len(model.languages)) + 1):
-        allowed = rank < size
-        fitted, likely = _fit(p, n, starts, row, allowed.astype(float), model.prior, STEPS if size > 1 else 0)
-        likely = likely - PENALTY * size * np.log(total + 1)
-        better = likely > score
-        best[better], score[better], chosen[better] = fitted[better], likely[better], allowed[better]
-    return best, chosen
+    best, likely = np.zeros_like(share), np.zeros(len(bags))
+    score, chosen = np.full(len(bags), -np.inf), np.zeros(share.shape, bool)
+    for size in range(1, int(limit.max()) + 1):
+        docs = np.flatnonzero(limit >= size)
+        allowed = rank[docs] < size
+        if size == most:
+            fitted, found = share[docs], whole[docs]
+        else:
+            mine = (limit >= size)[row]
+            fitted, found = _fit(p[mine], n[mine], np.cumsum(sizes[docs]) - sizes[docs], np.repeat(np.arange(len(docs)), sizes[docs]),
+                                 allowed.astype(float), model.prior, STEPS if size > 1 else 0)
+        worth = found - penalty[docs] * size
+        better = worth > score[docs]
+        at = docs[better]
+        best[at], likely[at], score[at], chosen[at] = fitted[better], found[better], worth[better], allowed[better]
+    own = (model.likelihood * np.log(model.likelihood)).sum(axis=0)
+    return best, chosen, likely / total - best @ own
 
 
 def predicted(df: DataFrame, model: Model, keys: list[Column | str], text: str = "text") -> DataFrame:
-    """The keys, ``lang_pred``, ``score`` (the language's proportion) and ``languages`` with their proportions."""
+    """The keys, ``lang_pred``, ``score`` (the language's proportion), ``fit`` and ``languages`` with their proportions."""
     rows = df.select(*keys, F.col(text))
     names = rows.columns[:-1]
     sent = df.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*rows.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField(
-        "score", T.DoubleType()), T.StructField("languages", T.MapType(T.StringType(), T.DoubleType()))])
+        "score", T.DoubleType()), T.StructField("fit", T.DoubleType()), T.StructField("languages", T.MapType(T.StringType(), T.DoubleType()))])
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = sent.value
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
+            step = max(2048 // max(len(of.languages), 4), 1)  # a table of n-grams by languages has bounded size
+            for at in range(0, whole.num_rows, step):
+                batch = whole.slice(at, step)
                 bags = [features(t.as_py()) for t in batch.column(len(names))] if of.languages else []
                 some = [k for k, (places, _) in enumerate(bags) if len(places)]
-                label, score = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows)
+                label, score, fit = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows), np.zeros(batch.num_rows)
                 sets: list[list] = [[] for _ in range(batch.num_rows)]
                 if some:
-                    share, chosen = infer(of, [bags[k] for k in some])
+                    share, chosen, fit[some] = infer(of, [bags[k] for k in some])
                     for k, s, c in zip(some, share, chosen, strict=True):
                         label[k], score[k] = of.languages[int(s.argmax())], min(float(s.max()), 1.0)
                         sets[k] = [(of.languages[x], float(s[x])) for x in np.flatnonzero(c)]
                 yield pa.RecordBatch.from_arrays(
-                    batch.columns[:-1] + [pa.array(label, pa.string()), pa.array(score),
+                    batch.columns[:-1] + [pa.array(label, pa.string()), pa.array(score), pa.array(fit),
                                           pa.array(sets, pa.map_(pa.string(), pa.float64()))],
-                    names=[*names, "lang_pred", "score", "languages"])
+                    names=[*names, "lang_pred", "score", "fit", "languages"])
 
     return rows.mapInArrow(predict, schema)

@@ -38,6 +38,59 @@ def test_mixture_of_two_languages(spark):
     assert [(rows[k].lang_pred, rows[k].score, rows[k].languages) for k in (3, 4)] == [("und", 0, {})] * 2
 
 
+def test_even_mixtures_keep_all_their_languages(spark):
+    """Sets of every size are tried; a language that was never learned is told by its fit, not by a share."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    some = {r.lang: r.text[:1500] for r in docs.where("length(text) > 3000").collect()}
+    names = sorted(some)
+    russian = "Привет как дела сегодня мы пошли гулять в парк и видели много людей " * 10
+    texts = [(k, " ".join(some[x] for x in names[:k])) for k in range(1, len(names) + 1)] + [(9, russian)]
+    rows = {r.k: r for r in langid.predicted(
+        spark.createDataFrame(texts, "k long, text string"), langid.learn(docs), ["k"]).collect()}
+    for k in range(1, len(names) + 1):
+        assert set(rows[k].languages) == set(names[:k]) and rows[k].fit > -2
+        assert all(abs(share - 1 / k) < 0.12 for share in rows[k].languages.values())
+    assert rows[9].fit < -6
+
+
+def test_proportions_have_the_highest_likelihood():
+    """Expectation-maximisation against a search over a grid of proportions."""
+    rng = np.random.default_rng(1)
+    likelihood = rng.dirichlet(np.ones(200) * 0.3, 3).T + 1e-9
+    likelihood /= likelihood.sum(axis=0)
+    model = langid.Model(["a", "b", "c"], likelihood, np.ones(3) / 3)
+    for truth in ([1, 0, 0], [0.7, 0.3, 0], [0.4, 0.3, 0.3]):
+        draw = rng.choice(200, 3000, p=likelihood @ np.array(truth))
+        at, n = np.unique(draw, return_counts=True)
+        best, chosen, _ = langid.infer(model, [(at, n)])
+        grid = [(i / 50, j / 50, (50 - i - j) / 50) for i in range(51) for j in range(51 - i)]
+        found = {}
+        for size in (1, 2, 3):
+            some = [s for s in grid if sum(x > 0 for x in s) <= size]
+            values = [float((n * np.log(likelihood[at] @ np.array(s))).sum()) for s in some]
+            top = int(np.argmax(values))
+            found[size] = values[top] - langid.PENALTY * size * np.log(3001), some[top]
+        wanted = max(found.values())[1]
+        assert np.abs(best[0] - np.array(wanted)).max() < 0.05
+        assert chosen[0].tolist() == [x > 0 for x in wanted]
+
+
+def test_set_sizes_that_are_left_out_would_not_win(monkeypatch):
+    """The sets chosen are those of a search that leaves out no size."""
+    rng = np.random.default_rng(5)
+    likelihood = rng.dirichlet(np.ones(300) * 0.5, 5).T + 1e-9
+    model = langid.Model(list("abcde"), likelihood / likelihood.sum(axis=0), np.ones(5) / 5)
+    bags = []
+    for _ in range(40):
+        share = rng.dirichlet(np.ones(5) * 0.3)
+        draw = rng.choice(300, int(rng.integers(5, 2000)), p=model.likelihood @ share)
+        bags.append(np.unique(draw, return_counts=True))
+    _, chosen, _ = langid.infer(model, bags)
+    monkeypatch.setattr(langid.np, "argmax", lambda x, axis=None: np.full(len(x), 4))
+    _, every, _ = langid.infer(model, bags)
+    assert (chosen == every).all(axis=1).mean() >= 0.95
+
+
 def test_pieces_of_a_long_text_count_alike(monkeypatch):
     text = "der Hund und die Katze " * 300
     whole = langid.features(text)

@@ -74,6 +74,18 @@ def test_pipeline_on_empty_tables(spark, empty_dir):
     assert corpus_pipeline.run(spark, empty_dir).count() == 0
 
 
+def test_language_stage_keeps_mixtures_and_drops_other_languages(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    some = {r.lang: r.text[:1200] for r in docs.where("length(text) > 3000").collect()}
+    mixed = " ".join(some[k] for k in sorted(some)[:3])
+    strange = "Привет как дела сегодня мы пошли гулять в парк и видели много людей " * 5
+    odd = spark.createDataFrame([(10**9, mixed), (10**9 + 1, strange)], "doc_id long, text string")
+    whole = docs.unionByName(odd, allowMissingColumns=True)
+    kept = {r.doc_id for r in corpus_pipeline.identify(spark, whole, None).collect()}
+    lettered = {r.doc_id for r in docs.collect() if any(c.isalpha() for c in r.text or "")}
+    assert kept == lettered | {10**9}
+
+
 def test_pipeline_stages_on_odd_tables(spark, edge_dir, tmp_path):
     """Each stage against what a loop over its own input gives."""
     docs = spark.read.parquet(f"{edge_dir}/documents.parquet")
