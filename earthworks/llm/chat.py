@@ -2,8 +2,14 @@
 
 Each line of a transcript begins a turn of a role or goes on with it; these are the hidden states. What is seen of a line
 is its speaker marker, whether it is blank or follows a blank one, whether it asks, and its length. The Viterbi path over
-all lines of a conversation gives the turns; markers are taken off, and each turn is rendered as
-``<|role|>`` line break, text, ``<|end|>`` line break.
+all lines of a conversation gives the turns; markers are taken off where a turn of their role begins, and each turn is
+rendered as ``<|role|>`` line break, text, ``<|end|>`` line break.
+
+What marks a speaker is a matter of the whole conversation: a name and its dress (plain, heading, bold, bracketed) are
+counted over all its lines, and ``speakers`` keeps those that recur. Names that texts use too ("Answer:", "Context:") only
+count where no clearer name stands for their role, and beside a marker of another role in the same dress; so lists, headings
+and "Answer: 42" stay text. How long turns are and what their lines look like is counted from turns whose
+roles are known (``fitted``); the order of roles and the trust in markers are set by hand.
 
 Rows are dealt out by ranges of (conversation, order), so a very long conversation is spread over many tasks. A part of a
 conversation that others share is first summed up as a matrix of best scores between the states at its ends; the matrices
@@ -11,13 +17,14 @@ of a conversation, one per task at most, give the states at all cuts, and each p
 
 Defined results: rows without a text are one empty line. Rows without an id form a conversation of their own. Rows are
 ordered by ``order``, nulls first, then by a hash of the text; repeated rows are repeated lines. A conversation whose first line
-has no marker begins with the likeliest role. Of equal paths the one whose states come first in STATES is taken. An empty
+has no marker begins with the likeliest role. Roles that are no known one are ``other``. Of equal paths the one whose states come first in STATES is taken. An empty
 table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,20 +35,63 @@ from pyspark.sql import functions as F
 
 from earthworks.llm.store import kept
 
-ROLES = ("system", "user", "assistant")
-# Names of speakers in transcripts.
-NAMES = {
-    "system": "system|instructions?|context|systemprompt|sistema|système",
-    "user": "user|human|customer|client|person|me|you|question|prompt|q|usuario|utilisateur|nutzer|benutzer|frage",
-    "assistant": "assistant|ai|bot|model|agent|chatbot|answer|response|a|asistente|antwort|réponse|respuesta",
+ROLES = ("system", "user", "assistant", "tool", "other")
+# Names of speakers in transcripts; the clear ones are hardly used otherwise.
+CLEAR = {
+    "system": "system systemprompt sistema système",
+    "user": "user human customer usuario utilisateur nutzer benutzer",
+    "assistant": "assistant ai bot chatbot asistente",
+    "tool": "tool",
+    "other": "participant",
+}
+VAGUE = {
+    "system": "instruction instructions context",
+    "user": "client person me you question prompt q frage",
+    "assistant": "model agent answer response a antwort réponse respuesta",
+    "tool": "function plugin observation",
+    "other": "speaker other",
 }
+ROLE_OF = {name: k for k, r in enumerate(ROLES) for name in (CLEAR[r] + " " + VAGUE[r]).split()}
+IS_CLEAR = frozenset(name for names in CLEAR.values() for name in names.split())
+ALONE = {("bold", "q"), ("bold", "a")}  # vague names that are as good as clear ones in this dress
+_NAME = "|".join(sorted(ROLE_OF, key=len, reverse=True))
 MARKER = re.compile(
-    r"[\s#>*_\[(<|]*(?:" + "|".join(f"(?P<{r}>{n})" for r, n in NAMES.items())
-    + r")\s*\d*\s*(?:[*_]*\s*:[*_]*|[\])|>]+:?)[^\S\n]*", re.I)
+    rf"[^\S\n]*(?:\#{{1,6}}[^\S\n]*(?P<heading>{_NAME})[^\S\n]*\d*[^\S\n]*(?::|$)"
+    rf"|(?P<mark>\*{{1,3}}|_{{1,3}})(?P<bold>{_NAME})[^\S\n]*\d*[^\S\n]*(?::(?P=mark)|(?P=mark)[^\S\n]*:)"
+    rf"|(?:\[(?=[^\]\n]*\])|\((?=[^)\n]*\))|<\|?(?=[^>\n]*>))(?P<bracket>{_NAME})[^\S\n]*\d*(?:\]|\)|\|?>):?"
+    rf"|>?[^\S\n]*(?P<plain>{_NAME})[^\S\n]*\d*[^\S\n]*:)[^\S\n]*", re.I)
 STATES = [(role, begins) for role in range(len(ROLES)) for begins in (True, False)]
 N = len(STATES)
 
 
+def style(line: str) -> tuple[str, str, re.Match] | None:
+    """Dress and name of the marker that a line begins with, if it does."""
+    if not (found := MARKER.match(line)):
+        return None
+    dress = next(k for k in ("heading", "bold", "bracket", "plain") if found[k])
+    return dress, found[dress].lower(), found
+
+
+def speakers(counts: dict[tuple[str, str], int]) -> set[tuple[str, str]]:
+    """The styles that mark speakers in a conversation, by how many of its lines begin with each.
+
+    Of the clear names of a role the most frequent, and others that occur at least twice and half as often; of the vague
+    ones the most frequent, if the role has no clear one, and another role has a style in its dress.
+    """
+    kept = set()
+    for role in range(len(ROLES)):
+        mine = {s: n for s, n in counts.items() if ROLE_OF[s[1]] == role}
+        clear = {s: n for s, n in mine.items() if s[1] in IS_CLEAR}
+        if clear:
+            most = max(clear.values())
+            top = min(s for s, n in clear.items() if n == most)
+            kept |= {s for s, n in clear.items() if s == top or n >= max(2, most / 2)}
+        elif mine:
+            kept.add(min(mine, key=lambda s: (-mine[s], s)))
+    dresses = {d: {ROLE_OF[name] for x, name in kept if x == d} for d, _ in kept}
+    return {s for s in kept if s[1] in IS_CLEAR or s in ALONE or len(dresses[s[0]]) > 1}
+
+
 @dataclass(frozen=True)
 class Model:
     """Log scores: ``start`` of the first line, ``step`` between states, and of what is seen in each state."""
@@ -55,41 +105,92 @@ class Model:
     long: np.ndarray
 
 
-def default_model() -> Model:
-    first = np.array([0.3, 0.65, 0.05])
-    after = np.array([[0.05, 0.85, 0.10], [0.02, 0.08, 0.90], [0.02, 0.93, 0.05]])  # the next turn's role
-    goes_on = np.array([0.6, 0.6, 0.75])
+@dataclass(frozen=True)
+class Lines:
+    """Of each role: turns, their lines, and shares of lines that are blank, end with a question mark, are long."""
+
+    goes_on: np.ndarray
+    blank: np.ndarray
+    asks: np.ndarray
+    long: np.ndarray
+
+
+PRIOR = Lines(goes_on=np.array([0.6, 0.6, 0.75, 0.75, 0.6]), blank=np.array([0.1] * 5),
+              asks=np.array([0.08, 0.35, 0.08, 0.02, 0.2]), long=np.array([0.25, 0.25, 0.45, 0.3, 0.25]))
+PULL = 20  # how many lines the prior counts for
+LONG = 200
+
+
+def default_model(lines: Lines = PRIOR) -> Model:
+    first = np.array([0.12, 0.75, 0.05, 0.03, 0.05])
+    # the next turn's role
+    after = np.array([[0.04, 0.83, 0.08, 0.02, 0.03], [0.02, 0.07, 0.84, 0.04, 0.03], [0.02, 0.82, 0.05, 0.08, 0.03],
+                      [0.01, 0.08, 0.80, 0.08, 0.03], [0.03, 0.35, 0.35, 0.02, 0.25]])
     step = np.empty((N, N))
     for a, (role, _) in enumerate(STATES):
         for b, (other, begins) in enumerate(STATES):
-            step[a, b] = (1 - goes_on[role]) * after[role, other] if begins else goes_on[role] * (role == other)
+            step[a, b] = (1 - lines.goes_on[role]) * after[role, other] if begins else lines.goes_on[role] * (role == other)
     start = np.array([first[r] if begins else 0.0 for r, begins in STATES])
     marker = np.full((len(ROLES) + 1, N), 0.004)
     blank, gap, asks, long = (np.empty((2, N)) for _ in range(4))
     for s, (role, begins) in enumerate(STATES):
-        marker[0, s] = 0.12 if begins else 0.99
+        marker[0, s] = 0.12 if begins else 0.98
         if begins:
-            marker[1 + role, s] = 0.87
-        blank[:, s] = (0.99, 0.01) if begins else (0.85, 0.15)
+            marker[1 + role, s] = 0.864
+        share = 0.01 if begins else lines.blank[role]
+        blank[:, s] = 1 - share, share
         gap[:, s] = (0.6, 0.4) if begins else (0.88, 0.12)
-        asks[:, s] = (0.65, 0.35) if role == 1 else (0.92, 0.08)
-        long[:, s] = (0.55, 0.45) if role == 2 else (0.75, 0.25)
+        asks[:, s] = 1 - lines.asks[role], lines.asks[role]
+        long[:, s] = 1 - lines.long[role], lines.long[role]
     with np.errstate(divide="ignore"):
         return Model(*(np.log(x) for x in (start, step, marker, blank, gap, asks, long)))
 
 
-def seen(lines: list[str], model: Model, gap: bool = False) -> tuple[np.ndarray, list[re.Match | None]]:
-    """Log scores of every line in every state, and its marker. ``gap``: a blank line comes before the first."""
-    marks = [MARKER.match(x) for x in lines]
-    kind = np.array([0 if m is None else 1 + next(k for k, r in enumerate(ROLES) if m[r]) for m in marks], np.int64)
+def known_role(role: Column) -> Column:
+    """One of ROLES; a null or unknown role is ``other``."""
+    plain = F.lower(F.trim(role))
+    return F.when(plain.isin(*ROLES), plain).otherwise("other")
+
+
+def fitted(turns: DataFrame, role: str = "role", text: str = "text") -> Model:
+    """The model with lengths and looks of lines counted from turns whose roles are known; one row per role is collected."""
+    cut = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
+    share = lambda test: F.sum(F.size(F.filter(cut, test)))
+    sums = {r["role"]: r for r in turns.groupBy(known_role(F.col(role)).alias("role")).agg(
+        F.count(F.lit(1)).alias("turns"), F.sum(F.size(cut)).alias("lines"), share(lambda x: ~x.rlike(r"\S")).alias("blank"),
+        share(lambda x: x.rlike(r"[?？]\s*$")).alias("asks"), share(lambda x: F.length(x) > LONG).alias("long")).collect()}
+
+    def counted(what: str, prior: np.ndarray) -> np.ndarray:
+        seen = [sums.get(r) for r in ROLES]
+        hits = np.array([0 if r is None else r["lines"] - r["turns"] if what == "on" else r[what] for r in seen])
+        return (hits + PULL * prior) / (np.array([0 if r is None else r["lines"] for r in seen]) + PULL)
+
+    return default_model(Lines(counted("on", PRIOR.goes_on), counted("blank", PRIOR.blank), counted("asks", PRIOR.asks),
+                               counted("long", PRIOR.long)))
+
+
+def seen(lines: list[str], model: Model, valid: set[tuple[str, str]], gap: bool = False) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Log scores of every line in every state, and its marker's role (-1: none) and length.
+
+    ``valid`` are the conversation's styles of speakers. ``gap``: a blank line comes before the first.
+    """
+    marks = []
+    for line in lines:
+        found = style(line)
+        marks.append((ROLE_OF[found[1]], found[2].end()) if found and found[:2] in valid else (-1, 0))
+    kind = np.array([1 + role for role, _ in marks], np.int64)
     blank = np.array([not x.strip() for x in lines], np.int64)
     before = np.append(int(gap), blank[:-1])
     asks = np.array([x.rstrip().endswith(("?", "？")) for x in lines], np.int64)
-    long = np.array([len(x) > 200 for x in lines], np.int64)
+    long = np.array([len(x) > LONG for x in lines], np.int64)
     total = model.marker[kind] + model.blank[blank] + model.gap[before] + model.asks[asks] + model.long[long]
     return total, marks
 
 
+def styles_of(lines: list[str]) -> Counter:
+    return Counter(found[:2] for x in lines if (found := style(x)))
+
+
 def transfer(scores: np.ndarray, model: Model, first: bool) -> np.ndarray:
     """Best scores from the state before these lines (a single row, if there is none) to the state of the last one."""
     best = (model.start + scores[0])[None] if first else model.step + scores[0]
@@ -133,6 +234,41 @@ def _segments(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[t
         yield open_, lines
 
 
+def _valid(row: dict) -> set[tuple[str, str]]:
+    return {tuple(x.split(" ", 1)) for x in row["styles"] or ()}
+
+
+def _styles(lines: DataFrame, within: DataFrame, kind: str) -> DataFrame:
+    """``sc``, ``sp``, ``styles``: the styles that mark speakers in a conversation, for each of its parts.
+
+    Each task counts its own lines; a conversation has as many rows here as it has styles, at most a few hundred.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums: dict = {}
+            for c, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if found := styles_of((text or "").split("\n")):
+                    sums.setdefault(c, Counter()).update(found)
+            rows = [(c, " ".join(s), n) for c, found in sums.items() for s, n in found.items()]
+            ids, names, numbers = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.record_batch({"c": pa.array(ids, batch.column(0).type), "style": pa.array(names, pa.string()),
+                                   "n": pa.array(numbers, pa.int64())})
+
+    counted = lines.select("c", "text").mapInArrow(count, f"c {kind}, style string, n long").groupBy("c", "style").agg(F.sum("n").alias("n"))
+    listed = counted.groupBy("c").agg(F.sort_array(F.collect_list(F.struct("style", "n"))).alias("found"))
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chosen = [sorted(" ".join(s) for s in speakers({tuple(x["style"].split(" ", 1)): x["n"] for x in found}))
+                      for found in batch.column(1).to_pylist()]
+            yield pa.record_batch({"sc": batch.column(0), "styles": pa.array(chosen, pa.list_(pa.string()))})
+
+    chosen = listed.mapInArrow(choose, f"sc {kind}, styles array<string>")
+    parts = within.select("c", F.col("part").alias("sp"))
+    return kept(chosen.join(parts, F.col("c").eqNullSafe(F.col("sc"))).select("sc", "sp", "styles"), "styles")
+
+
 def _cuts(parts: DataFrame, model: Model) -> DataFrame:
     """``c``, ``part``, ``before``, ``last``: the states at the ends of each part of a conversation that is cut."""
 
@@ -172,28 +308,31 @@ def turns(df: DataFrame, conversation: str, order: list[Column | str], text: str
     same = F.col("c").eqNullSafe(F.col("sc"))
     marked = shared.select(F.col("c").alias("sc"), "first")
     kind = rows.schema["c"].dataType.simpleString()
+    named = _styles(lines, within, kind)
+    with_styles = lines.join(named, same & (F.col("part") == F.col("sp")), "left").drop("sc", "sp")
 
     def dealt_again(frame: DataFrame) -> DataFrame:
         return frame.repartition("part").sortWithinPartitions("part", *along)
 
     def sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row, found in _segments(batches, ["c", "part", "first", "text"]):
-            table = transfer(seen(found, sent.value)[0], sent.value, row["part"] == row["first"])
+        for row, found in _segments(batches, ["c", "part", "first", "styles", "text"]):
+            table = transfer(seen(found, sent.value, _valid(row))[0], sent.value, row["part"] == row["first"])
             yield pa.record_batch({"c": pa.array([row["c"]], row["type"]), "part": pa.array([row["part"]], pa.int32()), "m": [table.ravel().tolist()]})
 
-    sums = dealt_again(lines.join(marked, same)).mapInArrow(sum_up, f"c {kind}, part int, m array<double>")
+    sums = dealt_again(with_styles.join(marked, same)).mapInArrow(sum_up, f"c {kind}, part int, m array<double>")
     cuts = kept(_cuts(kept(sums, "parts"), model), "cuts")
     ends = cuts.select(F.col("c").alias("sc"), F.col("part").alias("sp"), "last", "before")
-    joined = lines.join(ends, same & (F.col("part") == F.col("sp")), "left")
+    joined = with_styles.join(ends, same & (F.col("part") == F.col("sp")), "left")
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row, found in _segments(batches, ["c", "part", "before", "last", "text"]):
-            scores, marks = seen(found, sent.value)
+        for row, found in _segments(batches, ["c", "part", "before", "last", "styles", "text"]):
+            scores, marks = seen(found, sent.value, _valid(row))
             states = path(scores, sent.value, row["before"], row["last"])
             begins = np.array([STATES[s][1] for s in states])
             number = np.cumsum(begins)  # 0: goes on with the turn of the part before
             starts = np.flatnonzero(np.append(True, number[1:] != number[:-1]))
-            bodies = [x[m.end():] if m and b else x for x, m, b in zip(found, marks, begins, strict=True)]
+            # a marker comes off only where it says what the state says
+            bodies = [x[end:] if STATES[s] == (role, True) else x for x, (role, end), s in zip(found, marks, states, strict=True)]
             texts = ["\n".join(bodies[a:b]) for a, b in zip(starts, [*starts[1:], len(found)], strict=True)]
             yield pa.record_batch({
                 "c": pa.array([row["c"]] * len(starts), row["type"]), "part": pa.array([row["part"]] * len(starts), pa.int32()),
@@ -218,18 +357,18 @@ def rendered(role: Column, text: Column) -> Column:
 
 # Speaker markers of four styles of transcripts, by role.
 STYLES = (
-    {"system": "System: ", "user": "User: ", "assistant": "Assistant: "},
-    {"system": "### Instructions:\n", "user": "### Human:\n", "assistant": "### AI:\n"},
-    {"system": "[system] ", "user": "[user] ", "assistant": "[assistant] "},
-    {"system": "**Context:** ", "user": "**Q:** ", "assistant": "**A:** "},
+    {"system": "System: ", "user": "User: ", "assistant": "Assistant: ", "tool": "Tool: ", "other": "Participant: "},
+    {"system": "### Instructions:\n", "user": "### Human:\n", "assistant": "### AI:\n", "tool": "### Tool:\n", "other": "### Participant:\n"},
+    {"system": "[system] ", "user": "[user] ", "assistant": "[assistant] ", "tool": "[tool] ", "other": "[participant] "},
+    {"system": "**Context:** ", "user": "**Q:** ", "assistant": "**A:** ", "tool": "**Tool:** ", "other": "**Participant:** "},
 )
 
 
 def transcript(conversation: Column, role: Column, text: Column) -> Column:
-    """A turn as a transcript shows it: its text behind a marker in the conversation's style; other roles have none."""
+    """A turn as a transcript shows it: its text behind a marker in the conversation's style."""
     style = F.pmod(F.xxhash64(conversation), F.lit(len(STYLES)))
-    mark = F.lit("")
+    mark, who = F.lit(""), known_role(role)
     for k, names in enumerate(STYLES):
         for name, marker in names.items():
-            mark = F.when((style == k) & (role == name), marker).otherwise(mark)
+            mark = F.when((style == k) & (who == name), marker).otherwise(mark)
     return F.concat(mark, F.coalesce(text, F.lit("")))

@@ -73,7 +73,8 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     talks = table(spark, sf_dir, "conversations")
     text = chat.transcript(F.col("conv_id"), F.col("role"), F.col("text"))
-    return chat.turns(talks.select("conv_id", F.col("turn").alias("place"), text.alias("text")), "conv_id", ["place"])
+    lines = talks.select("conv_id", F.col("turn").alias("place"), text.alias("text"))
+    return chat.turns(lines, "conv_id", ["place"], model=chat.fitted(talks))
 
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

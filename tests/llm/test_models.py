@@ -234,7 +234,8 @@ def test_cut_conversations_are_solved_as_whole_ones(spark):
     rows = [(7, k, ("User: " if k % 4 == 0 else "AI: " if k % 4 == 2 else "") + f"line {k}" + "?" * (k % 8 == 0)) for k in range(900)]
     df = spark.createDataFrame(rows, "c long, k long, text string")
     order, model = [r[2] for r in rows], chat.default_model()
-    states = chat.path(chat.seen(order, model)[0], model, None, None)
+    valid = chat.speakers(chat.styles_of(order))
+    states = chat.path(chat.seen(order, model, valid)[0], model, None, None)
     begins = [chat.STATES[s][1] for s in states]
     cut = chat.turns(df.repartition(8), "c", ["k"]).orderBy("turn").collect()
     assert [r.turn for r in cut] == list(range(len(cut))) and sum(begins) == len(cut)
