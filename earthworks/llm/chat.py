@@ -16,9 +16,9 @@ conversation that others share is first summed up as a matrix of best scores bet
 of a conversation, one per task at most, give the states at all cuts, and each part is then solved on its own.
 
 Defined results: rows without a text are one empty line. Rows without an id form a conversation of their own. Rows are
-ordered by ``order``, nulls first, then by a hash of the text; repeated rows are repeated lines. A conversation whose first line
-has no marker begins with the likeliest role. Roles that are no known one are ``other``. Of equal paths the one whose states come first in STATES is taken. An empty
-table gives an empty result. Other columns are not read.
+ordered by ``order``, nulls first, then by a hash of the text; repeated rows are repeated lines. A conversation whose first
+line has no marker begins with the likeliest role. Roles that are no known one are ``other``. Of equal paths the one whose
+states come first in STATES is taken. An empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -56,7 +56,7 @@ IS_CLEAR = frozenset(name for names in CLEAR.values() for name in names.split())
 ALONE = {("bold", "q"), ("bold", "a")}  # vague names that are as good as clear ones in this dress
 _NAME = "|".join(sorted(ROLE_OF, key=len, reverse=True))
 MARKER = re.compile(
-    rf"[^\S\n]*(?:\#{{1,6}}[^\S\n]*(?P<heading>{_NAME})[^\S\n]*\d*[^\S\n]*(?::|$)"
+    rf"[^\S\n]*(?:\#{{1,6}}[^\S\n]*(?:(?P<heading>{_NAME})[^\S\n]*\d*[^\S\n]*:|(?P<title>{_NAME})[^\S\n]*\d*[^\S\n]*$)"
     rf"|(?P<mark>\*{{1,3}}|_{{1,3}})(?P<bold>{_NAME})[^\S\n]*\d*[^\S\n]*(?::(?P=mark)|(?P=mark)[^\S\n]*:)"
     rf"|(?:\[(?=[^\]\n]*\])|\((?=[^)\n]*\))|<\|?(?=[^>\n]*>))(?P<bracket>{_NAME})[^\S\n]*\d*(?:\]|\)|\|?>):?"
     rf"|>?[^\S\n]*(?P<plain>{_NAME})[^\S\n]*\d*[^\S\n]*:)[^\S\n]*", re.I)
@@ -68,7 +68,7 @@ def style(line: str) -> tuple[str, str, re.Match] | None:
     """Dress and name of the marker that a line begins with, if it does."""
     if not (found := MARKER.match(line)):
         return None
-    dress = next(k for k in ("heading", "bold", "bracket", "plain") if found[k])
+    dress = next(k for k in ("heading", "title", "bold", "bracket", "plain") if found[k])
     return dress, found[dress].lower(), found
 
 
@@ -87,7 +87,8 @@ def speakers(counts: dict[tuple[str, str], int]) -> set[tuple[str, str]]:
             top = min(s for s, n in clear.items() if n == most)
             kept |= {s for s, n in clear.items() if s == top or n >= max(2, most / 2)}
         elif mine:
-            kept.add(min(mine, key=lambda s: (-mine[s], s)))
+            beside = {d for d, name in counts if ROLE_OF[name] != role}
+            kept.add(min(mine, key=lambda s: (s[0] not in beside, -mine[s], s)))
     dresses = {d: {ROLE_OF[name] for x, name in kept if x == d} for d, _ in kept}
     return {s for s in kept if s[1] in IS_CLEAR or s in ALONE or len(dresses[s[0]]) > 1}
 
@@ -169,7 +170,9 @@ def fitted(turns: DataFrame, role: str = "role", text: str = "text") -> Model:
                                counted("long", PRIOR.long)))
 
 
-def seen(lines: list[str], model: Model, valid: set[tuple[str, str]], gap: bool = False) -> tuple[np.ndarray, list[tuple[int, int]]]:
+def seen(
+    lines: list[str], model: Model, valid: set[tuple[str, str]], gap: bool = False,
+) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """Log scores of every line in every state, and its marker's role (-1: none) and length.
 
     ``valid`` are the conversation's styles of speakers. ``gap``: a blank line comes before the first.
@@ -255,7 +258,8 @@ def _styles(lines: DataFrame, within: DataFrame, kind: str) -> DataFrame:
             yield pa.record_batch({"c": pa.array(ids, batch.column(0).type), "style": pa.array(names, pa.string()),
                                    "n": pa.array(numbers, pa.int64())})
 
-    counted = lines.select("c", "text").mapInArrow(count, f"c {kind}, style string, n long").groupBy("c", "style").agg(F.sum("n").alias("n"))
+    counted = lines.select("c", "text").mapInArrow(count, f"c {kind}, style string, n long")
+    counted = counted.groupBy("c", "style").agg(F.sum("n").alias("n"))
     listed = counted.groupBy("c").agg(F.sort_array(F.collect_list(F.struct("style", "n"))).alias("found"))
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -358,7 +362,8 @@ def rendered(role: Column, text: Column) -> Column:
 # Speaker markers of four styles of transcripts, by role.
 STYLES = (
     {"system": "System: ", "user": "User: ", "assistant": "Assistant: ", "tool": "Tool: ", "other": "Participant: "},
-    {"system": "### Instructions:\n", "user": "### Human:\n", "assistant": "### AI:\n", "tool": "### Tool:\n", "other": "### Participant:\n"},
+    {"system": "### Instructions:\n", "user": "### Human:\n", "assistant": "### AI:\n", "tool": "### Tool:\n",
+     "other": "### Participant:\n"},
     {"system": "[system] ", "user": "[user] ", "assistant": "[assistant] ", "tool": "[tool] ", "other": "[participant] "},
     {"system": "**Context:** ", "user": "**Q:** ", "assistant": "**A:** ", "tool": "**Tool:** ", "other": "**Participant:** "},
 )
