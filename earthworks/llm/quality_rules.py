@@ -6,7 +6,8 @@ Every rule names a measure of the text and the range in which it must lie. The m
 * ``mean_word_chars``: code points per word,
 * ``symbol_ratio``: symbols ``#*$%&|<>`` per word,
 * ``shout_ratio``: exclamation and question marks per word,
-* ``stop_ratio``: share of words that are stop words of a supported language,
+* ``stop_ratio``: share of words that are stop words of a supported language, whatever their case and the punctuation
+  around them; a text in another language has next to none and is not kept, so name its stop words before judging it,
 * ``dup_line_ratio``: share of lines with a word that repeat an earlier line,
 * ``ellipsis_ratio``: share of lines with a word that end in an ellipsis.
 
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 from earthworks.llm.words import GAP, words
 
 SYMBOLS = r"[#*$%&|<>]"
+# Signs that stand at the edges of words.
+PUNCTUATION = """.,;:!?…'"`´‘’‚‛“”„«»‹›()[]{}¿¡-–—*_/"""
 
 # Frequent function words of the supported languages.
 STOP_WORDS = {
@@ -96,7 +99,7 @@ def measures(df: DataFrame, keys: list[str], text: str = "text", stop_words: dic
         F.size("_lines").alias("_n_lines"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.size(F.filter("_lines", lambda x: x.rlike(r"(\.\.\.|…)[\x20\x09-\x0D]*$"))).alias("_ellipses"),
-        F.size(F.filter("_words", lambda w: w.isin(stops))).alias("_stops"),
+        F.size(F.filter("_words", lambda w: F.lower(F.btrim(w, F.lit(PUNCTUATION))).isin(stops))).alias("_stops"),
         F.col("_words"), _grams(F.col("_words")).alias("_grams"),
     )
     share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
