@@ -1,7 +1,8 @@
 """Secret scans over an incremental blob ledger, in built-in functions only.
 
-A blob is a text under its content address (SHA-256). The ledger holds one row for each blob and rule version that was
-scanned; a run scans only pairs that are not in it, once for all copies, and joins the findings back to all paths (rows).
+A blob is a text under its content address (SHA-256). The ledger holds the pairs of blob and rule version that were scanned,
+and what was found; a run scans only pairs that are not in it, once for all copies, adds them, and joins the findings back
+to all paths (rows). Without a ledger of the caller's a run begins an empty one in the shared folder.
 
 Positions come from the gaps: ``split`` gives the text between matches, ``regexp_extract_all`` the matches, and running
 sums of their lengths in code points give every start and end.
@@ -14,14 +15,16 @@ own length, are the largest group that meets in a task. Other columns of the inp
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from earthworks.llm.store import kept, packed
+from earthworks.llm.store import packed
+from earthworks.operators.lineage import shared_folder
 
 
 @dataclass(frozen=True)
@@ -64,21 +67,20 @@ def rule_rank(rules: tuple[Rule, ...] = RULES) -> Column:
 
 
 def unseen(blobs: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Blobs with the indexes of the rules for which the ledger has no pair."""
-    due = blobs.withColumn("_due", F.array(*[F.lit(k) for k in range(len(rules))]))
+    """Blobs with ``_due``, the indexes of the rules for which the ledger has no pair; blobs without any are left out."""
+    every = F.array(*[F.lit(k) for k in range(len(rules))])
     if ledger is None:
-        return due
+        return blobs.withColumn("_due", every)
     versions = F.array(*[F.struct(F.lit(r.kind).alias("rule"), F.lit(r.version).alias("version")) for r in rules])
     done = ledger.groupBy("blob").agg(F.collect_set(F.struct("rule", "version")).alias("_done"))
-    joined = blobs.join(done, "blob", "left").withColumn("_versions", versions)
-    open_rules = F.filter(F.col("_due"), lambda k: ~F.coalesce(
-        F.array_contains(F.col("_done"), F.get(F.col("_versions"), k)), F.lit(False)))
-    return joined.withColumn("_due", due_indexes(rules)).withColumn("_due", open_rules).where(
-        F.size("_due") > 0).select("blob", "_text", "_due")
+    joined = blobs.join(done, "blob", "left").withColumn("_versions", versions).withColumn("_due", every)
+    still = F.filter("_due", lambda k: ~F.coalesce(F.array_contains(F.col("_done"), F.get(F.col("_versions"), k)), F.lit(False)))
+    return joined.withColumn("_due", still).where(F.size("_due") > 0).select("blob", "_due")
 
 
-def due_indexes(rules: tuple[Rule, ...]) -> Column:
-    return F.array(*[F.lit(k) for k in range(len(rules))])
+def hinted(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """Whether a text has the hint of any rule; only such a text can have findings."""
+    return F.coalesce(reduce(or_, [text.rlike(rule.hint) for rule in rules]), F.lit(False))
 
 
 def findings(due: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -107,27 +109,60 @@ def findings(due: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def scan(
-    df: DataFrame, text: str = "text", ledger: DataFrame | None = None, known: DataFrame | None = None,
-    rules: tuple[Rule, ...] = RULES,
+    df: DataFrame, text: str = "text", ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES,
 ) -> tuple[DataFrame, DataFrame]:
-    """Findings of all blobs in the input, and the pairs to add to the ledger.
+    """Findings of the pairs that the ledger has not (FINDINGS), and these pairs (LEDGER).
 
-    ``ledger`` has the pairs scanned before (LEDGER), ``known`` their findings (FINDINGS).
+    Addresses of all texts are compared with the ledger; texts move only if they have a hint, one of all copies.
     """
-    # distinct rows of (address, text): copies meet inside their task first, only one of them is sent on
-    blobs = df.select(blob_id(F.col(text)).alias("blob"), F.coalesce(F.col(text), F.lit("")).alias("_text")).distinct()
-    due = unseen(blobs, ledger, rules)
-    found = findings(due, rules)
-    pairs = due.select("blob", F.explode("_due").alias("_k")).select(
-        "blob", F.element_at(F.array(*[F.lit(r.kind) for r in rules]), F.col("_k") + 1).alias("rule"),
-        F.element_at(F.array(*[F.lit(r.version) for r in rules]), F.col("_k") + 1).alias("version"))
-    if known is not None:
-        now = known.join(blobs.select("blob"), "blob", "left_semi")
-        wanted = F.concat_ws(":", "rule", F.col("version").cast("string")).isin([f"{r.kind}:{r.version}" for r in rules])
-        found = found.unionByName(now.where(wanted).select(*found.columns))
+    blobs = df.select(blob_id(F.col(text)).alias("blob"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    due = unseen(blobs.select("blob").distinct(), ledger, rules)
+    likely = blobs.where(hinted(F.col("_text"), rules)).distinct()
+    found = findings(unseen(likely, None, rules) if ledger is None else likely.join(due, "blob"), rules)
+    named = [F.element_at(F.array(*[F.lit(x) for x in xs]), F.col("_k") + 1) for xs in zip(*[(r.kind, r.version) for r in rules], strict=True)]
+    pairs = due.select("blob", F.explode("_due").alias("_k")).select("blob", named[0].alias("rule"), named[1].alias("version"))
     return found, pairs
 
 
+class Ledger:
+    """A folder that keeps what was scanned: for each blob the rule versions, and the spans that they found.
+
+    A run adds a row for each blob it scanned, with its pairs and findings together, so that a run that breaks off leaves
+    whole rows only. The files of a folder on the shared store grow with every run; nothing is written twice.
+    """
+
+    ROW = "blob string, pairs array<struct<rule:string,version:int>>, spans array<struct<rule:string,version:int,start:bigint,end:bigint>>"
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    @classmethod
+    def fresh(cls, spark: SparkSession) -> Ledger:
+        """An empty one in the folder that all executors share."""
+        ledger = cls(spark, f"{shared_folder(spark)}/llm-ledger-{uuid.uuid4().hex}")
+        spark.createDataFrame([], cls.ROW).write.parquet(ledger.folder)
+        return ledger
+
+    def rows(self) -> DataFrame:
+        return self.spark.read.schema(self.ROW).parquet(self.folder)
+
+    def pairs(self) -> DataFrame:
+        return self.rows().select("blob", F.inline("pairs"))
+
+    def findings(self, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+        """The spans of the given rule versions."""
+        wanted = [f"{r.kind}:{r.version}" for r in rules]
+        return self.rows().select("blob", F.inline("spans")).where(F.concat_ws(":", "rule", "version").isin(wanted))
+
+    def extend(self, df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> None:
+        """Scan what the ledger has not yet, and add it."""
+        known = None if self.rows().isEmpty() else self.pairs()
+        found, pairs = scan(df, text, known, rules)
+        spans = found.groupBy("blob").agg(F.collect_list(F.struct("rule", "version", "start", "end")).alias("spans"))
+        seen = pairs.groupBy("blob").agg(F.collect_list(F.struct("rule", "version")).alias("pairs"))
+        seen.join(spans, "blob", "left").select("blob", "pairs", "spans").write.mode("append").parquet(self.folder)
+
+
 def per_blob(found: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Counts by kind and all spans in order, for every blob with a finding."""
     spans = F.sort_array(F.collect_list(F.struct("start", rule_rank(rules).alias("rank"), "end", "rule")))
@@ -141,23 +176,29 @@ def spans_text(spans: Column) -> Column:
     return F.coalesce(F.array_join(F.transform(spans, one), ","), F.lit(""))
 
 
-def report(df: DataFrame, keys: list[str], text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Counts and spans of every row: the findings of its blob."""
-    found, _ = scan(df, text, rules=rules)
-    blobs = kept(per_blob(found, rules), "findings")
+def report(
+    df: DataFrame, keys: list[str], text: str = "text", rules: tuple[Rule, ...] = RULES, ledger: Ledger | None = None,
+) -> DataFrame:
+    """Counts and spans of every row: what the ledger, extended by this table, has of its blob."""
+    ledger = ledger or Ledger.fresh(df.sparkSession)
+    ledger.extend(df, text, rules)
+    blobs = per_blob(ledger.findings(rules), rules)
     paths = df.select(*keys, blob_id(F.col(text)).alias("blob"))
     counts = [F.coalesce(f"n_{r.kind}", F.lit(0)).cast("long").alias(f"n_{r.kind}") for r in rules]
     return paths.join(blobs, "blob", "left").select(*keys, "blob", *counts, "spans")
 
 
-def masked(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, mask: str = "[SECRET]") -> DataFrame:
+def masked(
+    df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, mask: str = "[SECRET]", ledger: Ledger | None = None,
+) -> DataFrame:
     """All rows and columns, with every span of the text replaced; a text without findings stays as it is.
 
     Overlapping spans of different kinds become one mask. Only texts with a hint of a secret meet the findings; the others
     pass as they are read.
     """
-    found, _ = scan(df, text, rules=rules)
-    blobs = kept(per_blob(found, rules).select("blob", "spans"), "masks")
+    ledger = ledger or Ledger.fresh(df.sparkSession)
+    ledger.extend(df, text, rules)
+    blobs = per_blob(ledger.findings(rules), rules).select("blob", "spans")
     seed = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
     whole = F.col(f"row.{text}")
 
@@ -171,7 +212,6 @@ def masked(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, m
         return F.concat(acc["out"], F.substring(whole, acc["at"].cast("int") + 1, F.length(whole)))
 
     clean = F.when(F.col("spans").isNull(), whole).otherwise(F.aggregate("spans", seed, step, finish))
-    hinted = F.coalesce(reduce(or_, [whole.rlike(rule.hint) for rule in rules]), F.lit(False))
-    rows = packed(df)
-    joined = rows.where(hinted).withColumn("blob", blob_id(whole)).join(blobs, "blob", "left")
-    return joined.select(F.col("row").withField(text, clean).alias("row")).unionByName(rows.where(~hinted)).select("row.*")
+    rows, likely = packed(df), hinted(whole, rules)
+    joined = rows.where(likely).withColumn("blob", blob_id(whole)).join(blobs, "blob", "left")
+    return joined.select(F.col("row").withField(text, clean).alias("row")).unionByName(rows.where(~likely)).select("row.*")

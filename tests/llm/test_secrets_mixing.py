@@ -28,16 +28,38 @@ def test_spans_equal_to_brute_force(spark):
 
 
 def test_ledger_skips_what_was_scanned(spark):
-    df = spark.createDataFrame([(1, "token=abcdef"), (2, "token=abcdef"), (3, "AKIA" + "B" * 16)], "doc_id long, text string")
-    first, pairs = secrets.scan(df.where("doc_id < 3"))
-    known, ledger = spark.createDataFrame(first.collect(), first.schema), spark.createDataFrame(pairs.collect(), pairs.schema)
-    assert ledger.count() == len(secrets.RULES) and known.count() == 1
-    both, fresh = secrets.scan(df, ledger=ledger, known=known)
-    assert fresh.count() == len(secrets.RULES)  # one new blob
-    assert sorted(r.rule for r in both.collect()) == ["access", "assign"]
-    newer = tuple(secrets.Rule(r.kind, r.pattern, r.group, r.least, r.hint, 2 if r.kind == "hex" else 1) for r in secrets.RULES)
-    _, again = secrets.scan(df.where("doc_id < 3"), ledger=ledger, known=known, rules=newer)
-    assert [(r.rule, r.version) for r in again.collect()] == [("hex", 2)]
+    df = spark.createDataFrame([(1, "token=abcdef"), (2, "token=abcdef"), (3, "AKIA" + "B" * 16), (4, "plain"), (5, None)],
+                               "doc_id long, text string")
+    ledger = secrets.Ledger.fresh(spark)
+    part = secrets.report(df.where("doc_id < 3"), ["doc_id"], ledger=ledger)
+    assert ledger.rows().count() == 1 and [r.n_assign for r in part.collect()] == [1, 1]
+    whole = secrets.report(df, ["doc_id"], ledger=ledger)
+    assert ledger.rows().count() == 4 and ledger.pairs().count() == 4 * len(secrets.RULES)
+    assert {r.doc_id: (r.n_assign, r.n_access) for r in whole.collect()} == {1: (1, 0), 2: (1, 0), 3: (0, 1), 4: (0, 0), 5: (0, 0)}
+    # the same table again: no pair is scanned
+    _, fresh = secrets.scan(df, ledger=ledger.pairs())
+    assert fresh.isEmpty()
+    secrets.masked(df, ledger=ledger)
+    assert ledger.rows().count() == 4
+    # a new rule version: its own pairs only, and its findings count instead of the old ones
+    newer = tuple(secrets.Rule(r.kind, r.pattern, r.group, 7 if r.kind == "assign" else r.least, r.hint, 2 if r.kind == "assign" else 1)
+                  for r in secrets.RULES)
+    _, again = secrets.scan(df, ledger=ledger.pairs(), rules=newer)
+    assert {(r.rule, r.version) for r in again.collect()} == {("assign", 2)} and again.count() == 4
+    assert sum(r.n_assign for r in secrets.report(df, ["doc_id"], rules=newer, ledger=ledger).collect()) == 0
+    assert sum(r.n_assign for r in secrets.report(df, ["doc_id"], ledger=ledger).collect()) == 2
+
+
+def test_stop_words_in_capitals_and_beside_commas(spark):
+    """A text in capitals, or with a sign at every word, gets the verdict of the plain one."""
+    from earthworks.llm import quality_rules
+
+    plain = " ".join(f"the word{k} of line{k} and that is it for some{k}" for k in range(12))
+    texts = [plain, plain.upper(), " ".join(f"\u201c{w}\u201d," for w in plain.split()), " ".join(f"xq{k} zv{k}" for k in range(60))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in quality_rules.judge(df, ["doc_id"]).collect()}
+    assert [rows[k].kept for k in range(4)] == [True, True, True, False]
+    assert rows[0].stop_ratio == rows[1].stop_ratio == rows[2].stop_ratio > 0.5 and rows[3].stop_ratio == 0
 
 
 def test_masks_replace_overlapping_spans_once(spark):
