@@ -1,12 +1,13 @@
 """Quality classifier: random-indexing word vectors, pooled per document, and a calibrated two-layer network.
 
-Words are runs of letters and digits, or of signs, as they are written; each falls in a bucket of a hash. A bucket has a
-fixed sparse random index vector; its word vector is the sum of the index vectors of all buckets met beside it, over the
-texts of all documents, scaled to length one. A document is pooled to the mean and the spread of its words' vectors, its
+Words are runs of letters and digits, or of signs, as they are written. All words of all documents are counted, and each of
+the ``VOCABULARY`` most frequent has a place of its own; the others, each of them rare, share ``BUCKETS`` places by a hash. A
+place has a fixed sparse random index vector; its word vector is the sum of the index vectors of all places met beside it,
+over the texts of all documents, scaled to length one. A document is pooled to the mean and the spread of its words' vectors, its
 length and how its neighbouring words agree. A network with one hidden layer is fitted on labelled documents; a part of
 them that training does not see sets a temperature, so that scores are probabilities.
 
-Bounded: word vectors are ``BUCKETS`` rows whatever the input, labelled rows for the fit at most ``TRAIN_ROWS``, taken in
+Bounded: word vectors are ``VOCABULARY + BUCKETS`` rows whatever the input, labelled rows for the fit at most ``TRAIN_ROWS``, taken in
 the order of a hash of their id. Word statistics cover all documents and all their words.
 
 Defined results: null and empty texts have no words, are pooled to zeros and get a score like any other. Rows without a
@@ -18,6 +19,7 @@ are read whole, in pieces cut at white space. Empty tables give empty results. l
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from zlib import crc32
@@ -30,7 +32,9 @@ from pyspark.sql import functions as F
 from earthworks.llm.store import kept
 from earthworks.llm.words import pieces
 
-BUCKETS = 1 << 12
+VOCABULARY, BUCKETS = 1 << 14, 1 << 12
+PLACES = VOCABULARY + BUCKETS
+LONGEST = 64  # characters of a word with a place of its own
 DIMENSIONS = 64
 FEATURES = 2 * DIMENSIONS + 4
 ENTRIES = 2
@@ -41,64 +45,107 @@ SEED = 11
 WORD = re.compile(r"[^\W_]+|(?:[^\w\s]|_)+")
 
 
-class Buckets(dict):
-    """Bucket of a word; the memory of words seen is emptied when it is full."""
+class Places(dict):
+    """Place of a word: that of a frequent word, else one by a hash. The memory of words seen is emptied when it is full."""
+
+    def __init__(self, frequent: list[str]):
+        super().__init__()
+        self.frequent = {word: k for k, word in enumerate(frequent)}
+        self.update(self.frequent)
 
     def __missing__(self, word: str) -> int:
         if len(self) >= 500_000:
             self.clear()
-        self[word] = at = crc32(word.encode("utf-8", "replace")) % BUCKETS
+            self.update(self.frequent)
+        at = self.frequent.get(word, VOCABULARY + crc32(word.encode("utf-8", "replace")) % BUCKETS)
+        self[word] = at
         return at
 
 
-def bucketed(text: str | None, buckets: Buckets) -> np.ndarray:
-    parts = [np.fromiter(map(buckets.__getitem__, WORD.findall(p)), np.int64) for p in pieces(text or "")]
+def placed(text: str | None, places: Places) -> np.ndarray:
+    parts = [np.fromiter(map(places.__getitem__, WORD.findall(p)), np.int64) for p in pieces(text or "")]
     return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 
+def word_counts(df: DataFrame, text: str = "text") -> DataFrame:
+    """``word`` and ``n`` of all words of at most ``LONGEST`` characters; each task counts before it sends."""
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+
+        def batch() -> pa.RecordBatch:
+            rows = [(w, n) for w, n in counts.items() if len(w) <= LONGEST]
+            counts.clear()
+            return pa.record_batch({"word": pa.array([w for w, _ in rows], pa.string()), "n": pa.array([n for _, n in rows], pa.int64())})
+
+        for one in (t for b in batches for t in b.column(0)):
+            for piece in pieces(one.as_py() or ""):
+                counts.update(WORD.findall(piece))
+            if len(counts) > 300_000:
+                yield batch()
+        yield batch()
+
+    return df.select(text).mapInArrow(tally, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def vocabulary(df: DataFrame, text: str = "text") -> list[str]:
+    """The most frequent words, at most ``VOCABULARY``; of equal ones the first by code point."""
+    return [r.word for r in word_counts(df, text).orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()]
+
+
 def index_vectors() -> tuple[np.ndarray, np.ndarray]:
-    """Places and signs of the entries of each bucket's index vector."""
+    """Entries and signs of each place's index vector."""
     rng = np.random.default_rng(SEED)
-    return rng.integers(0, DIMENSIONS, (BUCKETS + 1, ENTRIES)), rng.choice([-1.0, 1.0], (BUCKETS + 1, ENTRIES))
+    return rng.integers(0, DIMENSIONS, (PLACES + 1, ENTRIES)), rng.choice([-1.0, 1.0], (PLACES + 1, ENTRIES))
 
 
-def word_sums(df: DataFrame, text: str = "text") -> DataFrame:
-    """``bucket`` and the sums ``c0``, ``c1``, ... of its neighbours' index vectors. Each task sends one row per bucket."""
+def word_sums(df: DataFrame, frequent: list[str], text: str = "text") -> DataFrame:
+    """``place`` and the sums ``c0``, ``c1``, ... of its neighbours' index vectors. Each task sends one row per place."""
+    sent = df.sparkSession.sparkContext.broadcast(frequent)
     names = [f"c{k}" for k in range(DIMENSIONS)]
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places, signs = index_vectors()
-        total = np.zeros((BUCKETS + 1) * DIMENSIONS)
-        buckets, gap = Buckets(), np.full(REACH, BUCKETS)  # texts are kept apart by a bucket that doesn't count
+        entries, signs = index_vectors()
+        total = np.zeros((PLACES + 1) * DIMENSIONS)
+        places, gap = Places(sent.value), np.full(REACH, PLACES)  # texts are kept apart by a place that doesn't count
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 parts = []
                 for one in batch.column(0).slice(at, 256):
-                    parts += [bucketed(one.as_py(), buckets), gap]
+                    parts += [placed(one.as_py(), places), gap]
                 words = np.concatenate(parts)
                 for far in range(1, REACH + 1):
                     for own, other in ((words[:-far], words[far:]), (words[far:], words[:-far])):
-                        real = (own < BUCKETS) & (other < BUCKETS)
+                        real = (own < PLACES) & (other < PLACES)
                         own, other = own[real] * DIMENSIONS, other[real]
                         for e in range(ENTRIES):
-                            np.add.at(total, own + places[other, e], signs[other, e])
-        table = total.reshape(-1, DIMENSIONS)[:BUCKETS]
+                            np.add.at(total, own + entries[other, e], signs[other, e])
+        table = total.reshape(-1, DIMENSIONS)[:PLACES]
         some = np.flatnonzero(table.any(axis=1))
         yield pa.record_batch([pa.array(some.astype(np.int32)), *[pa.array(table[some, k].astype(np.float32))
-                                                                  for k in range(DIMENSIONS)]], names=["bucket", *names])
+                                                                  for k in range(DIMENSIONS)]], names=["place", *names])
+
+    sums = df.select(text).mapInArrow(gather, "place int, " + ", ".join(f"{n} float" for n in names))
+    return sums.groupBy("place").agg(*[F.sum(n).alias(n) for n in names])
+
+
+@dataclass(frozen=True)
+class Vectors:
+    """The frequent words and one vector for each place, of length one or zero."""
 
-    sums = df.select(text).mapInArrow(gather, "bucket int, " + ", ".join(f"{n} float" for n in names))
-    return sums.groupBy("bucket").agg(*[F.sum(n).alias(n) for n in names])
+    frequent: list[str]
+    table: np.ndarray
 
 
-def word_vectors(df: DataFrame, text: str = "text") -> np.ndarray:
-    """One row per bucket, of length one or zero; ``BUCKETS`` rows reach the driver at most."""
-    found = kept(word_sums(df, text), "word-vectors").toArrow()
-    table = np.zeros((BUCKETS, DIMENSIONS))
+def word_vectors(df: DataFrame, text: str = "text") -> Vectors:
+    """``PLACES`` rows reach the driver at most."""
+    frequent = vocabulary(df, text)
+    found = kept(word_sums(df, frequent, text), "word-vectors").toArrow()
+    table = np.zeros((PLACES, DIMENSIONS))
     if found.num_rows:
-        table[found.column("bucket").to_numpy()] = np.column_stack([found.column(k + 1).to_numpy() for k in range(DIMENSIONS)])
+        table[found.column("place").to_numpy()] = np.column_stack([found.column(k + 1).to_numpy() for k in range(DIMENSIONS)])
     length = np.linalg.norm(table, axis=1, keepdims=True)
-    return (table / np.where(length > 0, length, 1)).astype(np.float32)
+    return Vectors(frequent, (table / np.where(length > 0, length, 1)).astype(np.float32))
 
 
 def pooled(words: np.ndarray, vectors: np.ndarray) -> np.ndarray:
@@ -116,7 +163,7 @@ def pooled(words: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     mean = total / len(words)
     spread = np.sqrt(np.maximum(square / len(words) - mean * mean, 0))
     followers = max(len(words) - 1, 1)
-    pairs = np.unique(words[:-1] * BUCKETS + words[1:]).size / followers
+    pairs = np.unique(words[:-1] * PLACES + words[1:]).size / followers
     same = np.count_nonzero(words[:-1] == words[1:]) / followers
     return np.concatenate([mean, spread, [np.log1p(len(words)) / 10, pairs, same, near / followers]]).astype(np.float32)
 
@@ -182,22 +229,22 @@ def fit(x: np.ndarray, y: np.ndarray, epochs: int = 40, batch: int = 128, rate:
     return Network(net.shift, net.scale, net.w1, net.b1, net.w2, net.b2, float(best))
 
 
-def _features(df: DataFrame, keys: list[str], vectors: np.ndarray, text: str) -> DataFrame:
+def _features(df: DataFrame, keys: list[str], vectors: Vectors, text: str) -> DataFrame:
     sent = df.sparkSession.sparkContext.broadcast(vectors)
     schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys) + ", x array<float>"
 
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buckets = Buckets()
+        places = Places(sent.value.frequent)
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                x = [pooled(bucketed(t.as_py(), buckets), sent.value) for t in batch.column(len(keys))]
+                x = [pooled(placed(t.as_py(), places), sent.value.table) for t in batch.column(len(keys))]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(x, pa.list_(pa.float32()))], names=[*keys, "x"])
 
     return df.select(*keys, text).mapInArrow(pool, schema)
 
 
-def learn(df: DataFrame, labels: DataFrame, text: str = "text", label: str = "quality", rows: int = TRAIN_ROWS) -> tuple[np.ndarray, Network]:
+def learn(df: DataFrame, labels: DataFrame, text: str = "text", label: str = "quality", rows: int = TRAIN_ROWS) -> tuple[Vectors, Network]:
     """Word vectors over all of ``df``, and a network fitted on at most ``rows`` labelled rows of it.
 
     ``labels`` has ``doc_id`` and the label; leave out what is not to be learned from.
@@ -215,17 +262,18 @@ def learn(df: DataFrame, labels: DataFrame, text: str = "text", label: str = "qu
     return vectors, fit(x[order], y[order])
 
 
-def scored(df: DataFrame, keys: list[str], vectors: np.ndarray, net: Network, text: str = "text") -> DataFrame:
+def scored(df: DataFrame, keys: list[str], vectors: Vectors, net: Network, text: str = "text") -> DataFrame:
     """The keys and ``score``, the probability of label 1."""
     sent = df.sparkSession.sparkContext.broadcast((vectors, net))
     schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys) + ", score double"
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buckets, (table, of) = Buckets(), sent.value
+        known, of = sent.value
+        places = Places(known.frequent)
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                x = np.array([pooled(bucketed(t.as_py(), buckets), table) for t in batch.column(len(keys))], float)
+                x = np.array([pooled(placed(t.as_py(), places), known.table) for t in batch.column(len(keys))], float)
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(of.scores(x))], names=[*keys, "score"])
 
     return df.select(*keys, text).mapInArrow(score, schema)

@@ -111,18 +111,21 @@ def test_quality_of_held_out_documents(spark):
 def test_word_sums_equal_to_a_loop(spark):
     texts = ["a b c a", "b", None, "c c"]
     df = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
-    places, signs = quality_classifier.index_vectors()
-    of, wanted = quality_classifier.Buckets(), np.zeros((quality_classifier.BUCKETS, quality_classifier.DIMENSIONS))
+    entries, signs = quality_classifier.index_vectors()
+    frequent = quality_classifier.vocabulary(df)
+    assert frequent == ["c", "a", "b"]
+    of, wanted = quality_classifier.Places(frequent[:2]), np.zeros((quality_classifier.PLACES, quality_classifier.DIMENSIONS))
+    assert of["c"] == 0 and of["b"] >= quality_classifier.VOCABULARY
     for t in texts:
         words = [of[w] for w in quality_classifier.WORD.findall(t or "")]
         for i, w in enumerate(words):
             for j in range(max(i - 2, 0), min(i + 3, len(words))):
                 if i != j:
-                    for p, s in zip(places[words[j]], signs[words[j]], strict=True):
+                    for p, s in zip(entries[words[j]], signs[words[j]], strict=True):
                         wanted[w, p] += s
     found = np.zeros_like(wanted)
-    for r in quality_classifier.word_sums(df).collect():
-        found[r.bucket] = r[1:]
+    for r in quality_classifier.word_sums(df, frequent[:2]).collect():
+        found[r.place] = r[1:]
     assert np.array_equal(found, wanted)
 
 
