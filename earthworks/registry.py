@@ -9,6 +9,7 @@ import datetime as dt
 import uuid
 from collections import ChainMap
 from collections.abc import Callable, Mapping
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,12 +17,12 @@ from pyspark.sql import types as T
 
 from earthworks.functions import columns as fn
 from earthworks.operators import aggregates, changes, filters, joins, windows
-from earthworks.operators.lineage import shared_folder
+from earthworks.operators.lineage import shared_folder, stable
 from earthworks.plans import (
     dashboard, history, ingest, market, plant, procurement, projects, quality, records, reports, staff, stock,
     subcontract,
 )
-from earthworks.sources import catalog, tables as scans
+from earthworks.sources import catalog, sinks, tables as scans
 from earthworks.sources.tables import Tables
 from earthworks.sources.text_load import typed
 from earthworks.sources.versions import Store, counts
@@ -39,11 +40,25 @@ DIARY_PERIOD = (dt.date(2024, 1, 5), dt.date(2024, 2, 20))
 
 # --- inputs the jobs need beyond the tables, derived from the tables ---
 
-def _files(t: Tables) -> DataFrame:
-    """Site of each uploaded file, two files per site."""
+class Upload(NamedTuple):
+    """Uploaded sheets: their cells in one table, the layout of the site import, and the site of each file."""
+
+    cells: DataFrame
+    columns: DataFrame
+    files: DataFrame
+
+
+def _upload(t: Tables) -> Upload:
+    """The fixture puts the cells together from many scans, so they are kept once, as an upload would be stored."""
+    cells = stable(t["raw_cells"])
+    columns = ingest.layout(cells)
+    return Upload(cells, columns, _files(t, columns))
+
+
+def _files(t: Tables, columns: DataFrame) -> DataFrame:
+    """Site of each file of a layout, two files per site."""
     count = t["rues"].agg(F.count(F.lit(1))).scalar()
-    files = t["raw_cells"].select("file_id").distinct()
-    return files.withColumn("rue_id", (F.col("file_id") % 25) % count)
+    return columns.select("file_id").distinct().withColumn("rue_id", (F.col("file_id") % 25) % count)
 
 
 def _stage_requests(t: Tables) -> DataFrame:
@@ -349,49 +364,67 @@ def update_rows(t: Tables) -> DataFrame:
     return changes.update_rows(t["materiaux"], asked, ["prix_unitaire"])
 
 
-def _imported(t: Tables) -> DataFrame:
-    return ingest.import_simple(t["raw_cells"], _files(t), t["livrables"])
+def import_simple(t: Tables) -> DataFrame:
+    up = _upload(t)
+    return ingest.import_simple(up.cells, up.files, t["livrables"], columns=up.columns)
+
+
+def import_multi(t: Tables) -> DataFrame:
+    up = _upload(t)
+    return ingest.import_multi(up.cells, up.files, t["livrables"], up.columns)
+
+
+def deliverable_match(t: Tables) -> DataFrame:
+    up = _upload(t)
+    return ingest.match_deliverables(up.columns, up.files, t["livrables"])
 
 
 def replace_slice(t: Tables) -> DataFrame:
     """Bill lines after the import of the simple sheets; the sites of accepted sheets without lines are cleared too."""
-    lines = _imported(t).withColumn("quantite_marche", F.col("quantite").cast(catalog.MONEY))
+    up = _upload(t)
+    lines = ingest.import_simple(up.cells, up.files, t["livrables"], columns=up.columns)
+    lines = lines.withColumn("quantite_marche", F.col("quantite").cast(catalog.MONEY))
     lines = lines.withColumn("prix_unitaire", F.col("prix_unitaire").cast(catalog.MONEY))
     lines = lines.withColumn("id", F.col("row_idx") * 100 + F.col("file_id") + 1000000000)
-    sites = ingest.simple_files(t["raw_cells"], _files(t), t["livrables"]).select("rue_id")
+    sites = ingest.simple_files(up.cells, up.files, t["livrables"], up.columns).select("rue_id")
     return changes.replace_slice(t["devis_rue"], scans.with_defaults(lines, "devis_rue"), ["rue_id"], sites)
 
 
-def _owned(t: Tables) -> tuple[DataFrame, DataFrame]:
-    """Deliverable and subcontractor of every simple sheet."""
-    files = ingest.simple_files(t["raw_cells"], _files(t), t["livrables"])
-    return (files.withColumn("livrable_id", F.col("rue_id") * 5 + F.col("file_id") % 4),
+def _owned(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The cells, and deliverable and subcontractor of every simple sheet."""
+    up = _upload(t)
+    files = stable(ingest.simple_files(up.cells, up.files, t["livrables"], up.columns))
+    return (up.cells, files.withColumn("livrable_id", F.col("rue_id") * 5 + F.col("file_id") % 4),
             files.withColumn("st_id", F.col("rue_id")))
 
 
 def import_deliverable(t: Tables) -> DataFrame:
-    return ingest.import_simple(t["raw_cells"], _owned(t)[0], target="livrable")
+    cells, files, _ = _owned(t)
+    return ingest.import_simple(cells, files, target="livrable")
 
 
 def import_subcontractor(t: Tables) -> DataFrame:
-    return ingest.import_simple(t["raw_cells"], _owned(t)[1], target="sous_traitant")
+    cells, _, files = _owned(t)
+    return ingest.import_simple(cells, files, target="sous_traitant")
 
 
 def replace_deliverable(t: Tables) -> DataFrame:
-    lines = import_deliverable(t).withColumns({
+    cells, files, _ = _owned(t)
+    lines = ingest.import_simple(cells, files, target="livrable").withColumns({
         "quantite_marche": F.col("quantite").cast(catalog.MONEY), "prix_unitaire": F.col("prix_unitaire").cast(catalog.MONEY),
         "id": F.col("row_idx") * 100 + F.col("file_id") + 1000000000,
     })
-    slices = _owned(t)[0].select("rue_id", "livrable_id")
+    slices = files.select("rue_id", "livrable_id")
     return changes.replace_slice(t["devis_rue"], scans.with_defaults(lines, "devis_rue"), ["rue_id", "livrable_id"], slices)
 
 
 def replace_subcontractor(t: Tables) -> DataFrame:
-    lines = import_subcontractor(t).withColumns({
+    cells, _, files = _owned(t)
+    lines = ingest.import_simple(cells, files, target="sous_traitant").withColumns({
         "quantite": F.col("quantite").cast(catalog.MONEY), "prix_unitaire": F.col("prix_unitaire").cast(catalog.MONEY),
         "id": F.col("row_idx") * 100 + F.col("file_id") + 1000000000,
     })
-    return changes.replace_slice(t["devis_st"], scans.with_defaults(lines, "devis_st"), ["st_id"], _owned(t)[1].select("st_id"))
+    return changes.replace_slice(t["devis_st"], scans.with_defaults(lines, "devis_st"), ["st_id"], files.select("st_id"))
 
 
 def name_to_id_repeated(t: Tables) -> DataFrame:
@@ -424,11 +457,45 @@ def audit_diff(t: Tables) -> DataFrame:
     return changes.audit_diff(base, new, "materiaux", dt.datetime(2024, 2, 1, 8))
 
 
+def _folder(t: Tables, name: str) -> str:
+    return f"{shared_folder(t.spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def warehouse_scan(t: Tables) -> DataFrame:
+    """Tables stored by month and read again: their rows, months and ids."""
+    folder, names = _folder(t, "warehouse"), ["rues", "personnel", "materiaux", "caisse_chantier", "pointage", "audit_log", "paiements_st"]
+    for name in names:
+        scans.save(t[name], folder, name)
+    stored = scans.open_warehouse(t.spark, folder)
+    rows = [stored[n].agg(
+        F.lit(n).alias("table_name"), F.count(F.lit(1)).alias("n"),
+        (F.countDistinct(scans.MONTH) if scans.MONTH in stored[n].columns else F.lit(0)).cast("bigint").alias("nb_mois"),
+        F.sum(F.col("id").cast("decimal(28,0)")).alias("somme_ids")) for n in names]
+    return aggregates.append_levels(*rows)
+
+
+def export_sheets(t: Tables) -> DataFrame:
+    """The sheets of the global report and an empty one, written as CSV: their rows as listed and as read again."""
+    folder = _folder(t, "sheets")
+    sheets = reports.report(11, t) | {"Vide": t["rues"].filter(F.lit(False))}
+    paths = sinks.export(sheets, folder, "csv", labels=True)
+    listed = t.spark.read.parquet(f"{folder}/{sinks.LISTING}")
+    read = [t.spark.read.option("header", True).option("multiLine", True).csv(p).agg(
+        F.lit(name).alias("feuille"), F.count(F.lit(1)).alias("lues")) for name, p in zip(sheets, paths, strict=True)]
+    return listed.join(aggregates.append_levels(*read), "feuille")
+
+
+def preview_alerts(t: Tables) -> DataFrame:
+    """The first twenty alerts, each with how many there are."""
+    rows, count = sinks.preview(stock.alerts(t), 20)
+    return rows.withColumn("total", F.lit(count))
+
+
 # --- the same on stored versions ---
 
 def _stored(t: Tables, *names: str, **frames: DataFrame) -> Store:
     """A new store whose first version has the given tables."""
-    store = Store(t.spark, f"{shared_folder(t.spark)}/versions-{uuid.uuid4().hex}")
+    store = Store(t.spark, _folder(t, "versions"))
     store.create({n: t[n] for n in names} | frames)
     return store
 
@@ -536,9 +603,9 @@ def overdraw_since(t: Tables) -> DataFrame:
 
 
 def import_stats(t: Tables) -> DataFrame:
-    cells, files, columns = t["raw_cells"], _files(t), ingest.layout(t["raw_cells"])
-    multi = ingest.import_multi(cells, files, t["livrables"], columns)
-    simple = ingest.import_simple(cells, files, t["livrables"], columns=columns)
+    up = _upload(t)
+    multi = ingest.import_multi(up.cells, up.files, t["livrables"], up.columns)
+    simple = ingest.import_simple(up.cells, up.files, t["livrables"], columns=up.columns)
     return ingest.import_stats(multi).unionByName(ingest.import_stats(simple))
 
 
@@ -557,6 +624,9 @@ JOBS: dict[str, Job] = {
     "schema_defaults": schema_defaults,
     "typed_load": typed_load,
     "lookup_filters": lookup_filters,
+    "warehouse_scan": warehouse_scan,
+    "export_sheets": export_sheets,
+    "preview_alerts": preview_alerts,
     "site_labels": projects.site_labels,
     "name_norm": lambda t: t["raw_cells"].select("file_id", "row_idx", "col_idx", fn.normalised_name("value").alias("nom")),
     "header_detect": lambda t: ingest.detect_header(t["raw_cells"]),
@@ -564,9 +634,9 @@ JOBS: dict[str, Job] = {
     "import_rejects": lambda t: ingest.missing_fields(ingest.layout(t["raw_cells"])),
     "grid_table": lambda t: ingest.grid(t["raw_cells"]),
     "numeric_coerce": lambda t: ingest.numbers(t["raw_cells"]),
-    "deliverable_match": lambda t: ingest.match_deliverables(ingest.layout(t["raw_cells"]), _files(t), t["livrables"]),
-    "import_simple": _imported,
-    "import_multi": lambda t: ingest.import_multi(t["raw_cells"], _files(t), t["livrables"]),
+    "deliverable_match": deliverable_match,
+    "import_simple": import_simple,
+    "import_multi": import_multi,
     "import_stats": import_stats,
     "import_deliverable": import_deliverable,
     "import_subcontractor": import_subcontractor,

@@ -913,3 +913,31 @@ f AS (SELECT a.* EXCLUDE (i, kind) REPLACE (
 SELECT f.date_mise_stock AS date_mvt, f.rue_id, f.materiau_id, 'ENTREE' AS type_mvt, f.quantite_mise_stock AS quantite, f.prix_unitaire_reel AS prix_unitaire,
        coalesce(f.fournisseur, '') AS fournisseur, coalesce(f.bon_livraison, '') AS bon_livraison, f.id AS appro_id, 'Via Circuit Appro BC:' || coalesce(f.numero_bc, '') AS observation
 FROM f WHERE f.id IN (SELECT appro_id FROM t WHERE cible = 'Mis en stock') AND f.materiau_id IS NOT NULL
+
+-- name: warehouse_scan
+-- columns: table_name:s n:i nb_mois:i somme_ids:d
+SELECT 'rues' AS table_name, count(*) AS n, 0 AS nb_mois, sum(id) AS somme_ids FROM rues
+UNION ALL SELECT 'personnel' AS table_name, count(*) AS n, 0 AS nb_mois, sum(id) AS somme_ids FROM personnel
+UNION ALL SELECT 'materiaux' AS table_name, count(*) AS n, 0 AS nb_mois, sum(id) AS somme_ids FROM materiaux
+UNION ALL SELECT 'caisse_chantier' AS table_name, count(*) AS n, count(DISTINCT strftime(date_op, '%Y-%m')) AS nb_mois, sum(id) AS somme_ids FROM caisse_chantier
+UNION ALL SELECT 'pointage' AS table_name, count(*) AS n, count(DISTINCT strftime(date_pointage, '%Y-%m')) AS nb_mois, sum(id) AS somme_ids FROM pointage
+UNION ALL SELECT 'audit_log' AS table_name, count(*) AS n, count(DISTINCT strftime(timestamp, '%Y-%m')) AS nb_mois, sum(id) AS somme_ids FROM audit_log
+UNION ALL SELECT 'paiements_st' AS table_name, count(*) AS n, count(DISTINCT strftime(date_paiement, '%Y-%m')) AS nb_mois, sum(id) AS somme_ids FROM paiements_st
+
+-- name: export_sheets
+-- columns: feuille:s lignes:i lues:i
+SELECT 'Chantiers' AS feuille, count(*) AS lignes, count(*) AS lues FROM rues
+UNION ALL SELECT 'Avancement', count(*), count(*) FROM devis_rue
+UNION ALL SELECT 'Stock', count(*), count(*) FROM materiaux
+UNION ALL SELECT 'Personnel', count(*), count(*) FROM personnel
+UNION ALL SELECT 'Sous-Traitants', count(*), count(*) FROM sous_traitants
+UNION ALL SELECT 'Engins', count(*), count(*) FROM materiels
+UNION ALL SELECT 'Vide', 0, 1
+
+-- name: preview_alerts
+-- columns: id:i nom:s unite:s stock:d seuil_alerte:d total:i
+WITH a AS (SELECT m.id, m.nom, m.unite, m.stock_initial + coalesce(sum(CASE v.type_mvt WHEN 'ENTREE' THEN v.quantite ELSE -v.quantite END), 0) AS stock, m.seuil_alerte
+FROM materiaux m LEFT JOIN mouvements_materiaux v ON v.materiau_id = m.id
+GROUP BY m.id, m.nom, m.unite, m.stock_initial, m.seuil_alerte
+HAVING m.stock_initial + coalesce(sum(CASE v.type_mvt WHEN 'ENTREE' THEN v.quantite ELSE -v.quantite END), 0) <= m.seuil_alerte AND m.seuil_alerte > 0)
+SELECT *, (SELECT count(*) FROM a) AS total FROM a ORDER BY nom, id LIMIT 20

@@ -208,6 +208,7 @@ def test_each_sheet_is_computed_once(spark, tmp_path):
 def test_simple_sheets_are_chosen_by_content(tables):
     from earthworks import registry
 
-    files = {r.file_id for r in ingest.simple_files(tables["raw_cells"], registry._files(tables), tables["livrables"]).collect()}
+    up = registry._upload(tables)
+    files = {r.file_id for r in ingest.simple_files(up.cells, up.files, tables["livrables"], up.columns).collect()}
     assert files == (set(range(25)) - {7, 8}) | {50}
     assert facts.statements_by_line(tables).count() >= facts.statements_by_line(tables, tables["devis_st"].filter("rue_id = 3")).count() > 0
