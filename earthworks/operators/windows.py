@@ -118,7 +118,7 @@ def _newest_months(df: DataFrame, month: str) -> Iterator[DataFrame]:
 
 
 def _newest_days(df: DataFrame, on: str, date: str, k: int) -> Iterator[DataFrame]:
-    """The newest days with twice ``k`` rows, with eight times as many and so on."""
+    """The newest days with twice ``k`` rows, with four times as many and so on."""
     days = df.filter(F.col(on).isNotNull()).groupBy(F.to_date(date).alias("d")).agg(F.count(F.lit(1)).alias("n"))
     counted = sorted(((r.d, r.n) for r in days.filter("d IS NOT NULL").collect()), reverse=True)  # a row a calendar day
     rows, wanted = 0, 2 * k
@@ -126,4 +126,4 @@ def _newest_days(df: DataFrame, on: str, date: str, k: int) -> Iterator[DataFram
         rows += n
         if rows >= wanted:
             yield df.filter(F.col(date) >= F.lit(day))
-            wanted = 8 * rows
+            wanted = 4 * rows

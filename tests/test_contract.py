@@ -26,7 +26,7 @@ def test_entry_gives_rows(spark):
 
 
 # A window with no key may only see a row per part that the rows were dealt to.
-WHOLE_TABLE_WINDOWS = {"cash_running_all", "append_rows", "attendance_batch", "post_receptions_rows"}
+WHOLE_TABLE_WINDOWS = {"cash_running_all", "cash_since_all", "append_rows", "attendance_batch", "post_receptions_rows"}
 
 
 @pytest.mark.parametrize("name", list(registry.JOBS))

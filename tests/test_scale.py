@@ -225,17 +225,15 @@ def test_newest_lists_prune_months(spark, warehouse):
 
 def test_newest_lists_of_a_version_read_its_last_months(spark, tables, tmp_path):
     """The folders of a stored version are walked in the same way, and the join sees the rows of the last months only."""
-    from earthworks.plans import staff
+    from earthworks.plans import plant
     from earthworks.sources.versions import Store
 
     store = Store(spark, f"file://{tmp_path}/books")
-    store.create({n: tables[n] for n in ("pointage", "personnel", "rues")})
-    months = store.months("pointage")
-    late = tables["pointage"].filter(F.date_format("date_pointage", "yyyy-MM") == months[-1])
-    rows = staff.attendance_history(store.tables(), k=20)
-    assert scanned(rows, "mois") == [months[-1]] and late.count() < tables["pointage"].count()
-    wanted = staff.attendance_history(tables, k=20)
-    assert collected(rows) == collected(wanted)
+    store.create({n: tables[n] for n in ("maintenance_materiels", "materiels")})
+    months = store.months("maintenance_materiels")
+    rows = plant.maintenance_history(store.tables(), k=3)
+    assert scanned(rows, "mois")[0] in months[-8:] and len(months) > 50
+    assert collected(rows) == collected(plant.maintenance_history(tables, k=3))
 
 
 def test_a_site_sums_only_its_own_lines(tables):
