@@ -7,7 +7,7 @@ Every rule names a measure of the text and the range in which it must lie. The m
 * ``symbol_ratio``: symbols ``#*$%&|<>`` per word,
 * ``shout_ratio``: exclamation and question marks per word,
 * ``stop_ratio``: share of words that are stop words of a supported language, whatever their case and the punctuation
-  around them; a text in another language has next to none and is not kept, so name its stop words before judging it,
+  around them (up to 12 bytes together); a text in another language has next to none and is not kept, so name its stop words before judging it,
 * ``dup_line_ratio``: share of lines with a word that repeat an earlier line,
 * ``ellipsis_ratio``: share of lines with a word that end in an ellipsis.
 
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from earthworks.llm.words import GAP, words
 
 SYMBOLS = r"[#*$%&|<>]"
+MOST_BYTES = 12  # of a stop word with the signs around it
 # Signs that stand at the edges of words.
 PUNCTUATION = """.,;:!?…'"`´‘’‚‛“”„«»‹›()[]{}¿¡-–—*_/"""
 
@@ -63,6 +64,11 @@ def _squeezed(text: Column, pattern: str) -> Column:
     return F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
 
 
+def _is_stop(word: Column, stops: list[str]) -> Column:
+    """Most words are told as they are written; only short ones are folded and freed of signs, which takes longer."""
+    return word.isin(stops) | ((F.octet_length(word) <= MOST_BYTES) & F.lower(F.btrim(word, F.lit(PUNCTUATION))).isin(stops))
+
+
 def _repeat_words(ws: Column, grams: Column) -> Column:
     """Words that lie in a window of three found twice or more: windows sorted, neighbours compared, positions joined."""
     placed = F.sort_array(F.transform(grams, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
@@ -99,7 +105,7 @@ def measures(df: DataFrame, keys: list[str], text: str = "text", stop_words: dic
         F.size("_lines").alias("_n_lines"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.size(F.filter("_lines", lambda x: x.rlike(r"(\.\.\.|…)[\x20\x09-\x0D]*$"))).alias("_ellipses"),
-        F.size(F.filter("_words", lambda w: F.lower(F.btrim(w, F.lit(PUNCTUATION))).isin(stops))).alias("_stops"),
+        F.size(F.filter("_words", lambda w: _is_stop(w, stops))).alias("_stops"),
         F.col("_words"), _grams(F.col("_words")).alias("_grams"),
     )
     share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)

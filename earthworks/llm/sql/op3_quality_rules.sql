@@ -16,7 +16,7 @@ base AS (
     length(t) - length(regexp_replace(t, '[!?]', '', 'g')) AS shouts,
     len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
     len(list_filter(ls, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) AS ellipses,
-    len(list_filter(ws, lambda w: lower(trim(w, '.,;:!?…''"`´‘’‚‛“”„«»‹›()[]{}¿¡-–—*_/')) IN (
+    len(list_filter(ws, lambda w: CASE WHEN strlen(w) <= 12 THEN lower(trim(w, '.,;:!?…''"`´‘’‚‛“”„«»‹›()[]{}¿¡-–—*_/')) END IN (
     'a', 'al', 'als', 'an', 'and', 'are', 'as', 'at', 'au', 'auch', 'auf', 'be', 'by', 'ce', 'como', 'con', 'dans',
     'das', 'de', 'del', 'dem', 'den', 'der', 'des', 'die', 'du', 'ein', 'eine', 'el', 'elle', 'en', 'es', 'est',
     'et', 'for', 'from', 'für', 'have', 'il', 'im', 'in', 'is', 'ist', 'it', 'la', 'las', 'le', 'les', 'lo', 'los',
