@@ -112,10 +112,7 @@ def test_word_sums_equal_to_a_loop(spark):
     texts = ["a b c a", "b", None, "c c"]
     df = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
     entries, signs = quality_classifier.index_vectors()
-    frequent = quality_classifier.vocabulary(df)
-    assert frequent == ["c", "a", "b"]
-    of, wanted = quality_classifier.Places(frequent[:2]), np.zeros((quality_classifier.PLACES, quality_classifier.DIMENSIONS))
-    assert of["c"] == 0 and of["b"] >= quality_classifier.VOCABULARY
+    of, wanted = quality_classifier.Buckets(), np.zeros((quality_classifier.BUCKETS, quality_classifier.DIMENSIONS))
     for t in texts:
         words = [of[w] for w in quality_classifier.WORD.findall(t or "")]
         for i, w in enumerate(words):
@@ -124,11 +121,23 @@ def test_word_sums_equal_to_a_loop(spark):
                     for p, s in zip(entries[words[j]], signs[words[j]], strict=True):
                         wanted[w, p] += s
     found = np.zeros_like(wanted)
-    for r in quality_classifier.word_sums(df, frequent[:2]).collect():
-        found[r.place] = r[1:]
+    for r in quality_classifier.word_sums(df).collect():
+        found[r.bucket] = r[1:]
     assert np.array_equal(found, wanted)
 
 
+def test_a_bucket_belongs_to_one_word_in_the_main(spark):
+    """Of all words met in the texts, at least three quarters are the most frequent one of their bucket."""
+    from collections import Counter
+
+    counts, of, most = Counter(), quality_classifier.Buckets(), {}
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        counts.update(quality_classifier.WORD.findall(r.text))
+    for word, n in counts.items():
+        most[of[word]] = max(most.get(of[word], 0), n)
+    assert sum(most.values()) > 0.75 * sum(counts.values())
+
+
 def test_network_temperature_and_single_label():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(1500, 6))
