@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from earthworks.operators.lineage import stable
+from earthworks.operators.lineage import stable, together
 from earthworks.operators.windows import running_total
 from earthworks.sources import catalog
 from earthworks.sources.tables import MONTH, with_defaults
@@ -135,11 +135,20 @@ def _links(table: str, gone: Mapping[str, DataFrame]) -> tuple[list[tuple[str, s
 def cascade_ids(tables: Mapping[str, DataFrame], site_ids: DataFrame) -> dict[str, DataFrame]:
     """The ids that go, of every table that others hang on."""
     gone = {"rues": stable(site_ids)}
-    for table in cascade_order(tables)[1:]:
-        taken, _ = _links(table, gone)
-        if taken and any(p == table for _, _, p, _ in catalog.FOREIGN_KEYS):
-            doomed = [_linked(tables[table], c, gone[p]).select("id") for c, p in taken]
-            gone[table] = stable(reduce(DataFrame.union, doomed).distinct())
+    parents = {p for _, _, p, _ in catalog.FOREIGN_KEYS}
+    waiting = [t for t in cascade_order(tables)[1:] if t in parents]
+
+    def ids_of(table: str) -> DataFrame | None:
+        doomed = [_linked(tables[table], c, gone[p]).select("id") for c, p in _links(table, gone)[0]]
+        return stable(reduce(DataFrame.union, doomed).distinct()) if doomed else None
+
+    while waiting:
+        # tables none of whose parents is still to come, at the same time
+        ready = [t for t in waiting if not any(p in waiting and p != t for own, _, p, _ in catalog.FOREIGN_KEYS if own == t)]
+        for table, ids in zip(ready, together(ids_of, ready), strict=True):
+            if ids is not None:
+                gone[table] = ids
+        waiting = [t for t in waiting if t not in ready]
     return gone
 
 

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +22,12 @@ def stable(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def together(work: Callable[[Any], Any], items: Iterable[Any]) -> list[Any]:
+    """Several small Spark jobs at a time; the first failure is raised."""
+    with ThreadPoolExecutor(4) as pool:
+        return list(pool.map(work, items))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder for kept results that the session names; else one below its warehouse, which executors share too."""
     folder = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING, None)

@@ -168,27 +168,33 @@ def _grams(text: str, sizes: range) -> Column:
     return F.array_distinct(F.flatten(F.array(*[of(n) for n in sizes])))
 
 
-def containing_candidates(large: DataFrame, small: DataFrame) -> DataFrame:
-    """Pairs of texts of one site, ``grand`` and ``petit``, of which the first may contain the second.
+def containment_candidates(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs of texts of one site, one of each side, of which ``grand`` may contain ``petit``; ``cote`` is the side of the
+    first, 0 or 1.
 
     A text that contains another has all its letter groups. So a group of three letters of the small text, or the text
-    itself if it is shorter, is looked up in an index of the groups of the large ones: of its groups that which the fewest
-    large texts of the site have. A small text with a group that none has is in none. An empty text is in every text.
+    itself if it is shorter, is looked up in an index of the groups of the other side: of its groups that which the fewest
+    texts of the site have there. A small text with a group that none has is in none. An empty text is in every text.
     """
-    index = large.select("rue_id", F.col("texte").alias("grand"), F.explode(_grams("texte", range(1, GRAM + 1))).alias("groupe"))
-    often = index.groupBy("rue_id", "groupe").agg(F.count(F.lit(1)).alias("n"))
+    both = left.select("rue_id", F.lit(0).alias("cote"), "texte").union(right.select("rue_id", F.lit(1), "texte"))
+    groups = F.concat(F.array(F.lit("")), _grams("texte", range(1, GRAM + 1)))
+    index = both.select("rue_id", "cote", F.col("texte").alias("grand"), F.explode(groups).alias("groupe"))
+    often = index.groupBy("rue_id", "cote", "groupe").agg(F.count(F.lit(1)).alias("n"))
     own = F.when(F.length("texte") >= GRAM, _grams("texte", range(GRAM, GRAM + 1))).otherwise(F.array("texte"))
-    asked = small.filter(F.length("texte") > 0).select("rue_id", F.col("texte").alias("petit"), F.explode(own).alias("groupe"))
-    rated = asked.join(often, ["rue_id", "groupe"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    rarest = rated.groupBy("rue_id", "petit").agg(F.min(F.struct("n", "groupe")).alias("r")).select("rue_id", "petit", "r.groupe")
-    found = index.join(rarest, ["rue_id", "groupe"]).select("rue_id", "grand", "petit")
-    blank = small.filter(F.length("texte") == 0).select("rue_id", F.col("texte").alias("petit"))
-    return found.unionByName(large.select("rue_id", F.col("texte").alias("grand")).join(blank, "rue_id"))
+    asked = both.select("rue_id", (1 - F.col("cote")).alias("cote"), F.col("texte").alias("petit"), F.explode(own).alias("groupe"))
+    rated = asked.join(often, ["rue_id", "cote", "groupe"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    rarest = rated.groupBy("rue_id", "cote", "petit").agg(F.min(F.struct("n", "groupe")).alias("r"))
+    wanted = rarest.select("rue_id", "cote", "petit", "r.groupe")
+    return index.join(wanted, ["rue_id", "cote", "groupe"]).select("rue_id", "cote", "grand", "petit")
 
 
-def containing(large: DataFrame, small: DataFrame) -> DataFrame:
-    """Pairs of texts of one site (columns ``rue_id`` and ``texte``), of which the first contains the second."""
-    return containing_candidates(large, small).filter(F.col("grand").contains(F.col("petit")))
+def containment(left: DataFrame, right: DataFrame) -> DataFrame:
+    """``rue_id``, ``gauche``, ``droite``: pairs of texts of one site (columns ``rue_id`` and ``texte``), one of which contains
+    the other, once each."""
+    found = containment_candidates(left, right).filter(F.col("grand").contains(F.col("petit")))
+    first = F.col("cote") == 0
+    return found.select("rue_id", F.when(first, F.col("grand")).otherwise(F.col("petit")).alias("gauche"),
+                        F.when(first, F.col("petit")).otherwise(F.col("grand")).alias("droite")).distinct()
 
 
 def match_deliverables(columns: DataFrame, files: DataFrame, deliverables: DataFrame) -> DataFrame:
@@ -207,9 +213,8 @@ def match_deliverables(columns: DataFrame, files: DataFrame, deliverables: DataF
     # each name of a site is matched once, however many of its files have it
     heads = placed.select("rue_id", F.col("nom").alias("texte")).distinct()
     names = side.select("rue_id", F.col("__norm").alias("texte")).distinct()
-    found = containing(heads, names).select("rue_id", F.col("grand").alias("nom"), F.col("petit").alias("__norm"))
-    turned = containing(names, heads).select("rue_id", F.col("petit").alias("nom"), F.col("grand").alias("__norm"))
-    pairs = found.union(turned).distinct().join(side, ["rue_id", "__norm"])
+    met = containment(heads, names).select("rue_id", F.col("gauche").alias("nom"), F.col("droite").alias("__norm"))
+    pairs = met.join(side, ["rue_id", "__norm"])
     best = F.min(F.struct("livrable", "livrable_id")).alias("best")
     found = pairs.groupBy("rue_id", "nom").agg(best)
     return placed.join(found, ["rue_id", "nom"]).select(

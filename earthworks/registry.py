@@ -553,10 +553,8 @@ def stored_versions(t: Tables) -> DataFrame:
 
 
 def stored_cascade(t: Tables) -> DataFrame:
-    """Rows and freed links of all tables before and after the finished sites went, both versions read from the store."""
-    names = list(changes.cascade_order(t))
-    numbered = {n: t[n] if n in NUMBERED else _with_numbers(t[n]) for n in names}
-    store = _stored(t, **numbered)
+    """Rows and freed links before and after the finished sites went with what hangs on them, both versions from the store."""
+    store = _stored(t, *CASCADED)
     store.delete_sites(t["rues"].filter(F.col("statut_chantier") == "Terminé").select("id"))
     unlinked = {"devis_rue": "livrable_id", "materiels": "rue_id_affectation"}
     rows = []
@@ -568,11 +566,8 @@ def stored_cascade(t: Tables) -> DataFrame:
     return aggregates.append_levels(*rows)
 
 
-# Fixture tables whose ids are numbers; the others have texts.
-NUMBERED = {
-    "rues", "livrables", "devis_rue", "sous_traitants", "devis_st", "paiements_st", "personnel", "pointage", "approvisionnements",
-    "materiels", "maintenance_materiels", "suivi_materiels", "journal_chantier", "caisse_chantier", "courriers", "incidents",
-}
+# Tables of every kind of link: below a site, two levels below, freed instead of deleted, stored by month.
+CASCADED = ["rues", "livrables", "devis_rue", "sous_traitants", "devis_st", "personnel", "caisse_chantier", "materiels"]
 
 
 def _with_numbers(df: DataFrame) -> DataFrame:

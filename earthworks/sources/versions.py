@@ -15,8 +15,7 @@ import datetime as dt
 import json
 import uuid
 from collections.abc import Callable, Iterable, Mapping
-from concurrent.futures import ThreadPoolExecutor
-from typing import Any, NamedTuple
+from typing import NamedTuple
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,6 +23,7 @@ from pyspark.sql import functions as F
 
 from earthworks.operators import changes
 from earthworks.operators.aggregates import append_levels
+from earthworks.operators.lineage import together
 from earthworks.sources import catalog
 from earthworks.sources.tables import EVENT_DATES, MONTH, Tables, month_of
 
@@ -188,7 +188,7 @@ class Store:
     def create(self, tables: Mapping[str, DataFrame]) -> int:
         """The first version, or one more with these tables anew; the others stay."""
         base = self.version()
-        parts = [p for written in _together(lambda item: self._write(*item), tables.items()) for p in written]
+        parts = [p for written in together(lambda item: self._write(*item), tables.items()) for p in written]
         return self._commit(base, [p for p in base.parts if p.table not in tables] + parts)
 
     def _commit(self, base: Version, parts: list[Part]) -> int:
@@ -214,7 +214,7 @@ class Store:
             return old, new
 
         parts = set(base.parts)
-        for old, new in _together(rewritten, edits.items()):
+        for old, new in together(rewritten, edits.items()):
             parts = parts - set(old) | set(new)
         return self._commit(base, list(parts))
 
@@ -293,12 +293,6 @@ class Store:
         return changes.audit_diff(suspect(gone), suspect(come), table, at)
 
 
-def _together(work: Callable[[Any], Any], items: Iterable[Any]) -> list[Any]:
-    """Several small Spark jobs at a time; the first failure is raised."""
-    with ThreadPoolExecutor(4) as pool:
-        return list(pool.map(work, items))
-
-
 def bucket_of(key: str) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
 

@@ -329,8 +329,9 @@ z AS (SELECT 'rues' AS table_name, count(*) AS n, 0 AS liens FROM rues
       UNION ALL SELECT 'caisse_chantier' AS table_name, count(*) AS n, 0 AS liens FROM caisse_chantier
       UNION ALL SELECT 'courriers' AS table_name, count(*) AS n, 0 AS liens FROM courriers
       UNION ALL SELECT 'incidents' AS table_name, count(*) AS n, 0 AS liens FROM incidents)
-SELECT 0 AS version, * FROM z
+SELECT 0 AS version, * FROM z WHERE table_name IN ('rues', 'livrables', 'devis_rue', 'sous_traitants', 'devis_st', 'personnel', 'caisse_chantier', 'materiels')
 UNION ALL SELECT 1, z.table_name, coalesce(y.n, 0), coalesce(y.liens, 0) FROM z LEFT JOIN y ON y.table_name = z.table_name
+WHERE z.table_name IN ('rues', 'livrables', 'devis_rue', 'sous_traitants', 'devis_st', 'personnel', 'caisse_chantier', 'materiels')
 
 -- name: overdraw_since
 -- columns: id:i date_mvt:t materiau_id:i article:s quantite:d stock_avant:d
