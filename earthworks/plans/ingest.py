@@ -175,6 +175,8 @@ def containment_candidates(left: DataFrame, right: DataFrame) -> DataFrame:
     A text that contains another has all its letter groups. So a group of three letters of the small text, or the text
     itself if it is shorter, is looked up in an index of the groups of the other side: of its groups that which the fewest
     texts of the site have there. A small text with a group that none has is in none. An empty text is in every text.
+
+    The planner takes the exploded groups for as few bytes as the texts and would broadcast them, so the joins are told to sort.
     """
     both = left.select("rue_id", F.lit(0).alias("cote"), "texte").union(right.select("rue_id", F.lit(1), "texte"))
     groups = F.concat(F.array(F.lit("")), _grams("texte", range(1, GRAM + 1)))
@@ -182,10 +184,10 @@ def containment_candidates(left: DataFrame, right: DataFrame) -> DataFrame:
     often = index.groupBy("rue_id", "cote", "groupe").agg(F.count(F.lit(1)).alias("n"))
     own = F.when(F.length("texte") >= GRAM, _grams("texte", range(GRAM, GRAM + 1))).otherwise(F.array("texte"))
     asked = both.select("rue_id", (1 - F.col("cote")).alias("cote"), F.col("texte").alias("petit"), F.explode(own).alias("groupe"))
-    rated = asked.join(often, ["rue_id", "cote", "groupe"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    rated = asked.hint("merge").join(often, ["rue_id", "cote", "groupe"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     rarest = rated.groupBy("rue_id", "cote", "petit").agg(F.min(F.struct("n", "groupe")).alias("r"))
     wanted = rarest.select("rue_id", "cote", "petit", "r.groupe")
-    return index.join(wanted, ["rue_id", "cote", "groupe"]).select("rue_id", "cote", "grand", "petit")
+    return index.hint("merge").join(wanted, ["rue_id", "cote", "groupe"]).select("rue_id", "cote", "grand", "petit")
 
 
 def containment(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -201,20 +203,21 @@ def match_deliverables(columns: DataFrame, files: DataFrame, deliverables: DataF
     """Deliverable each leftover column of a file stands for.
 
     Names match when one contains the other; the first deliverable by name
-    counts. ``files`` gives the site of each file. Only pairs that an index of
-    letter groups finds are compared (``containing``).
+    counts. ``files`` gives the site of each file. Only deliverables of these
+    sites are looked at, and only pairs that an index of letter groups finds
+    are compared (``containment``).
     """
     free = columns.filter(F.col("champ").isNull() & ~F.col("nom").isin(_TOTAL_COLUMNS + _NO_COLUMNS))
-    side = deliverables.select(
-        F.col("chantier_id").alias("rue_id"), F.col("id").alias("livrable_id"),
-        F.lower(F.trim("nom")).alias("livrable"), normalised_name("nom").alias("__norm"),
-    )
     placed = free.join(files, "file_id")
     # each name of a site is matched once, however many of its files have it
     heads = placed.select("rue_id", F.col("nom").alias("texte")).distinct()
+    side = deliverables.select(
+        F.col("chantier_id").alias("rue_id"), F.col("id").alias("livrable_id"),
+        F.lower(F.trim("nom")).alias("livrable"), normalised_name("nom").alias("__norm"),
+    ).join(heads.select("rue_id").distinct(), "rue_id", "left_semi")
     names = side.select("rue_id", F.col("__norm").alias("texte")).distinct()
     met = containment(heads, names).select("rue_id", F.col("gauche").alias("nom"), F.col("droite").alias("__norm"))
-    pairs = met.join(side, ["rue_id", "__norm"])
+    pairs = met.join(side.hint("merge"), ["rue_id", "__norm"])  # deliverables may come exploded, see above
     best = F.min(F.struct("livrable", "livrable_id")).alias("best")
     found = pairs.groupBy("rue_id", "nom").agg(best)
     return placed.join(found, ["rue_id", "nom"]).select(

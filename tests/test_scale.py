@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from earthworks.operators import changes, lineage, windows
-from earthworks.plans import facts, records, reports
+from earthworks.plans import facts, ingest, records, reports
 from earthworks.sources import sinks, tables as scans
 from earthworks.sources.tables import load, open_warehouse, save
 
@@ -278,6 +278,26 @@ def test_csv_export_and_preview(spark, tables, tmp_path):
     assert (head.count(), n) == (2, 5)
 
 
+@pytest.mark.parametrize("sites_with_files", [3, 3000])
+def test_letter_groups_are_not_broadcast(spark, sites_with_files):
+    """Deliverables and their letter groups are exploded, which the planner's sizes don't show; neither passes the driver."""
+    named = F.expr("explode(sequence(0, 4))").alias("k")
+    deliverables = lineage.stable(spark.range(3000)).select(F.col("id").alias("s"), named).select(
+        (F.col("s") * 5 + F.col("k")).alias("id"), F.col("s").alias("chantier_id"), F.format_string("Livrable %d", "k").alias("nom"))
+    files = lineage.stable(spark.range(sites_with_files).select(F.col("id").alias("file_id"), F.col("id").alias("rue_id")))
+    columns = files.select("file_id", F.lit(3).alias("col_idx"), F.lit(None).cast("string").alias("champ"), F.lit("livrable_2").alias("nom"))
+    limits = {"spark.sql.autoBroadcastJoinThreshold": "1m", "spark.sql.maxBroadcastTableSize": "20m"}
+    try:
+        for key, value in limits.items():
+            spark.conf.set(key, value)
+        met = ingest.match_deliverables(columns, files, deliverables)
+        got = met.agg(F.count(F.lit(1)), F.count_if(F.col("livrable_id") == F.col("rue_id") * 5 + 2)).first()
+    finally:
+        for key in limits:
+            spark.conf.unset(key)
+    assert got[:] == (sites_with_files, sites_with_files)
+
+
 def test_kept_results_go_to_the_named_folder(spark):
     kept = lineage.stable(spark.range(5))
     folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
