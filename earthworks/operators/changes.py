@@ -13,14 +13,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from earthworks.operators.lineage import stable, together
-from earthworks.operators.windows import running_total
+from earthworks.operators.windows import numbered
 from earthworks.sources import catalog
 from earthworks.sources.tables import MONTH, with_defaults
 
 
 def number_rows(df: DataFrame, order: str, out: str) -> DataFrame:
     """Number rows from 1 in the order of a unique column, without a one-task window."""
-    return running_total(df, F.lit(1), [], [order], out)
+    return numbered(df, order, out)
 
 
 def append_rows(

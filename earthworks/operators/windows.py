@@ -31,6 +31,24 @@ def _inside(by: Sequence[str], order: Sequence[str]) -> Window:
     return Window.partitionBy(*by, PART).orderBy(*[F.asc_nulls_first(c) for c in order])
 
 
+def numbered(df: DataFrame, order: str, out: str) -> DataFrame:
+    """Rows numbered from 1 along a unique column, missing values first; a number named like the column takes its place.
+
+    Rows are sorted in the part they are dealt to and kept with their place there, so the numbers need no further shuffle:
+    a part's first number follows from the sizes of the parts before it, one row a part.
+    """
+    along = F.asc_nulls_first(order)
+    placed = df.repartitionByRange(along).sortWithinPartitions(along).withColumn("__at", F.monotonically_increasing_id())
+    rows = stable(placed.drop(order) if out == order else placed)
+    part = F.shiftright("__at", 33).cast("int").alias(PART)  # an id of this kind is part * 2^33 + place
+    place = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = rows.groupBy(part).agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(PART, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    opened = rows.withColumn(PART, part).join(F.broadcast(starts), PART)  # a row a part
+    return opened.withColumn(out, F.col("__start") + place + 1).select(*dict.fromkeys([*df.columns, out]))
+
+
 def total_type(df: DataFrame, value: Column) -> T.DataType:
     """The type of a running total of a value."""
     kind = df.select(F.sum(value).alias("t")).schema["t"].dataType
@@ -44,14 +62,28 @@ def running_total(df: DataFrame, value: Column, by: Sequence[str], order: Sequen
 
 
 def _summed(rows: DataFrame, by: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
-    """Running sum of the column ``__v`` of dealt rows."""
+    """Running sum of the column ``__v`` of dealt rows.
+
+    Only the first key of a part can have begun before it, so there is at most one start a part, and only keys at the ends
+    of parts are summed for it. The rows are shuffled once, for the window inside a part.
+    """
     kind = rows.schema["__v"].dataType
-    sums = rows.groupBy(*by, PART).agg(F.sum("__v").alias("__sum"))
+    sums = _at_ends(rows, by).groupBy(*by, PART).agg(F.sum("__v").alias("__sum"))
     before = Window.partitionBy(*by).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(*by, PART, F.coalesce(F.sum("__sum").over(before), F.lit(0)).cast(kind).alias("__start"))
+    starts = sums.select(*by, PART, F.sum("__sum").over(before).cast(kind).alias("__start")).filter("__start IS NOT NULL")
     upto = _inside(by, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    opened = join_nullsafe(rows, starts, [*by, PART])
-    return opened.withColumn(out, (F.col("__start") + F.coalesce(F.sum("__v").over(upto), F.lit(0))).cast(kind))
+    opened = join_nullsafe(rows, F.broadcast(starts), [*by, PART], "left")
+    total = F.coalesce("__start", F.lit(0)) + F.coalesce(F.sum("__v").over(upto), F.lit(0))
+    return opened.withColumn(out, total.cast(kind))
+
+
+def _at_ends(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The dealt rows whose key may lie in several parts: its first column is lowest or highest in a part, or missing."""
+    if not by:
+        return rows
+    ends = rows.groupBy(PART).agg(F.min(by[0]).alias("__low"), F.max(by[0]).alias("__high"))
+    values = ends.select(F.explode(F.array("__low", "__high", F.lit(None))).alias(by[0])).distinct()
+    return join_nullsafe(rows, F.broadcast(values), by[:1], "left_semi")  # two rows a part
 
 
 def join_nullsafe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:

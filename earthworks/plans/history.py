@@ -27,7 +27,7 @@ def first_changed(store: Store, table: str, old: int, new: int) -> str | None:
 
 
 def month_sums(store: Store, table: str, label: str, value: Column, by: Sequence[str], version: int | None = None) -> DataFrame:
-    """``by``, ``mois`` and ``somme``: the sum of a value per key and month, of one version.
+    """``by``, ``mois`` and ``somme``: the sums of a value per key, month and write, of one version; they add up over the writes.
 
     ``label`` names value and key; sums of writes that were seen before under it are read, those of others are made.
     """
@@ -43,7 +43,7 @@ def month_sums(store: Store, table: str, label: str, value: Column, by: Sequence
     read = store.spark.read.option("basePath", folder).parquet(*sorted({f"{folder}/{WRITE}={p.write}" for p in parts}))
     held = store.spark.createDataFrame([(p.write, p.month) for p in parts], "__w string, __m string")  # a row a part
     same = (F.col(WRITE).cast("string") == F.col("__w")) & F.col(MONTH).eqNullSafe(F.col("__m"))
-    return read.join(F.broadcast(held), same, "left_semi").groupBy(*by, MONTH).agg(F.sum("somme").alias("somme"))
+    return read.join(F.broadcast(held), same, "left_semi").select(*by, MONTH, "somme")
 
 
 def running_since(

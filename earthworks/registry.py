@@ -572,7 +572,7 @@ CASCADED = ["rues", "livrables", "devis_rue", "sous_traitants", "devis_st", "per
 
 def _with_numbers(df: DataFrame) -> DataFrame:
     """Ids as whole numbers, in the order of the texts they were."""
-    return changes.number_rows(df, "id", "__n").withColumn("id", F.col("__n").cast("bigint")).drop("__n")
+    return changes.number_rows(df, "id", "id")
 
 
 def _late_cash(t: Tables) -> Store:

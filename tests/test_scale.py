@@ -72,6 +72,26 @@ def test_numbers_of_a_long_table(spark):
     assert [r.n for r in got.orderBy("id").collect()] == list(range(1, 501))
 
 
+@pytest.mark.parametrize("by", [["k"], []])
+def test_running_totals_shuffle_rows_once(spark, skewed, by):
+    """Dealt rows meet the starts of their parts without a second shuffle."""
+    got = windows.running_total(skewed, F.col("v"), by, ["d", "id"], "total")
+    plan = explained(got).split("== Final Plan ==")[0]
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+    starts = spark._jvm.PythonSQLUtils.explainString(got._jdf.queryExecution(), "simple").split("BroadcastExchange")[0]
+    assert starts.count("Exchange hashpartitioning") == 1  # the window's own
+
+
+def test_numbers_take_the_place_of_texts(spark):
+    """Texts in their order with a missing one first; they are not kept, and rows that are numbered move no more."""
+    texts = spark.range(500).select(F.when(F.col("id") != 77, F.format_string("L-%d", "id")).alias("id"), F.col("id").alias("was"))
+    got = changes.number_rows(texts.repartition(7), "id", "id")
+    wanted = sorted(range(500), key=lambda n: "" if n == 77 else f"L-{n}")
+    assert got.columns == ["id", "was"] and [r.was for r in got.orderBy("id").collect()] == wanted
+    assert sorted(r.id for r in got.collect()) == list(range(1, 501))
+    assert "L-" not in str(spark.read.parquet(*got.inputFiles()).first())
+
+
 def test_runs_cross_parts(spark):
     data = spark.range(2000).select(
         F.when(F.col("id") < 1500, 1).otherwise(2).alias("k"),
