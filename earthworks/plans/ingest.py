@@ -270,11 +270,15 @@ def import_simple(
 def import_multi(
     cells: DataFrame, files: DataFrame, deliverables: DataFrame, columns: DataFrame | None = None
 ) -> DataFrame:
-    """Lines of files with a column per deliverable, one per quantity that is not 0."""
+    """Lines of files with a column per deliverable, one per quantity that is not 0.
+
+    The matched columns are few rows, but the planner takes them for more bytes than a file of cells and would broadcast the
+    cells, so they are kept as the layout is.
+    """
     columns = layout(cells) if columns is None else columns
     matches = match_deliverables(columns, files, deliverables).select("file_id", "col_idx", "rue_id", "livrable_id")
-    side = columns.join(matches, ["file_id", "col_idx"], "left").select(
-        "file_id", "col_idx", "header_row", "champ", "rue_id", "livrable_id")
+    side = stable(columns.join(matches, ["file_id", "col_idx"], "left").select(
+        "file_id", "col_idx", "header_row", "champ", "rue_id", "livrable_id"))
     body = _filled(cells).join(side, ["file_id", "col_idx"]).filter(F.col("row_idx") > F.col("header_row"))
     # one group per sheet row: its fields, and as many quantities as the sheet has deliverable columns
     number = to_number("value")

@@ -319,6 +319,25 @@ def test_letter_groups_are_not_broadcast(spark, sites_with_files):
     assert got[:] == (sites_with_files, sites_with_files)
 
 
+def test_cells_are_not_broadcast(spark):
+    """A sheet of many rows is a small file, which is far more in memory; only its few columns pass the driver."""
+    head = F.when(F.col("id") == 0, F.element_at(F.array(*map(F.lit, ("Désignation", "Unité", "Livrable 0", "Livrable 1"))), F.col("c") + 1))
+    body = F.when(F.col("c") == 0, "mur").when(F.col("c") == 1, "U").when(F.col("c") == 2, (F.col("id") % 2).cast("string")).otherwise("3")
+    cells = lineage.stable(spark.range(100001).select("id", F.expr("explode(sequence(0, 3))").alias("c")).select(
+        F.lit(0).alias("file_id"), F.col("id").cast("int").alias("row_idx"), F.col("c").alias("col_idx"), F.coalesce(head, body).alias("value")))
+    files = spark.createDataFrame([(0, 7)], "file_id int, rue_id long")
+    named = spark.createDataFrame([(35, 7, "Livrable 0"), (36, 7, "Livrable 1")], "id long, chantier_id long, nom string")
+    try:
+        spark.conf.set("spark.sql.maxBroadcastTableSize", "20m")
+        multi = ingest.import_multi(cells, files, named)
+        lines = multi.groupBy("livrable_id").agg(F.count(F.lit(1)), F.sum("quantite")).orderBy("livrable_id").collect()
+        done = ingest.import_stats(multi).collect()
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+    assert [(r[0], r[1], float(r[2])) for r in lines] == [(35, 50000, 50000.0), (36, 100000, 300000.0)]
+    assert [tuple(r) for r in done] == [(0, 150000, 2)]
+
+
 def test_kept_results_go_to_the_named_folder(spark):
     kept = lineage.stable(spark.range(5))
     folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
