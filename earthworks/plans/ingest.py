@@ -68,6 +68,9 @@ def column_names(cells: DataFrame, max_scan: int = MAX_SCAN) -> DataFrame:
     The cells are read once for the last filled row of each column, and once
     more for the few rows a header may be in. A file with a header and nothing
     below it has one row without a column.
+
+    Of many small sheets these few rows are most of the cells, in a file that the
+    planner takes for small and would broadcast, so the join is told to sort.
     """
     last = _filled(cells).groupBy("file_id", "col_idx").agg(F.max("row_idx").alias("last_row"))
     heads = cells.filter(F.col("row_idx") < max_scan).select(
@@ -78,7 +81,7 @@ def column_names(cells: DataFrame, max_scan: int = MAX_SCAN) -> DataFrame:
     below = F.col("last_row") > F.col("header_row")
     files = used.groupBy("file_id").agg(F.first("header_row").alias("header_row"), F.count_if(below).alias("n"))
     bare = files.filter("n = 0").select("file_id", "header_row", F.lit(None).cast("int").alias("col_idx"), F.lit(None).cast("string").alias("nom"))
-    named = used.filter(below).join(heads, ["file_id", "col_idx", "header_row"], "left")
+    named = used.filter(below).join(heads.hint("merge"), ["file_id", "col_idx", "header_row"], "left")
     text = F.coalesce(blank_to_null("value"), F.concat(F.lit("Unnamed: "), F.col("col_idx")))
     return named.select("file_id", "header_row", "col_idx", normalised_name(text).alias("nom")).unionByName(bare)
 
@@ -110,7 +113,22 @@ def layout(cells: DataFrame, target: str = "site") -> DataFrame:
     """
     named = column_names(cells)
     fields = resolve(named.filter(F.col("col_idx").isNotNull()), target).select("file_id", "col_idx", "champ", "rang")
-    return stable(named.join(fields, ["file_id", "col_idx"], "left"))
+    return stable(named.join(fields.hint("merge"), ["file_id", "col_idx"], "left"))  # as many as columns, see below
+
+
+# Columns of all files together that may pass the driver: some 30 MB of its memory.
+FEW_COLUMNS = 100_000
+
+
+def _below_header(cells: DataFrame, side: DataFrame) -> DataFrame:
+    """Filled cells below the header with what is known of their column; ``side`` has a ``header_row`` and is read from
+    kept columns.
+
+    The columns of a few sheets are broadcast. Those of many are too much for that, though they are a small file, so the
+    join is then told to sort.
+    """
+    side = side.hint("merge") if side.count() > FEW_COLUMNS else side
+    return _filled(cells).join(side, ["file_id", "col_idx"]).filter(F.col("row_idx") > F.col("header_row"))
 
 
 def fields_of(columns: DataFrame) -> DataFrame:
@@ -129,8 +147,7 @@ def missing_fields(columns: DataFrame) -> DataFrame:
 
 def _body(cells: DataFrame, columns: DataFrame) -> DataFrame:
     """Filled cells below the header with the field of their column, if any."""
-    side = columns.select("file_id", "col_idx", "header_row", "champ")
-    return _filled(cells).join(side, ["file_id", "col_idx"]).filter(F.col("row_idx") > F.col("header_row"))
+    return _below_header(cells, columns.select("file_id", "col_idx", "header_row", "champ"))
 
 
 def _rows(cells: DataFrame, columns: DataFrame, target: str) -> DataFrame:
@@ -149,8 +166,7 @@ def grid(cells: DataFrame, target: str = "site") -> DataFrame:
 
 def grid_cells(cells: DataFrame, target: str = "site") -> DataFrame:
     """Every filled cell below the header in long form: file, row from 0, column name and value, of any width."""
-    body = _filled(cells).join(layout(cells, target).select("file_id", "col_idx", "header_row", "nom").distinct(),
-                               ["file_id", "col_idx"]).filter(F.col("row_idx") > F.col("header_row"))
+    body = _below_header(cells, layout(cells, target).select("file_id", "col_idx", "header_row", "nom").distinct())
     rows = running_total(body.select("file_id", "row_idx").distinct(), F.lit(1), ["file_id"], ["row_idx"], "__n")
     return body.join(rows, ["file_id", "row_idx"]).select(
         "file_id", (F.col("__n") - 1).alias("ligne"), "col_idx", "nom", "value")
@@ -279,7 +295,7 @@ def import_multi(
     matches = match_deliverables(columns, files, deliverables).select("file_id", "col_idx", "rue_id", "livrable_id")
     side = stable(columns.join(matches, ["file_id", "col_idx"], "left").select(
         "file_id", "col_idx", "header_row", "champ", "rue_id", "livrable_id"))
-    body = _filled(cells).join(side, ["file_id", "col_idx"]).filter(F.col("row_idx") > F.col("header_row"))
+    body = _below_header(cells, side)
     # one group per sheet row: its fields, and as many quantities as the sheet has deliverable columns
     number = to_number("value")
     counted = F.when(F.col("livrable_id").isNotNull() & (number != 0), F.struct("rue_id", "livrable_id", number.alias("quantite")))
