@@ -338,6 +338,36 @@ def test_cells_are_not_broadcast(spark):
     assert [tuple(r) for r in done] == [(0, 150000, 2)]
 
 
+@pytest.mark.parametrize("sheets", [3, 80000])
+def test_simple_imports_pass_few_rows_through_the_driver(spark, sheets):
+    """Neither the deliverables of all sites nor the cells and columns of many small sheets are broadcast."""
+    named = F.expr("explode(sequence(0, 4))").alias("k")
+    deliverables = lineage.stable(spark.range(80000)).select(F.col("id").alias("s"), named).select(
+        (F.col("s") * 5 + F.col("k")).alias("id"), F.col("s").alias("chantier_id"), F.format_string("Livrable %d", "k").alias("nom"))
+    rows = spark.range(sheets).select(F.col("id").cast("int").alias("file_id"), F.expr("explode(sequence(0, 2))").alias("row_idx"))
+    width = F.expr("explode(sequence(0, 2 + file_id % 2))").alias("col_idx")  # every second sheet has a deliverable
+    heads, body = (F.element_at(F.array(*map(F.lit, words)), F.col("col_idx") + 1) for words in (
+        ("Désignation", "Unité", "Qté", "Livrable 2"), ("mur", "U", "2", "3")))
+    value = F.when(F.col("row_idx") == 0, heads).otherwise(body).alias("value")
+    cells = lineage.stable(rows.select("file_id", "row_idx", width).select("file_id", "row_idx", "col_idx", value))
+    files = lineage.stable(spark.range(sheets).select(F.col("id").cast("int").alias("file_id"), F.col("id").alias("rue_id")))
+    limits = {"spark.sql.autoBroadcastJoinThreshold": "4m", "spark.sql.maxBroadcastTableSize": "20m"}
+    try:
+        for key, size in limits.items():
+            spark.conf.set(key, size)
+        columns = ingest.layout(cells)
+        simple = lineage.stable(ingest.simple_files(cells, files, deliverables, columns))
+        by_site = ingest.import_simple(cells, files, deliverables, columns=columns)
+        by_deliverable = ingest.import_simple(cells, simple.withColumn("livrable_id", F.col("rue_id") * 5), target="livrable")
+        got = [lines.agg(F.count(F.lit(1)), F.sum("quantite"), F.max(F.col("file_id") % 2)).first() for lines in (by_site, by_deliverable)]
+    finally:
+        for key in limits:
+            spark.conf.unset(key)
+    even = (sheets + 1) // 2
+    assert simple.count() == even
+    assert [(r[0], float(r[1]), r[2]) for r in got] == [(2 * even, 4.0 * even, 0)] * 2
+
+
 def test_kept_results_go_to_the_named_folder(spark):
     kept = lineage.stable(spark.range(5))
     folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
